@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rosterkit.queries import detection, extraction
+from rosterkit.queries import detection, extraction, scalars
 
-_MODULES = [detection, extraction]
+_MODULES = [scalars, detection, extraction]
 
 
 def queries() -> dict:
