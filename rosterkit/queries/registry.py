@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rosterkit.queries import detection, extraction, scalars
+from rosterkit.queries import detection, extraction, libraries, reports, scalars
 
-_MODULES = [scalars, detection, extraction]
+_MODULES = [scalars, detection, extraction, reports, libraries]
 
 
 def queries() -> dict:

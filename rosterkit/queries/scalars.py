@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterkit import functions as R
-from rosterkit.operators.numbering import number_within
+from rosterkit.operators import naming
 from rosterkit.queries import sql, views
 from rosterkit.schema import CODE_SUGGESTIONS
 
@@ -106,12 +106,9 @@ def complete_name(spark, sf_dir):
 
 
 def unique_names(spark, sf_dir):
-    """Safe output names; a clash gets _1, _2, ... in path order."""
-    pages = views.table(spark, sf_dir, "pages").withColumn("safe", R.safe_name(F.regexp_replace("url", r"[?#].*$|\d+", "")))
-    ranked = number_within(pages.select("page_id", "safe"), ["safe"], ["page_id"], "n")
-    return ranked.select(
-        "page_id", F.when(F.col("n") == 1, F.col("safe")).otherwise(F.concat("safe", F.lit("_"), (F.col("n") - 1).cast("string"))).alias("unique_name")
-    )
+    """Safe output names; a clash gets _1, _2, ... in page order."""
+    pages = views.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"[?#].*$|\d+", "").alias("name"))
+    return naming.unique_names(pages, "name", ["page_id"]).select("page_id", "unique_name")
 
 
 def search_codes(spark, sf_dir):

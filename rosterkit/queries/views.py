@@ -154,3 +154,108 @@ def raw_sheets(spark: SparkSession, sf_dir: str, families: list[str] | None = No
             "row.row_idx", "row.cells",
         )
     )
+
+
+# --- Run log, from orders (runs) and lineitem (their files) ---
+
+RUN_COMPANIES = 10
+
+
+def _month(d: Column) -> Column:
+    return F.date_format(d, "yyyy-MM-01")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per order."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run_id"),
+        F.concat(F.lit("C"), (F.col("o_custkey") % RUN_COMPANIES).cast("string")).alias("company_code"),
+        _month(F.col("o_orderdate")).alias("email_received_date"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"),
+        status.alias("status"),
+        F.col("o_orderpriority").alias("triggered_user"),
+    )
+
+
+def output_path() -> Column:
+    return F.concat(F.lit("/out/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string"))
+
+
+def file_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file log per line; returned lines are files that failed."""
+    failed = F.col("l_returnflag") == "R"
+    return table(spark, sf_dir, "lineitem").select(
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("log_id"),
+        F.col("l_orderkey").alias("run_id"),
+        F.concat(F.lit("f_"), F.col("l_suppkey").cast("string"), F.lit(".csv")).alias("file_name"),
+        F.concat(F.lit("/in/f_"), F.col("l_suppkey").cast("string"), F.lit(".csv")).alias("file_path"),
+        F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("sheet_name"),
+        F.when(~failed, output_path()).alias("output_path"),
+        F.when(failed, "ValueError: unreadable").alias("error_msg"),
+        F.when(~failed, F.col("l_quantity").cast("long")).alias("output_row_count"),
+    )
+
+
+def stored_rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roster rows of every written output; every 37th supplier's outputs are gone."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") != "R") & (F.col("l_suppkey") % 37 != 0))
+    text = lambda c: F.col(c).cast("string")
+    return lines.join(part, "l_partkey").join(order, "l_orderkey").select(
+        output_path().alias("output_path"),
+        F.lit("").alias("SURNAME"), F.lit("").alias("FIRST_NAME"), F.upper("p_name").alias("COMPLETE_NAME"),
+        F.when(F.col("l_partkey") % 2 == 0, "M").otherwise("F").alias("SEX"), F.lit("").alias("DATE_OF_BIRTH"),
+        F.concat(F.lit("C"), (F.col("o_custkey") % RUN_COMPANIES).cast("string")).alias("CMPY_NO"),
+        F.when(F.col("l_partkey") % 9 != 0, F.concat(F.lit("0"), (F.col("l_partkey") % 40).cast("string"))).alias("POLICY_NUMBER"),
+        F.concat(F.lit("/in/f_"), (F.col("l_suppkey") % 5).cast("string"), F.lit(".csv")).alias("FILE_PATH"),
+        F.concat(F.lit("260"), (F.col("l_linenumber") % 2).cast("string")).alias("SHEET"),
+    )
+
+
+# --- Alias library: customers' companies use words of the documents and part names as aliases ---
+
+LIB_CATEGORIES = ["name", "firstlastname", "sex", "dob", "policynum"]
+
+
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lib(company_code, category, alias_text, pos)``: one entry per line; a company is a supplier."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    spelled = F.when(F.col("l_linenumber") % 2 == 0, F.initcap("p_name")).otherwise(F.concat_ws("_", F.split("p_name", " ")))
+    categories = F.array(*map(F.lit, LIB_CATEGORIES))
+    return table(spark, sf_dir, "lineitem").join(part, "l_partkey").select(
+        F.concat(F.lit("L"), F.col("l_suppkey").cast("string")).alias("company_code"),
+        F.element_at(categories, (F.col("l_partkey") % 5 + 1).cast("int")).alias("category"),
+        F.concat(spelled, F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit(" "), F.col("p_type"), F.translate(F.col("l_suppkey").cast("string"), "0123456789", "abcdefghij"))).otherwise("")).alias("alias_text"),
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("pos"),
+    )
+
+
+def library_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lib_notes(company_code, note)``: a note per order; some carry a warning word."""
+    k = F.col("o_orderkey")
+    word = F.when(k % 101 == 0, "UNSAFE term").when(k % 103 == 0, "Not one-row header").when(k % 107 == 0, "face-sheet").otherwise("plain")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("L"), (F.col("o_custkey") % 100).cast("string")).alias("company_code"),
+        F.concat(F.col("o_orderpriority"), F.lit(" "), word).alias("note"),
+    )
+
+
+# --- Scan requests, from events ---
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per event; some lack a field or carry a wrong one."""
+    e, u = F.col("event_id"), F.col("user_id")
+    names = F.format_string('["f_%d.csv", "f_%d.csv"]', u % 40, e % 50)
+    files = F.when(e % 17 == 0, F.lit(None)).when(e % 13 == 0, "f_1.csv").when(e % 11 == 0, "[]").otherwise(names)
+    day = F.when(u % 7 == 0, F.date_format("ts", "MM/dd/yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "events").select(
+        e.alias("request_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("arrival"),
+        F.when(F.col("event_type") != "error", F.concat(F.lit("C"), (u % RUN_COMPANIES).cast("string"))).alias("company_code"),
+        day.alias("email_received_date"),
+        files.alias("files"),
+        F.col("event_type").alias("user"),
+        F.lit("/in").alias("input_folder"),
+    )
