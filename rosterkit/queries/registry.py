@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rosterkit.queries import detection, extraction, libraries, reports, scalars
+from rosterkit.queries import detection, extraction, files, libraries, reports, scalars
 
-_MODULES = [scalars, detection, extraction, reports, libraries]
+_MODULES = [scalars, detection, extraction, reports, libraries, files]
 
 
 def queries() -> dict:
