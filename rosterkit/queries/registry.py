@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rosterkit.queries import detection, extraction, files, libraries, reports, scalars
+from rosterkit.queries import detection, extraction, files, libraries, reports, scalars, streams
 
-_MODULES = [scalars, detection, extraction, reports, libraries, files]
+_MODULES = [scalars, detection, extraction, reports, libraries, files, streams]
 
 
 def queries() -> dict:
