@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from rosterkit.schema import FUZZY_THRESHOLD
 
@@ -13,7 +13,7 @@ from rosterkit.schema import FUZZY_THRESHOLD
 LETTERS_RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def match_ratio(word: pd.Series, candidate: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of each pair; the order of the arguments matters for some pairs.
 
@@ -26,17 +26,23 @@ def match_ratio(word: pd.Series, candidate: pd.Series) -> pd.Series:
     )
 
 
-def letter_tokens(key: Column) -> Column:
-    """Letters of a match key as a set: the i-th occurrence of a letter is its own token, rare letters first.
+def letter_counts(key: Column) -> Column:
+    """How often each letter occurs in a match key, rare letters first."""
+    return F.array(*[F.length(key) - F.length(F.replace(key, F.lit(x))) for x in LETTERS_RARE_FIRST])
+
+
+def sorted_letters(counts: Column) -> Column:
+    """The letters of a key as one text, rare letters first."""
+    return F.concat(*[F.repeat(F.lit(x), F.get(counts, i)) for i, x in enumerate(LETTERS_RARE_FIRST)])
 
-    Two keys share exactly as many tokens as they have letters in common (with repetition).
-    """
-    def numbered(letter: Column) -> Column:
-        count = F.length(key) - F.length(F.replace(key, letter))
-        occurrences = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(letter, i.cast("string")))
-        return F.when(count > 0, occurrences).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.array(*map(F.lit, LETTERS_RARE_FIRST)), numbered))
+def letter_token(letters: Column, at: Column) -> Column:
+    """Token at a 1-based position of the sorted letters: the letter and which occurrence of it this is.
+
+    Two keys share exactly as many tokens as they have letters in common, with repetition.
+    """
+    letter = F.substr(letters, at, F.lit(1))
+    return F.concat(letter, (at - F.call_function("instr", letters, letter)).cast("string"))
 
 
 def prefix_size(length: Column, threshold: float = FUZZY_THRESHOLD) -> Column:
@@ -54,10 +60,12 @@ def lengths_allow(a: Column, b: Column, threshold: float = FUZZY_THRESHOLD) -> C
     return 2 * F.least(a, b) >= (a + b) * F.lit(threshold) - 1e-9
 
 
-def letters_allow(tokens_a: Column, tokens_b: Column, threshold: float = FUZZY_THRESHOLD) -> Column:
-    """False when the common letters rule the threshold out."""
-    common = F.size(F.array_intersect(tokens_a, tokens_b))
-    return 2 * common >= (F.size(tokens_a) + F.size(tokens_b)) * F.lit(threshold) - 1e-9
+def letters_allow(counts_a: Column, counts_b: Column, lengths: Column, threshold: float = FUZZY_THRESHOLD) -> Column:
+    """False when the common letters rule the threshold out; ``lengths`` is the sum of both lengths."""
+    common = F.lit(0)
+    for i in range(len(LETTERS_RARE_FIRST)):
+        common = common + F.least(F.get(counts_a, i), F.get(counts_b, i))
+    return 2 * common >= lengths * F.lit(threshold) - 1e-9
 
 
 def least_common_letters(length: int, threshold: float = FUZZY_THRESHOLD) -> int:

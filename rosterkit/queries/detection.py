@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rosterkit.functions import match_key
 from rosterkit.operators import content, extract, headers, sheets
 from rosterkit.queries import sql, views
-from rosterkit.schema import FIELDS, SHEET_KEY, TABLE_KEY
+from rosterkit.schema import ALL_COMPANIES, FIELDS, SHEET_KEY, TABLE_KEY
 from rosterkit.session import stage
 
 _FIELD_NAMES = {"name": "name_cols", "firstlastname": "pair_cols", "sex": "sex_cols", "dob": "dob_cols", "policynum": "policy_cols"}
@@ -57,7 +57,8 @@ def detect_header(spark, sf_dir):
 def detect_header_fuzzy(spark, sf_dir):
     cells = stage(sheets.block_cells(_cells(spark, sf_dir)), "head")
     alias = views.aliases(spark)
-    return _listed(headers.detect_fuzzy(cells, headers.detect_exact(cells, alias), alias), *TABLE_KEY, "header_row_idx")
+    rest = headers.without_header(cells, headers.detect_exact(cells, alias))
+    return _listed(headers.detect_fuzzy(rest, alias), *TABLE_KEY, "header_row_idx")
 
 
 def similar_words(spark, sf_dir):
@@ -65,23 +66,24 @@ def similar_words(spark, sf_dir):
     words = (
         views.table(spark, sf_dir, "documents")
         .select(F.explode(F.split("text", r"\s+")).alias("word"))
-        .select(F.lit("CO3").alias("company_code"), match_key(F.col("word")).alias("word"))
+        .select(match_key(F.col("word")).alias("word"))
         .filter(F.col("word") != "")
         .distinct()
+        .select(F.explode(F.array(F.lit("CO3"), F.lit(ALL_COMPANIES))).alias("scope"), "word")
     )
-    return headers.similar_aliases(words, views.aliases(spark)).select("word", "field", F.round("ratio", 6).alias("ratio"))
+    return headers.similar_aliases(words, views.aliases(spark)).select("scope", "word", "field", F.round("ratio", 6).alias("ratio"))
 
 
 def header_intersect(spark, sf_dir):
     hits = headers.exact_hits(sheets.block_cells(_cells(spark, sf_dir)), views.aliases(spark))
-    return hits.groupBy("company_code", "file_path", "row_idx").agg(
+    return hits.distinct().groupBy("company_code", "file_path", "row_idx").agg(
         F.count("*").alias("n_hits"), F.count_distinct("field").alias("n_fields")
     )
 
 
 def detect_fallback(spark, sf_dir):
     """Every usable table with the step that found it."""
-    raw = views.raw_sheets(spark, sf_dir)
+    raw = stage(views.raw_sheets(spark, sf_dir), "raw")
     matches = headers.detect_headers(raw, views.aliases(spark))
     return _listed(matches, *TABLE_KEY, "col_end", "header_row_idx", "method", "identified_headers")
 
@@ -100,14 +102,14 @@ def content_columns(spark, sf_dir):
 
 
 def data_rows(spark, sf_dir):
-    raw = views.raw_sheets(spark, sf_dir, ["std", "multi", "digits"])
+    raw = stage(views.raw_sheets(spark, sf_dir, ["std", "multi", "digits"]), "raw")
     cells = sheets.block_cells(sheets.head_cells(raw))
     found = stage(headers.detect_exact(cells, views.aliases(spark)).select(*TABLE_KEY, "header_row_idx"), "found")
     return extract.data_rows(raw, found).select(*TABLE_KEY, "row_idx", F.array_join("cells", "|", "-").alias("row_text"))
 
 
 def numeric_name_cols(spark, sf_dir):
-    raw = views.raw_sheets(spark, sf_dir, ["std", "digits", "numname"])
+    raw = stage(views.raw_sheets(spark, sf_dir, ["std", "digits", "numname"]), "raw")
     cells = sheets.block_cells(sheets.head_cells(raw))
     found = headers.detect_exact(cells, views.aliases(spark))
     return extract.numeric_columns(raw, found).select(*TABLE_KEY, "col_idx", "number_share")

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from rosterkit.operators import extract, headers
 from rosterkit.queries import sql, views
 from rosterkit.schema import TABLE_KEY
+from rosterkit.session import stage
 
 
 def _roster(*families):
     def query(spark, sf_dir):
-        raw = views.raw_sheets(spark, sf_dir, list(families) or None)
+        raw = stage(views.raw_sheets(spark, sf_dir, list(families) or None), "raw")
         return extract.extract_roster(raw, headers.detect_headers(raw, views.aliases(spark)))
 
     return query
 
 
 def _tables(spark, sf_dir, *families):
-    raw = views.raw_sheets(spark, sf_dir, list(families) or None)
+    raw = stage(views.raw_sheets(spark, sf_dir, list(families) or None), "raw")
     return raw, extract.plan_tables(raw, headers.detect_headers(raw, views.aliases(spark)))
 
 

@@ -47,8 +47,10 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("o_orderdate").cast("date").alias("d"))
     )
     words = F.split("p_name", " ")
+    # Each person fans out to a row of every layout, so the small input is spread first.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        customer.join(part, "k")
+        customer.repartition(tasks, "k").join(part, "k")
         .join(first_order, "k", "left")
         .select(
             "k", "c_name", "p_name", "d",

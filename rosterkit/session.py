@@ -18,6 +18,8 @@ def get_session(app: str = "rosterkit", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Rows here are small but costly (dates, patterns), so partitions are merged less eagerly than by default.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -45,8 +47,11 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder.
+
+    All paths of one application share a folder, which can be removed when the application has ended.
+    """
+    return f"{staging_root(spark)}/rosterkit-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
