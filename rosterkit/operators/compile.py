@@ -102,9 +102,11 @@ def compile_diagnosis(runs: DataFrame, file_logs: DataFrame, stored: DataFrame |
     report = with_logs.unionByName(without, allowMissingColumns=True).withColumn(
         "eligible", F.col("output_path").isNotNull() & (F.col("status") != RUNNING)
     )
-    if stored is not None:
-        present = stored.select("output_path").distinct().withColumn("_present", F.lit(True))
-        report = report.join(present, "output_path", "left").withColumn(
-            "exists", F.coalesce("_present", F.lit(False))
-        ).drop("_present")
-    return report
+    if stored is None:
+        return report
+    # Logs without an output stay out of the join: their null key would gather them in one task.
+    present = stored.select("output_path").distinct().withColumn("exists", F.lit(True))
+    written = report.filter(F.col("output_path").isNotNull()).join(present, "output_path", "left")
+    return written.unionByName(
+        report.filter(F.col("output_path").isNull()), allowMissingColumns=True
+    ).na.fill(False, ["exists"])

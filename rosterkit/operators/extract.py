@@ -211,6 +211,14 @@ def to_roster(people: DataFrame) -> DataFrame:
     return people.filter(has_name()).select(*ROSTER_COLUMNS).dropDuplicates()
 
 
+def distinct_people(people: DataFrame) -> DataFrame:
+    """Distinct person rows with their number of copies, rows without a name included.
+
+    One grouping, combined map-side, gives both the roster and the counts of the run log.
+    """
+    return people.groupBy(*ROSTER_COLUMNS).agg(F.count("*").alias("copies"))
+
+
 def extract_roster(raw: DataFrame, matches: DataFrame, keep_single_names: bool = False) -> DataFrame:
     """Roster of all tables of all sheets."""
     return to_roster(extract_people(raw, plan_tables(raw, matches), keep_single_names))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rosterkit.operators.joins import join_small
 from rosterkit.session import stage
 
 # monotonically_increasing_id keeps the partition in the bits above this one.
@@ -16,8 +17,8 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, p
     A window over a key that holds a third of the data would run in one task. Here the rows are range-partitioned
     by key and order, so that a large key covers many partitions; the placed rows are written once (a second
     evaluation could sample other range bounds); each partition counts its rows per key; and the counts of the
-    earlier partitions are added. The counts are at most one row per key plus one per partition, and every join
-    key holds at most one partition's rows.
+    earlier partitions are added. The counts are at most one row per key plus one per partition, so the rows
+    themselves are normally not shuffled again.
     """
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c) for c in keys + order]
@@ -27,16 +28,14 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, p
         .withColumn("_position", F.monotonically_increasing_id()),
         "numbered",
     ).withColumn("_slice", F.shiftright("_position", _PARTITION_SHIFT))
+    place = F.struct(*keys, "_slice").alias("_place")  # compared as a whole, so null keys match themselves
     slices = placed.groupBy(*keys, "_slice").agg(F.min("_position").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    renamed = {k: f"_k{i}" for i, k in enumerate(keys)}
-    offsets = slices.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).select(
-        *[F.col(k).alias(v) for k, v in renamed.items()], F.col("_slice").alias("_s"), "_first", "_offset"
+    offsets = stage(
+        slices.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).select(place, "_first", "_offset"),
+        "offsets",
     )
-    same = F.col("_slice") == F.col("_s")
-    for key, copy in renamed.items():
-        same = same & F.col(key).eqNullSafe(F.col(copy))
-    return placed.join(offsets, same).select(
+    return join_small(placed.select("*", place), offsets, ["_place"], salt_by=["_position"]).select(
         *df.columns, (F.col("_position") - F.col("_first") + F.col("_offset") + 1).alias(name)
     )
 

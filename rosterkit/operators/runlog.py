@@ -6,22 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterkit.functions import extension, file_name
 from rosterkit.operators.extract import has_name
-from rosterkit.schema import OUTPUT_PART_ROWS, RECENT_RUNS, ROSTER_COLUMNS, SHEET_KEY
+from rosterkit.schema import OUTPUT_PART_ROWS, RECENT_RUNS, SHEET_KEY
 
 # Fixed value: the message of a sheet where nothing was found.
 NO_TABLE = "No identifiable headers or content pattern found"
 
-_TABLE = ["CMPY_NO", "FILE_PATH", "SHEET"]
-
-
-def table_counts(people: DataFrame) -> DataFrame:
-    """People read, distinct rows written and rows without a name, per table."""
-    read = people.groupBy(*_TABLE).agg(F.count_if(~has_name()).alias("missing_names"))
-    written = (
-        people.filter(has_name()).select(*ROSTER_COLUMNS).dropDuplicates()
-        .groupBy(*_TABLE).agg(F.count("*").alias("output_rows"))
-    )
-    return read.join(written, _TABLE, "left").select(
+def table_counts(distinct: DataFrame) -> DataFrame:
+    """Rows written and rows without a name per table, from the distinct people and their copies."""
+    missing = F.sum(F.when(has_name(), 0).otherwise(F.col("copies")))
+    return distinct.groupBy("CMPY_NO", "FILE_PATH", "SHEET").agg(
+        missing.alias("missing_names"), F.count_if(has_name()).alias("output_rows")
+    ).select(
         F.col("CMPY_NO").alias("company_code"), F.col("FILE_PATH").alias("file_path"),
         F.col("SHEET").alias("sheet_label"), "missing_names", "output_rows",
     )
@@ -40,13 +35,13 @@ def _common(sheet_name: Column) -> list[Column]:
     ]
 
 
-def file_log(raw: DataFrame, tables: DataFrame, people: DataFrame, rows_per_part: int = OUTPUT_PART_ROWS) -> DataFrame:
+def file_log(raw: DataFrame, tables: DataFrame, distinct: DataFrame, rows_per_part: int = OUTPUT_PART_ROWS) -> DataFrame:
     """One log row per output part of every table, and one error row per sheet without a table.
 
-    ``people`` should be staged: it is read for the counts as well as for the roster. All counts combine map-side.
+    ``distinct`` are the distinct people of the tables with their copies. All counts combine map-side.
     """
     sizes = raw.groupBy(*SHEET_KEY).agg(F.count("*").alias("row_count"))
-    counts = table_counts(people)
+    counts = table_counts(distinct)
     found = (
         tables.join(sizes, SHEET_KEY)
         .join(counts, ["company_code", "file_path", "sheet_label"], "left")

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rosterkit.functions import is_blank, strip
+from rosterkit.functions import is_blank
+from rosterkit.operators.joins import join_small
 from rosterkit.schema import HEADER_SEARCH_ROWS, SHEET_KEY, TABLE_KEY
 
 
@@ -30,7 +31,7 @@ def pad_rows(raw: DataFrame) -> DataFrame:
     """
     widths = raw.groupBy(*SHEET_KEY).agg(F.max(F.size("cells")).alias("width"))
     missing = F.col("width") - F.size("cells")
-    return raw.join(widths, SHEET_KEY).withColumn(
+    return join_small(raw, widths, SHEET_KEY, salt_by=["row_idx"]).withColumn(
         "cells", F.concat("cells", F.array_repeat(F.lit(None).cast("string"), missing))
     )
 
@@ -95,6 +96,3 @@ def joined_header(texts: Column) -> Column:
     """``", "``-joined texts of a collected list of (col_idx, text) structs, in column order."""
     return F.array_join(F.transform(F.array_sort(texts), lambda t: t["text"]), ", ")
 
-
-def stripped(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("value", strip(F.col("value")))

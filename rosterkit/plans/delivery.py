@@ -4,7 +4,7 @@ The store is a folder of Parquet tables:
 
     runs, file_logs, run_logs      one partition per run
     rosters                        company / date / run
-    compiled, compiled_outputs     company / date (/ part)
+    compiled, compiled_outputs     company / date
 
 Every write replaces its own partitions only, so a repeated job gives the same store.
 """
@@ -100,9 +100,10 @@ def process_files(spark: SparkSession, scan: Scan, work: DataFrame, alias: DataF
     companies = owners.select(F.col("path").alias("file_path"), "company_code").distinct()
     raw = join_small(scan.rows, companies, ["file_path"], salt_by=["row_idx"])
     tables = extract.plan_tables(raw, headers.detect_headers(raw, alias))
-    people = stage(extract.extract_people(raw, tables), "people")
+    people = stage(extract.distinct_people(extract.extract_people(raw, tables)), "people")
+    roster = people.filter(extract.has_name()).select(*ROSTER_COLUMNS)
     runs_of = owners.select(F.col("path").alias("FILE_PATH"), F.col("company_code").alias("CMPY_NO"), *RUN_COLUMNS)
-    rosters = join_small(extract.to_roster(people), runs_of, ["FILE_PATH", "CMPY_NO"], salt_by=ROSTER_COLUMNS).select(
+    rosters = join_small(roster, runs_of, ["FILE_PATH", "CMPY_NO"], salt_by=ROSTER_COLUMNS).select(
         output_id(F.col("run_id"), F.col("FILE_PATH"), F.col("SHEET")).alias("output_path"), *ROSTER_COLUMNS, *RUN_COLUMNS
     )
     logged = runlog.file_log(raw, tables, people)
@@ -161,7 +162,7 @@ def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_p
         sinks.read_table(spark, f"{store}/rosters", ROSTER_STORE), keys, comp.REPORT_KEY, salt_by=ROSTER_COLUMNS
     ).select("output_path", *ROSTER_COLUMNS)
     parts = stage(comp.compile_parts(comp.compile_rows(rosters, eligible), rows_per_part), "parts")
-    sinks.write_report_parts(parts, f"{store}/compiled")
+    sinks.write_report_parts(parts, f"{store}/compiled", rows_per_part)
     day = F.regexp_replace("email_received_date", "-", "")
     tracking = comp.part_summary(parts, runs).select(
         *comp.REPORT_KEY, "part_number",

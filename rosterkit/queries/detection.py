@@ -184,3 +184,15 @@ ORACLES = {
           CASE WHEN company_code = 'CO3' THEN replace(identified_headers, 'Insured Name', 'Assured') ELSE identified_headers END AS identified_headers
         FROM f CROSS JOIN m""",
 }
+
+ORACLES["detect_header_fuzzy"] = f"""WITH {sql.PERSONS} SELECT DISTINCT company_code, '/in/typo_' || CAST(file_no AS VARCHAR) || '.csv' AS file_path, 'S1' AS sheet,
+    0 AS col_start, CAST(0 AS BIGINT) AS header_row_idx, '0' AS name_cols, '' AS pair_cols, '1' AS sex_cols, '2' AS dob_cols, '3' AS policy_cols FROM persons"""
+
+_INT = "INTEGER"
+for _name, _types in {
+    "column_blocks": {"col_start": _INT, "col_end": _INT, "table_idx": _INT}, "pad_rows": {"width": _INT},
+    "densest_row": {"col_start": _INT}, "detect_header": {"col_start": _INT}, "detect_fallback": {"header_row_idx": "BIGINT"},
+    "infer_column_type": {"col_idx": _INT}, "categorise_column": {"col_idx": _INT}, "data_rows": {"col_start": _INT},
+    "numeric_name_cols": {"col_start": _INT, "col_idx": _INT},
+}.items():
+    ORACLES[_name] = sql.typed(ORACLES[_name], **_types)

@@ -91,3 +91,5 @@ ORACLES = {
         'CO' || CAST(o_custkey % 3 AS VARCHAR) AS "CMPY_NO", CASE WHEN o_custkey % 2 = 0 THEN 'P1' END AS "POLICY_NUMBER",
         '/in/orders.csv' AS "FILE_PATH", o_orderpriority AS "SHEET" FROM orders""",
 }
+
+ORACLES["drop_missing_name"] = sql.typed(ORACLES["drop_missing_name"], n_missing="BIGINT")

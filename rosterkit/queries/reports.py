@@ -118,7 +118,7 @@ def file_log(spark, sf_dir):
     """File logs of all rendered sheets, with output parts of 60 rows."""
     raw = stage(views.raw_sheets(spark, sf_dir), "raw")
     tables = extract.plan_tables(raw, headers.detect_headers(raw, views.aliases(spark)))
-    people = stage(extract.extract_people(raw, tables), "people")
+    people = stage(extract.distinct_people(extract.extract_people(raw, tables)), "people")
     return runlog.file_log(raw, tables, people, rows_per_part=60)
 
 
@@ -283,3 +283,4 @@ def _file_log_oracle() -> str:
 
 
 ORACLES["file_log"] = _file_log_oracle()
+ORACLES["run_outcome"] = sql.typed(ORACLES["run_outcome"], files_processed="BIGINT", files_failed="BIGINT")

@@ -181,3 +181,9 @@ def roster(*families: str) -> str:
     """The expected roster of the given layouts, straight from the persons."""
     selects = [s for f in (families or ROSTERS) for s in ROSTERS[f]]
     return f"WITH {PERSONS}\nSELECT DISTINCT * FROM (\n" + "\nUNION ALL\n".join(selects) + "\n)"
+
+
+def typed(text: str, **types: str) -> str:
+    """The query with some columns cast, so that both engines agree on types."""
+    casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())
+    return f"SELECT * REPLACE ({casts}) FROM ({text})"

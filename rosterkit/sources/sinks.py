@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rosterkit.operators.aliases import in_alias_order
-from rosterkit.operators.compile import PART_KEY
+from rosterkit.operators.compile import PART_KEY, REPORT_KEY
 from rosterkit.schema import OUTPUT_PART_ROWS, ROSTER_COLUMNS
 from rosterkit.sources.storage import literal_path, path_exists
 
@@ -28,22 +28,23 @@ def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
 def write_rosters(rosters: DataFrame, path: str, rows_per_file: int = OUTPUT_PART_ROWS) -> None:
     """Roster rows per company, date and run, in files of a limited size.
 
-    Rows are written where they are: no shuffle brings one large file's rows into one task.
+    The rebalance lets adaptive execution gather small runs into few files and split a run that holds most rows.
     """
-    rosters.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+    keys = ["company_code", "email_received_date", "run_id"]
+    rosters.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
         "maxRecordsPerFile", rows_per_file
-    ).partitionBy("company_code", "email_received_date", "run_id").parquet(path)
+    ).partitionBy(*keys).parquet(path)
 
 
-def write_report_parts(parts: DataFrame, path: str, file_format: str = "parquet") -> None:
+def write_report_parts(parts: DataFrame, path: str, rows_per_part: int, file_format: str = "parquet") -> None:
     """Compiled parts, one file each: a part is bounded, so gathering it in one task is safe.
 
-    Dynamic overwrite replaces the parts of the written keys only;
-    in :func:`overwrite_partitions` of the tracking table and :func:`drop_parts`.
+    The partition is the whole report of a company and date, so a rebuild that needs fewer parts leaves none behind.
+    A task may hold several parts of a report; all but the last are full, so the row limit cuts files between parts.
     """
     parts.repartition(*PART_KEY).sortWithinPartitions(*PART_KEY, *ROSTER_COLUMNS).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*PART_KEY).format(file_format).save(path)
+    ).option("maxRecordsPerFile", rows_per_part).partitionBy(*REPORT_KEY).format(file_format).save(path)
 
 
 def write_sorted(df: DataFrame, path: str, file_format: str = "csv") -> None:

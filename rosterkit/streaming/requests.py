@@ -58,23 +58,27 @@ def handle_batch(store: str, work: Callable[[SparkSession, DataFrame], None]) ->
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = req.validate_requests(batch.select(*_COLUMNS))
-        new = stage(new, "new-requests")
+        new = stage(req.validate_requests(batch.select(*_COLUMNS)), "new-requests")
         invalid = new.filter(F.size("problems") > 0).withColumn("batch_id", F.lit(batch_id).cast("long"))
         sinks.overwrite_partitions(invalid, f"{store}/quarantine", "batch_id")
         waiting = sinks.read_table(spark, f"{store}/pending", QUEUED).filter(F.col("batch_id") == batch_id - 1)
         queue = new.filter(F.size("problems") == 0).select(*_COLUMNS).unionByName(waiting.select(*_COLUMNS))
-        runs = sinks.read_table(spark, f"{store}/runs", RUNS).filter(F.col("status") == RUNNING)
-        decided = stage(req.admit(queue, runs), "decided")
-        deferred = decided.filter(~F.col("admitted")).select(*_COLUMNS).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        sinks.overwrite_partitions(deferred, f"{store}/pending", "batch_id")
-        admitted = with_run_id(decided.filter("admitted"))
-        if not admitted.isEmpty():
-            work(spark, admitted)
+        admit_and_work(spark, store, queue, batch_id, work)
 
     return run
 
 
+def admit_and_work(spark: SparkSession, store: str, queue: DataFrame, batch_id: int, work: Callable) -> None:
+    """Run the admitted requests of a queue; the others become the pending requests of ``batch_id``."""
+    runs = sinks.read_table(spark, f"{store}/runs", RUNS).filter(F.col("status") == RUNNING)
+    decided = stage(req.admit(queue, runs), "decided")
+    deferred = decided.filter(~F.col("admitted")).select(*_COLUMNS).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    sinks.overwrite_partitions(deferred, f"{store}/pending", "batch_id")
+    admitted = with_run_id(decided.filter("admitted"))
+    if not admitted.isEmpty():
+        work(spark, admitted)
+
+
 def start_request_stream(
     spark: SparkSession, folder: str, store: str, checkpoint: str, work: Callable[[SparkSession, DataFrame], None],
     **source: object,

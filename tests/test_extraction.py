@@ -82,7 +82,7 @@ def test_file_log_and_outcome(spark, alias):
         raw(spark, ["Premium", "Amount"], ["10", "1.5"], path="/in/b.csv")
     )
     tables = extract.plan_tables(sheet, detect_headers(sheet, alias))
-    people = extract.extract_people(sheet, tables)
+    people = extract.distinct_people(extract.extract_people(sheet, tables))
     log = {r.file_name: r for r in runlog.file_log(sheet, tables, people).collect()}
     good, bad = log["a.csv"], log["b.csv"]
     assert (good.row_count, good.output_row_count, good.remarks, good.full_name_header) == (5, 2, "missing_name_count=1", "Name")
