@@ -16,12 +16,14 @@ from rosterkit.sources import sinks
 REQUEST_GLOB = "configuration*.json"  # fixed value: names of request files
 MAX_REQUESTS = 100
 
-QUEUED = T.StructType(
+QUEUE = T.StructType(
     [T.StructField("request_id", T.StringType()), T.StructField("arrival", T.StringType())]
     + REQUEST.fields
-    + [T.StructField("batch_id", T.LongType())]
+    + [T.StructField("admitted", T.BooleanType()), T.StructField("batch_id", T.LongType())]
 )
-_COLUMNS = [f.name for f in QUEUED.fields if f.name != "batch_id"]
+_COLUMNS = ["request_id", "arrival", *REQUEST.fieldNames()]
+
+Work = Callable[[SparkSession, DataFrame], None]
 
 
 def read_requests(
@@ -49,41 +51,60 @@ def with_run_id(admitted: DataFrame) -> DataFrame:
     return admitted.withColumn("run_id", F.xxhash64("request_id", "arrival", *REPORT_KEY).bitwiseAND((1 << 62) - 1))
 
 
-def handle_batch(store: str, work: Callable[[SparkSession, DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """Batch function: quarantine, admit, work, and keep the deferred requests for the next batch.
+def waiting(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
+    """Requests that the given batch deferred."""
+    queue = sinks.read_table(spark, f"{store}/queue", QUEUE)
+    return queue.filter((F.col("batch_id") == batch_id) & ~F.col("admitted")).select(*_COLUMNS)
+
 
-    A committed micro-batch is never replayed, so deferred requests are written to ``pending`` under the batch that
-    deferred them; the next batch reads the latest one. All writes replace the batch's own partition, so a batch
-    that is run again after a failure ends in the same state.
+def admit_and_work(spark: SparkSession, store: str, queue: DataFrame, batch_id: int, work: Work) -> int:
+    """Run the admitted requests of a queue and record all decisions under the batch; returns how many ran.
+
+    The decisions are written after the work: a failure in between repeats the same runs into the same partitions.
+    """
+    busy = sinks.read_table(spark, f"{store}/runs", RUNS).filter(F.col("status") == RUNNING)
+    decided = stage(req.admit(queue, busy), "decided")
+    admitted = with_run_id(decided.filter("admitted"))
+    ran = admitted.count()
+    if ran:
+        work(spark, admitted)
+    record = decided.select(*_COLUMNS, "admitted", F.lit(batch_id).cast("long").alias("batch_id"))
+    sinks.overwrite_partitions(record, f"{store}/queue", "batch_id")
+    return ran
+
+
+def handle_batch(store: str, work: Work) -> Callable[[DataFrame, int], None]:
+    """Batch function: quarantine invalid requests, admit, work, and keep the deferred ones for the next batch.
+
+    A committed micro-batch is never replayed, so its deferred requests stay in the queue under its number, where
+    the next batch finds them. All writes replace the batch's own partitions, so a batch that is run again after a
+    failure ends in the same state.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = stage(req.validate_requests(batch.select(*_COLUMNS)), "new-requests")
         invalid = new.filter(F.size("problems") > 0).withColumn("batch_id", F.lit(batch_id).cast("long"))
         sinks.overwrite_partitions(invalid, f"{store}/quarantine", "batch_id")
-        waiting = sinks.read_table(spark, f"{store}/pending", QUEUED).filter(F.col("batch_id") == batch_id - 1)
-        queue = new.filter(F.size("problems") == 0).select(*_COLUMNS).unionByName(waiting.select(*_COLUMNS))
-        admit_and_work(spark, store, queue, batch_id, work)
+        valid = new.filter(F.size("problems") == 0).select(*_COLUMNS)
+        admit_and_work(spark, store, valid.unionByName(waiting(spark, store, batch_id - 1)), batch_id, work)
 
     return run
 
 
-def admit_and_work(spark: SparkSession, store: str, queue: DataFrame, batch_id: int, work: Callable) -> None:
-    """Run the admitted requests of a queue; the others become the pending requests of ``batch_id``."""
-    runs = sinks.read_table(spark, f"{store}/runs", RUNS).filter(F.col("status") == RUNNING)
-    decided = stage(req.admit(queue, runs), "decided")
-    deferred = decided.filter(~F.col("admitted")).select(*_COLUMNS).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    sinks.overwrite_partitions(deferred, f"{store}/pending", "batch_id")
-    admitted = with_run_id(decided.filter("admitted"))
-    if not admitted.isEmpty():
-        work(spark, admitted)
+def retry_deferred(spark: SparkSession, store: str, work: Work) -> None:
+    """Work off the deferred requests while no new ones come; call it after the stream has stopped.
+
+    Every round admits one request per company and date. What a run of another job blocks stays in the queue.
+    """
+    last = sinks.read_table(spark, f"{store}/queue", QUEUE).agg(F.max("batch_id")).first()[0]
+    ran = last is not None
+    while ran:
+        left = stage(waiting(spark, store, last), "waiting")
+        ran = not left.isEmpty() and admit_and_work(spark, store, left, last, work) > 0
 
 
-def start_request_stream(
-    spark: SparkSession, folder: str, store: str, checkpoint: str, work: Callable[[SparkSession, DataFrame], None],
-    **source: object,
-) -> StreamingQuery:
-    """Process all request files that are there, then stop; deferred requests wait for the next start."""
+def start_request_stream(spark: SparkSession, folder: str, store: str, checkpoint: str, work: Work, **source: object) -> StreamingQuery:
+    """Process all request files that are there, then stop; deferred requests wait for the next batch."""
     return (
         read_requests(spark, folder, **source)
         .writeStream.foreachBatch(handle_batch(store, work))
