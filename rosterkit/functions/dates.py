@@ -23,7 +23,9 @@ _TIME_OF_DAY = (
 _PIECE = rf"(?:\d{{1,4}}(?:st|nd|rd|th)?|(?:{_MONTH_NAMES}))"
 _GAP = r"(?:[-/.,\s]|of(?=\s))*"
 _THREE_PIECES = rf"^(?:(?:{_WEEKDAY_NAMES})[.,\s]+)?{_PIECE}{_GAP}{_PIECE}{_GAP}{_PIECE}$"
+_EIGHT_DIGITS = r"^\d{8}$"
 _TEN_CHARACTERS = r"^(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})$"
+_DAY_MONTH_YEAR = rf"(?i)^(?:0[1-9]|[12]\d|3[01])[- ](?:{'|'.join(_MONTH_STARTS[i:i + 3] for i in range(0, 36, 3))})[- ](?:\d{{4}}|\d{{2}})$"
 _TOKEN = rf"\d+|{_MONTH_NAMES}"
 
 
@@ -84,18 +86,27 @@ def _ten_characters(s: Column) -> Column:
     )
 
 
+def _month(word: Column) -> Column:
+    """Two-digit month of a month name."""
+    start = F.call_function("instr", F.lit(_MONTH_STARTS), F.left(word, F.lit(3)))
+    return _two(F.floor((start + 2) / 3).cast("string"))
+
+
+def _day_month_year(s: Column) -> Column:
+    """Two-digit day, short month name, year, read by position."""
+    return _day(_year(F.substring(s, 8, 4)), _month(F.lower(F.substring(s, 4, 3))), F.substring(s, 1, 2))
+
+
 def _with_month_name(t: Column) -> Column:
     """Three tokens, one of them a month name: the other two are day and year."""
     a, b, c = F.get(t, 0), F.get(t, 1), F.get(t, 2)
     word = lambda x: x >= "a"
     month_word = F.when(word(a), a).when(word(b), b).otherwise(c)
-    start = F.call_function("instr", F.lit(_MONTH_STARTS), F.left(month_word, F.lit(3)))
-    month = _two(F.floor((start + 2) / 3).cast("string"))
     first, second = F.when(word(a), b).otherwise(a), F.when(word(c), b).otherwise(c)
     year_first = _is_year(first) | (word(c) & ~_is_year(second))
     return _day(
         _year(F.when(year_first, first).otherwise(second)),
-        month,
+        _month(month_word),
         _two(F.when(year_first, second).otherwise(first)),
     )
 
@@ -133,14 +144,18 @@ def parse_date(c: Column) -> Column:
             ),
         )
 
-    def from_text(s: Column) -> Column:
-        return (
-            F.when(s.rlike(_TEN_CHARACTERS), _ten_characters(s))
-            .when(s.rlike(r"^\d{8}$"), _eight_digits(s))
-            .when(s.rlike(_THREE_PIECES), from_tokens(s))
-        )
-
-    return F.coalesce(F.when(c.rlike(r"\d"), _let(text, from_text)), F.lit(""))
+    general = _let(text, lambda s: (
+        F.when(s.rlike(_TEN_CHARACTERS), _ten_characters(s))
+        .when(s.rlike(_EIGHT_DIGITS), _eight_digits(s))
+        .when(s.rlike(_THREE_PIECES), from_tokens(s))
+    ))
+    return F.coalesce(
+        F.when(c.rlike(_TEN_CHARACTERS), _ten_characters(c))
+        .when(c.rlike(_EIGHT_DIGITS), _eight_digits(c))
+        .when(c.rlike(_DAY_MONTH_YEAR), _day_month_year(c))
+        .when(c.rlike(r"\d"), general),
+        F.lit(""),
+    )
 
 
 def compact_date(iso: Column) -> Column:

@@ -117,7 +117,11 @@ def plan_tables(raw: DataFrame, matches: DataFrame) -> DataFrame:
     aggregation that combines map-side, so a table of any size is fine. The result is staged: it is one row per
     table and every later step joins it.
     """
-    tables = stage(table_labels(without_numeric_columns(raw, matches)), "tables")
+    several = (F.size("name") >= 2) | (F.size("firstlastname") > 2)
+    labelled = table_labels(without_numeric_columns(raw, matches))
+    if matches.filter(several).isEmpty():
+        return stage(labelled.withColumn("path", F.lit("standard")), "planned")
+    tables = stage(labelled, "tables")
     candidates = tables.filter((F.size("name_columns") >= 2) | (F.size("pair_columns") > 2)).select(
         *TABLE_KEY, "header_row_idx", "name_columns", "pair_columns"
     )

@@ -1,78 +1,91 @@
-from sheets import HEADER, ROW_1, ROW_2, detect, raw, roster
+import pytest
+from sheets import HEADER, ROW_1, ROW_2, Sheets, raw
 
 from rosterkit.operators import extract, runlog
 from rosterkit.schema import ROSTER_COLUMNS
 
-
-def test_standard_rows(spark, alias):
-    a, b = roster(spark, alias, HEADER, ROW_1, ROW_2)
-    assert tuple(a) == ("", "", "ADA MARA", "F", "01/15/1990", "CO1", "P000001", "/in/a.csv", "S1")
+TWO_NAMES = [["Name", "Name", "Policy No"], ["Ada Mara", "Ben Okto", "P1"], ["Cy Solo", "", "P2"]]
+CASES = {
+    "standard": [HEADER, ROW_1, ROW_2],
+    "names": TWO_NAMES,
+    "single names": [["Name", "Name", "Policy No"], ["Ada Mara", "", "P1"], ["", "Ben Okto", "P2"]],
+    "pairs": [
+        ["LastName", "FirstName", "LastName", "FirstName", "Policy No"],
+        ["Mara", "Ada", "Okto", "Ben", "P1"], ["Lee", "Kay", "", None, "P2"],
+    ],
+    "odd pair": [["LastName", "FirstName", "Last Name", "Policy No"], ["Mara", "Ada", "Okto", "P1"]],
+    "null part": [["LastName", "FirstName", "Policy No"], ["Mara", None, "P1"], ["Okto", " ", "P2"]],
+    "digits": [["Name", "LastName", "FirstName", "Policy No"], ["P123456", "Mara", "Ada", "P1"], ["Ben Okto", "Mara", "Ada", "P2"]],
+    "digits only": [["Name", "Policy No"], ["Ada 7", "P1"]],
+    "numbers": [["Name", "PolicyNo"], *[[f"12345678{i}", f"P{i}"] for i in range(5)]],
+    "marker": [HEADER, ["O'Neal-Mara DECEASED", "F", "", "P1"], ROW_1, ROW_1, ["", "M", "", "P3"]],
+    "two tables": [["Name", "Policy No", None, "Full Name", "Sex"], ["Ada Mara", "P1", None, "Ben Okto", "m"]],
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark, alias):
+    return Sheets(spark, alias, {name: {"rows": rows} for name, rows in CASES.items()})
+
+
+def names(found, case):
+    return [r.COMPLETE_NAME for r in found.roster(case)]
+
+
+def test_standard_rows(found):
+    a, b = found.roster("standard")
+    assert tuple(a) == ("", "", "ADA MARA", "F", "01/15/1990", "CO1", "P000001", "standard", "S1")
     assert (b.SEX, b.DATE_OF_BIRTH) == ("M", "02/15/1985")
 
 
-def test_several_full_names(spark, alias):
-    rows = roster(spark, alias, ["Name", "Name", "Policy No"], ["Ada Mara", "Ben Okto", "P1"], ["Cy Solo", "", "P2"])
-    assert [(r.COMPLETE_NAME, r.SEX, r.DATE_OF_BIRTH, r.SURNAME) for r in rows] == [
+def test_several_full_names(found):
+    assert [(r.COMPLETE_NAME, r.SEX, r.DATE_OF_BIRTH, r.SURNAME) for r in found.roster("names")] == [
         ("ADA MARA", "U", "", None), ("BEN OKTO", "U", "", None),
     ]
 
 
-def test_single_names_can_be_kept(spark, alias):
-    sheet = raw(spark, ["Name", "Name", "Policy No"], ["Ada Mara", "Ben Okto", "P1"], ["Cy Solo", "", "P2"])
-    from rosterkit.operators.headers import detect_headers
-
-    kept = extract.extract_roster(sheet, detect_headers(sheet, alias), keep_single_names=True)
-    assert kept.count() == 3
-
+def test_no_row_with_two_names_reads_the_first_column(found):
+    assert names(found, "single names") == ["ADA MARA"]
 
-def test_no_row_with_two_names_reads_the_first_column(spark, alias):
-    rows = roster(spark, alias, ["Name", "Name", "Policy No"], ["Ada Mara", "", "P1"], ["", "Ben Okto", "P2"])
-    assert [r.COMPLETE_NAME for r in rows] == ["ADA MARA"]
 
-
-def test_pairs(spark, alias):
-    header = ["LastName", "FirstName", "LastName", "FirstName", "Policy No"]
-    rows = roster(spark, alias, header, ["Mara", "Ada", "Okto", "Ben", "P1"], ["Lee", "Kay", "", None, "P2"])
-    assert [(r.COMPLETE_NAME, r.SURNAME, r.SEX) for r in rows] == [
+def test_pairs(found):
+    assert [(r.COMPLETE_NAME, r.SURNAME, r.SEX) for r in found.roster("pairs")] == [
         ("LEE KAY", "LEE", "U"), ("MARA ADA", "MARA", "U"), ("OKTO BEN", "OKTO", "U"),
     ]
+    assert names(found, "odd pair") == ["MARA ADA"]
 
 
-def test_null_part_drops_the_row_and_blank_part_does_not(spark, alias):
-    rows = roster(spark, alias, ["LastName", "FirstName", "Policy No"], ["Mara", None, "P1"], ["Okto", " ", "P2"])
-    assert [r.COMPLETE_NAME for r in rows] == ["OKTO"]
+def test_null_part_drops_the_row_and_blank_part_does_not(found):
+    assert names(found, "null part") == ["OKTO"]
 
 
-def test_digit_in_the_name_falls_back_to_the_parts(spark, alias):
-    header = ["Name", "LastName", "FirstName", "Policy No"]
-    rows = roster(spark, alias, header, ["P123456", "Mara", "Ada", "P1"], ["Ben Okto", "Mara", "Ada", "P2"])
-    assert [r.COMPLETE_NAME for r in rows] == ["BEN OKTO", "MARA ADA"]
-    assert roster(spark, alias, ["Name", "Policy No"], ["Ada 7", "P1"]) == []
+def test_digit_in_the_name_falls_back_to_the_parts(found):
+    assert names(found, "digits") == ["BEN OKTO", "MARA ADA"]
+    assert names(found, "digits only") == []
 
 
-def test_numeric_name_column_is_no_name(spark, alias):
-    assert roster(spark, alias, ["Name", "PolicyNo"], *[[f"12345678{i}", f"P{i}"] for i in range(5)]) == []
+def test_numeric_name_column_is_no_name(found):
+    assert names(found, "numbers") == []
 
 
-def test_marker_duplicates_and_missing_names(spark, alias):
-    rows = roster(spark, alias, HEADER, ["O'Neal-Mara DECEASED", "F", "", "P1"], ROW_1, ROW_1, ["", "M", "", "P3"])
-    assert [r.COMPLETE_NAME for r in rows] == ["ADA MARA", "O NEAL MARA"]
+def test_marker_duplicates_and_missing_names(found):
+    assert names(found, "marker") == ["ADA MARA", "O NEAL MARA"]
 
 
-def test_two_tables_on_a_sheet(spark, alias):
-    rows = roster(spark, alias, ["Name", "Policy No", None, "Full Name", "Sex"], ["Ada Mara", "P1", None, "Ben Okto", "m"])
-    assert [(r.SHEET, r.COMPLETE_NAME, r.POLICY_NUMBER, r.SEX) for r in rows] == [
+def test_two_tables_on_a_sheet(found):
+    assert [(r.SHEET, r.COMPLETE_NAME, r.POLICY_NUMBER, r.SEX) for r in found.roster("two tables")] == [
         ("S1_table1", "ADA MARA", "P1", ""), ("S1_table2", "BEN OKTO", None, "M"),
     ]
 
 
-def test_nothing_found_keeps_the_schema(spark, alias):
-    sheet = raw(spark, ["Premium", "Amount"], ["10", "1.5"], ["20", "2.5"])
-    from rosterkit.operators.headers import detect_headers
+def test_single_names_can_be_kept(found):
+    kept = extract.extract_roster(found.raw, found.matches, keep_single_names=True)
+    assert kept.filter("FILE_PATH = 'names'").count() == 3
+
 
-    out = extract.extract_roster(sheet, detect_headers(sheet, alias))
+def test_nothing_found_keeps_the_schema(found):
+    out = extract.extract_roster(found.raw, found.matches.filter("false"))
     assert out.columns == ROSTER_COLUMNS and out.isEmpty()
-    assert detect(spark, alias, ["Premium", "Amount"], ["10", "1.5"]) == []
 
 
 def test_file_log_and_outcome(spark, alias):
