@@ -29,11 +29,11 @@ _DAY_MONTH_YEAR = rf"(?i)^(?:0[1-9]|[12]\d|3[01])[- ](?:{'|'.join(_MONTH_STARTS[
 _TOKEN = rf"\d+|{_MONTH_NAMES}"
 
 
-# A real calendar day written MM/dd/yyyy, leap years included.
+# A real calendar day written MM/dd/yyyy, leap years included, as one word of a text.
 _REAL_DAY = (
-    r"^(?!.*/0000$)(?:(?:(?:0[13578]|1[02])/(?:0[1-9]|[12]\d|3[01])|(?:0[469]|11)/(?:0[1-9]|[12]\d|30)|"
+    r"(?<!\S)(?!\S*/0000(?!\S))(?:(?:(?:0[13578]|1[02])/(?:0[1-9]|[12]\d|3[01])|(?:0[469]|11)/(?:0[1-9]|[12]\d|30)|"
     r"02/(?:0[1-9]|1\d|2[0-8]))/\d{4}|"
-    r"02/29/(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00))$"
+    r"02/29/(?:\d\d(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00))(?!\S)"
 )
 
 
@@ -43,9 +43,13 @@ def _let(value: Column, body) -> Column:
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    """``MM/dd/yyyy`` of a real calendar day, else null. The parts are texts of the right length."""
-    text = F.concat(month, F.lit("/"), day, F.lit("/"), year)
-    return F.nullif(F.regexp_extract(text, _REAL_DAY, 0), F.lit(""))
+    """``MM/dd/yyyy`` of parts that should have the right length."""
+    return F.concat(month, F.lit("/"), day, F.lit("/"), year)
+
+
+def _first_real(*days: Column) -> Column:
+    """The first of some ``MM/dd/yyyy`` texts that is a real calendar day, else ''."""
+    return F.regexp_extract(F.concat_ws(" ", *days), _REAL_DAY, 0)
 
 
 def _two(token: Column) -> Column:
@@ -67,7 +71,7 @@ def _is_year(token: Column) -> Column:
 def _eight_digits(s: Column) -> Column:
     """yyyyMMdd, else ddMMyyyy, else MMddyyyy."""
     part = lambda start, n: F.substring(s, start, n)
-    return F.coalesce(
+    return _first_real(
         _day(part(1, 4), part(5, 2), part(7, 2)),
         _day(part(5, 4), part(3, 2), part(1, 2)),
         _day(part(5, 4), part(1, 2), part(3, 2)),
@@ -79,11 +83,11 @@ def _ten_characters(s: Column) -> Column:
     part = lambda start, n: F.substring(s, start, n)
     year_first = F.substring(s, 5, 1).isin("-", "/", ".")
     day_first = part(1, 2) > "12"
-    return _day(
+    return _first_real(_day(
         F.when(year_first, part(1, 4)).otherwise(part(7, 4)),
         F.when(year_first, part(6, 2)).when(day_first, part(4, 2)).otherwise(part(1, 2)),
         F.when(year_first, part(9, 2)).when(day_first, part(1, 2)).otherwise(part(4, 2)),
-    )
+    ))
 
 
 def _month(word: Column) -> Column:
@@ -94,7 +98,7 @@ def _month(word: Column) -> Column:
 
 def _day_month_year(s: Column) -> Column:
     """Two-digit day, short month name, year, read by position."""
-    return _day(_year(F.substring(s, 8, 4)), _month(F.lower(F.substring(s, 4, 3))), F.substring(s, 1, 2))
+    return _first_real(_day(_year(F.substring(s, 8, 4)), _month(F.lower(F.substring(s, 4, 3))), F.substring(s, 1, 2)))
 
 
 def _with_month_name(t: Column) -> Column:
@@ -104,11 +108,11 @@ def _with_month_name(t: Column) -> Column:
     month_word = F.when(word(a), a).when(word(b), b).otherwise(c)
     first, second = F.when(word(a), b).otherwise(a), F.when(word(c), b).otherwise(c)
     year_first = _is_year(first) | (word(c) & ~_is_year(second))
-    return _day(
+    return _first_real(_day(
         _year(F.when(year_first, first).otherwise(second)),
         _month(month_word),
         _two(F.when(year_first, second).otherwise(first)),
-    )
+    ))
 
 
 def _all_numbers(t: Column, text: Column) -> Column:
@@ -121,7 +125,8 @@ def _all_numbers(t: Column, text: Column) -> Column:
         _two(F.when(year_first, c).when(day_first, a).otherwise(b)),
     )
     # A two-digit triple that is no day-month-year may still be year-month-day.
-    return F.coalesce(main, F.when(text.rlike(r"^\d\d([-/])\d{1,2}\1\d{1,2}$"), _day(_year(a), _two(b), _two(c))))
+    other = F.when(text.rlike(r"^\d\d([-/])\d{1,2}\1\d{1,2}$"), _day(_year(a), _two(b), _two(c)))
+    return _first_real(main, other)
 
 
 def parse_date(c: Column) -> Column:

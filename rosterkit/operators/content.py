@@ -28,20 +28,27 @@ def _share(test: Column) -> Column:
     return F.avg(F.when(test, 1.0).otherwise(0.0))
 
 
-def column_shares(cells: DataFrame, keys: list[str] = COLUMN_KEY) -> DataFrame:
-    """Shares of values of each shape, per column of a bounded sample of non-empty cells."""
+def column_shares(cells: DataFrame, keys: list[str] = COLUMN_KEY, general: bool = False) -> DataFrame:
+    """Shares of values of each shape, per column of a bounded sample of non-empty cells.
+
+    ``general`` adds the shapes that only the header report needs.
+    """
     value = F.col("value")
-    return cells.withColumn("value", strip(value)).groupBy(*keys).agg(
+    shares = [
         F.count("*").alias("n_values"),
         _share(F.lower(value).isin(SEX_WORDS)).alias("sex_share"),
         _share(parse_date(value) != "").alias("date_share"),
         _share(value.rlike(POLICY_SHAPE)).alias("policy_share"),
         _share(value.rlike(NAME_SHAPE)).alias("name_share"),
         (F.size(F.collect_set(value)) / F.count("*")).alias("distinct_share"),
-        _share(value.rlike(NUMBER_SHAPE)).alias("number_share"),
-        _share(value.rlike(IDENTIFIER_SHAPE)).alias("identifier_share"),
-        _share(value.rlike(TEXT_SHAPE)).alias("text_share"),
-    )
+    ]
+    if general:
+        shares += [
+            _share(value.rlike(NUMBER_SHAPE)).alias("number_share"),
+            _share(value.rlike(IDENTIFIER_SHAPE)).alias("identifier_share"),
+            _share(value.rlike(TEXT_SHAPE)).alias("text_share"),
+        ]
+    return cells.withColumn("value", strip(value)).groupBy(*keys).agg(*shares)
 
 
 def column_type() -> Column:
@@ -82,7 +89,7 @@ def infer_column_types(cells: DataFrame) -> DataFrame:
 
 def categorise_columns(cells: DataFrame, keys: list[str] = COLUMN_KEY) -> DataFrame:
     """``category`` per sheet column."""
-    return column_shares(cells, keys).withColumn("category", column_category())
+    return column_shares(cells, keys, general=True).withColumn("category", column_category())
 
 
 def columns_by_content(cells: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ def get_session(app: str = "rosterkit", master: str | None = None, **conf: str)
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call-site capture costs more than everything else when large expressions are built.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
