@@ -21,7 +21,8 @@ def write_files(files: DataFrame, folder: str) -> str:
             sizes = [write_stream(f"{folder}/{name}", [content]) for name, content in zip(batch["name"], batch["content"])]
             yield pd.DataFrame({"size": sizes})
 
-    files.select("name", "content").repartition(8, "name").mapInPandas(write, "size bigint").agg(F.sum("size")).collect()
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files.select("name", "content").repartition(tasks, "name").mapInPandas(write, "size bigint").agg(F.sum("size")).collect()
     return folder
 
 

@@ -14,21 +14,26 @@ from rosterkit.streaming import deliveries, requests
 _FAMILIES = ["std", "multi", "nomatch"]
 
 
+BLOCK_FILES = 35  # numbered files per date: five of each company, in every layout
+
+
 def _request_files(spark, sf_dir, inbox):
-    """One request per company and per date of two; each names all its files and one that is missing."""
+    """One request per company and date; each names the date's files and one that is missing. A second is invalid."""
     people = views.persons(spark, sf_dir).select("company_code", "file_no").distinct()
-    names = people.select("company_code", F.explode(F.array(*[
+    names = people.select("company_code", F.floor(F.col("file_no") / BLOCK_FILES).cast("int").alias("block"), F.explode(F.array(*[
         F.format_string(f"{family}_%d.csv", "file_no") for family in _FAMILIES
     ])).alias("file"))
-    by_company = names.groupBy("company_code").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    requests_ = by_company.select("*", F.explode(F.array(*map(F.lit, ["2024-01-31", "2024-02-29", "31.01.2024"]))).alias("day"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("block")).cast("string")
+    asked = names.groupBy("company_code", "block").agg(F.sort_array(F.collect_list("file")).alias("files")).select(
+        "*", F.explode(F.array(day, F.concat(F.lit("day "), day))).alias("day")
+    )
     body = F.to_json(F.struct(
         "company_code", F.col("day").alias("email_received_date"),
         F.concat(F.col("files"), F.array(F.lit("missing.csv"))).alias("files"),
         F.lit("tester").alias("user"), F.lit(inbox).alias("input_folder"),
     ))
-    return requests_.select(
-        F.concat(F.lit("configuration_"), "company_code", F.lit("_"), F.replace("day", F.lit("-"), F.lit("")), F.lit(".json")).alias("name"),
+    return asked.select(
+        F.concat(F.lit("configuration_"), "company_code", F.lit("_"), F.regexp_replace("day", "[^0-9a-z]", ""), F.lit(".json")).alias("name"),
         F.encode(body, "UTF-8").alias("content"),
     )
 
@@ -78,17 +83,21 @@ def stream_deliveries(spark, sf_dir):
 
 QUERIES = {q.__name__: q for q in (stream_requests, stream_compiled, stream_deliveries)}
 
-_DAYS = "(VALUES ('2024-01-31'), ('2024-02-29')) t(email_received_date)"
-_STD = """SELECT '' AS "SURNAME", '' AS "FIRST_NAME", upper(p_name) AS "COMPLETE_NAME", sex_code AS "SEX", dob AS "DATE_OF_BIRTH", company_code AS "CMPY_NO",
-  policy AS "POLICY_NUMBER", '' AS "SHEET", 'std_' || CAST(file_no AS VARCHAR) || '.csv' AS file FROM persons WHERE k % 11 <> 0"""
-_MULTI = """SELECT CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), upper({}), 'U', '', company_code, policy, '', 'multi_' || CAST(file_no AS VARCHAR) || '.csv'
-  FROM persons WHERE k % 3 <> 0"""
+_DAY = f"strftime(DATE '2024-01-01' + CAST(file_no // {BLOCK_FILES} AS INTEGER), '%Y-%m-%d')"
+_STD = f"""SELECT '' AS "SURNAME", '' AS "FIRST_NAME", upper(p_name) AS "COMPLETE_NAME", sex_code AS "SEX", dob AS "DATE_OF_BIRTH", company_code AS "CMPY_NO",
+  policy AS "POLICY_NUMBER", '' AS "SHEET", 'std_' || CAST(file_no AS VARCHAR) || '.csv' AS file, {_DAY} AS email_received_date FROM persons WHERE k % 11 <> 0"""
+
+
+def _multi(name: str) -> str:
+    return f"""SELECT CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), upper({name}), 'U', '', company_code, policy, '',
+  'multi_' || CAST(file_no AS VARCHAR) || '.csv', {_DAY} FROM persons WHERE k % 3 <> 0"""
+
+
 ORACLES = {
-    "stream_requests": f"""WITH {sql.PERSONS}, f AS (SELECT company_code, count(DISTINCT file_no) AS n FROM persons GROUP BY 1)
-        SELECT company_code, email_received_date, 'failed' AS status, 3 * n + 1 AS total_files, 2 * n AS files_processed, n + 1 AS files_failed FROM f CROSS JOIN {_DAYS}
-        UNION ALL SELECT company_code, '31.01.2024', 'invalid', NULL, NULL, NULL FROM f""",
-    "stream_compiled": f"""WITH {sql.PERSONS}, r AS (SELECT DISTINCT * FROM ({_STD} UNION ALL {_MULTI.format("p_name")} UNION ALL {_MULTI.format("w2 || ' ' || w1")})),
-        d AS (SELECT * FROM r CROSS JOIN {_DAYS}),
+    "stream_requests": f"""WITH {sql.PERSONS}, f AS (SELECT company_code, {_DAY} AS email_received_date, count(DISTINCT file_no) AS n FROM persons GROUP BY ALL)
+        SELECT company_code, email_received_date, 'failed' AS status, 3 * n + 1 AS total_files, 2 * n AS files_processed, n + 1 AS files_failed FROM f
+        UNION ALL SELECT company_code, 'day ' || email_received_date, 'invalid', NULL, NULL, NULL FROM f""",
+    "stream_compiled": f"""WITH {sql.PERSONS}, d AS (SELECT DISTINCT * FROM ({_STD} UNION ALL {_multi("p_name")} UNION ALL {_multi("w2 || ' ' || w1")})),
         n AS (SELECT *, row_number() OVER (PARTITION BY "CMPY_NO", email_received_date ORDER BY "SURNAME" NULLS FIRST, "FIRST_NAME" NULLS FIRST, "COMPLETE_NAME", "SEX",
           "DATE_OF_BIRTH", "CMPY_NO", "POLICY_NUMBER", file, "SHEET") AS i FROM d)
         SELECT * EXCLUDE (i), (i - 1) // 100 + 1 AS part_number FROM n""",
