@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterkit.llm import substring_dedup
+from rosterkit.llm import lm_scoring, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of 4-word-shingle fingerprints within 4 bits."""
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 35-word windows removed."""
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text by unigrams and by the backoff automaton."""
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLES = {
