@@ -82,14 +82,20 @@ def _rows(chunk: int, told: list[bytes], asked: list[bytes], batch: bool = True)
     return kind.from_arrays(made, names=["bucket", "chunk", "told", "asked"])
 
 
+def _marked(asked: list[np.ndarray], values: np.ndarray) -> list[bytes]:
+    """For each array the bits of its entries that are among the sorted ``values``."""
+    every = np.concatenate(asked)
+    found = np.zeros(len(every), dtype=bool)
+    if len(values):
+        found = values[np.minimum(np.searchsorted(values, every), len(values) - 1)] == every
+    return [np.packbits(x).tobytes() for x in np.split(found, np.cumsum([len(x) for x in asked])[:-1])]
+
+
 def _repeated_blocks(table):
     """Answer one bucket: which blocks were probed at two places or more (their own place is one)."""
     told = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("told").to_pylist()]))
     twice = np.unique(told[1:][told[1:] == told[:-1]])
-    answers = []
-    for x in table.column("asked").to_pylist():
-        answers.append(np.packbits(np.isin(np.frombuffer(x, np.uint32), twice)).tobytes())
-    return _answer(table, answers)
+    return _answer(table, _marked([np.frombuffer(x, np.uint32) for x in table.column("asked").to_pylist()], twice))
 
 
 def _repeated_windows(table):
@@ -98,8 +104,7 @@ def _repeated_windows(table):
     own = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)).astype(bool)
            for x, t in zip(table.column("asked").to_pylist(), told)]
     every = np.sort(np.concatenate(told + [t[o] for t, o in zip(told, own)]))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    return _answer(table, [np.packbits(np.isin(t, twice)).tobytes() for t in told])
+    return _answer(table, _marked(told, np.unique(every[1:][every[1:] == every[:-1]])))
 
 
 def _answer(table: pa.Table, payloads: list[bytes]) -> pa.Table:
