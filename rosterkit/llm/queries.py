@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterkit.llm import lm_scoring, simhash, substring_dedup
+from rosterkit.llm import decontamination, lm_scoring, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,20 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a 10-word window of a benchmark item."""
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                       table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.hit_words("spans")
+    return found.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
@@ -57,4 +67,32 @@ ORACLES = {
                sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op10_decontamination": r"""
+        WITH lowered AS (
+            SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+        ), words AS (
+            SELECT kind, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM lowered
+        ), phrases AS (
+            SELECT DISTINCT id, n, hash(list_slice(w, p, p + n - 1)) AS h
+            FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p
+                  FROM (SELECT id, w, least(len(w), 10) AS n FROM words WHERE kind = 1 AND len(w) > 0))
+        ), windows AS (
+            SELECT id, n, p, hash(list_slice(w, p, p + n - 1)) AS h
+            FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p
+                  FROM words CROSS JOIN (SELECT DISTINCT n FROM phrases) WHERE kind = 0)
+        ), found AS (
+            SELECT windows.id AS doc_id, p, n, phrases.id AS item_id FROM windows JOIN phrases USING (n, h)
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT q) AS n_hit
+            FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS q FROM found) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                   string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM found GROUP BY doc_id
+        )
+        SELECT words.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hits ON words.id = hits.doc_id LEFT JOIN items ON words.id = items.doc_id WHERE kind = 0
+    """,
 }

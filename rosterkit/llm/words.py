@@ -18,6 +18,8 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+NOT_ALPHANUMERIC = np.ones(256, dtype=bool)
+NOT_ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -88,12 +90,12 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _MIX)
 
 
-def split(data: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of all words of a byte buffer."""
+def split(data: np.ndarray, separators: np.ndarray = SPACES, runs=spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words of a byte buffer; ``runs`` finds the words of a block."""
     parts = []
     for start, end in _blocks(data, separators):
         block = data[start:end]
-        s, e = spans(block, separators)
+        s, e = runs(block, separators)
         parts.append((s + start, e + start, hash_ranges(block, s, e)))
     if not parts:
         none = np.zeros(0, dtype=np.int64)
@@ -121,7 +123,8 @@ class Slab:
     ``lower`` maps A-Z to a-z first.  ``first[i]:first[i + 1]`` are the words of text i; a null text has none.
     """
 
-    def __init__(self, texts: list[str | None] | list[bytes | None], separators: np.ndarray = SPACES, lower: bool = False):
+    def __init__(self, texts: list[str | None] | list[bytes | None], separators: np.ndarray = SPACES, lower: bool = False,
+                 runs=spans):
         raw = [x.encode("utf-8", "surrogatepass") if isinstance(x, str) else (x or b"") for x in texts]
         self.buffer = b"\n".join(raw)
         self.data = np.frombuffer(self.buffer, dtype=np.uint8)
@@ -129,7 +132,7 @@ class Slab:
             self.data = LOWER[self.data]
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])
-        self.starts, self.ends, self.hashes = split(self.data, separators)
+        self.starts, self.ends, self.hashes = split(self.data, separators, runs)
         self.first = np.searchsorted(self.starts, self.begin)
 
     def counts(self) -> np.ndarray:
