@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterkit.llm import decontamination, lm_scoring, simhash, substring_dedup
+from rosterkit.llm import decontamination, lm_scoring, packing, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text, learnt from the labelled rows of four folds of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    score = F.col("toxic_score")
+    return toxicity.score_toxicity(docs, model).select(
+        "row.doc_id", (toxicity.fold_of(F.col("row.doc_id")) == 0).alias("held_out"), score.alias("score"),
+        F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of 4-word-shingle fingerprints within 4 bits."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -24,6 +34,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of at most 2048 tokens."""
+    rows = packing.pack_documents(table(spark, sf_dir, "documents"), packing.default_tokenizer())
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequence_length")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every text by unigrams and by the backoff automaton."""
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
@@ -39,8 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_packing": op6_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
