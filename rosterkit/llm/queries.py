@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterkit.llm import decontamination, lm_scoring, packing, simhash, substring_dedup, toxicity
+from rosterkit.llm import decontamination, line_dedup, lm_scoring, packing, secrets, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text by patterns and by Markov models."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base, added = F.col("base"), F.col("added")
+    numbers = [F.size(F.filter(base, lambda s: s["kind"] == secrets.KINDS.index("assign"))).cast("long").alias("n_assign"),
+               F.size(F.filter(base, lambda s: s["kind"] == secrets.KINDS.index("access"))).cast("long").alias("n_access"),
+               F.size(F.filter(base, lambda s: s["kind"] == secrets.KINDS.index("hex"))).cast("long").alias("n_hex")]
+    return found.select("doc_id", *numbers, F.sha2(secrets.written(base), 256).alias("base_sha256"),
+                        secrets.written(F.array_sort(F.concat(base, added))).alias("spans"),
+                        F.size(added).cast("long").alias("n_markov"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of 4-word-shingle fingerprints within 4 bits."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -40,6 +52,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "sequence_length")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates dropped from every document."""
+    rows = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every text by unigrams and by the backoff automaton."""
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
@@ -56,9 +74,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
@@ -85,6 +105,40 @@ ORACLES = {
                sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op7_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+        ), lines AS (
+            SELECT doc_id, unnest(lines) AS content, unnest(range(len(lines))) AS line FROM split
+        ), parsed AS (
+            SELECT *, list_transform(regexp_extract_all(content, '[^\x20\x09-\x0D]+'),
+                                     lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM lines
+        ), tokens AS (
+            SELECT doc_id, line, len(w) AS n, w[1:2] AS lead, unnest(w) AS token, unnest(range(len(w))) AS i FROM parsed
+        ), classes AS (
+            SELECT doc_id, line, i % 3 AS number, any_value(n) AS n, any_value(lead) AS lead, list(token ORDER BY i) AS part
+            FROM tokens WHERE n >= 10 AND i >= 2 GROUP BY ALL
+        ), signs AS (
+            SELECT doc_id, line, -1 AS number, hash(len(w), w) AS sign FROM parsed WHERE len(w) > 0
+            UNION ALL SELECT doc_id, line, number, hash(number, n, lead, part) FROM classes
+        ), recurring AS (
+            SELECT number, sign FROM signs GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
+        ), dropped AS (
+            SELECT doc_id, line FROM signs JOIN recurring USING (number, sign)
+            GROUP BY ALL HAVING max(number = -1) OR count(*) >= 2
+        ), marked AS (
+            SELECT lines.*, dropped.line IS NOT NULL AS gone FROM lines LEFT JOIN dropped USING (doc_id, line)
+        ), judged AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n,
+                   coalesce(sum(length(content)) FILTER (gone), 0) > 0.8 * sum(length(content)) AS is_copy,
+                   string_agg(content, chr(10) ORDER BY line) FILTER (NOT gone) AS kept
+            FROM marked GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
+               CASE WHEN is_copy THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_dropped,
+               sha256(CASE WHEN is_copy OR n = 0 THEN text ELSE coalesce(kept, '') END) AS kept_sha256
+        FROM documents LEFT JOIN judged USING (doc_id)
+    """,
     "op10_decontamination": r"""
         WITH lowered AS (
             SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
