@@ -58,6 +58,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``key, lines`` for documents ``key, text``: the numbers of the lines that follow recurring templates."""
     signed = stage(_lines(docs), "lines")
+    # Lines first, documents only for signatures of enough lines: few rows need the distinct.
+    often = stage(signed.groupBy("sign").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("sign"), "often")
+    signed = stage(signed.join(often, "sign", "left_semi"), "often-lines")
     counts = signed.select("sign", "key").distinct().groupBy("sign").agg(F.count("*").alias("n"))
     recurring = stage(counts.filter(F.col("n") >= min_docs).select("sign"), "recurring")
     hits = signed.join(recurring, "sign", "left_semi").groupBy("key", "line").agg(
@@ -77,7 +80,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, copy_share:
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
     is_copy = F.char_length(F.array_join(dropped, "")) > copy_share * F.char_length(F.regexp_replace("row.text", "\n", ""))
     spared = F.col("lines").isNull() | is_copy
-    return (keyed.join(found, "key", "left").withColumn("spared", spared)
+    # ``found`` grows with the documents, so the plan is the same for a table small enough to broadcast it.
+    return (keyed.join(found.hint("merge"), "key", "left").withColumn("spared", spared)
             .select("row", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
                     F.when(F.col("spared"), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped"),
                     F.when(F.col("spared"), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("kept_text")))
