@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterkit.llm import decontamination, line_dedup, lm_scoring, packing, secrets, simhash, substring_dedup, toxicity
+from rosterkit.llm import ann, decontamination, line_dedup, lm_scoring, packing, secrets, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by inner product."""
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every text by unigrams and by the backoff automaton."""
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_ann": op8_ann,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
