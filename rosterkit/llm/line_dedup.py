@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree of fixed depth.
 
 All of it is DataFrame expressions.  A line is parsed by its token count and its leading tokens, where a token with a
-digit is a variable field; that is its leaf.  Its other tokens are dealt to three interleaved classes, and each class
+digit is a variable field (unless most are); that is its leaf.  Its other tokens are dealt to three interleaved classes, and each class
 has a signature within the leaf.  A line follows a recurring template if all its tokens recur in enough documents, or,
 for lines that are long enough, two of the three classes do: fields that vary without digits spoil one class only.
 
@@ -31,9 +31,16 @@ _FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
 def _tokens(line: Column) -> Column:
-    """Tokens between ASCII white space; each with a digit is the same variable field."""
-    masked = F.regexp_replace(line, _FIELD, "<*>")
-    return F.filter(F.split(masked, r"\s+"), lambda t: t != "")
+    """Tokens between ASCII white space; each with a digit is a variable field.
+
+    Where fields outnumber the constant tokens no template is left to speak of, and the tokens stay as they are.
+    """
+    def split(text):
+        return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+    masked = split(F.regexp_replace(line, _FIELD, "<*>"))
+    fields = F.size(F.filter(masked, lambda t: t == "<*>"))
+    return F.when(2 * fields <= F.size(masked), masked).otherwise(split(line))
 
 
 def _signatures(tokens: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterkit.llm import ann, decontamination, line_dedup, lm_scoring, packing, secrets, simhash, substring_dedup, toxicity
+from rosterkit.llm import (ann, decontamination, language_id, line_dedup, lm_scoring, packing, secrets, simhash,
+                           substring_dedup, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from text, markup, address suffix and host; text model from all documents."""
+    return language_id.identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text by patterns and by Markov models."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -79,6 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
     "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
     "op5_substring_dedup": op5_substring_dedup,
@@ -117,8 +124,9 @@ ORACLES = {
         ), lines AS (
             SELECT doc_id, unnest(lines) AS content, unnest(range(len(lines))) AS line FROM split
         ), parsed AS (
-            SELECT *, list_transform(regexp_extract_all(content, '[^\x20\x09-\x0D]+'),
-                                     lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM lines
+            SELECT *, CASE WHEN 2 * len(list_filter(m, lambda x: x = '<*>')) <= len(m) THEN m ELSE t END AS w
+            FROM (SELECT *, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m
+                  FROM (SELECT *, regexp_extract_all(content, '[^\x20\x09-\x0D]+') AS t FROM lines))
         ), tokens AS (
             SELECT doc_id, line, len(w) AS n, w[1:2] AS lead, unnest(w) AS token, unnest(range(len(w))) AS i FROM parsed
         ), classes AS (

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterkit.llm.components import connected_components
-from rosterkit.llm.words import Slab, slabs, text_sizes
+from rosterkit.llm.rows import with_text_columns
+from rosterkit.llm.words import Slab
 from rosterkit.session import stage
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-_SLAB_BYTES = 2 << 20
 _FOREST_EDGES = 1 << 20
 
 
@@ -80,19 +80,9 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, name: str = "fingerprint") -> DataFrame:
-    """All columns of ``docs`` and the fingerprint of ``text`` as a long (two's complement)."""
-    def add(batches):
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            for start, stop in slabs(text_sizes(column), _SLAB_BYTES):
-                part = batch.slice(start, stop - start)
-                made = fingerprints(column.slice(start, stop - start).to_pylist(), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.int64())],
-                                                 names=[*part.schema.names, name])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(add, f"{schema}, `{name}` long")
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``row`` (the document) and ``fp``, the fingerprint of its text as a long (two's complement)."""
+    return with_text_columns(docs, "fp long", lambda texts: [pa.array(fingerprints(texts, shingle).view(np.int64))])
 
 
 def _segment(column, low: int, bits: int):
@@ -197,11 +187,22 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` of every row; the component is the smallest id reachable over links."""
-    own = stage(with_fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), shingle, "fp").select("doc_id", "fp"),
-                "fingerprints")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = stage(with_fingerprints(docs, shingle).select("row.doc_id", "fp"), "fingerprints")
     return own.join(fingerprint_components(own, distance), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """``row`` of one document of each component: the smallest id, null ids last."""
+    numbered = with_fingerprints(docs, shingle).withColumn("number", F.monotonically_increasing_id())
+    own = stage(numbered, "fingerprints")  # written, so the numbers are fixed
+    doc_id = F.col("row.doc_id").cast("long")
+    first = own.groupBy("fp").agg(F.min(F.struct(doc_id.isNull().alias("unnamed"), doc_id.alias("doc_id"), "number")).alias("first"))
+    roots = fingerprint_components(own.select(doc_id.alias("doc_id"), "fp"), distance).select("fp", "root")
+    kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.number")
+    return own.join(kept, "number", "left_semi").select("row")
+
+
 def fingerprint_components(own: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``fp, root, component_id`` of every distinct fingerprint of the staged rows ``doc_id, fp``."""
     distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")

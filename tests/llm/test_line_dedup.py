@@ -29,6 +29,11 @@ def test_copies_and_rare_lines_stay(spark):
     assert all(r.kept_text == r.row.text and r.n_dropped == 0 for r in run(spark, texts))
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    texts = [f"{letters(i, 20)}\n{i} {i * 3} {i * 7} total {i + 1}" for i in range(20)]
+    assert [r.n_dropped for r in run(spark, texts)] == [0] * 20
+
+
 def test_odd_texts(spark):
     texts = odd_texts()
     rows = sorted(run(spark, texts), key=lambda r: r.row.doc_id)
