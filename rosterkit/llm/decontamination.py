@@ -27,7 +27,7 @@ from rosterkit.session import stage
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 @dataclass
@@ -152,7 +152,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clea
                     pa.array(_without(slab, spans, texts) if clean and last else [None] * len(texts), pa.string())]
 
         found = with_text_columns(passed, "n_words long, spans array<long>, items array<string>, clean_text string", search,
-                                  SHARD_BYTES, ("spans", "items"))
+                                  SHARD_BYTES, ("spans", "items"),
+                                  ["document"] if last else None)
         if not last:
             passed = stage(found.select("row.document", "row.text", "spans", "items"), "leaks")
     return found.select(F.col("row.document").alias("row"), "n_words", "spans", "items", "clean_text")

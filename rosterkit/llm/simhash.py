@@ -80,9 +80,9 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``row`` (the document) and ``fp``, the fingerprint of its text as a long (two's complement)."""
-    return with_text_columns(docs, "fp long", lambda texts: [pa.array(fingerprints(texts, shingle).view(np.int64))])
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the ``keep`` columns) and ``fp``, the fingerprint of the text as a long (two's complement)."""
+    return with_text_columns(docs, "fp long", lambda texts: [pa.array(fingerprints(texts, shingle).view(np.int64))], keep=keep)
 
 
 def _segment(column, low: int, bits: int):
@@ -188,7 +188,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` of every row; the component is the smallest id reachable over links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = stage(with_fingerprints(docs, shingle).select("row.doc_id", "fp"), "fingerprints")
+    own = stage(with_fingerprints(docs, shingle, ["doc_id"]).select("row.doc_id", "fp"), "fingerprints")
     return own.join(fingerprint_components(own, distance), "fp").select("doc_id", "fp", "component_id")
 
 

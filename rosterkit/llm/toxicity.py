@@ -208,7 +208,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return train([r.text for r in rows], np.array([r.toxic for r in rows], dtype=np.int64), share)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``row`` (the document) and the ``toxic_score`` of its whole text."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the ``keep`` columns, by default all) and the ``toxic_score`` of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return with_text_columns(docs, "toxic_score double", lambda texts: [pa.array(shared.value.scores(texts), pa.float64())])
+    return with_text_columns(docs, "toxic_score double", lambda texts: [pa.array(shared.value.scores(texts), pa.float64())],
+                             keep=keep)
