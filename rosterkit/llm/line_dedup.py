@@ -40,7 +40,8 @@ def _tokens(line: Column) -> Column:
 
     masked = split(F.regexp_replace(line, _FIELD, "<*>"))
     fields = F.size(F.filter(masked, lambda t: t == "<*>"))
-    return F.when(2 * fields <= F.size(masked), masked).otherwise(split(line))
+    general = F.when(2 * fields <= F.size(masked), masked).otherwise(split(line))
+    return F.when(line.rlike("[0-9]"), general).otherwise(split(line))  # most lines have no digit
 
 
 def _signatures(tokens: Column) -> Column:
