@@ -29,9 +29,12 @@ def company_aliases(lib: DataFrame) -> DataFrame:
 
 
 def default_aliases(lib: DataFrame, companies: int = DEFAULT_ALIAS_COMPANIES) -> DataFrame:
-    """Aliases used by at least ``companies`` companies in a category, with the first-seen spelling."""
+    """Aliases used by at least ``companies`` companies in a field, with the first-seen spelling.
+
+    Only the five fields have defaults; other categories of a library are for reference.
+    """
     return (
-        company_aliases(lib)
+        company_aliases(lib.filter(F.col("category").isin(FIELDS)))
         .groupBy("category", "alias_norm")
         .agg(F.count("*").alias("n_companies"), F.min("first_seen").alias("first_seen"))
         .filter(F.col("n_companies") >= companies)
@@ -45,14 +48,20 @@ def in_alias_order(aliases: DataFrame, *keys: str) -> DataFrame:
 
 
 def residual_aliases(lib: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Each company's aliases that are not defaults, once each."""
+    """Each company's aliases of the five fields that are not defaults, once each."""
     return (
-        company_aliases(lib)
+        company_aliases(lib.filter(F.col("category").isin(FIELDS)))
         .join(defaults.select("category", "alias_norm"), ["category", "alias_norm"], "left_anti")
         .select("company_code", "category", "alias_norm", F.col("first_seen.alias_text").alias("alias_text"))
     )
 
 
+def reference_aliases(lib: DataFrame) -> DataFrame:
+    """Each company's aliases of the categories that are no fields (premium, claim), once each."""
+    return company_aliases(lib.filter(~F.col("category").isin(FIELDS))).select(
+        "company_code", "category", "alias_norm", F.col("first_seen.alias_text").alias("alias_text"))
+
+
 def merge_aliases(defaults: DataFrame, own: DataFrame, companies: DataFrame) -> DataFrame:
     """Effective aliases of every company: defaults and its own, each once.
 

@@ -177,7 +177,7 @@ ORACLES = {
           ('bare', 0, 3, -1, '0', '', '1', '2', '3', 'content', ''),
           ('two', 0, 1, 0, '0', '', '', '', '1', 'exact', 'Name, Policy No'),
           ('two', 3, 4, 0, '3', '', '4', '', '', 'exact', 'Full Name, Sex'),
-          ('typo', 0, 3, 0, '0', '', '1', '2', '3', 'fuzzy', 'Insured Nme, Gendr, Date of Brth, Policy Nmber'),
+          ('typo', 0, 3, 0, '0', '', '1', '2', '3', 'fuzzy', 'Insurd Nam, Gendr, Date of Brth, Policy Nmber'),
           ('numname', 0, 1, 0, '0', '', '', '', '1', 'exact', 'Name, PolicyNo'))
         SELECT company_code, '/in/' || fam || '_' || CAST(file_no AS VARCHAR) || '.csv' AS file_path, 'S1' AS sheet, col_start, col_end,
           header_row_idx, name_cols, pair_cols, sex_cols, dob_cols, policy_cols, method,

@@ -259,7 +259,7 @@ def _file_log_oracle() -> str:
         "bare": ("S1", 1, "count(*)", "0", "0", "''", "false", "NULL", "'column_1'", "'column_4'", "'column_3'", "'column_2'"),
         "two1": ("S1_table1", 1, "count(DISTINCT (p_name, policy))", "0", "1", "'Name, Policy No'", "false", "NULL", "'Name'", "'Policy No'", "NULL", "NULL"),
         "two2": ("S1_table2", 2, "count(DISTINCT (w1, w2, sex_code))", "0", "1", "'Full Name, Sex'", "false", "NULL", "'Full Name'", "NULL", "NULL", "'Sex'"),
-        "typo": ("S1", 1, "count(*)", "0", "1", "'Insured Nme, Gendr, Date of Brth, Policy Nmber'", "false", "NULL", "'Insured Nme'", "'Policy Nmber'", "'Date of Brth'", "'Gendr'"),
+        "typo": ("S1", 1, "count(*)", "0", "1", "'Insurd Nam, Gendr, Date of Brth, Policy Nmber'", "false", "NULL", "'Insurd Nam'", "'Policy Nmber'", "'Date of Brth'", "'Gendr'"),
         "numname": ("S1", 1, "0", "count(*)", "1", "'Name, PolicyNo'", "false", "NULL", "'Name'", "'PolicyNo'", "NULL", "NULL"),
     }
     selects = []

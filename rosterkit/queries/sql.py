@@ -39,7 +39,7 @@ _FAMILIES = {
     "bare": ([], "[w1 || ' ' || w2 || ' ' || tag, sex_text, iso_date, policy]"),
     "two": (["['Name', 'Policy No', NULL, 'Full Name', 'Sex']"],
             "[p_name, policy, NULL, w2 || ' ' || w1, sex_text]"),
-    "typo": (["['Insured Nme', 'Gendr', 'Date of Brth', 'Policy Nmber']"], "[p_name, sex_text, iso_date, policy]"),
+    "typo": (["['Insurd Nam', 'Gendr', 'Date of Brth', 'Policy Nmber']"], "[p_name, sex_text, iso_date, policy]"),
     "numname": (["['Name', 'PolicyNo']"], "[lpad(CAST(k AS VARCHAR), 9, '1'), policy]"),
     "nomatch": (["['Premium', 'Amount']"], "[CAST(k * 10 AS VARCHAR), CAST(r AS VARCHAR) || '.50']"),
 }

@@ -117,7 +117,7 @@ def sheet_families() -> dict[str, tuple[list[Column], Column]]:
             _cells(c("p_name"), c("policy"), None, swapped, c("sex_text")),
         ),
         "typo": (
-            [_cells("Insured Nme", "Gendr", "Date of Brth", "Policy Nmber")],
+            [_cells("Insurd Nam", "Gendr", "Date of Brth", "Policy Nmber")],
             _cells(c("p_name"), c("sex_text"), c("iso_date"), c("policy")),
         ),
         "numname": (

@@ -52,8 +52,10 @@ def write_sorted(df: DataFrame, path: str, file_format: str = "csv") -> None:
     df.write.mode("overwrite").option("header", True).format(file_format).save(path)
 
 
-def write_library(defaults: DataFrame, residual: DataFrame, notes: DataFrame, quality: DataFrame, path: str) -> None:
-    """Alias library outputs: defaults, residual aliases per company, notes, quality report."""
+def write_library(defaults: DataFrame, residual: DataFrame, reference: DataFrame, notes: DataFrame, quality: DataFrame,
+                  path: str) -> None:
+    """Alias library outputs: defaults, residual and reference aliases per company, notes, quality report."""
+    reference.write.mode("overwrite").partitionBy("company_code").json(f"{path}/reference")
     in_alias_order(defaults, "category").write.mode("overwrite").json(f"{path}/defaults")
     residual.write.mode("overwrite").partitionBy("company_code").json(f"{path}/companies")
     notes.write.mode("overwrite").json(f"{path}/notes")

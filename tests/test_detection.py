@@ -14,7 +14,7 @@ CASES = {
     "very late": {"rows": [["A"], ["B"], ["C"], *[BLANK] * 8, HEADER, ROW_1]},
     "too late": {"rows": [*[["x"]] * 50, HEADER, ROW_1]},
     "side by side": {"rows": SIDE_BY_SIDE},
-    "similar": {"rows": [["Insured Nme", "Sex", "DOB", "Policy No"], ROW_1]},
+    "similar": {"rows": [["Insurd Nam", "Sex", "DOB", "Policy No"], ROW_1]},
     "headerless": {"rows": PEOPLE},
     "name pair": {"rows": [[f"Mara {a}", f"{b} Lee", f"Kay {a}{b}"] for a, b in zip("ABCDE", "FGHIJ")]},
     "labels": {"rows": [["Premium", "Amount"], *[["Term plan", "10"]] * 5]},

@@ -169,8 +169,13 @@ def test_alias_library(spark, tmp_path):
     assert quality["K1"].unsafe_alias and quality["K1"].special_layout and not quality["K1"].no_name_alias
     assert quality["K2"].no_name_alias and quality["K2"].special_layout
     defaults = al.default_aliases(lib, companies=1)
-    sinks.write_library(defaults, al.residual_aliases(lib, defaults), notes, quality_df(spark, quality), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "defaults")).count() == 5
+    assert {r.category for r in defaults.collect()} == {"firstlastname", "name"}
+    residual = al.residual_aliases(lib, al.default_aliases(lib, companies=9))
+    assert {r.category for r in residual.collect()} == {"firstlastname", "name"}
+    sinks.write_library(defaults, residual, al.reference_aliases(lib), notes, quality_df(spark, quality), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "defaults")).count() == 3
+    written = spark.read.json(str(tmp_path / "out" / "reference")).collect()
+    assert sorted((r.company_code, r.category, r.alias_text) for r in written) == [("K1", "prem", "prem"), ("K1", "prem", "premium")]
 
 
 def quality_df(spark, quality):
