@@ -22,7 +22,7 @@ from rosterkit.operators.joins import join_small
 from rosterkit.operators.numbering import number_within
 from rosterkit.operators.profile import header_report
 from rosterkit.schema import (
-    COMPILED_OUTPUTS, FILE_LOGS, REPORT_PART_ROWS, ROSTER_COLUMNS, RUNS, SPLIT_TEXT_BYTES,
+    COMPILED_OUTPUTS, FILE_LOGS, REPORT_PART_ROWS, ROSTER_COLUMNS, RUNS,
 )
 from rosterkit.session import stage, staging_path
 from rosterkit.sources import archives, catalog, delimited, sinks, workbooks
@@ -46,7 +46,7 @@ class Scan:
     files: DataFrame     # path, file_name, kind, origin (the delivered file a member came from)
 
 
-def scan_files(spark: SparkSession, files: DataFrame, folder: str | list[str], split_bytes: int = SPLIT_TEXT_BYTES) -> Scan:
+def scan_files(spark: SparkSession, files: DataFrame, folder: str | list[str]) -> Scan:
     """Read all text files, workbooks and archives of a catalog; archive members are read like delivered files."""
     unpacked = staging_path(spark, "unpacked")
     members, archive_errors = archives.expand_archives(spark, files, unpacked)
@@ -59,7 +59,7 @@ def scan_files(spark: SparkSession, files: DataFrame, folder: str | list[str], s
         origins = origins.unionByName(_member_origins(members, inside))
     rows, errors = None, archive_errors
     for listed, root in parts:
-        text, text_errors = delimited.scan_delimited(spark, root, listed, split_bytes)
+        text, text_errors = delimited.scan_delimited(spark, root, listed)
         books, book_errors = workbooks.scan_workbooks(listed)
         both = text.unionByName(books)
         rows = both if rows is None else rows.unionByName(both)

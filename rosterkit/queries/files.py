@@ -41,16 +41,29 @@ def scan_delimited(spark, sf_dir):
 
 
 def scan_split_text(spark, sf_dir):
-    """The same files through the split reader."""
+    """The same files cut into splits of 64 kB."""
     folder = _text_folder(spark, sf_dir)
-    rows, _ = delimited.scan_delimited(spark, folder, catalog.file_catalog(spark, folder), split_bytes=0)
+    setting = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, "64k")
+    try:  # the scan stages its rows, so the setting holds for this read only
+        rows, _ = delimited.scan_delimited(spark, folder, catalog.file_catalog(spark, folder))
+    finally:
+        spark.conf.set(setting, usual)
+    return _shown(rows)
+
+
+def scan_odd_text(spark, sf_dir):
+    """Customers in files with a byte order mark, late accents in code page 1252, stray and doubled quotes."""
+    folder = render.write_files(render.odd_customers(views.table(spark, sf_dir, "customer")), render.folder(spark, "odd"))
+    rows, _ = delimited.scan_delimited(spark, folder, catalog.file_catalog(spark, folder))
     return _shown(rows)
 
 
 def scan_quoted_text(spark, sf_dir):
     """Whole documents as quoted multi-line fields."""
     folder = render.write_files(render.quoted_documents(views.table(spark, sf_dir, "documents")), render.folder(spark, "docs"))
-    rows, _ = delimited.scan_delimited(spark, folder, catalog.file_catalog(spark, folder), split_bytes=0)
+    rows, _ = delimited.scan_delimited(spark, folder, catalog.file_catalog(spark, folder))
     return rows.select(F.get("cells", 0).cast("long").alias("doc_id"), F.size("cells").alias("n_cells"), F.md5(F.get("cells", 1)).alias("text_md5"))
 
 
@@ -135,7 +148,7 @@ def parse_alias_library(spark, sf_dir):
 QUERIES = {
     q.__name__: q
     for q in (
-        file_catalog, sniff_dialect, scan_delimited, scan_split_text, scan_quoted_text, scan_workbook, expand_archive,
+        file_catalog, sniff_dialect, scan_delimited, scan_split_text, scan_quoted_text, scan_odd_text, scan_workbook, expand_archive,
         reread_roster, load_aliases, parse_alias_library,
     )
 }
@@ -154,6 +167,12 @@ ORACLES = {
     "sniff_dialect": f"""{_TEXT} SELECT {_FILE} AS file, 'utf-8' AS encoding, [',', ';', chr(9), '|'][any_value({_NUMBER}) % 4 + 1] AS separator, '"' AS quote,
         CAST(max(len(cells)) AS INTEGER) AS width, CAST(NULL AS VARCHAR) AS error FROM sheets GROUP BY 1""",
     "scan_delimited": f"{_TEXT} SELECT {_FILE} AS file, row_idx, {_ROW} AS row_text FROM sheets",
+    "scan_odd_text": """
+        SELECT 'odd_' || n || '.csv' AS file, row_number() OVER (PARTITION BY n ORDER BY k) - 1 AS row_idx,
+            k || '|' || CASE
+                WHEN n % 4 = 0 THEN 'é' WHEN n % 4 = 1 AND k % 50 = 49 THEN 'é ' WHEN n % 4 = 1 THEN 'e'
+                WHEN n % 4 = 2 AND k % 50 = 25 THEN '"z' WHEN n % 4 = 2 THEN 'z' ELSE 'a"bx""y' END || '|' || repeat('x', 300) AS row_text
+        FROM (SELECT c_custkey AS k, c_custkey // 50 AS n FROM customer)""",
     "scan_split_text": f"{_TEXT} SELECT {_FILE} AS file, row_idx, {_ROW} AS row_text FROM sheets",
     "scan_quoted_text": "SELECT doc_id, 2 AS n_cells, md5(text) AS text_md5 FROM documents",
     "scan_workbook": f"""WITH {sql.sheets("std", "digits", "two")}, t AS (SELECT {_FILE} AS file, row_idx, cells,

@@ -57,6 +57,24 @@ def quoted_documents(documents: DataFrame, per_file: int = 20) -> DataFrame:
     )
 
 
+def odd_customers(customer: DataFrame, per_file: int = 50) -> DataFrame:
+    """Files of four kinds in turn: byte order mark, code page 1252 only at the end, one stray quote, text behind quotes."""
+    k, n = F.col("c_custkey"), F.floor(F.col("c_custkey") / per_file)
+    cell = (
+        F.when(n % 4 == 0, "é")
+        .when(n % 4 == 1, F.when(k % per_file == per_file - 1, "é\u0081").otherwise("e"))
+        .when(n % 4 == 2, F.when(k % per_file == per_file // 2, '"z').otherwise("z"))
+        .otherwise('"a""b"x""y')
+    )
+    line = F.concat_ws(",", k.cast("string"), cell, F.repeat(F.lit("x"), F.lit(300)))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, line.alias("line")))), lambda r: r["line"]), "\n")
+    return customer.groupBy(n.alias("n")).agg(body.alias("text")).select(
+        F.format_string("odd_%d.csv", "n").alias("name"),
+        F.when(F.col("n") % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+        .when(F.col("n") % 4 == 1, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("content"),
+    )
+
+
 def _book_bytes(rows) -> bytes:
     """A minimal workbook with one sheet; every other text is shared, the rest inline."""
     import io

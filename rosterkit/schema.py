@@ -20,7 +20,6 @@ NUMERIC_SAMPLE_ROWS = 100
 PROFILE_SAMPLE_ROWS = 200
 OUTPUT_PART_ROWS = 500_000
 REPORT_PART_ROWS = 1_000_000
-SPLIT_TEXT_BYTES = 100 * 1024 * 1024
 DIALECT_SAMPLE_BYTES = 10_000
 
 FUZZY_THRESHOLD = 0.7

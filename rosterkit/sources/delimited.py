@@ -1,8 +1,14 @@
 """Headerless delimited text: dialect detection and the scan into raw rows.
 
-Small files are streamed by one task each with an exact record reader. Large files are split by Spark and tokenized
-in the JVM; only large files with line breaks inside quotes fall back to the streaming reader, because no split
-point in them is safe. Both ways give the same rows: text cells, empty cell = null, exact ``row_idx``.
+Files of every size are read one way: Spark splits them into lines, and generated code tokenizes the lines. A quoted
+cell may hold line breaks. What a line does to the quote state (closed or open before it, closed or open after it) is
+known from the line alone, so the states of a file follow from its lines by windows over single blocks and one row
+per block. Only files with a line that leaves a quote open need that step; in all others each line is a record.
+
+Rules: text cells, empty cell = null, exact ``row_idx``; a quote starts a quoted cell only as its first character and
+what follows the closing quote is taken as it is; line breaks inside quotes are given as line feeds; an opening quote
+that its file never closes is ordinary text, and the lines after it are records. A file whose bytes are not all
+UTF-8 is code page 1252, whose undefined bytes become spaces.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rosterkit.operators.joins import join_small
-from rosterkit.schema import DIALECT_SAMPLE_BYTES, SPLIT_TEXT_BYTES
+from rosterkit.schema import DIALECT_SAMPLE_BYTES, TEXT_TYPES
 from rosterkit.session import stage
 from rosterkit.sources.catalog import spread
 from rosterkit.sources.storage import open_file, read_start
@@ -25,11 +31,13 @@ C1_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
 CP1252_C1 = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace").replace("�", " ")
 # End of fixed values.
 
-LINE_ENCODINGS = ["utf-8", "cp1252"]
+# Text files by name, whatever the case of their extension.
+TEXT_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in TEXT_TYPES) + "}"
 BATCH_ROWS = 10_000
+WIDE_BLOCK = 100_000  # lines
 
 DIALECTS = "path string, length bigint, encoding string, separator string, quote string, width int, error string"
-ROWS = "file_path string, row_idx bigint, cells array<string>, error string"
+LINES = "path string, block bigint, place bigint, value string, error string"
 
 
 def guess_encoding(sample: bytes) -> str | None:
@@ -93,38 +101,34 @@ def sniff_dialects(files: DataFrame) -> DataFrame:
     return spread(files.select("path", "length")).mapInPandas(_sniff, DIALECTS)
 
 
-def _stream_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Read whole files record by record, in bounded batches."""
-    import csv
-    import io
-    import sys
+def _wide() -> Column:
+    return F.col("encoding").startswith("utf-16")
 
-    csv.field_size_limit(sys.maxsize)
 
-    def packed(path, rows, error=None):
-        return pd.DataFrame(
-            {"file_path": path, "row_idx": [r[0] for r in rows], "cells": [r[1] for r in rows], "error": error}
-        )
+def _wide_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decoded lines of UTF-16 files, in bounded batches; Spark's line reader splits single-byte text only."""
+    import io
+
+    def packed(path, first, values, error=None):
+        place = range(first, first + len(values))
+        return pd.DataFrame({
+            "path": path, "block": [i // WIDE_BLOCK for i in place], "place": list(place), "value": values, "error": error,
+        })
 
     for batch in batches:
-        for path, encoding, separator, quote in zip(batch["path"], batch["encoding"], batch["separator"], batch["quote"]):
-            rows = []
+        for path, encoding in zip(batch["path"], batch["encoding"]):
+            first, values = 0, []
             try:
-                with open_file(path) as raw, io.TextIOWrapper(raw, encoding=encoding, newline="") as text:
-                    for i, record in enumerate(csv.reader(text, delimiter=separator, quotechar=quote)):
-                        rows.append((i, [value or None for value in record]))
-                        if len(rows) >= BATCH_ROWS:
-                            yield packed(path, rows)
-                            rows = []
-                if rows:
-                    yield packed(path, rows)
-            except Exception as e:  # reported per file; rows already read are discarded by the caller
-                yield packed(path, [(None, None)], f"{type(e).__name__}: {e}")
-
-
-def stream_rows(dialects: DataFrame) -> DataFrame:
-    """Rows of whole files, one task per group of files."""
-    return spread(dialects).select("path", "encoding", "separator", "quote").mapInPandas(_stream_rows, ROWS)
+                with open_file(path) as raw, io.TextIOWrapper(raw, encoding=encoding) as text:
+                    for line in text:
+                        values.append(line.rstrip("\n"))
+                        if len(values) >= BATCH_ROWS:
+                            yield packed(path, first, values)
+                            first, values = first + len(values), []
+                if values:
+                    yield packed(path, first, values)
+            except Exception as e:  # reported per file; lines already read are discarded by the caller
+                yield packed(path, first, [None], f"{type(e).__name__}: {e}")
 
 
 def decoded(value: Column, encoding: Column) -> Column:
@@ -133,17 +137,24 @@ def decoded(value: Column, encoding: Column) -> Column:
     return F.when(encoding == "cp1252", F.translate(latin, C1_CONTROLS, CP1252_C1)).otherwise(value)
 
 
+def _quoted(quote: str) -> tuple[str, str]:
+    """Patterns of a quote and of the text between two; possessive, so that long cells cost no stack."""
+    q = f"\\x{ord(quote):02x}"
+    return q, f"[^{q}]*+(?:{q}{q}[^{q}]*+)*+"
+
+
 def split_record(value: Column, separator: str, quote: str) -> Column:
-    """Cells of one line. Lines without a quote take a plain split; others are matched field by field."""
-    sep, q = f"\\x{ord(separator):02x}", f"\\x{ord(quote):02x}"
-    inner = f"(?:[^{q}]|{q}{q})*"
+    """Cells of one record. Records without a quote take a plain split; others are matched field by field."""
+    sep = f"\\x{ord(separator):02x}"
+    q, inner = _quoted(quote)
     fields = F.regexp_extract_all(
-        F.concat(F.lit(separator), value), F.lit(f"{sep}({q}{inner}{q}[^{sep}]*|[^{sep}]*)"), F.lit(1)
+        F.concat(F.lit(separator), value), F.lit(f"{sep}({q}{inner}{q}[^{sep}]*+|[^{sep}]*+)"), F.lit(1)
     )
 
     def unquoted(cell: Column) -> Column:
-        bare = F.regexp_replace(cell, f"^{q}({inner}){q}(.*)$", "$1$2")
-        return F.when(cell.startswith(quote), F.replace(bare, F.lit(quote * 2), F.lit(quote))).otherwise(cell)
+        whole = f"(?s)^{q}({inner}){q}(.*)\\z"
+        inside = F.replace(F.regexp_extract(cell, whole, 1), F.lit(quote * 2), F.lit(quote))
+        return F.when(cell.rlike(whole), F.concat(inside, F.regexp_extract(cell, whole, 2))).otherwise(cell)
 
     return (
         F.when(value == "", F.array().cast("array<string>"))
@@ -152,84 +163,177 @@ def split_record(value: Column, separator: str, quote: str) -> Column:
     )
 
 
-def _cells(value: Column) -> Column:
-    """Tokenize by the line's own dialect; the branches are fixed patterns."""
-    cells = None
+def opens_quote(value: Column, separator: str, quote: str) -> Column:
+    """Whether a line that starts outside quotes ends inside."""
+    return value.contains(quote) & value.rlike(_open_end(separator, quote))
+
+
+def stays_open(value: Column, separator: str, quote: str) -> Column:
+    """Whether a line that starts inside quotes ends inside."""
+    sep = f"\\x{ord(separator):02x}"
+    q, inner = _quoted(quote)
+    rest = _open_end(separator, quote).removeprefix("^")
+    return ~value.contains(quote) | value.rlike(f"^{inner}(?:\\z|{q}[^{sep}]*+{sep}{rest})")
+
+
+def _open_end(separator: str, quote: str) -> str:
+    """Complete fields, then one whose quote is not closed."""
+    sep = f"\\x{ord(separator):02x}"
+    q, inner = _quoted(quote)
+    return f"^(?:(?:{q}{inner}{q}[^{sep}]*+|[^{sep}{q}][^{sep}]*+|){sep})*+{q}{inner}\\z"
+
+
+def _by_dialect(rule, value: Column) -> Column:
+    """Apply a rule by the line's own dialect; the branches are fixed patterns."""
+    chosen = None
     for quote in QUOTES:
         for separator in SEPARATORS:
             mine = (F.col("separator") == separator) & (F.col("quote") == quote)
-            branch = split_record(value, separator, quote)
-            cells = F.when(mine, branch) if cells is None else cells.when(mine, branch)
-    return F.transform(cells, lambda c: F.nullif(c, F.lit("")))
+            branch = rule(value, separator, quote)
+            chosen = F.when(mine, branch) if chosen is None else chosen.when(mine, branch)
+    return chosen
+
 
+def _cells(value: Column) -> Column:
+    return F.transform(_by_dialect(split_record, value), lambda c: F.nullif(c, F.lit("")))
 
-def _lines(spark: SparkSession, folder: str, dialects: DataFrame, larger_than: int) -> DataFrame:
-    """Raw lines of the large files with their dialect and place. The size filter prunes files before reading."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True).text(folder)
-        .filter(F.col("_metadata.file_size") > larger_than)
+
+def _lines(spark: SparkSession, folder: str | list[str], wide: DataFrame | None, dialects: DataFrame) -> DataFrame:
+    """Raw lines of text files with their dialect and place; places of one block are consecutive."""
+    raw = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", TEXT_GLOB).text(folder)
         .select(
-            "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("place"),
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("place"), "value",
         )
     )
-    return join_small(lines, dialects, ["path"], salt_by=["place"])
+    lines = join_small(raw, dialects.filter(~_wide()), ["path"], salt_by=["place"])
+    if wide is None:
+        return lines
+    return lines.unionByName(join_small(wide, dialects.filter(_wide()), ["path"], salt_by=["place"]))
 
 
-def _numbered(tokenized: DataFrame) -> DataFrame:
-    """Exact ``row_idx`` for rows that know their block and their place in the scan.
+def _tokenized(lines: DataFrame) -> DataFrame:
+    """Cells of every line taken as a record, with what shows whether it is one."""
+    return lines.withColumn("text", decoded(F.col("value"), F.col("encoding"))).select(
+        "path", "block", "place", _cells(F.col("text")).alias("cells"),
+        _by_dialect(opens_quote, F.col("text")).alias("opens"), F.is_valid_utf8("value").alias("utf8"),
+    )
 
-    The places of one block are consecutive, so the first place and the number of rows of each block suffice.
-    """
-    blocks = tokenized.groupBy("path", "block").agg(F.min("place").alias("first_place"), F.count("*").alias("rows"))
+
+def _offsets(blocks: DataFrame) -> DataFrame:
+    """Records before each block of a file, from one row per block with its number of ``rows``."""
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).select(
-        "path", "block", "first_place", "offset"
+    return stage(blocks.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows"), "offsets")
+
+
+def _numbered(tokenized: DataFrame) -> DataFrame:
+    """Exact ``row_idx`` for lines that are records: the first place and the number of rows of each block suffice."""
+    blocks = tokenized.groupBy("path", "block").agg(F.min("place").alias("first_place"), F.count("*").alias("rows"))
+    return join_small(tokenized, _offsets(blocks), ["path", "block"], salt_by=["place"]).select(
+        F.col("path").alias("file_path"), (F.col("place") - F.col("first_place") + F.col("offset")).alias("row_idx"), "cells"
     )
-    return join_small(tokenized, offsets, ["path", "block"], salt_by=["place"]).select(
-        F.col("path").alias("file_path"),
-        (F.col("place") - F.col("first_place") + F.col("offset")).alias("row_idx"),
-        "cells", F.lit(None).cast("string").alias("error"),
+
+
+def _inside(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Quote state before each row, if the first of its keys starts outside (``if_out``) and inside (``if_in``).
+
+    A row with ``opens`` = ``stays`` sets the state, one with ``opens`` only turns it, any other leaves it.
+    """
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sets = F.col("opens") == F.col("stays")
+    turns = rows.withColumn("_turns", F.coalesce(F.count_if(F.col("opens") & ~F.col("stays")).over(before), F.lit(0)))
+    last = turns.withColumn("_last", F.last(F.when(sets, F.struct("opens", "_turns")), True).over(before))
+    since = (F.col("_turns") - F.coalesce("_last._turns", F.lit(0))) % 2 == 1
+    return last.select(
+        *rows.columns,
+        (F.coalesce("_last.opens", F.lit(False)) != since).alias("if_out"),
+        (F.coalesce("_last.opens", F.lit(True)) != since).alias("if_in"),
     )
 
 
-def split_rows(spark: SparkSession, folder: str, dialects: DataFrame, larger_than: int) -> DataFrame:
-    """Rows of the large files, read in parallel splits; files without safe splits are streamed instead."""
-    dialects = stage(dialects.select("path", "length", "encoding", "separator", "quote"), "dialects")
-    line_based = dialects.filter(F.col("encoding").isin(LINE_ENCODINGS))
-    lines = _lines(spark, folder, line_based, larger_than)
-    quotes = F.length("value") - F.length(F.replace("value", F.col("quote")))
-    unsafe = (quotes % 2 != 0) | ((F.col("encoding") == "utf-8") & ~F.is_valid_utf8("value"))
-    checked = stage(lines.groupBy("path").agg(F.max(unsafe).alias("unsafe")), "checked")
-    safe = line_based.join(checked.filter(~F.col("unsafe")), "path", "left_semi")
-    whole = dialects.join(safe.select("path"), "path", "left_anti")
-    value = decoded(F.col("value"), F.col("encoding"))
-    tokenized = stage(
-        _lines(spark, folder, safe, larger_than).withColumn("value", value)
-        .select("path", "block", "place", _cells(F.col("value")).alias("cells")),
-        "tokenized",
+def _records(lines: DataFrame) -> DataFrame:
+    """Rows of files in which some line leaves a quote open: lines of one record are joined again.
+
+    Windows cover one block, or one row per block of a file; only lines of records with several lines are grouped.
+    """
+    text = F.col("text")
+    states = stage(_inside(
+        lines.withColumn("text", decoded(F.col("value"), F.col("encoding"))).select(
+            "path", "block", "place", "separator", "quote", "text",
+            _by_dialect(opens_quote, text).alias("opens"), _by_dialect(stays_open, text).alias("stays"),
+        ), ["path", "block"], "place",
+    ), "states")
+    after = lambda inside: F.when(inside, F.col("stays")).otherwise(F.col("opens"))
+    at = F.struct("block", "place")
+    blocks = states.groupBy("path", "block").agg(
+        F.max_by(after(F.col("if_out")), "place").alias("opens"), F.max_by(after(F.col("if_in")), "place").alias("stays")
+    )
+    entered = stage(_inside(blocks, ["path"], "block").select("path", "block", F.col("if_out").alias("entry")), "entered")
+    placed = join_small(states, entered, ["path", "block"], salt_by=["place"]).withColumn(
+        "inside", F.when(F.col("entry"), F.col("if_in")).otherwise(F.col("if_out"))
     )
-    return _numbered(tokenized).unionByName(stream_rows(whole))
+    ends = stage(placed.groupBy("path").agg(
+        F.max_by(after(F.col("inside")), at).alias("unclosed"), F.max(F.when(~F.col("inside"), at)).alias("last_start")
+    ), "ends")
+    in_block = Window.partitionBy("path", "block").orderBy("place")
+    starts = stage(
+        join_small(placed, ends, ["path"], salt_by=["place"])
+        .withColumn("inside", F.col("inside") & ~(F.col("unclosed") & (at > F.col("last_start"))))
+        .withColumn("started", F.count_if(~F.col("inside")).over(in_block))
+        .withColumn("several", F.col("inside") | F.coalesce(F.lead("inside").over(in_block), F.lit(True)))
+        .select("path", "block", "place", "separator", "quote", "text", "inside", "started", "several"),
+        "starts",
+    )
+    offsets = _offsets(starts.groupBy("path", "block").agg(F.count_if(~F.col("inside")).alias("rows")))
+    numbered = join_small(starts, offsets, ["path", "block"], salt_by=["place"]).withColumn(
+        "row_idx", F.col("offset") + F.col("started") - 1
+    )
+    record = ["path", "row_idx", "separator", "quote"]
+    parts = F.array_sort(F.collect_list(F.struct("block", "place", "text")))
+    joined = numbered.filter("several").groupBy(*record).agg(
+        F.array_join(F.transform(parts, lambda line: line["text"]), "\n").alias("text")
+    )
+    both = numbered.filter("not several").select(*record, "text").unionByName(joined)
+    return both.select(F.col("path").alias("file_path"), "row_idx", _cells(text).alias("cells"))
 
 
-def scan_delimited(
-    spark: SparkSession, folder: str, files: DataFrame, split_bytes: int = SPLIT_TEXT_BYTES
-) -> tuple[DataFrame, DataFrame]:
+def scan_delimited(spark: SparkSession, folder: str | list[str], files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw rows ``(file_path, sheet, row_idx, cells)`` and errors ``(file_path, error_msg)`` of all text files.
 
     ``files`` is the catalog of ``folder``. The rows are staged once: detection and extraction must see the same
-    row numbers, and both then read Parquet with ``row_idx`` statistics. A file that fails part-way gives no rows.
+    row numbers, and both then read Parquet with ``row_idx`` statistics. A file that cannot be decoded gives no rows.
     """
-    dialects = stage(sniff_dialects(files.filter(F.col("kind") == "Text")), "sniffed")
-    readable = dialects.filter(F.col("error").isNull())
-    rows = stream_rows(readable.filter(F.col("length") <= split_bytes))
-    large = readable.filter(F.col("length") > split_bytes)
-    if not large.isEmpty():
-        rows = rows.unionByName(split_rows(spark, folder, large, split_bytes))
-    rows = stage(rows, "raw-text")
-    failed = rows.filter(F.col("error").isNotNull()).select("file_path", F.col("error").alias("error_msg"))
-    good = rows.filter(F.col("error").isNull()).join(failed.select("file_path"), "file_path", "left_anti")
-    errors = failed.unionByName(
-        dialects.filter(F.col("error").isNotNull()).select(F.col("path").alias("file_path"), F.col("error").alias("error_msg"))
+    sniffed = stage(sniff_dialects(files.filter(F.col("kind") == "Text")), "sniffed")
+    message = lambda df, path: df.filter(F.col("error").isNotNull()).select(
+        F.col(path).alias("file_path"), F.col("error").alias("error_msg")
+    )
+    errors = message(sniffed, "path")
+    one_byte = F.when(F.col("encoding") == "utf-8-sig", "utf-8").otherwise(F.col("encoding"))
+    dialects = sniffed.filter(F.col("error").isNull()).select("path", one_byte.alias("encoding"), "separator", "quote")
+    wide = None
+    if not dialects.filter(_wide()).isEmpty():
+        wide_files = spread(sniffed.filter(_wide())).select("path", "encoding")
+        read = stage(wide_files.mapInPandas(_wide_lines, LINES), "wide")
+        failed = stage(message(read, "path"), "wide-errors")
+        errors = errors.unionByName(failed)
+        wide = join_small(read.drop("error"), failed.select(F.col("file_path").alias("path")), ["path"], "left_anti", ["place"])
+    tokenized = stage(_tokenized(_lines(spark, folder, wide, dialects)), "tokenized")
+    checked = tokenized.groupBy("path").agg(F.max("opens").alias("opened"), F.min("utf8").alias("utf8"))
+    true_encoding = F.when(_wide(), F.col("encoding")).when(F.col("utf8"), "utf-8").otherwise("cp1252")
+    found = stage(
+        dialects.join(checked, "path").withColumn("true_encoding", true_encoding)
+        .withColumn("other", F.col("encoding") != F.col("true_encoding")).drop("utf8", "encoding")
+        .withColumnRenamed("true_encoding", "encoding"),
+        "checked",
     )
-    return good.select("file_path", F.lit("").alias("sheet"), "row_idx", "cells"), errors
+    again = found.filter("opened or other")
+    if again.isEmpty():
+        rows = _numbered(tokenized)
+    else:
+        done = found.filter("not opened and not other").select("path")
+        rows = _numbered(join_small(tokenized, done, ["path"], "left_semi", ["place"]))
+        other = found.filter("other and not opened")
+        rows = rows.unionByName(_numbered(stage(_tokenized(_lines(spark, folder, wide, other)), "tokenized")))
+        rows = rows.unionByName(_records(_lines(spark, folder, wide, found.filter("opened"))))
+    return stage(rows, "raw-text").select("file_path", F.lit("").alias("sheet"), "row_idx", "cells"), errors

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from rosterkit.operators.joins import join_small
 from rosterkit.session import stage
 from rosterkit.sources.catalog import spread
 from rosterkit.sources.storage import open_file
@@ -183,5 +184,5 @@ def scan_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     books = spread(files.filter(F.col("kind") == "Excel").select("path", "extension", "length"))
     rows = stage(books.select("path", "extension").mapInPandas(_workbook_rows, ROWS), "raw-workbooks")
     errors = rows.filter(F.col("error").isNotNull()).select("file_path", F.col("error").alias("error_msg"))
-    good = rows.filter(F.col("error").isNull()).join(errors.select("file_path"), "file_path", "left_anti")
+    good = join_small(rows.filter(F.col("error").isNull()), errors.select("file_path"), ["file_path"], "left_anti", ["row_idx"])
     return good.select("file_path", "sheet", "row_idx", "cells"), errors

@@ -10,36 +10,78 @@ from rosterkit.operators import aliases as al
 from rosterkit.sources import alias_files, alias_library, archives, catalog, delimited, sinks, workbooks
 
 
-def text_rows(spark, folder, **kw):
-    rows, errors = delimited.scan_delimited(spark, str(folder), catalog.file_catalog(spark, str(folder)), **kw)
+def text_rows(spark, folder):
+    rows, errors = delimited.scan_delimited(spark, str(folder), catalog.file_catalog(spark, str(folder)))
     found = {}
     for r in sorted(rows.collect(), key=lambda r: r.row_idx):
         found.setdefault(r.file_path.rsplit("/", 1)[-1], []).append(list(r.cells))
     return found, {r.file_path.rsplit("/", 1)[-1]: r.error_msg for r in errors.collect()}
 
 
-@pytest.mark.parametrize("split_bytes", [10**9, 0])
-def test_dialects_encodings_and_bad_files(spark, tmp_path, split_bytes):
+def test_dialects_encodings_and_bad_files(spark, tmp_path):
     body = [["Name", "Sex", "Note"], ["Ada Mära", "F", "x"], ["Ben Okto", "M"], ["Cy", "", "y", "extra"]]
     for name, sep, enc in [("comma.csv", ",", "utf-8"), ("semi.txt", ";", "cp1252"), ("tab.rpt", "\t", "utf-16"), ("pipe.csv", "|", "utf-8-sig")]:
         (tmp_path / name).write_bytes("\r\n".join(sep.join(r) for r in body).encode(enc))
     (tmp_path / "bad.csv").write_bytes(bytes([0, 159, 146, 150, 0, 0, 1, 2, 255]) * 50)
     (tmp_path / "skip.json").write_text("{}")
-    found, errors = text_rows(spark, tmp_path, split_bytes=split_bytes)
+    found, errors = text_rows(spark, tmp_path)
     want = [["Name", "Sex", "Note"], ["Ada Mära", "F", "x"], ["Ben Okto", "M"], ["Cy", None, "y", "extra"]]
     assert found == {n: want for n in ("comma.csv", "semi.txt", "tab.rpt", "pipe.csv")}
     assert list(errors) == ["bad.csv"]
 
 
-@pytest.mark.parametrize("split_bytes", [10**9, 0])
-def test_quotes(spark, tmp_path, split_bytes):
+def test_quotes(spark, tmp_path):
     (tmp_path / "plain.csv").write_text('Name,Note\n"Mara, Ada","say ""hi"""\nBen,5" pipe"\n"Cy"x,""\n')
     (tmp_path / "lines.csv").write_text('Name,Note\n"Mara,\nAda",a\nBen,b\n')
-    found, _ = text_rows(spark, tmp_path, split_bytes=split_bytes)
+    found, _ = text_rows(spark, tmp_path)
     assert found["plain.csv"] == [["Name", "Note"], ["Mara, Ada", 'say "hi"'], ["Ben", '5" pipe"'], ["Cyx", None]]
     assert found["lines.csv"] == [["Name", "Note"], ["Mara,\nAda", "a"], ["Ben", "b"]]
 
 
+def test_stray_quotes_and_late_bytes(spark, tmp_path):
+    (tmp_path / "stray.csv").write_text('a,b\nx"y,"z\nB,P2\nC,P3\n')
+    (tmp_path / "after.csv").write_text('a,b\n"ab"x""y,1\nc,d\n')
+    (tmp_path / "late.csv").write_bytes(b"name,note\n" * 2000 + "Jos\xe9,x\x81\n".encode("latin-1"))
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "SHOUT.CSV").write_text("a,b\nc,d\n")
+    found, errors = text_rows(spark, tmp_path)
+    assert found["stray.csv"] == [["a", "b"], ['x"y', '"z'], ["B", "P2"], ["C", "P3"]]
+    assert found["after.csv"] == [["a", "b"], ['abx""y', "1"], ["c", "d"]]
+    assert found["late.csv"][-1] == ["Jos\xe9", "x "] and len(found["late.csv"]) == 2001
+    assert found["SHOUT.CSV"] == [["a", "b"], ["c", "d"]]
+    assert "empty.csv" not in found and not errors
+
+
+@pytest.mark.parametrize("ending", ["", 'z,"never closed\nmore,text\n'])
+def test_records_over_many_blocks(spark, tmp_path, ending):
+    """Quoted cells with line breaks, cut by splits anywhere, against the reader of the standard library."""
+    import csv
+    import random
+
+    rng = random.Random(5)
+    piece = lambda: "".join(rng.choice(["a", "b", ",", "\n", '"', "x y", ""]) for _ in range(rng.randrange(9)))
+    rows = [[str(i), piece(), piece()] for i in range(3000)]
+    with open(tmp_path / "many.csv", "w", newline="") as file:
+        csv.writer(file, lineterminator="\n").writerows(rows)
+        file.write(ending)
+    want = [[c or None for c in r] for r in rows]
+    if ending:
+        want += [["z", '"never closed'], ["more", "text"]]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found, _ = text_rows(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found["many.csv"] == want
+
+
+def test_no_shuffle_of_raw_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\nc,d\n")
+    rows, _ = delimited.scan_delimited(spark, str(tmp_path), catalog.file_catalog(spark, str(tmp_path)))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_file_keeps_exact_row_numbers(spark, tmp_path):
     rows = [f"Person {i},{i}" for i in range(20000)]
     (tmp_path / "big.csv").write_text("\n".join(rows))
@@ -47,7 +89,7 @@ def test_split_file_keeps_exact_row_numbers(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     try:
-        got, _ = delimited.scan_delimited(spark, str(tmp_path), catalog.file_catalog(spark, str(tmp_path)), split_bytes=0)
+        got, _ = delimited.scan_delimited(spark, str(tmp_path), catalog.file_catalog(spark, str(tmp_path)))
         wrong = got.filter(F.get("cells", 1).cast("long") != F.col("row_idx"))
         assert got.count() == 20300 and wrong.isEmpty()
     finally:
