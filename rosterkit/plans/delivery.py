@@ -2,9 +2,11 @@
 
 The store is a folder of Parquet tables:
 
-    runs, file_logs, run_logs      one partition per run
-    rosters                        company / date / run
-    compiled, compiled_outputs     company / date
+    runs, rosters                  company / date / run
+    file_logs, run_logs            one partition per run
+    run_log_exports                the same logs as CSV with a header, one folder per run
+    compiled, compiled_outputs,
+    compiled_summary               company / date
 
 Every write replaces its own partitions only, so a repeated job gives the same store.
 """
@@ -22,13 +24,20 @@ from rosterkit.operators.joins import join_small
 from rosterkit.operators.numbering import number_within
 from rosterkit.operators.profile import header_report
 from rosterkit.schema import (
-    COMPILED_OUTPUTS, FILE_LOGS, REPORT_PART_ROWS, ROSTER_COLUMNS, RUNS,
+    COMPILED_OUTPUTS, FILE_LOGS, REPORT_PART_ROWS, ROSTER_COLUMNS, RUN_LOGS, RUNS,
 )
 from rosterkit.session import stage, staging_path
 from rosterkit.sources import archives, catalog, delimited, sinks, workbooks
-from rosterkit.sources.storage import path_exists
+from rosterkit.sources.storage import literal_path, path_exists
 
 RUN_COLUMNS = ["run_id", "company_code", "email_received_date"]
+RUN_KEYS = [*comp.REPORT_KEY, "run_id"]  # how runs are stored
+LITERAL_KEYS = 1000  # a batch of requests has at most a hundred
+WRITTEN = "company_code string, email_received_date string, part_number bigint, output_path string, row_count bigint"
+COMPILED_ROWS = T.StructType([
+    T.StructField("part_number", T.LongType()), T.StructField("company_code", T.StringType()),
+    T.StructField("email_received_date", T.StringType()),
+])
 ROSTER_STORE = T.StructType(
     [T.StructField("output_path", T.StringType())]
     + [T.StructField(c, T.StringType()) for c in ROSTER_COLUMNS]
@@ -138,6 +147,15 @@ def numbered_logs(logs: DataFrame) -> DataFrame:
     return ordered.withColumn("created_at", now).select(*FILE_LOGS.fieldNames())
 
 
+def as_run_logs(records: DataFrame, store: str) -> DataFrame:
+    """One record per run with the folder that holds its exported log; a run without log rows has none."""
+    exported = F.concat(F.lit(f"{store}/run_log_exports/run_id="), F.col("run_id").cast("string"))
+    return records.select(
+        F.col("run_id").alias("run_log_id"), "run_id", F.when(F.col("logged_rows") > 0, exported).alias("output_path"), "format",
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+    ).select(*RUN_LOGS.fieldNames())
+
+
 def finish_runs(runs: DataFrame, file_logs: DataFrame) -> DataFrame:
     """Runs with their outcome; a run without any file log is completed with no files."""
     outcome = runlog.run_outcome(file_logs)
@@ -149,29 +167,52 @@ def finish_runs(runs: DataFrame, file_logs: DataFrame) -> DataFrame:
     ).select(*[F.col(f.name).cast(f.dataType) for f in RUNS.fields])
 
 
+def of_keys(stored: DataFrame, keys: DataFrame, salt_by: list[str]) -> DataFrame:
+    """Rows of the given companies and dates; ``keys`` are staged and distinct.
+
+    The keys of one batch are few and become literal lists, so that only their partitions are listed and read; with
+    more than ``LITERAL_KEYS`` the join alone selects them.
+    """
+    known = keys.limit(LITERAL_KEYS + 1).collect()
+    if len(known) <= LITERAL_KEYS:
+        for column in comp.REPORT_KEY:
+            stored = stored.filter(F.col(column).isin(sorted({r[column] for r in known})))
+    return join_small(stored, keys, comp.REPORT_KEY, "left_semi", salt_by=salt_by)
+
+
 def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_part: int = REPORT_PART_ROWS) -> DataFrame:
     """Rebuild the cumulative reports of the given companies and dates from all their finished runs.
 
-    Returns the tracking rows. The touched partitions are rewritten whole, which drops parts that no longer exist.
+    Returns the tracking rows, whose paths are the files of the parts. The touched partitions are rewritten whole,
+    which drops parts that no longer exist. ``compiled_summary`` tells rows, parts, runs and skipped outputs per key.
     """
     keys = stage(keys.select(*comp.REPORT_KEY).distinct(), "keys")
-    runs = join_small(sinks.read_table(spark, f"{store}/runs", RUNS), keys, comp.REPORT_KEY, salt_by=["run_id"])
+    runs = stage(of_keys(sinks.read_table(spark, f"{store}/runs", RUNS), keys, ["run_id"]), "runs-of-keys")
     logs = sinks.read_table(spark, f"{store}/file_logs", FILE_LOGS)
+    ids = [r[0] for r in comp.finished_runs(runs).select("run_id").limit(LITERAL_KEYS + 1).collect()]
+    if len(ids) <= LITERAL_KEYS:  # the logs are stored by run
+        logs = logs.filter(F.col("run_id").isin(ids))
     eligible = stage(comp.eligible_outputs(logs, runs), "eligible")
-    rosters = join_small(
-        sinks.read_table(spark, f"{store}/rosters", ROSTER_STORE), keys, comp.REPORT_KEY, salt_by=ROSTER_COLUMNS
-    ).select("output_path", *ROSTER_COLUMNS)
-    parts = stage(comp.compile_parts(comp.compile_rows(rosters, eligible), rows_per_part), "parts")
+    rosters = of_keys(sinks.read_table(spark, f"{store}/rosters", ROSTER_STORE), keys, ROSTER_COLUMNS).select(
+        "output_path", *ROSTER_COLUMNS
+    )
+    parts = comp.compile_parts(comp.compile_rows(rosters, eligible), rows_per_part)
     sinks.write_report_parts(parts, f"{store}/compiled", rows_per_part)
-    day = F.regexp_replace("email_received_date", "-", "")
-    tracking = comp.part_summary(parts, runs).select(
-        *comp.REPORT_KEY, "part_number",
-        F.format_string("Compiled_Log_%s_%s_%d", day, "company_code", "part_number").alias("output_path"),
-        "row_count", "source_run_count",
+    if path_exists(f"{store}/compiled"):
+        files = catalog.decoded_uri(F.col("_metadata.file_path"))
+        rows = spark.read.schema(COMPILED_ROWS).parquet(literal_path(f"{store}/compiled")).withColumn("output_path", files)
+        counts = of_keys(rows, keys, ["output_path"]).groupBy(*comp.PART_KEY, "output_path").agg(F.count("*").alias("row_count"))
+        written = stage(counts, "written")
+    else:
+        written = spark.createDataFrame([], WRITTEN)
+    tracking = written.join(comp.source_run_count(runs), comp.REPORT_KEY, "left").select(
+        *comp.PART_KEY, "output_path", "row_count", "source_run_count",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("last_updated_at"),
     )
     sinks.overwrite_partitions(tracking, f"{store}/compiled_outputs", *comp.REPORT_KEY)
-    return sinks.read_table(spark, f"{store}/compiled_outputs", COMPILED_OUTPUTS).join(keys, comp.REPORT_KEY, "left_semi")
+    summary = comp.report_summary(written, runs, comp.skipped_outputs(eligible, rosters))
+    sinks.overwrite_partitions(summary, f"{store}/compiled_summary", *comp.REPORT_KEY)
+    return of_keys(sinks.read_table(spark, f"{store}/compiled_outputs", COMPILED_OUTPUTS), keys, ["part_number"])
 
 
 def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: DataFrame, rows_per_part: int = REPORT_PART_ROWS) -> None:
@@ -193,6 +234,8 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
         F.size(F.from_json("files", "array<string>")).cast("long").alias("total_files"),
         F.lit(0).cast("long").alias("files_processed"), F.lit(0).cast("long").alias("files_failed"),
     ), "runs")
+    # Stored before the work, so that other jobs see the key as busy; the finished run replaces its own partition.
+    sinks.overwrite_partitions(runs.select(*RUNS.fieldNames()), f"{store}/runs", *RUN_KEYS)
     logs = spark.createDataFrame([], FILE_LOGS)
     missing = wanted
     if folders:
@@ -215,8 +258,9 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
     logs = stage(numbered_logs(logs.unionByName(as_file_logs(absent))), "logs")
     sinks.overwrite_partitions(logs, f"{store}/file_logs", "run_id")
     finished = stage(finish_runs(runs, logs), "finished")
-    sinks.overwrite_partitions(finished, f"{store}/runs", "run_id")
-    sinks.overwrite_partitions(runlog.run_log_records(logs, finished), f"{store}/run_logs", "run_id")
+    sinks.write_log_exports(logs, f"{store}/run_log_exports")
+    sinks.overwrite_partitions(as_run_logs(runlog.run_log_records(logs, finished), store), f"{store}/run_logs", "run_id")
+    sinks.overwrite_partitions(finished, f"{store}/runs", *RUN_KEYS)
     compile_reports(spark, store, requests, rows_per_part)
 
 

@@ -134,7 +134,7 @@ def validate_requests(spark, sf_dir):
 def admit_runs(spark, sf_dir):
     valid = req.validate_requests(views.requests(spark, sf_dir)).filter(F.size("problems") == 0)
     busy = views.runs(spark, sf_dir).withColumn("email_received_date", F.regexp_replace("email_received_date", r"^\d{4}-\d{2}", "2024-01"))
-    return req.admit(valid, busy.filter("run_id % 50 = 0")).select("request_id", *comp.REPORT_KEY, "admitted")
+    return req.admit(valid, busy).select("request_id", *comp.REPORT_KEY, "admitted")
 
 
 def request_files(spark, sf_dir):
@@ -227,7 +227,7 @@ ORACLES = {
         CASE WHEN bad_date THEN '''email_received_date'' must be YYYY-MM-DD' END], lambda x: x IS NOT NULL), '; ') AS problems FROM requests""",
     "admit_runs": f"""WITH {_REQUESTS}, {_RUNS}, v AS (SELECT * FROM requests WHERE NOT no_company AND {_FILES_OK} AND NOT bad_date),
         busy AS (SELECT DISTINCT company_code, regexp_replace(email_received_date, '^[0-9]{{4}}-[0-9]{{2}}', '2024-01') AS email_received_date
-          FROM runs WHERE status = 'running' AND run_id % 50 = 0)
+          FROM runs WHERE status = 'running')
         SELECT request_id, company_code, email_received_date, row_number() OVER (PARTITION BY company_code, email_received_date ORDER BY arrival, request_id) = 1
           AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.company_code = v.company_code AND b.email_received_date = v.email_received_date) AS admitted FROM v""",
     "request_files": f"""WITH {_REQUESTS}, {_LOGS}, w AS (SELECT request_id, unnest(['f_' || CAST(user_id % 40 AS VARCHAR) || '.csv', 'f_' || CAST(event_id % 50 AS VARCHAR) || '.csv']) AS file_name

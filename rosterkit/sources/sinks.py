@@ -47,9 +47,9 @@ def write_report_parts(parts: DataFrame, path: str, rows_per_part: int, file_for
     ).option("maxRecordsPerFile", rows_per_part).partitionBy(*REPORT_KEY).format(file_format).save(path)
 
 
-def write_sorted(df: DataFrame, path: str, file_format: str = "csv") -> None:
-    """A report in its order; an empty report keeps its schema."""
-    df.write.mode("overwrite").option("header", True).format(file_format).save(path)
+def write_log_exports(logs: DataFrame, path: str) -> None:
+    """File logs as CSV with a header, one folder per run; the rows come placed by run and number."""
+    logs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("run_id").csv(path)
 
 
 def write_library(defaults: DataFrame, residual: DataFrame, reference: DataFrame, notes: DataFrame, quality: DataFrame,

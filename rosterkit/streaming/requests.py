@@ -61,15 +61,20 @@ def admit_and_work(spark: SparkSession, store: str, queue: DataFrame, batch_id:
     """Run the admitted requests of a queue and record all decisions under the batch; returns how many ran.
 
     The decisions are written after the work: a failure in between repeats the same runs into the same partitions.
+    Runs that an attempt of this queue left running are its own and do not block it. Earlier decisions of the batch
+    about other requests are kept.
     """
-    busy = sinks.read_table(spark, f"{store}/runs", RUNS).filter(F.col("status") == RUNNING)
+    running = sinks.read_table(spark, f"{store}/runs", RUNS).filter(F.col("status") == RUNNING)
+    busy = running.join(with_run_id(queue).select("run_id"), "run_id", "left_anti")
     decided = stage(req.admit(queue, busy), "decided")
     admitted = with_run_id(decided.filter("admitted"))
     ran = admitted.count()
     if ran:
         work(spark, admitted)
+    earlier = sinks.read_table(spark, f"{store}/queue", QUEUE).filter(F.col("batch_id") == batch_id)
+    kept = earlier.join(decided.select("request_id", "arrival"), ["request_id", "arrival"], "left_anti")
     record = decided.select(*_COLUMNS, "admitted", F.lit(batch_id).cast("long").alias("batch_id"))
-    sinks.overwrite_partitions(record, f"{store}/queue", "batch_id")
+    sinks.overwrite_partitions(stage(record.unionByName(kept), "decisions"), f"{store}/queue", "batch_id")
     return ran
 
 

@@ -25,7 +25,7 @@ def person(output, name, sheet="2601", run_id=1, company="007", day="2024-01-31"
 def store(spark, tmp_path):
     def build(runs, logs, people):
         path = str(tmp_path / "store")
-        sinks.overwrite_partitions(spark.createDataFrame(runs, RUNS), f"{path}/runs", "run_id")
+        sinks.overwrite_partitions(spark.createDataFrame(runs, RUNS), f"{path}/runs", *delivery.RUN_KEYS)
         sinks.overwrite_partitions(spark.createDataFrame(logs, FILE_LOGS), f"{path}/file_logs", "run_id")
         sinks.write_rosters(spark.createDataFrame(people, delivery.ROSTER_STORE), f"{path}/rosters")
         return path
@@ -49,6 +49,9 @@ def test_union_of_runs_distinct_and_text_kept(spark, store):
          person("o3", "DAN", run_id=3), person("unlogged", "EVE")],
     )
     (tracked,) = delivery.compile_reports(spark, path, keys(spark)).collect()
+    assert spark.read.parquet(tracked.output_path).count() == 3
+    (summary,) = spark.read.parquet(f"{path}/compiled_summary").collect()
+    assert (summary.total_rows, summary.part_count, summary.source_run_count, summary.skipped_files) == (3, 1, 2, 0)
     assert (tracked.row_count, tracked.part_number, tracked.source_run_count) == (3, 1, 2)
     rows = compiled(spark, path)
     assert sorted(r.COMPLETE_NAME for r in rows.collect()) == ["ADA", "BEN", "CY"]

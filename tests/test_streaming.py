@@ -41,7 +41,23 @@ def test_request_stream_end_to_end(spark, alias, tmp_path):
     assert spark.read.parquet(f"{store}/compiled").count() == 2
     (tracked,) = spark.read.parquet(f"{store}/compiled_outputs").collect()
     assert (tracked.row_count, tracked.source_run_count) == (2, 2)
-    assert spark.read.parquet(f"{store}/run_logs").count() == 2
+    for record in spark.read.parquet(f"{store}/run_logs").collect():
+        assert spark.read.option("header", True).csv(record.output_path).count() in (1, 3)
+    # Every decision is kept: the request admitted first and the one admitted later.
+    assert [r.admitted for r in sinks.read_table(spark, f"{store}/queue", requests.QUEUE).collect()] == [True, True]
+
+
+def test_interrupted_run_is_repeated_and_blocks_others(spark, tmp_path):
+    store = str(tmp_path / "store")
+    fields = ("c1", "2024-01-01 00:00:00.000", "007", "2024-01-31", '["a.csv"]', "t", "/in", None)
+    queue = spark.createDataFrame([fields], "request_id string, arrival string, company_code string, "
+                                  "email_received_date string, files string, user string, input_folder string, processed_at string")
+    run_id = requests.with_run_id(queue).first().run_id
+    running = lambda i: spark.createDataFrame([(i, "007", "2024-01-31", "", None, "running", "", "", "", 1, 0, 0)], RUNS)
+    sinks.overwrite_partitions(running(run_id), f"{store}/runs", *delivery.RUN_KEYS)
+    assert requests.admit_and_work(spark, store, queue, 0, lambda *_: None) == 1
+    sinks.overwrite_partitions(running(5), f"{store}/runs", *delivery.RUN_KEYS)
+    assert requests.admit_and_work(spark, store, queue, 1, lambda *_: None) == 0
 
 
 def test_delivery_stream_catalogs_and_archives(spark, tmp_path):
