@@ -5,8 +5,9 @@ digit is a variable field (unless most are); that is its leaf.  Its other tokens
 has a signature within the leaf.  A line follows a recurring template if all its tokens recur in enough documents, or,
 for lines that are long enough, two of the three classes do: fields that vary without digits spoil one class only.
 
-Recurring lines are dropped from all documents.  A document that consists of such lines for the most part is a copy of
-others, not a carrier of their boilerplate: its lines stay, and near-duplicate detection decides on it.
+Recurring lines are dropped from all documents.  Only a real copy (its whole text is that of another document too) that
+consists of such lines for the most part keeps those that recur through copies alone, and near-duplicate detection decides
+on it; lines of enough different texts go from copies too.
 
 Signatures of a document are counted once, and counts combine before the shuffle; the texts move once, to meet the
 numbers of their dropped lines.
@@ -57,39 +58,57 @@ def _signatures(tokens: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``key, line, sign, number``: the signatures of all lines; number 0 is the whole template."""
+    """``key, line, number, sign``: the signatures of all lines; number 0 is the whole template."""
     lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
     return (lines.select("key", "line", _tokens(F.col("content")).alias("tokens"))
             .select("key", "line", F.posexplode(_signatures(F.col("tokens"))).alias("number", "sign")))
 
 
+def _prefix(text_hash: Column) -> Column:
+    """The half of a text's hash that its documents' keys begin with."""
+    return F.shiftright(text_hash, 32)
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``key, lines`` for documents ``key, text``: the numbers of the lines that follow recurring templates."""
+    """``key, lines, beyond`` for documents ``key, text``: the numbers of the lines that follow recurring templates, and
+    of those whose templates recur in as many different texts."""
     signed = stage(_lines(docs), "lines")
     # Lines first, documents only for signatures of enough lines: few rows need the distinct.
     often = stage(signed.groupBy("sign").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("sign"), "often")
     signed = stage(signed.join(often, "sign", "left_semi"), "often-lines")
-    counts = signed.select("sign", "key").distinct().groupBy("sign").agg(F.count("*").alias("n"))
-    recurring = stage(counts.filter(F.col("n") >= min_docs).select("sign"), "recurring")
-    hits = signed.join(recurring, "sign", "left_semi").groupBy("key", "line").agg(
-        F.max((F.col("number") == 0).cast("int")).alias("whole"), F.countDistinct("number").alias("n"))
-    return (hits.filter((F.col("whole") == 1) | (F.col("n") >= CLASSES - 1)).groupBy("key")
-            .agg(F.collect_list("line").alias("lines")))
+    texts = signed.select("sign", "key").distinct().groupBy("sign", _prefix(F.col("key")).alias("prefix")).agg(F.count("*").alias("n"))
+    counts = texts.groupBy("sign").agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"))
+    recurring = stage(counts.filter(F.col("n") >= min_docs).select("sign", (F.col("n_texts") >= min_docs).alias("many")), "recurring")
+
+    def followed(numbers):
+        return F.array_contains(numbers, 0) | (F.size(numbers) >= CLASSES - 1)
+
+    hits = signed.join(recurring, "sign").groupBy("key", "line").agg(
+        F.collect_set("number").alias("numbers"), F.collect_set(F.when(F.col("many"), F.col("number"))).alias("wide"))
+    return (hits.filter(followed(F.col("numbers"))).groupBy("key").agg(
+        F.collect_list("line").alias("lines"), F.collect_list(F.when(followed(F.col("wide")), F.col("line"))).alias("beyond")))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, copy_share: float = COPY_SHARE) -> DataFrame:
     """``row`` (the document), ``n_lines, n_dropped, kept_text`` of every row."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn(
-        "key", F.xxhash64("row.doc_id", "row.text"))
-    found = recurring_lines(keyed.select("key", F.col("row.text").alias("text")).filter("text IS NOT NULL"), min_docs)
+    # The key of a document begins with half the hash of its text, so lines tell texts apart by it.
+    key = _prefix(F.xxhash64("row.text")) * F.lit(1 << 32) + F.xxhash64("row.doc_id", "row.text").bitwiseAND(F.lit((1 << 32) - 1))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", key)
+    texts = keyed.select("key", F.col("row.text").alias("text")).filter("text IS NOT NULL")
+    copies = (texts.select("key", F.xxhash64("text").alias("form")).distinct().groupBy("form").agg(F.count("*").alias("n"))
+              .filter("n > 1").groupBy(_prefix(F.col("form")).alias("prefix")).agg(F.collect_list("form").alias("copies")))
+    found = recurring_lines(texts, min_docs).withColumn("prefix", _prefix(F.col("key"))).join(copies, "prefix", "left").drop("prefix")
     lines = F.split("row.text", "\n", -1)
-    drop = F.coalesce("lines", F.array().cast("array<int>"))
-    dropped = F.transform(F.array_intersect(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
-    is_copy = F.char_length(F.array_join(dropped, "")) > copy_share * F.char_length(F.regexp_replace("row.text", "\n", ""))
-    spared = F.col("lines").isNull() | is_copy
+
+    def keep(drop):
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i))
+
+    dropped = F.transform("lines", lambda i: F.get(lines, i))
+    is_copy = F.array_contains("copies", F.xxhash64("row.text")) & (
+        F.char_length(F.array_join(dropped, "")) > copy_share * F.char_length(F.regexp_replace("row.text", "\n", "")))
     # ``found`` grows with the documents, so the plan is the same for a table small enough to broadcast it.
-    return (keyed.join(found.hint("merge"), "key", "left").withColumn("spared", spared)
-            .select("row", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-                    F.when(F.col("spared"), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped"),
-                    F.when(F.col("spared"), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("kept_text")))
+    joined = keyed.join(found.hint("merge"), "key", "left").withColumn(
+        "drop", F.when(is_copy, F.col("beyond")).otherwise(F.coalesce("lines", F.array().cast("array<int>"))))
+    return joined.select("row", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+                         F.size("drop").cast("long").alias("n_dropped"),
+                         F.when(F.size("drop") == 0, F.col("row.text")).otherwise(F.array_join(keep(F.col("drop")), "\n")).alias("kept_text"))

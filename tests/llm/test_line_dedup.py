@@ -42,3 +42,13 @@ def test_odd_texts(spark):
     assert run(spark, []) == []
     rows = run(spark, ["x y\nsame line here"] * 6 + [None], [None] * 3 + [4] * 3 + [None])
     assert len(rows) == 7
+
+
+def test_short_pages_with_long_boilerplate_lose_it(spark):
+    block = "\n".join(letters(900 + i, 30) for i in range(4))
+    pages = [f"{block}\n{letters(i, 6)}" for i in range(8)]
+    copies = [letters(500, 20) + "\n" + letters(501, 20)] * 6
+    rows = sorted(run(spark, pages + pages[:1] + copies + [block]), key=lambda r: r.row.doc_id)
+    own = [letters(i, 6) for i in range(8)]
+    assert [r.kept_text for r in rows] == own + own[:1] + copies + [""]
+    assert [r.n_dropped for r in rows] == [4] * 9 + [0] * 6 + [4]
