@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterkit.llm import (ann, decontamination, language_id, line_dedup, lm_scoring, packing, secrets, simhash,
-                           substring_dedup, toxicity)
+from rosterkit.llm import (ann, decontamination, fill_in_middle, language_id, line_dedup, lm_scoring, packing, secrets,
+                           simhash, substring_dedup, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut into prefix, middle and suffix, and rebuilt from the output."""
+    rows = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -94,6 +102,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES = {
@@ -181,4 +190,25 @@ ORACLES = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN hits ON words.id = hits.doc_id LEFT JOIN items ON words.id = items.doc_id WHERE kind = 0
     """,
+    "op12_fill_in_middle": r"""
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id::VARCHAR) AS d,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents
+        ), numbers AS (
+            SELECT doc_id, text, u, len(u) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2,
+                   ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM drawn
+        ), cut AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+                        THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+        ), parts AS (
+            SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut
+        )
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
