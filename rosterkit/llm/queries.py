@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterkit.llm import (ann, decontamination, fill_in_middle, language_id, line_dedup, lm_scoring, packing, secrets,
-                           simhash, substring_dedup, toxicity)
+                           simhash, substring_dedup, toxicity, vector_codes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as four entries of fitted codebooks, with its error and that of its label."""
+    coded, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), vector_codes.written(F.col("codes")).alias("code"), "error", "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text cut into prefix, middle and suffix, and rebuilt from the output."""
     rows = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -102,10 +110,51 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every round as one comparison of all parts with all entries."""
+    steps = [f"""
+        kept AS (
+            SELECT vec_id, label, embedding AS v, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), spread AS (
+            SELECT r, vec_id, len(v) // {parts} AS width, unnest(v) AS x, unnest(range(len(v))) AS place FROM kept
+        ), cells AS (
+            SELECT r, place // width AS part, place % width AS position, floor(1024 * x::DOUBLE)::BIGINT AS x FROM spread
+        ), book0 AS (
+            SELECT part, r - 1 AS entry, position, x AS y FROM cells WHERE r <= {entries}
+        )"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        far{i} AS (
+            SELECT r, part, entry, sum((x - y) * (x - y)) AS far FROM cells JOIN book{i} USING (part, position) GROUP BY ALL
+        ), near{i} AS (
+            SELECT r, part, min((far, entry)) AS best FROM (SELECT r, part, far::BIGINT AS far, entry FROM far{i}) GROUP BY ALL
+        )""")
+        if i < rounds:
+            steps.append(f"""
+        mean{i} AS (
+            SELECT part, best[2] AS entry, position, sum(x)::BIGINT AS total, count(*) AS n FROM cells JOIN near{i} USING (r, part) GROUP BY ALL
+        ), book{i + 1} AS (
+            SELECT part, entry, position, coalesce(total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END, y) AS y
+            FROM book{i} LEFT JOIN mean{i} USING (part, entry, position)
+        )""")
+    return "WITH " + ",".join(steps) + f""",
+        coded AS (
+            SELECT r, string_agg(lpad(lower(hex(best[2])), 2, '0'), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error
+            FROM near{rounds} GROUP BY r
+        )
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+               (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, entry, position)) FROM book{rounds}) AS codebooks_sha256
+        FROM kept JOIN coded USING (r)
+    """
+
+
 ORACLES = {
+    "op11_vector_codes": _vector_codes_sql(),
     "op5_substring_dedup": r"""
         WITH words AS (
             SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
