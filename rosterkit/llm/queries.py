@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterkit.llm import (ann, decontamination, fill_in_middle, language_id, line_dedup, lm_scoring, packing, secrets,
-                           simhash, substring_dedup, toxicity, vector_codes)
+from rosterkit.llm import (ann, decontamination, fill_in_middle, language_id, license_rules, license_scan, line_dedup,
+                           lm_scoring, packing, secrets, simhash, substring_dedup, toxicity, vector_codes)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,19 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every whole text by ordered signature rules."""
+    rows = license_scan.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    rows = rows.select("row.doc_id", "n_words", "spans", base.alias("base"))
+    starts = F.transform("base", lambda s: s["start"].cast("long"))
+    weights = F.transform("spans", lambda s: s["weight"])
+    return rows.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                       F.array_max(starts).alias("last_word"), license_scan.labels_of(F.col("base")).alias("base_labels"),
+                       license_scan.labels_of(F.col("spans")).alias("labels"),
+                       F.coalesce(F.array_max(weights), F.lit(0.0)).alias("score"), F.size("spans").cast("long").alias("n_spans"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -112,6 +125,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_vector_codes": op11_vector_codes,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_license_scan": op13_license_scan,
 }
 
 def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
@@ -153,7 +167,44 @@ def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> st
     """
 
 
+def _license_scan_sql() -> str:
+    """All rules on all texts that hold their first keyword, resolved by a comparison of all detections of a text."""
+    def quoted(text):
+        return "'" + text.replace("'", "''") + "'"
+
+    rules = ",".join(f"({n}, {r.priority}, {quoted(r.label)}, {r.weight}, {r.base}, {quoted(' ' + r.keywords[0] + ' ')}, {quoted(r.expression)})"
+                     for n, r in enumerate(license_rules.all_rules()))
+    return rf"""
+        WITH rules(number, priority, label, weight, base, first, expression) AS (VALUES {rules}), spaced AS (
+            SELECT doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g'), ' ') || ' ' AS w FROM documents
+        ), marked AS (
+            SELECT doc_id, rules.*, string_split(trim(regexp_replace(w, expression, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g'), ' '), '  ') AS m
+            FROM spaced JOIN rules ON contains(w, first)
+        ), found AS (
+            SELECT doc_id, number, priority, label, weight, base, unnest(starts) AS s, unnest(ends) AS e FROM (
+                SELECT *, list_filter(range(len(m)), lambda i: starts_with(m[i + 1], chr(1))) AS starts,
+                       list_filter(range(len(m)), lambda i: ends_with(m[i + 1], chr(2))) AS ends FROM marked)
+        ), standing AS (
+            SELECT * FROM found d WHERE base OR NOT EXISTS (
+                SELECT 1 FROM found c WHERE c.doc_id = d.doc_id AND c.priority <= d.priority AND c.s <= d.s AND c.e >= d.e
+                AND (c.s < d.s OR c.e > d.e OR c.priority < d.priority OR c.number < d.number))
+        ), totals AS (
+            SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+                   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight)::DOUBLE AS score, count(*) AS n_spans
+            FROM standing GROUP BY doc_id
+        )
+        SELECT doc_id, CASE WHEN trim(w) = '' THEN 0 ELSE len(string_split(trim(w, ' '), '  ')) END::BIGINT AS n_words,
+               coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score,
+               coalesce(n_spans, 0)::BIGINT AS n_spans
+        FROM spaced LEFT JOIN totals USING (doc_id)
+    """
+
+
 ORACLES = {
+    "op13_license_scan": _license_scan_sql(),
     "op11_vector_codes": _vector_codes_sql(),
     "op5_substring_dedup": r"""
         WITH words AS (
