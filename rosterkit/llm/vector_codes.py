@@ -4,7 +4,7 @@ Each vector becomes integers and is cut into consecutive parts; each part positi
 coded by its nearest entry.  Some parts per position are fixed pivots.  The distances of every part to its pivots are
 computed once and written next to the integers.  In each round the entries' distances to the same pivots give a lower
 bound of every part-to-entry distance, ``max |d(part, pivot) - d(entry, pivot)|``.  Exact integer distances are evaluated
-in the order of the bounds: first the entry of the least bound, then in blocks what no bound rules out any more.  Pruning
+in the order of the bounds, in growing steps, until the next bound is beyond the nearest entry so far.  Pruning
 keeps a margin for rounding and keeps equal bounds, so the result is that of comparing all entries.
 
 Rows are never shuffled by content: a task sums its parts per entry and one small row per task, part position and entry
@@ -34,11 +34,11 @@ from rosterkit.session import stage
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
-PIVOTS = 6
+PIVOTS = 8
 SCALE = 1024
 LIMIT = 1 << 24
 _BLOCK = 2048      # parts whose bounds are in memory at once
-_FIRST = 8         # entries that a step of exact evaluations takes of each part
+_FIRST = 2         # entries that the first step of exact evaluations takes; each next step takes twice as many
 _MARGIN = 1e-6
 
 
@@ -83,31 +83,23 @@ def nearest_entries(x: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray, p
         for p in range(of_entries.shape[1]):
             np.maximum(lower, np.abs(here[:, p, None] - of_entries[None, :, p]), out=lower)
         lower = np.maximum(lower - _MARGIN, 0) ** 2 * (1 - _MARGIN)
-        rows = np.arange(len(part))
-        first = np.argmin(lower, axis=1)
-        far = ((part - entries[first]) ** 2).sum(axis=1)
-        choice = first.copy()
-        lower[rows, first] = np.inf
-        evaluated += len(part)
+        order = np.argsort(lower, axis=1)
+        lower = np.take_along_axis(lower, order, axis=1)
+        choice = np.full(len(part), len(entries))
+        far = np.full(len(part), np.iinfo(np.int64).max)
+        rows, done, step = np.arange(len(part)), 0, _FIRST
         while len(rows):
-            taken = min(_FIRST, len(entries))
-            order = np.argpartition(lower[rows], taken - 1, axis=1)[:, :taken]
-            row, place = np.nonzero(np.take_along_axis(lower[rows], order, axis=1) <= far[rows, None])
-            if not len(row):
+            tried = order[rows, done:done + step]
+            distance = ((part[rows, None, :] - entries[tried]) ** 2).sum(axis=2)
+            evaluated += distance.size
+            least = distance.min(axis=1)
+            lead = np.where(distance == least[:, None], tried, len(entries)).min(axis=1)
+            better = (least < far[rows]) | ((least == far[rows]) & (lead < choice[rows]))
+            far[rows[better]], choice[rows[better]] = least[better], lead[better]
+            done, step = done + step, 2 * step
+            if done >= len(entries):
                 break
-            tried = order[row, place]
-            row = rows[row]
-            lower[row, tried] = np.inf
-            distance = ((part[row] - entries[tried]) ** 2).sum(axis=1)
-            evaluated += len(row)
-            # The first of a row in this order is its nearest entry of the step, ties to the lower index.
-            rank = np.lexsort((tried, distance, row))
-            row, tried, distance = row[rank], tried[rank], distance[rank]
-            lead = np.concatenate([[True], row[1:] != row[:-1]])
-            row, tried, distance = row[lead], tried[lead], distance[lead]
-            better = (distance < far[row]) | ((distance == far[row]) & (tried < choice[row]))
-            far[row[better]], choice[row[better]] = distance[better], tried[better]
-            rows = row[(lower[row] <= far[row, None]).any(axis=1)]
+            rows = rows[lower[rows, done] <= far[rows]]  # the bounds rise, so the first one decides
         code[at:at + _BLOCK], best[at:at + _BLOCK] = choice, far
     return code, best, evaluated
 
