@@ -29,9 +29,9 @@ def source_run_count(runs: DataFrame) -> DataFrame:
 
 
 def skipped_outputs(eligible: DataFrame, stored: DataFrame) -> DataFrame:
-    """Eligible outputs that are no longer stored: reported, not fatal. ``stored`` has one ``output_path`` column."""
+    """Eligible outputs that are no longer stored: reported, not fatal. ``stored`` lists outputs, such as the output index."""
     wanted = eligible.select(*REPORT_KEY, "output_path").distinct()
-    return wanted.join(stored.select("output_path").distinct(), "output_path", "left_anti")
+    return wanted.join(stored.select("output_path"), "output_path", "left_anti")
 
 
 def compile_rows(rosters: DataFrame, eligible: DataFrame) -> DataFrame:
@@ -93,6 +93,7 @@ def stale_parts(tracked: DataFrame, rebuilt: DataFrame) -> DataFrame:
 def compile_diagnosis(runs: DataFrame, file_logs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """All runs with their file logs and whether each log is eligible; runs without logs are kept.
 
+    ``stored`` lists each output once, as the output index does; then every log tells whether its output is there.
     Two guarded pieces instead of one outer join: a run that owns most logs must not land in one task.
     """
     logs = file_logs.select("run_id", "log_id", "file_name", "sheet_name", "output_path", "output_row_count", "error_msg")
@@ -105,7 +106,7 @@ def compile_diagnosis(runs: DataFrame, file_logs: DataFrame, stored: DataFrame |
     if stored is None:
         return report
     # Logs without an output stay out of the join: their null key would gather them in one task.
-    present = stored.select("output_path").distinct().withColumn("exists", F.lit(True))
+    present = stored.select("output_path").withColumn("exists", F.lit(True))
     written = report.filter(F.col("output_path").isNotNull()).join(present, "output_path", "left")
     return written.unionByName(
         report.filter(F.col("output_path").isNull()), allowMissingColumns=True

@@ -36,7 +36,7 @@ def _common(sheet_name: Column) -> list[Column]:
 
 
 def file_log(raw: DataFrame, tables: DataFrame, distinct: DataFrame, rows_per_part: int = OUTPUT_PART_ROWS) -> DataFrame:
-    """One log row per output part of every table, and one error row per sheet without a table.
+    """One log row per output part of every table (``part_number``), and one error row per sheet without a table.
 
     ``distinct`` are the distinct people of the tables with their copies. All counts combine map-side.
     """
@@ -55,7 +55,7 @@ def file_log(raw: DataFrame, tables: DataFrame, distinct: DataFrame, rows_per_pa
         .withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
         .select(
             *_common(F.col("sheet_label")),
-            F.col("table_no").cast("int").alias("table_index"),
+            F.col("table_no").cast("int").alias("table_index"), F.col("part").cast("long").alias("part_number"),
             F.lit(None).cast("string").alias("error_msg"),
             "identified_headers",
             ((F.size("name") >= 2) | (F.size("firstlastname") > 2)).alias("multiple_name"),
@@ -102,9 +102,10 @@ def recent_runs(runs: DataFrame, limit: int = RECENT_RUNS) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
 
 
-def logs_of_run(file_logs: DataFrame, run_id: int) -> DataFrame:
-    """File logs of one run in insertion order."""
-    return file_logs.filter(F.col("run_id") == run_id).orderBy("log_id")
+def logs_in_order(file_logs: DataFrame, run_id: int | None = None) -> DataFrame:
+    """File logs in the order of insertion, those of one run or of all runs one after the other."""
+    logs = file_logs if run_id is None else file_logs.filter(F.col("run_id") == run_id)
+    return logs.orderBy("run_id", "log_id")
 
 
 def run_log_records(file_logs: DataFrame, runs: DataFrame, output_format: str = "csv") -> DataFrame:

@@ -2,11 +2,11 @@
 
 The store is a folder of Parquet tables:
 
-    runs, rosters                  company / date / run
+    runs, output_index             company / date / run
+    rosters                        company / date / run / output / part, one file each
     file_logs, run_logs            one partition per run
     run_log_exports                the same logs as CSV with a header, one folder per run
-    compiled, compiled_outputs,
-    compiled_summary               company / date
+    compiled, compiled_*           the reports and what they are made of (see ``reports``)
 
 Every write replaces its own partitions only, so a repeated job gives the same store.
 """
@@ -23,27 +23,14 @@ from rosterkit.operators import extract, headers, runlog
 from rosterkit.operators.joins import join_small
 from rosterkit.operators.numbering import number_within
 from rosterkit.operators.profile import header_report
-from rosterkit.schema import (
-    COMPILED_OUTPUTS, FILE_LOGS, REPORT_PART_ROWS, ROSTER_COLUMNS, RUN_LOGS, RUNS,
-)
+from rosterkit.plans.reports import compile_reports
+from rosterkit.schema import FILE_LOGS, REPORT_PART_ROWS, ROSTER_COLUMNS, RUN_LOGS, RUNS
 from rosterkit.session import stage, staging_path
 from rosterkit.sources import archives, catalog, delimited, sinks, workbooks
-from rosterkit.sources.storage import literal_path, path_exists
+from rosterkit.sources.storage import path_exists
 
 RUN_COLUMNS = ["run_id", "company_code", "email_received_date"]
-RUN_KEYS = [*comp.REPORT_KEY, "run_id"]  # how runs are stored
-LITERAL_KEYS = 1000  # a batch of requests has at most a hundred
-WRITTEN = "company_code string, email_received_date string, part_number bigint, output_path string, row_count bigint"
-COMPILED_ROWS = T.StructType([
-    T.StructField("part_number", T.LongType()), T.StructField("company_code", T.StringType()),
-    T.StructField("email_received_date", T.StringType()),
-])
-ROSTER_STORE = T.StructType(
-    [T.StructField("output_path", T.StringType())]
-    + [T.StructField(c, T.StringType()) for c in ROSTER_COLUMNS]
-    + [T.StructField(c, T.StringType()) for c in ("company_code", "email_received_date")]
-    + [T.StructField("run_id", T.LongType())]
-)
+RUN_KEYS = sinks.RUN_KEY
 
 
 @dataclass
@@ -92,13 +79,8 @@ def _member_origins(members: DataFrame, inside: DataFrame) -> DataFrame:
     return found
 
 
-def output_id(run_id: Column, path: Column, sheet: Column) -> Column:
-    """Name of one output: run, file and sheet."""
-    return F.concat(run_id.cast("string"), F.lit("/"), path, F.when(sheet != "", F.concat(F.lit("|"), sheet)).otherwise(""))
-
-
 def process_files(spark: SparkSession, scan: Scan, work: DataFrame, alias: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rosters and file logs of scanned files.
+    """Rosters and file logs of scanned files; the logs name the part of their output, not yet its path.
 
     ``work(run_id, company_code, email_received_date, origin)`` says which run asked for which delivered file. A
     file is detected and extracted once per company, however many runs of that company name it.
@@ -112,9 +94,7 @@ def process_files(spark: SparkSession, scan: Scan, work: DataFrame, alias: DataF
     people = stage(extract.distinct_people(extract.extract_people(raw, tables)), "people")
     roster = people.filter(extract.has_name()).select(*ROSTER_COLUMNS)
     runs_of = owners.select(F.col("path").alias("FILE_PATH"), F.col("company_code").alias("CMPY_NO"), *RUN_COLUMNS)
-    rosters = join_small(roster, runs_of, ["FILE_PATH", "CMPY_NO"], salt_by=ROSTER_COLUMNS).select(
-        output_id(F.col("run_id"), F.col("FILE_PATH"), F.col("SHEET")).alias("output_path"), *ROSTER_COLUMNS, *RUN_COLUMNS
-    )
+    rosters = join_small(roster, runs_of, ["FILE_PATH", "CMPY_NO"], salt_by=ROSTER_COLUMNS).select(*ROSTER_COLUMNS, *RUN_COLUMNS)
     logged = runlog.file_log(raw, tables, people)
     run_keys = owners.select(F.col("path").alias("file_path"), "company_code", "run_id")
     sheets = logged.join(run_keys, ["file_path", "company_code"])
@@ -125,24 +105,25 @@ def process_files(spark: SparkSession, scan: Scan, work: DataFrame, alias: DataF
         "run_id", "file_path", file_name(F.col("file_path")).alias("file_name"),
         extension(F.col("file_path")).alias("extension"), "error_msg",
     )
-    logs = sheets.unionByName(lost, allowMissingColumns=True).withColumn(
-        "output_path",
-        F.when(F.col("output_row_count") > 0, output_id(F.col("run_id"), F.col("file_path"), F.col("sheet_name"))),
-    )
-    return rosters, as_file_logs(logs)
+    return rosters, sheets.unionByName(lost, allowMissingColumns=True)
+
+
+def with_output_paths(logs: DataFrame, index: DataFrame) -> DataFrame:
+    """Logs with the folder of the part they tell of, from the index of what was written."""
+    parts = index.select("run_id", "file_path", F.col("sheet").alias("sheet_name"), "part_number", "output_path")
+    return join_small(logs, parts, ["run_id", "file_path", "sheet_name", "part_number"], "left", salt_by=["file_path", "sheet_name"])
 
 
 def as_file_logs(logs: DataFrame) -> DataFrame:
-    """Exactly the file log columns: other columns are refused by the select, missing ones are null."""
+    """The file log columns and the part: other columns are left out, missing ones are null."""
     have = set(logs.columns)
-    return logs.select(*[
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in FILE_LOGS.fields
-    ])
+    wanted = [*FILE_LOGS.fields, T.StructField("part_number", T.LongType())]
+    return logs.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def numbered_logs(logs: DataFrame) -> DataFrame:
     """File logs with their number within the run, by file, sheet and part, and the time of writing."""
-    ordered = number_within(logs.drop("log_id"), ["run_id"], ["file_path", "sheet_name", "remarks"], "log_id")
+    ordered = number_within(logs.drop("log_id"), ["run_id"], ["file_path", "sheet_name", "part_number"], "log_id")
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     return ordered.withColumn("created_at", now).select(*FILE_LOGS.fieldNames())
 
@@ -167,54 +148,6 @@ def finish_runs(runs: DataFrame, file_logs: DataFrame) -> DataFrame:
     ).select(*[F.col(f.name).cast(f.dataType) for f in RUNS.fields])
 
 
-def of_keys(stored: DataFrame, keys: DataFrame, salt_by: list[str]) -> DataFrame:
-    """Rows of the given companies and dates; ``keys`` are staged and distinct.
-
-    The keys of one batch are few and become literal lists, so that only their partitions are listed and read; with
-    more than ``LITERAL_KEYS`` the join alone selects them.
-    """
-    known = keys.limit(LITERAL_KEYS + 1).collect()
-    if len(known) <= LITERAL_KEYS:
-        for column in comp.REPORT_KEY:
-            stored = stored.filter(F.col(column).isin(sorted({r[column] for r in known})))
-    return join_small(stored, keys, comp.REPORT_KEY, "left_semi", salt_by=salt_by)
-
-
-def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_part: int = REPORT_PART_ROWS) -> DataFrame:
-    """Rebuild the cumulative reports of the given companies and dates from all their finished runs.
-
-    Returns the tracking rows, whose paths are the files of the parts. The touched partitions are rewritten whole,
-    which drops parts that no longer exist. ``compiled_summary`` tells rows, parts, runs and skipped outputs per key.
-    """
-    keys = stage(keys.select(*comp.REPORT_KEY).distinct(), "keys")
-    runs = stage(of_keys(sinks.read_table(spark, f"{store}/runs", RUNS), keys, ["run_id"]), "runs-of-keys")
-    logs = sinks.read_table(spark, f"{store}/file_logs", FILE_LOGS)
-    ids = [r[0] for r in comp.finished_runs(runs).select("run_id").limit(LITERAL_KEYS + 1).collect()]
-    if len(ids) <= LITERAL_KEYS:  # the logs are stored by run
-        logs = logs.filter(F.col("run_id").isin(ids))
-    eligible = stage(comp.eligible_outputs(logs, runs), "eligible")
-    rosters = of_keys(sinks.read_table(spark, f"{store}/rosters", ROSTER_STORE), keys, ROSTER_COLUMNS).select(
-        "output_path", *ROSTER_COLUMNS
-    )
-    parts = comp.compile_parts(comp.compile_rows(rosters, eligible), rows_per_part)
-    sinks.write_report_parts(parts, f"{store}/compiled", rows_per_part)
-    if path_exists(f"{store}/compiled"):
-        files = catalog.decoded_uri(F.col("_metadata.file_path"))
-        rows = spark.read.schema(COMPILED_ROWS).parquet(literal_path(f"{store}/compiled")).withColumn("output_path", files)
-        counts = of_keys(rows, keys, ["output_path"]).groupBy(*comp.PART_KEY, "output_path").agg(F.count("*").alias("row_count"))
-        written = stage(counts, "written")
-    else:
-        written = spark.createDataFrame([], WRITTEN)
-    tracking = written.join(comp.source_run_count(runs), comp.REPORT_KEY, "left").select(
-        *comp.PART_KEY, "output_path", "row_count", "source_run_count",
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("last_updated_at"),
-    )
-    sinks.overwrite_partitions(tracking, f"{store}/compiled_outputs", *comp.REPORT_KEY)
-    summary = comp.report_summary(written, runs, comp.skipped_outputs(eligible, rosters))
-    sinks.overwrite_partitions(summary, f"{store}/compiled_summary", *comp.REPORT_KEY)
-    return of_keys(sinks.read_table(spark, f"{store}/compiled_outputs", COMPILED_OUTPUTS), keys, ["part_number"])
-
-
 def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: DataFrame, rows_per_part: int = REPORT_PART_ROWS) -> None:
     """Scan, log and compile admitted requests: ``run_id, company_code, email_received_date, files, input_folder, user``.
 
@@ -236,7 +169,7 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
     ), "runs")
     # Stored before the work, so that other jobs see the key as busy; the finished run replaces its own partition.
     sinks.overwrite_partitions(runs.select(*RUNS.fieldNames()), f"{store}/runs", *RUN_KEYS)
-    logs = spark.createDataFrame([], FILE_LOGS)
+    logs = as_file_logs(spark.createDataFrame([], FILE_LOGS))
     missing = wanted
     if folders:
         listed = catalog.file_catalog(spark, folders)
@@ -249,7 +182,9 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
         files = work.select("path", F.col("file_name"), "extension", "length", "kind").dropDuplicates(["path"])
         scan = scan_files(spark, stage(files, "files"), folders)
         rosters, logs = process_files(spark, scan, work.select(F.col("path").alias("origin"), *RUN_COLUMNS), alias)
-        sinks.write_rosters(rosters, f"{store}/rosters")
+        index = stage(sinks.write_rosters(rosters, f"{store}/rosters"), "written-index")
+        sinks.write_output_index(index, f"{store}/output_index")
+        logs = as_file_logs(with_output_paths(logs, index))
         missing = wanted.join(work.select("run_id", "file_name"), ["run_id", "file_name"], "left_anti")
     absent = missing.select(
         "run_id", F.concat("input_folder", F.lit("/"), "file_name").alias("file_path"), "file_name",

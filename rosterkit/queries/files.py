@@ -86,13 +86,13 @@ def expand_archive(spark, sf_dir):
 
 def reread_roster(spark, sf_dir):
     """Stored outputs written below a folder with brackets in its name and read back as text."""
-    stored = views.stored_rosters(spark, sf_dir).select(
+    stored = views.stored_rosters(spark, sf_dir).withColumnRenamed("output_path", "named").select(
         "*", F.col("CMPY_NO").alias("company_code"), F.lit("2024-01-01").alias("email_received_date"),
         F.substring_index("FILE_PATH", "_", -1).substr(1, 1).cast("long").alias("run_id"),
     )
     path = render.folder(spark, "out[Sheet 1]")
     sinks.write_rosters(stored, path, rows_per_file=1000)
-    return sinks.reread_rosters(spark, path)
+    return sinks.reread_rosters(spark, path, extra=("named",)).drop("output_path").withColumnRenamed("named", "output_path")
 
 
 def load_aliases(spark, sf_dir):

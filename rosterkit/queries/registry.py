@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rosterkit.queries import detection, extraction, files, libraries, reports, scalars, streams
+from rosterkit.queries import detection, extraction, files, libraries, reports, scalars, store, streams
 
-_MODULES = [scalars, detection, extraction, reports, libraries, files, streams]
+_MODULES = [scalars, detection, extraction, reports, libraries, files, store, streams]
 
 
 def queries() -> dict:

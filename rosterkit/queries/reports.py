@@ -26,8 +26,12 @@ def source_run_count(spark, sf_dir):
     return comp.source_run_count(views.runs(spark, sf_dir))
 
 
+def _outputs(spark, sf_dir):
+    return views.stored_rosters(spark, sf_dir).select("output_path").distinct()
+
+
 def skipped_outputs(spark, sf_dir):
-    return comp.skipped_outputs(_eligible(spark, sf_dir), views.stored_rosters(spark, sf_dir))
+    return comp.skipped_outputs(_eligible(spark, sf_dir), _outputs(spark, sf_dir))
 
 
 def _rows(spark, sf_dir):
@@ -87,7 +91,7 @@ def upsert_compiled(spark, sf_dir):
 
 def compile_diagnosis(spark, sf_dir):
     return comp.compile_diagnosis(
-        views.runs(spark, sf_dir), views.file_logs(spark, sf_dir), views.stored_rosters(spark, sf_dir)
+        views.runs(spark, sf_dir), views.file_logs(spark, sf_dir), _outputs(spark, sf_dir)
     ).orderBy("started_at", "run_id", "log_id")
 
 
@@ -119,7 +123,7 @@ def file_log(spark, sf_dir):
     raw = stage(views.raw_sheets(spark, sf_dir), "raw")
     tables = extract.plan_tables(raw, headers.detect_headers(raw, views.aliases(spark)))
     people = stage(extract.distinct_people(extract.extract_people(raw, tables)), "people")
-    return runlog.file_log(raw, tables, people, rows_per_part=60)
+    return runlog.file_log(raw, tables, people, rows_per_part=60).drop("part_number")
 
 
 def header_report(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterkit.functions import file_name
-from rosterkit.plans import delivery
+from rosterkit.plans import delivery, reports
 from rosterkit.queries import render, sql, views
 from rosterkit.schema import ROSTER_COLUMNS, RUNS
 from rosterkit.sources import sinks
@@ -65,7 +65,7 @@ def stream_requests(spark, sf_dir):
 def stream_compiled(spark, sf_dir):
     """Compiled reports the stream leaves in the store."""
     store = _run_stream(spark, sf_dir)
-    rows = spark.read.parquet(f"{store}/compiled")
+    rows = reports.read_reports(spark, store)
     return rows.select(
         F.col("email_received_date").cast("string").alias("email_received_date"), F.col("part_number").cast("long").alias("part_number"),
         *[c for c in ROSTER_COLUMNS if c != "FILE_PATH"], file_name(F.col("FILE_PATH")).alias("file"),

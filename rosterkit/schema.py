@@ -46,6 +46,7 @@ RAW_ROWS = T.StructType([
 
 ROSTER = T.StructType([T.StructField(c, T.StringType()) for c in ROSTER_COLUMNS])
 
+# --- Fixed values: names and types of the run log. ---
 RUNS = T.StructType([
     T.StructField("run_id", T.LongType()),
     T.StructField("company_code", T.StringType()),
@@ -92,13 +93,35 @@ RUN_LOGS = T.StructType([
     T.StructField("created_at", T.StringType()),
 ])
 
-COMPILED_OUTPUTS = T.StructType([
-    T.StructField("company_code", T.StringType()),
-    T.StructField("email_received_date", T.StringType()),
+# --- End of fixed values. ---
+
+OUTPUT_INDEX = T.StructType([
+    T.StructField("output_path", T.StringType()),     # the folder of the part's file
+    T.StructField("file_path", T.StringType()),
+    T.StructField("sheet", T.StringType()),
     T.StructField("part_number", T.LongType()),
-    T.StructField("output_path", T.StringType()),
     T.StructField("row_count", T.LongType()),
+    T.StructField("fingerprint", T.LongType()),       # of the rows, whatever their order
+    T.StructField("company_code", T.StringType()),
+    T.StructField("email_received_date", T.StringType()),
+    T.StructField("run_id", T.LongType()),
+])
+
+COMPILED_MANIFEST = T.StructType([
+    T.StructField("company_code", T.StringType()),
+    T.StructField("email_received_date", T.StringType()),
+    T.StructField("version", T.LongType()),
+    T.StructField("base_versions", T.ArrayType(T.LongType())),
+    T.StructField("rows_per_part", T.LongType()),
+    T.StructField("total_rows", T.LongType()),
+    T.StructField("part_count", T.LongType()),
     T.StructField("source_run_count", T.LongType()),
+    T.StructField("skipped_files", T.LongType()),
+    T.StructField("parts", T.ArrayType(T.StructType([
+        T.StructField("part_number", T.LongType()),
+        T.StructField("output_path", T.StringType()),
+        T.StructField("row_count", T.LongType()),
+    ]))),
     T.StructField("last_updated_at", T.StringType()),
 ])
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rosterkit.operators.aliases import in_alias_order
-from rosterkit.operators.compile import PART_KEY, REPORT_KEY
-from rosterkit.schema import OUTPUT_PART_ROWS, ROSTER_COLUMNS
-from rosterkit.sources.storage import literal_path, path_exists
+from rosterkit.operators.compile import REPORT_KEY
+from rosterkit.operators.joins import join_small
+from rosterkit.operators.numbering import number_parts
+from rosterkit.schema import OUTPUT_INDEX, OUTPUT_PART_ROWS, ROSTER_COLUMNS
+from rosterkit.session import stage
+from rosterkit.sources.catalog import decoded_uri
+from rosterkit.sources.storage import literal_path, path_exists, remove_file
+
+RUN_KEY = [*REPORT_KEY, "run_id"]  # how runs and their outputs are stored
+LITERAL_RUNS = 1000  # a batch of requests has at most a hundred
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -25,26 +33,63 @@ def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def write_rosters(rosters: DataFrame, path: str, rows_per_file: int = OUTPUT_PART_ROWS) -> None:
-    """Roster rows per company, date and run, in files of a limited size.
+def output_label() -> Column:
+    """Folder name of the output of one file and sheet."""
+    return F.md5(F.to_json(F.struct("FILE_PATH", "SHEET")))
 
-    The rebalance lets adaptive execution gather small runs into few files and split a run that holds most rows.
-    """
-    keys = ["company_code", "email_received_date", "run_id"]
-    rosters.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "maxRecordsPerFile", rows_per_file
-    ).partitionBy(*keys).parquet(path)
 
+def write_rosters(rosters: DataFrame, path: str, rows_per_file: int = OUTPUT_PART_ROWS) -> DataFrame:
+    """Roster rows as one file for each part of each output; returns the index of the written parts.
 
-def write_report_parts(parts: DataFrame, path: str, rows_per_part: int, file_format: str = "parquet") -> None:
+    An output is what one run found on one sheet of one file. Each of its parts has a folder of its own, whose path is
+    the same whenever the run is repeated. Only outputs beyond the row limit are numbered. Other columns go along.
+    """
+    spark = rosters.sparkSession
+    keys = [*RUN_KEY, "output"]
+    named = rosters.withColumn("output", output_label())
+    sizes = named.groupBy(*keys).agg(F.count("*").alias("n"))
+    large = stage(sizes.filter(F.col("n") > rows_per_file).select(*keys), "large-outputs")
+    parts = named.withColumn("part_number", F.lit(1).cast("long"))
+    if not large.isEmpty():
+        whole = join_small(parts, large, keys, "left_anti", salt_by=ROSTER_COLUMNS)
+        cut = number_parts(join_small(named, large, keys, "left_semi", salt_by=ROSTER_COLUMNS), keys, ROSTER_COLUMNS, rows_per_file)
+        parts = whole.unionByName(cut)
+    place = [*keys, "part_number"]
+    parts.repartition(*place).sortWithinPartitions(*place, *ROSTER_COLUMNS).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path)
+    written = stage(parts.select(*place).distinct(), "written-parts")
+    ids = [r[0] for r in written.select("run_id").distinct().limit(LITERAL_RUNS + 1).collect()]
+    stored = join_small(read_rosters(spark, path, ids if len(ids) <= LITERAL_RUNS else None), written, place, "left_semi", salt_by=ROSTER_COLUMNS)
+    return stored.groupBy(*place, "output_path").agg(
+        F.first("FILE_PATH").alias("file_path"), F.first("SHEET").alias("sheet"), F.count("*").alias("row_count"),
+        F.expr("bit_xor(xxhash64(" + ", ".join(ROSTER_COLUMNS) + "))").alias("fingerprint")).select(*OUTPUT_INDEX.fieldNames())
+
+
+def write_output_index(index: DataFrame, path: str) -> None:
+    """The index of one or more runs; an earlier index of the same run is replaced whole."""
+    overwrite_partitions(index, path, *RUN_KEY)
+
+
+def write_report_parts(parts: DataFrame, path: str, rows_per_part: int, partitions: list[str] = REPORT_KEY,
+                       file_format: str = "parquet") -> None:
     """Compiled parts, one file each: a part is bounded, so gathering it in one task is safe.
 
-    The partition is the whole report of a company and date, so a rebuild that needs fewer parts leaves none behind.
     A task may hold several parts of a report; all but the last are full, so the row limit cuts files between parts.
     """
-    parts.repartition(*PART_KEY).sortWithinPartitions(*PART_KEY, *ROSTER_COLUMNS).write.mode("overwrite").option(
+    order = [*partitions, "part_number"]
+    parts.repartition(*order).sortWithinPartitions(*order, *ROSTER_COLUMNS).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).option("maxRecordsPerFile", rows_per_part).partitionBy(*REPORT_KEY).format(file_format).save(path)
+    ).option("maxRecordsPerFile", rows_per_part).partitionBy(*partitions).format(file_format).save(path)
+
+
+def remove_files(paths: DataFrame) -> int:
+    """Remove the files of the column ``path`` (readable paths) in tasks; returns how many there were."""
+    def run(batches):
+        for batch in batches:
+            gone = sum(remove_file(p) for p in batch.column(0).to_pylist() if p)
+            yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], names=["gone"])
+
+    return paths.select("path").distinct().mapInArrow(run, "gone long").agg(F.sum("gone")).first()[0] or 0
 
 
 def write_log_exports(logs: DataFrame, path: str) -> None:
@@ -62,7 +107,21 @@ def write_library(defaults: DataFrame, residual: DataFrame, reference: DataFrame
     quality.orderBy("company_code").write.mode("overwrite").json(f"{path}/quality")
 
 
-def reread_rosters(spark: SparkSession, path: str) -> DataFrame:
+def read_rosters(spark: SparkSession, path: str, run_ids: list[int] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Stored roster rows with every column as text, the folder of their part, and their run.
+
+    Folders of other runs than the given ones are not listed.
+    """
+    fields = [T.StructField(c, T.StringType()) for c in [*ROSTER_COLUMNS, *extra, *REPORT_KEY]]
+    schema = T.StructType([*fields, T.StructField("run_id", T.LongType()), T.StructField("output", T.StringType()), T.StructField("part_number", T.LongType())])
+    if (run_ids is not None and not run_ids) or not path_exists(path):
+        return spark.createDataFrame([], schema.add("output_path", "string"))
+    base = literal_path(path)
+    folders = [base] if run_ids is None else [f"{base}/*/*/run_id={i}" for i in run_ids]
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*folders)
+    return rows.withColumn("output_path", F.regexp_replace(decoded_uri(F.col("_metadata.file_path")), "/[^/]*$", ""))
+
+
+def reread_rosters(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Roster outputs with every column as text and their exact path, whatever characters it has."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ["output_path", *ROSTER_COLUMNS, "company_code", "email_received_date", "run_id"]])
-    return spark.read.schema(schema).parquet(literal_path(path)).withColumn("run_id", F.col("run_id").cast("long"))
+    return read_rosters(spark, path, extra=extra).select("output_path", *ROSTER_COLUMNS, *extra, *RUN_KEY)

@@ -44,6 +44,39 @@ def write_stream(uri: str, chunks) -> int:
     return size
 
 
+def _located(path: str):
+    """File system and path of a readable path or URI, whose characters stand for themselves."""
+    from pyarrow import fs
+
+    if re.match(r"^file:/", path) or "://" not in path:
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    root, rest = re.match(r"^([^:]+://[^/]*)(/.*)$", path).groups()
+    system, base = fs.FileSystem.from_uri(root)
+    return system, f"{base.rstrip('/')}{rest}" if base else rest.lstrip("/")
+
+
+def remove_file(path: str) -> bool:
+    """Remove a file by its readable path; one that is gone already is no error."""
+    try:
+        system, place = _located(path)
+        system.delete_file(place)
+        return True
+    except FileNotFoundError:
+        return False
+
+
+def move_file(path: str, target: str) -> bool:
+    """Move a file by readable paths; False if it is gone. A repeated move leaves one file at the target."""
+    system, place = _located(path)
+    _, goal = _located(target)
+    try:
+        system.create_dir(goal.rsplit("/", 1)[0], recursive=True)
+        system.move(place, goal)
+        return True
+    except FileNotFoundError:
+        return False
+
+
 def literal_path(path: str) -> str:
     """Escape glob characters, for a path that must be read as it is."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)

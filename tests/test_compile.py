@@ -1,12 +1,15 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from rosterkit.operators import compile as comp
 from rosterkit.operators import joins, requests as req
 from rosterkit.operators.numbering import number_parts, number_within
-from rosterkit.plans import delivery
+from rosterkit.plans import delivery, reports
 from rosterkit.schema import FILE_LOGS, ROSTER_COLUMNS, RUNS
 from rosterkit.sources import sinks
+from rosterkit.sources.storage import literal_path
 
 
 def run(run_id, status="completed", company="007", day="2024-01-31"):
@@ -14,27 +17,42 @@ def run(run_id, status="completed", company="007", day="2024-01-31"):
 
 
 def log(run_id, output, n=1):
-    return (1, run_id, "/in/a.csv", "a.csv", "csv", "", 1, None, None, False, 1, n, output, None, None, None, None, None, None, None)
+    return (1, run_id, output, "a.csv", "csv", "", 1, None, None, False, 1, n, output, None, None, None, None, None, None, None)
+
+
+def person(output, name, sheet="2601", run_id=1, company="007", day="2024-01-31"):
+    return ("", "", name, "F", "", company, "00123", output, sheet, company, day, run_id)
+
+
+PEOPLE = ", ".join(f"{c} string" for c in [*ROSTER_COLUMNS, *comp.REPORT_KEY]) + ", run_id long"
+
+
+def deliver(spark, path, people):
+    """Write roster rows and their index."""
+    index = sinks.write_rosters(spark.createDataFrame(people, PEOPLE), f"{path}/rosters")
+    sinks.write_output_index(index, f"{path}/output_index")
+    return {(r.run_id, r.file_path): r.output_path for r in index.collect()}
 
 
-def person(output, name, sheet="2601", run_id=1, company="007", day="2024-01-31", path="/in/a.csv"):
-    return (output, "", "", name, "F", "", company, "00123", path, sheet, company, day, run_id)
+def record(spark, path, runs, logs, places):
+    """Write runs and their logs, with the folders of the outputs that were written."""
+    sinks.overwrite_partitions(spark.createDataFrame(runs, RUNS), f"{path}/runs", *delivery.RUN_KEYS)
+    logs = [(*x[:12], places.get((x[1], x[12]), x[12]), *x[13:]) for x in logs]
+    sinks.overwrite_partitions(spark.createDataFrame(logs, FILE_LOGS), f"{path}/file_logs", "run_id")
 
 
 @pytest.fixture
 def store(spark, tmp_path):
     def build(runs, logs, people):
         path = str(tmp_path / "store")
-        sinks.overwrite_partitions(spark.createDataFrame(runs, RUNS), f"{path}/runs", *delivery.RUN_KEYS)
-        sinks.overwrite_partitions(spark.createDataFrame(logs, FILE_LOGS), f"{path}/file_logs", "run_id")
-        sinks.write_rosters(spark.createDataFrame(people, delivery.ROSTER_STORE), f"{path}/rosters")
+        record(spark, path, runs, logs, deliver(spark, path, people))
         return path
 
     return build
 
 
 def compiled(spark, path):
-    return spark.read.option("basePath", path).parquet(f"{path}/compiled")
+    return reports.read_reports(spark, path)
 
 
 def keys(spark):
@@ -44,13 +62,13 @@ def keys(spark):
 def test_union_of_runs_distinct_and_text_kept(spark, store):
     path = store(
         [run(1), run(2, "failed"), run(3, "running")],
-        [log(1, "o1"), log(2, "o2"), log(3, "o3")],
-        [person("o1", "ADA"), person("o1", "BEN"), person("o2", "ADA", run_id=2), person("o2", "CY", run_id=2),
-         person("o3", "DAN", run_id=3), person("unlogged", "EVE")],
+        [log(1, "o1"), log(2, "o1"), log(3, "o1")],
+        [person("o1", "ADA"), person("o1", "BEN"), person("o1", "ADA", run_id=2), person("o1", "CY", run_id=2),
+         person("o1", "DAN", run_id=3), person("unlogged", "EVE")],
     )
     (tracked,) = delivery.compile_reports(spark, path, keys(spark)).collect()
     assert spark.read.parquet(tracked.output_path).count() == 3
-    (summary,) = spark.read.parquet(f"{path}/compiled_summary").collect()
+    (summary,) = reports.latest_manifests(spark, path).collect()
     assert (summary.total_rows, summary.part_count, summary.source_run_count, summary.skipped_files) == (3, 1, 2, 0)
     assert (tracked.row_count, tracked.part_number, tracked.source_run_count) == (3, 1, 2)
     rows = compiled(spark, path)
@@ -65,15 +83,88 @@ def test_parts_shrink_and_no_stale_part_stays(spark, store):
     assert sorted((r.part_number, r.row_count) for r in first) == [(1, 2), (2, 2), (3, 1)]
     again = delivery.compile_reports(spark, path, keys(spark), rows_per_part=2).collect()
     assert sorted((r.part_number, r.row_count) for r in again) == [(1, 2), (2, 2), (3, 1)]
-    sinks.write_rosters(spark.createDataFrame(many[:2], delivery.ROSTER_STORE), f"{path}/rosters")
+    deliver(spark, path, many[:2])
     last = delivery.compile_reports(spark, path, keys(spark), rows_per_part=2).collect()
     assert [(r.part_number, r.row_count) for r in last] == [(1, 2)]
     assert compiled(spark, path).count() == 2
-    from pathlib import Path
+    assert len(list(Path(path, "compiled").rglob("*.parquet"))) == 1
+
 
+def test_next_run_reads_its_own_rows_and_the_hashes_only(spark, store):
+    path = store([run(1)], [log(1, "a")], [person("a", f"N{i}") for i in range(5)])
+    delivery.compile_reports(spark, path, keys(spark), rows_per_part=2)
+    (first,) = reports.latest_manifests(spark, path).collect()
+    full = [p.output_path for p in first.parts[:2]]
+    # The rows of the first run cannot be read any more; its outputs are still listed.
+    for file in Path(path, "rosters").rglob("*.parquet"):
+        file.write_bytes(b"")
+    places = deliver(spark, path, [person("a", f"N{i}", run_id=2) for i in range(3, 8)] + [person("b", "N1", run_id=2)])
+    record(spark, path, [run(2)], [log(2, "a"), log(2, "b")], places)
+    delivery.compile_reports(spark, path, keys(spark), rows_per_part=2)
+    (second,) = reports.latest_manifests(spark, path).collect()
+    assert [p.output_path for p in second.parts[:2]] == full
+    assert [(p.part_number, p.row_count) for p in second.parts] == [(1, 2), (2, 2), (3, 2), (4, 2), (5, 1)]
+    assert (second.total_rows, second.source_run_count, second.base_versions) == (9, 2, [1, 2])
+    rows = compiled(spark, path).collect()
+    assert sorted((r.COMPLETE_NAME, r.FILE_PATH) for r in rows) == sorted([(f"N{i}", "a") for i in range(8)] + [("N1", "b")])
+    assert len(list(Path(path, "compiled").rglob("*.parquet"))) == 5
+    # Nothing new: the same parts under a new manifest.
+    delivery.compile_reports(spark, path, keys(spark), rows_per_part=2)
+    (third,) = reports.latest_manifests(spark, path).collect()
+    assert (third.parts, third.version) == (second.parts, 3)
+
+
+def test_increments_give_what_a_rebuild_gives(spark, store, tmp_path):
+    def people(run_id):
+        return [person(f"f{run_id % 2}", f"N{(i * run_id) % 23}", run_id=run_id, company=c) for i in range(12) for c in ("007", "x y:z")]
+
+    both = spark.createDataFrame([(c, "2024-01-31") for c in ("007", "x y:z")], comp.REPORT_KEY)
+    path = str(tmp_path / "store")
+    for run_id in (1, 3, 4, 6):
+        runs = [run(run_id * 10 + k, company=c) for k, c in enumerate(("007", "x y:z"))]
+        rows = [(*p[:11], run_id * 10 + (p[9] != "007")) for p in people(run_id)]
+        logs = [log(r[0], f"f{run_id % 2}") for r in runs]
+        record(spark, path, runs, logs, deliver(spark, path, rows))
+        delivery.compile_reports(spark, path, both, rows_per_part=4)
+    grown = sorted(map(repr, compiled(spark, path).drop("part_number").collect()))
+    sizes = sorted((m.company_code, [p.row_count for p in m.parts]) for m in reports.latest_manifests(spark, path).collect())
+    delivery.compile_reports(spark, path, both, rows_per_part=5)  # other parts: all is built again
+    assert sorted(map(repr, compiled(spark, path).drop("part_number").collect())) == grown
+    assert all(sum(s) == len(grown) // 2 and all(n == 4 for n in s[:-1]) for _, s in sizes) and len(grown) == len(set(grown))
+    assert {len(m.base_versions) for m in reports.latest_manifests(spark, path).collect()} == {1}
+
+
+def test_report_without_rows_has_no_parts_and_no_files(spark, store):
+    path = store([run(1), run(2, company="008")], [log(1, "a"), log(2, "a")], [person("a", "ADA"), person("a", "BEN", run_id=2, company="008")])
+    both = spark.createDataFrame([("007", "2024-01-31"), ("008", "2024-01-31")], comp.REPORT_KEY)
+    assert delivery.compile_reports(spark, path, both).count() == 2
+    record(spark, path, [run(1)], [log(1, "a")], {})  # the log names an output that is not there
+    assert [r.company_code for r in delivery.compile_reports(spark, path, both).collect()] == ["008"]
+    empty = {m.company_code: m for m in reports.latest_manifests(spark, path).collect()}["007"]
+    assert (empty.total_rows, empty.part_count, empty.parts, empty.skipped_files) == (0, 0, [], 1)
+    assert [r.COMPLETE_NAME for r in compiled(spark, path).collect()] == ["BEN"]
     assert len(list(Path(path, "compiled").rglob("*.parquet"))) == 1
 
 
+def test_older_fencing_number_is_not_published(spark, store):
+    path = store([run(1)], [log(1, "a")], [person("a", "ADA")])
+    delivery.compile_reports(spark, path, keys(spark), version=7)
+    with pytest.raises(reports.StaleWriter):
+        delivery.compile_reports(spark, path, keys(spark), version=5)
+    (manifest,) = reports.latest_manifests(spark, path).collect()
+    assert manifest.version == 7 and compiled(spark, path).count() == 1
+
+
+def test_outputs_are_cut_into_parts_that_the_index_names(spark, tmp_path):
+    path = str(tmp_path / "odd [x] {y}")
+    people = [person("/in/a b%20.csv", f"N{i}", company="a:b/c") for i in range(7)] + [person("c", "C", sheet="")]
+    index = sinks.write_rosters(spark.createDataFrame(people, PEOPLE), f"{path}/rosters", rows_per_file=3).collect()
+    assert sorted((r.file_path, r.part_number, r.row_count) for r in index) == [("/in/a b%20.csv", 1, 3), ("/in/a b%20.csv", 2, 3), ("/in/a b%20.csv", 3, 1), ("c", 1, 1)]
+    for r in index:
+        assert spark.read.parquet(literal_path(r.output_path)).count() == r.row_count
+        assert len(list(Path(r.output_path.replace("file:", "", 1)).glob("*.parquet"))) == 1
+
+
 def test_missing_output_is_skipped_and_reported(spark):
     runs, logs = spark.createDataFrame([run(1)], RUNS), spark.createDataFrame([log(1, "o1"), log(1, "gone")], FILE_LOGS)
     eligible = comp.eligible_outputs(logs, runs)

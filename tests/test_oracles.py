@@ -12,7 +12,7 @@ CHECKED = [
     "match_key", "clean_name", "parse_date", "complete_name", "unique_names", "column_blocks", "detect_header",
     "infer_column_type", "extract_roster", "dedup_rows", "compile_parts", "report_summary", "stale_parts", "compile_diagnosis",
     "parted_output", "run_outcome", "validate_requests", "admit_runs", "alias_defaults", "alias_residual", "merge_aliases",
-    "scan_quoted_text", "scan_odd_text", "file_log",
+    "scan_quoted_text", "scan_odd_text", "file_log", "output_index", "shrunken_reports",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")

@@ -1,7 +1,7 @@
 import json
 import os
 
-from rosterkit.plans import delivery
+from rosterkit.plans import delivery, reports
 from rosterkit.schema import RUNS
 from rosterkit.sources import sinks
 from rosterkit.streaming import deliveries, requests
@@ -38,8 +38,8 @@ def test_request_stream_end_to_end(spark, alias, tmp_path):
     requests.retry_deferred(spark, store, work)
     assert len(runs()) == 2
     # Both runs delivered the same file, so the report still has each person once.
-    assert spark.read.parquet(f"{store}/compiled").count() == 2
-    (tracked,) = spark.read.parquet(f"{store}/compiled_outputs").collect()
+    assert reports.read_reports(spark, store).count() == 2
+    (tracked,) = reports.tracked_parts(reports.latest_manifests(spark, store)).collect()
     assert (tracked.row_count, tracked.source_run_count) == (2, 2)
     for record in spark.read.parquet(f"{store}/run_logs").collect():
         assert spark.read.option("header", True).csv(record.output_path).count() in (1, 3)
@@ -85,7 +85,7 @@ def test_archive_members_belong_to_their_delivered_file(spark, alias, tmp_path):
         "run_id bigint, company_code string, email_received_date string, files string, input_folder string, user string",
     )
     delivery.run_requests(spark, store, admitted, alias)
-    (row,) = spark.read.parquet(f"{store}/compiled").collect()
+    (row,) = reports.read_reports(spark, store).collect()
     assert row.COMPLETE_NAME == "ADA MARA" and row.FILE_PATH.endswith("people.csv")
     (run,) = sinks.read_table(spark, f"{store}/runs", RUNS).collect()
     assert (run.status, run.files_processed) == ("completed", 1)
