@@ -170,18 +170,18 @@ ORACLES = {
         FROM v GROUP BY ALL HAVING number_share >= 0.9""",
     "detect_fallback": f"""WITH {sql.PERSONS}, f AS (SELECT DISTINCT company_code, file_no FROM persons),
         m(fam, col_start, col_end, header_row_idx, name_cols, pair_cols, sex_cols, dob_cols, policy_cols, method, identified_headers) AS (VALUES
-          ('std', 0, 3, 2, '0', '', '1', '2', '3', 'exact', 'Insured Name, Sex, DOB, Policy No'),
-          ('multi', 0, 2, 0, '0,1', '', '', '', '2', 'exact', 'Name, Name, Policy No'),
-          ('pair', 0, 4, 0, '', '0,1,2,3', '', '', '4', 'exact', 'LastName, FirstName, LastName, FirstName, Policy No'),
-          ('digits', 0, 3, 0, '0', '1,2', '', '', '3', 'exact', 'Name, LastName, FirstName, Policy No'),
+          ('std', 0, 3, 2, '0', '', '1', '2', '3', 'exact', 'Member Name, Gender, Born, Contract No'),
+          ('multi', 0, 2, 0, '0,1', '', '', '', '2', 'exact', 'Name, Name, Contract No'),
+          ('pair', 0, 4, 0, '', '0,1,2,3', '', '', '4', 'exact', 'FamilyName, GivenName, FamilyName, GivenName, Contract No'),
+          ('digits', 0, 3, 0, '0', '1,2', '', '', '3', 'exact', 'Name, FamilyName, GivenName, Contract No'),
           ('bare', 0, 3, -1, '0', '', '1', '2', '3', 'content', ''),
-          ('two', 0, 1, 0, '0', '', '', '', '1', 'exact', 'Name, Policy No'),
-          ('two', 3, 4, 0, '3', '', '4', '', '', 'exact', 'Full Name, Sex'),
-          ('typo', 0, 3, 0, '0', '', '1', '2', '3', 'fuzzy', 'Insurd Nam, Gendr, Date of Brth, Policy Nmber'),
-          ('numname', 0, 1, 0, '0', '', '', '', '1', 'exact', 'Name, PolicyNo'))
+          ('two', 0, 1, 0, '0', '', '', '', '1', 'exact', 'Name, Contract No'),
+          ('two', 3, 4, 0, '3', '', '4', '', '', 'exact', 'Whole Name, Gender'),
+          ('typo', 0, 3, 0, '0', '', '1', '2', '3', 'fuzzy', 'Membr Nam, Gendr, Brth Date, Contract Nmber'),
+          ('numname', 0, 1, 0, '0', '', '', '', '1', 'exact', 'Name, ContractNo'))
         SELECT company_code, '/in/' || fam || '_' || CAST(file_no AS VARCHAR) || '.csv' AS file_path, 'S1' AS sheet, col_start, col_end,
           header_row_idx, name_cols, pair_cols, sex_cols, dob_cols, policy_cols, method,
-          CASE WHEN company_code = 'CO3' THEN replace(identified_headers, 'Insured Name', 'Assured') ELSE identified_headers END AS identified_headers
+          CASE WHEN company_code = 'CO3' THEN replace(identified_headers, 'Member Name', 'Assured') ELSE identified_headers END AS identified_headers
         FROM f CROSS JOIN m""",
 }
 

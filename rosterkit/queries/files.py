@@ -195,7 +195,7 @@ ORACLES = {
           ['Name', 'First/Last', 'Sex', 'DOB', 'Policy #', 'Prem', '—'][p_partkey % 7 + 1] AS label FROM part),
         e AS (SELECT company_code, category, unnest(CASE WHEN k % 2 = 0 THEN [upper(p_name), replace(p_name, ' ', '') || 'x'] ELSE [replace(p_name, ' ', '')] END) AS text FROM p WHERE category IS NOT NULL
           UNION ALL SELECT company_code, 'note', '[' || label || '] Unsafe ' || p_type FROM p WHERE k % 5 = 0
-          UNION ALL SELECT DISTINCT company_code, 'note', '(company-level) older layout' FROM p WHERE c % 3 = 0
+          UNION ALL SELECT DISTINCT company_code, 'note', '[heading] older layout' FROM p WHERE c % 3 = 0
           UNION ALL SELECT DISTINCT company_code, 'note', 'Face-sheet delivery.' FROM p WHERE c % 4 = 0)
         SELECT company_code, category, text, count(*) AS n FROM e GROUP BY ALL""",
 }

@@ -254,17 +254,17 @@ def _file_log_oracle() -> str:
     # Per layout and file: output rows, missing names, header texts, straight from the persons.
     tables = {
         "std": ("S1", 1, "count(*) FILTER (k % 11 <> 0)", "count(*) FILTER (k % 11 = 0)", "3",
-                "CASE WHEN company_code = 'CO3' THEN 'Assured' ELSE 'Insured Name' END || ', Sex, DOB, Policy No'", "false", "NULL",
-                "CASE WHEN company_code = 'CO3' THEN 'Assured' ELSE 'Insured Name' END", "'Policy No'", "'DOB'", "'Sex'"),
-        "multi": ("S1", 1, "2 * count(*) FILTER (k % 3 <> 0)", "0", "1", "'Name, Name, Policy No'", "true", "NULL", "'Name, Name'", "'Policy No'", "NULL", "NULL"),
-        "pair": ("S1", 1, "count(*) + count(*) FILTER (k % 4 <> 0)", "0", "1", "'LastName, FirstName, LastName, FirstName, Policy No'", "true",
-                 "'LastName, FirstName, LastName, FirstName'", "NULL", "'Policy No'", "NULL", "NULL"),
-        "digits": ("S1", 1, "count(*)", "0", "1", "'Name, LastName, FirstName, Policy No'", "false", "'LastName, FirstName'", "'Name'", "'Policy No'", "NULL", "NULL"),
+                "CASE WHEN company_code = 'CO3' THEN 'Assured' ELSE 'Member Name' END || ', Gender, Born, Contract No'", "false", "NULL",
+                "CASE WHEN company_code = 'CO3' THEN 'Assured' ELSE 'Member Name' END", "'Contract No'", "'Born'", "'Gender'"),
+        "multi": ("S1", 1, "2 * count(*) FILTER (k % 3 <> 0)", "0", "1", "'Name, Name, Contract No'", "true", "NULL", "'Name, Name'", "'Contract No'", "NULL", "NULL"),
+        "pair": ("S1", 1, "count(*) + count(*) FILTER (k % 4 <> 0)", "0", "1", "'FamilyName, GivenName, FamilyName, GivenName, Contract No'", "true",
+                 "'FamilyName, GivenName, FamilyName, GivenName'", "NULL", "'Contract No'", "NULL", "NULL"),
+        "digits": ("S1", 1, "count(*)", "0", "1", "'Name, FamilyName, GivenName, Contract No'", "false", "'FamilyName, GivenName'", "'Name'", "'Contract No'", "NULL", "NULL"),
         "bare": ("S1", 1, "count(*)", "0", "0", "''", "false", "NULL", "'column_1'", "'column_4'", "'column_3'", "'column_2'"),
-        "two1": ("S1_table1", 1, "count(DISTINCT (p_name, policy))", "0", "1", "'Name, Policy No'", "false", "NULL", "'Name'", "'Policy No'", "NULL", "NULL"),
-        "two2": ("S1_table2", 2, "count(DISTINCT (w1, w2, sex_code))", "0", "1", "'Full Name, Sex'", "false", "NULL", "'Full Name'", "NULL", "NULL", "'Sex'"),
-        "typo": ("S1", 1, "count(*)", "0", "1", "'Insurd Nam, Gendr, Date of Brth, Policy Nmber'", "false", "NULL", "'Insurd Nam'", "'Policy Nmber'", "'Date of Brth'", "'Gendr'"),
-        "numname": ("S1", 1, "0", "count(*)", "1", "'Name, PolicyNo'", "false", "NULL", "'Name'", "'PolicyNo'", "NULL", "NULL"),
+        "two1": ("S1_table1", 1, "count(DISTINCT (p_name, policy))", "0", "1", "'Name, Contract No'", "false", "NULL", "'Name'", "'Contract No'", "NULL", "NULL"),
+        "two2": ("S1_table2", 2, "count(DISTINCT (w1, w2, sex_code))", "0", "1", "'Whole Name, Gender'", "false", "NULL", "'Whole Name'", "NULL", "NULL", "'Gender'"),
+        "typo": ("S1", 1, "count(*)", "0", "1", "'Membr Nam, Gendr, Brth Date, Contract Nmber'", "false", "NULL", "'Membr Nam'", "'Contract Nmber'", "'Brth Date'", "'Gendr'"),
+        "numname": ("S1", 1, "0", "count(*)", "1", "'Name, ContractNo'", "false", "NULL", "'Name'", "'ContractNo'", "NULL", "NULL"),
     }
     selects = []
     for key, (label, no, out, missing, above, ids, multi, pair, name, pol, dob, sex) in tables.items():

@@ -28,28 +28,28 @@ persons AS (
 _FAMILIES = {
     "std": (
         ["['Delivery list']", "['', '  ', NULL]",
-         "[CASE WHEN company_code = 'CO3' THEN 'Assured' ELSE 'Insured Name' END, 'Sex', 'DOB', 'Policy No']"],
+         "[CASE WHEN company_code = 'CO3' THEN 'Assured' ELSE 'Member Name' END, 'Gender', 'Born', 'Contract No']"],
         "[CASE WHEN k % 11 = 0 THEN '' ELSE p_name END, sex_text, date_text, policy]",
     ),
-    "multi": (["['Name', 'Name', 'Policy No']"],
+    "multi": (["['Name', 'Name', 'Contract No']"],
               "[p_name, CASE WHEN k % 3 = 0 THEN '' ELSE w2 || ' ' || w1 END, policy]"),
-    "pair": (["['LastName', 'FirstName', 'LastName', 'FirstName', 'Policy No']"],
+    "pair": (["['FamilyName', 'GivenName', 'FamilyName', 'GivenName', 'Contract No']"],
              "[w1, w2, CASE WHEN k % 4 = 0 THEN ' ' ELSE w2 END, CASE WHEN k % 4 = 0 THEN ' ' ELSE tag END, policy]"),
-    "digits": (["['Name', 'LastName', 'FirstName', 'Policy No']"], "[c_name, w1, w2, policy]"),
+    "digits": (["['Name', 'FamilyName', 'GivenName', 'Contract No']"], "[c_name, w1, w2, policy]"),
     "bare": ([], "[w1 || ' ' || w2 || ' ' || tag, sex_text, iso_date, policy]"),
-    "two": (["['Name', 'Policy No', NULL, 'Full Name', 'Sex']"],
+    "two": (["['Name', 'Contract No', NULL, 'Whole Name', 'Gender']"],
             "[p_name, policy, NULL, w2 || ' ' || w1, sex_text]"),
-    "typo": (["['Insurd Nam', 'Gendr', 'Date of Brth', 'Policy Nmber']"], "[p_name, sex_text, iso_date, policy]"),
-    "numname": (["['Name', 'PolicyNo']"], "[lpad(CAST(k AS VARCHAR), 9, '1'), policy]"),
+    "typo": (["['Membr Nam', 'Gendr', 'Brth Date', 'Contract Nmber']"], "[p_name, sex_text, iso_date, policy]"),
+    "numname": (["['Name', 'ContractNo']"], "[lpad(CAST(k AS VARCHAR), 9, '1'), policy]"),
     "nomatch": (["['Premium', 'Amount']"], "[CAST(k * 10 AS VARCHAR), CAST(r AS VARCHAR) || '.50']"),
 }
 
 ALIASES = """
 alias(company_code, field, alias_norm) AS (VALUES
-  ('*', 'name', 'name'), ('*', 'name', 'insuredname'), ('*', 'name', 'fullname'),
-  ('*', 'firstlastname', 'firstname'), ('*', 'firstlastname', 'lastname'),
-  ('*', 'sex', 'sex'), ('*', 'sex', 'gender'), ('*', 'dob', 'dob'), ('*', 'dob', 'dateofbirth'),
-  ('*', 'policynum', 'policyno'), ('*', 'policynum', 'policynumber'), ('CO3', 'name', 'assured')
+  ('*', 'name', 'name'), ('*', 'name', 'membername'), ('*', 'name', 'wholename'),
+  ('*', 'firstlastname', 'givenname'), ('*', 'firstlastname', 'familyname'),
+  ('*', 'sex', 'gender'), ('*', 'sex', 'sexcode'), ('*', 'dob', 'born'), ('*', 'dob', 'birthdate'),
+  ('*', 'policynum', 'contractno'), ('*', 'policynum', 'contractnumber'), ('*', 'policynum', 'coverref'), ('CO3', 'name', 'assured')
 )"""
 
 # Characters stripped from the ends of a cell in the generated data; the data holds plain spaces only.

@@ -16,11 +16,11 @@ COMPANIES = 7
 
 # A small generic alias table; larger libraries are user input.
 GENERIC_ALIASES = {
-    "name": ["Name", "Insured Name", "Full Name"],
-    "firstlastname": ["First Name", "Last Name"],
-    "sex": ["Sex", "Gender"],
-    "dob": ["DOB", "Date of Birth"],
-    "policynum": ["Policy No", "Policy Number"],
+    "name": ["Name", "Member Name", "Whole Name"],
+    "firstlastname": ["Given Name", "Family Name"],
+    "sex": ["Gender", "Sex Code"],
+    "dob": ["Born", "Birth Date"],
+    "policynum": ["Contract No", "Contract Number", "Cover Ref"],
 }
 COMPANY_ALIASES = {"CO3": {"name": ["Assured"]}}
 
@@ -90,38 +90,38 @@ def sheet_families() -> dict[str, tuple[list[Column], Column]]:
     """Sheet layouts: rows above the data, and the cells of a data row."""
     c = F.col
     swapped = F.concat_ws(" ", "w2", "w1")
-    first_header = F.when(c("company_code") == "CO3", "Assured").otherwise("Insured Name")
+    first_header = F.when(c("company_code") == "CO3", "Assured").otherwise("Member Name")
     return {
         "std": (
-            [_cells("Delivery list"), _cells("", "  ", None), _cells(first_header, "Sex", "DOB", "Policy No")],
+            [_cells("Delivery list"), _cells("", "  ", None), _cells(first_header, "Gender", "Born", "Contract No")],
             _cells(F.when(c("k") % 11 == 0, "").otherwise(c("p_name")), c("sex_text"), c("date_text"), c("policy")),
         ),
         "multi": (
-            [_cells("Name", "Name", "Policy No")],
+            [_cells("Name", "Name", "Contract No")],
             _cells(c("p_name"), F.when(c("k") % 3 == 0, "").otherwise(swapped), c("policy")),
         ),
         "pair": (
-            [_cells("LastName", "FirstName", "LastName", "FirstName", "Policy No")],
+            [_cells("FamilyName", "GivenName", "FamilyName", "GivenName", "Contract No")],
             _cells(
                 c("w1"), c("w2"), F.when(c("k") % 4 == 0, " ").otherwise(c("w2")),
                 F.when(c("k") % 4 == 0, " ").otherwise(c("tag")), c("policy"),
             ),
         ),
         "digits": (
-            [_cells("Name", "LastName", "FirstName", "Policy No")],
+            [_cells("Name", "FamilyName", "GivenName", "Contract No")],
             _cells(c("c_name"), c("w1"), c("w2"), c("policy")),
         ),
         "bare": ([], _cells(F.concat_ws(" ", "w1", "w2", "tag"), c("sex_text"), c("iso_date"), c("policy"))),
         "two": (
-            [_cells("Name", "Policy No", None, "Full Name", "Sex")],
+            [_cells("Name", "Contract No", None, "Whole Name", "Gender")],
             _cells(c("p_name"), c("policy"), None, swapped, c("sex_text")),
         ),
         "typo": (
-            [_cells("Insurd Nam", "Gendr", "Date of Brth", "Policy Nmber")],
+            [_cells("Membr Nam", "Gendr", "Brth Date", "Contract Nmber")],
             _cells(c("p_name"), c("sex_text"), c("iso_date"), c("policy")),
         ),
         "numname": (
-            [_cells("Name", "PolicyNo")],
+            [_cells("Name", "ContractNo")],
             _cells(F.lpad(c("k").cast("string"), 9, "1"), c("policy")),
         ),
         "nomatch": (

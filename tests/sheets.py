@@ -8,7 +8,7 @@ from rosterkit.operators import extract
 from rosterkit.operators.headers import detect_headers
 from rosterkit.schema import RAW_ROWS
 
-HEADER = ["Name", "Sex", "DOB", "Policy No"]
+HEADER = ["Name", "Gender", "Born", "Contract No"]
 ROW_1 = ["Ada Mara", "F", "1990-01-15", "P000001"]
 ROW_2 = ["Ben Okto", "m", "15/02/1985", "P000002"]
 

@@ -6,19 +6,19 @@ from rosterkit.operators.profile import header_report
 
 BLANK = ["", None, " ", ""]
 PEOPLE = [[f"{a} Mara", "F", "1990-01-15", f"P00000{i}"] for i, a in enumerate(["Ada", "Ben", "Cleo", "Dan", "Eve"])]
-SIDE_BY_SIDE = [["Name", "DOB", None, "Product", "Rate"], ["Ada Mara", "1990-01-15", None, "Term", "1.5"]]
-OWN_ALIAS = [["Assured", "DOB"], ["Ada Mara", "1990-01-15"]]
+SIDE_BY_SIDE = [["Name", "Born", None, "Product", "Rate"], ["Ada Mara", "1990-01-15", None, "Term", "1.5"]]
+OWN_ALIAS = [["Assured", "Born"], ["Ada Mara", "1990-01-15"]]
 CASES = {
     "basic": {"rows": [HEADER, ROW_1, ROW_2]},
     "late": {"rows": [["Delivery"], ["Unit 7"], BLANK, BLANK, BLANK, HEADER, ROW_1]},
     "very late": {"rows": [["A"], ["B"], ["C"], *[BLANK] * 8, HEADER, ROW_1]},
     "too late": {"rows": [*[["x"]] * 50, HEADER, ROW_1]},
     "side by side": {"rows": SIDE_BY_SIDE},
-    "similar": {"rows": [["Insurd Nam", "Sex", "DOB", "Policy No"], ROW_1]},
+    "similar": {"rows": [["Membr Nam", "Gender", "Born", "Contract No"], ROW_1]},
     "headerless": {"rows": PEOPLE},
     "name pair": {"rows": [[f"Mara {a}", f"{b} Lee", f"Kay {a}{b}"] for a, b in zip("ABCDE", "FGHIJ")]},
     "labels": {"rows": [["Premium", "Amount"], *[["Term plan", "10"]] * 5]},
-    "no anchor": {"rows": [["Sex", "DOB"], ["F", "1990-01-15"]]},
+    "no anchor": {"rows": [["Gender", "Born"], ["F", "1990-01-15"]]},
     "own alias": {"rows": OWN_ALIAS, "company": "CO3"},
     "other company": {"rows": OWN_ALIAS, "company": "CO1"},
 }
@@ -32,7 +32,7 @@ def found(spark, alias):
 def test_basic_header(found):
     (m,) = found.tables("basic")
     assert (m.header_row_idx, m.name, m.sex, m.dob, m.policynum, m.method) == (0, [0], [1], [2], [3], "exact")
-    assert m.identified_headers == "Name, Sex, DOB, Policy No"
+    assert m.identified_headers == "Name, Gender, Born, Contract No"
 
 
 def test_header_below_banner_and_blank_rows(found):
@@ -96,10 +96,10 @@ def test_categories(spark):
 
 
 def test_header_report(spark):
-    rows = header_report(raw(spark, ["Insured Name", "Sex", "DOB", "Policy No"], *PEOPLE)).collect()
+    rows = header_report(raw(spark, ["Member Name", "Gender", "Born", "Contract No"], *PEOPLE)).collect()
     assert [(r.header, r.column_index, r.row_index, r.category, r.table) for r in rows] == [
-        ("Insured Name", 0, 0, "Name", "Table 1"), ("Sex", 1, 0, "Sex", "Table 1"),
-        ("DOB", 2, 0, "DOB", "Table 1"), ("Policy No", 3, 0, "PolicyNumber", "Table 1"),
+        ("Member Name", 0, 0, "Name", "Table 1"), ("Gender", 1, 0, "Sex", "Table 1"),
+        ("Born", 2, 0, "DOB", "Table 1"), ("Contract No", 3, 0, "PolicyNumber", "Table 1"),
     ]
     rows = header_report(raw(spark, ["Premium", "Claim ID", "Notes"], ["100", "A?", "x y z!"], ["250", "B?", "q!"])).collect()
     assert rows[0].category == "Numeric"

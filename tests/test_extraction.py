@@ -4,22 +4,22 @@ from sheets import HEADER, ROW_1, ROW_2, Sheets, raw
 from rosterkit.operators import extract, runlog
 from rosterkit.schema import ROSTER_COLUMNS
 
-TWO_NAMES = [["Name", "Name", "Policy No"], ["Ada Mara", "Ben Okto", "P1"], ["Cy Solo", "", "P2"]]
+TWO_NAMES = [["Name", "Name", "Contract No"], ["Ada Mara", "Ben Okto", "P1"], ["Cy Solo", "", "P2"]]
 CASES = {
     "standard": [HEADER, ROW_1, ROW_2],
     "names": TWO_NAMES,
-    "single names": [["Name", "Name", "Policy No"], ["Ada Mara", "", "P1"], ["", "Ben Okto", "P2"]],
+    "single names": [["Name", "Name", "Contract No"], ["Ada Mara", "", "P1"], ["", "Ben Okto", "P2"]],
     "pairs": [
-        ["LastName", "FirstName", "LastName", "FirstName", "Policy No"],
+        ["FamilyName", "GivenName", "FamilyName", "GivenName", "Contract No"],
         ["Mara", "Ada", "Okto", "Ben", "P1"], ["Lee", "Kay", "", None, "P2"],
     ],
-    "odd pair": [["LastName", "FirstName", "Last Name", "Policy No"], ["Mara", "Ada", "Okto", "P1"]],
-    "null part": [["LastName", "FirstName", "Policy No"], ["Mara", None, "P1"], ["Okto", " ", "P2"]],
-    "digits": [["Name", "LastName", "FirstName", "Policy No"], ["P123456", "Mara", "Ada", "P1"], ["Ben Okto", "Mara", "Ada", "P2"]],
-    "digits only": [["Name", "Policy No"], ["Ada 7", "P1"]],
-    "numbers": [["Name", "PolicyNo"], *[[f"12345678{i}", f"P{i}"] for i in range(5)]],
+    "odd pair": [["FamilyName", "GivenName", "Family Name", "Contract No"], ["Mara", "Ada", "Okto", "P1"]],
+    "null part": [["FamilyName", "GivenName", "Contract No"], ["Mara", None, "P1"], ["Okto", " ", "P2"]],
+    "digits": [["Name", "FamilyName", "GivenName", "Contract No"], ["P123456", "Mara", "Ada", "P1"], ["Ben Okto", "Mara", "Ada", "P2"]],
+    "digits only": [["Name", "Contract No"], ["Ada 7", "P1"]],
+    "numbers": [["Name", "ContractNo"], *[[f"12345678{i}", f"P{i}"] for i in range(5)]],
     "marker": [HEADER, ["O'Neal-Mara DECEASED", "F", "", "P1"], ROW_1, ROW_1, ["", "M", "", "P3"]],
-    "two tables": [["Name", "Policy No", None, "Full Name", "Sex"], ["Ada Mara", "P1", None, "Ben Okto", "m"]],
+    "two tables": [["Name", "Contract No", None, "Whole Name", "Gender"], ["Ada Mara", "P1", None, "Ben Okto", "m"]],
 }
 
 

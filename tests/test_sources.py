@@ -197,16 +197,27 @@ Legend row only.
 """
 
 
+def test_alias_cells_and_headings(spark):
+    cells = {"`a` → A · `b`→ B/bee, `c`": ["A", "B", "c"], "`a`, `b`": ["a", "b"], "`a`/`b`": ["a", "b"], "—": [], "`open": [], "``": [], "": [],
+             "`a` →  ": ["a"], "x `a` text → no": ["a"], "`a` → A\n`b` → /x": ["A", "b"]}
+    rows = spark.createDataFrame([(c,) for c in cells], "cell string").select("cell", alias_library.alias_texts(F.col("cell")).alias("found")).collect()
+    assert {r.cell: r.found for r in rows} == cells
+    heads = {"K1": ("K1", ""), "K1 (old)": ("K1", "old"), " K1\t(a (b)) ": ("K1", "a (b)"), "K1 x": ("", ""), "": ("", ""), "K1 (": ("", "")}
+    code, note = alias_library.heading_parts(F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in heads], "h string").select("h", code.alias("code"), note.alias("note")).collect()
+    assert {r.h: (r.code, r.note) for r in rows} == heads
+
+
 def test_alias_library(spark, tmp_path):
     (tmp_path / "lib.md").write_text(LIBRARY.rsplit("## K1", 1)[0], encoding="utf-8")
     lib, notes, companies = alias_library.parse_library(spark, str(tmp_path))
     assert sorted((r.category, r.alias_text) for r in lib.collect()) == [
         ("firstlastname", "last"), ("name", "INS_NAME"), ("name", "NM"), ("prem", "prem"), ("prem", "premium"),
     ]
-    assert sorted((r.company_code, r.note) for r in notes.collect()) == [
-        ("K1", "(company-level) older layout"), ("K1", "[DOB] unparsed cell: plain"), ("K1", "[Name] Unsafe term"),
+    assert sorted((r.company_code, r.note) for r in notes.collect()) == sorted([
+        ("K1", "[heading] older layout"), ("K1", "[DOB] no alias in: plain"), ("K1", "[Name] Unsafe term"),
         ("K1", "[—] Not one-row header"), ("K2", "Legend row only."), ("K2", alias_library.NO_TABLE_NOTE),
-    ]
+    ])
     quality = {r.company_code: r for r in al.alias_quality(lib, notes, companies).collect()}
     assert quality["K1"].unsafe_alias and quality["K1"].special_layout and not quality["K1"].no_name_alias
     assert quality["K2"].no_name_alias and quality["K2"].special_layout

@@ -15,7 +15,7 @@ def test_request_stream_end_to_end(spark, alias, tmp_path):
     inbox, queue, store = tmp_path / "in", tmp_path / "queue", str(tmp_path / "store")
     inbox.mkdir()
     queue.mkdir()
-    (inbox / "a.csv").write_text("Name,Sex,DOB,Policy No\nAda Mara,F,1990-01-15,P1\nBen Okto,M,1985-02-01,P2\n")
+    (inbox / "a.csv").write_text("Name,Gender,Born,Contract No\nAda Mara,F,1990-01-15,P1\nBen Okto,M,1985-02-01,P2\n")
     (inbox / "b.csv").write_text("Premium,Amount\n10,1.5\n")
     base = {"company_code": "007", "email_received_date": "2024-01-31", "user": "t", "input_folder": str(inbox)}
     write(queue, "configuration_1.json", **base, files=["a.csv"])
@@ -79,7 +79,7 @@ def test_archive_members_belong_to_their_delivered_file(spark, alias, tmp_path):
     inbox, store = tmp_path / "in", str(tmp_path / "store")
     inbox.mkdir()
     with zipfile.ZipFile(inbox / "z.zip", "w") as z:
-        z.writestr("people.csv", "Name,Sex\nAda Mara,F\n")
+        z.writestr("people.csv", "Name,Gender\nAda Mara,F\n")
     admitted = spark.createDataFrame(
         [(5, "A1", "2024-01-31", '["z.zip"]', str(inbox), "t")],
         "run_id bigint, company_code string, email_received_date string, files string, input_folder string, user string",
@@ -92,7 +92,7 @@ def test_archive_members_belong_to_their_delivered_file(spark, alias, tmp_path):
 
 
 def test_folder_header_report(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("Insured Name,Sex\n" + "".join(f"Ada {c},F\n" for c in "abcdef"))
+    (tmp_path / "a.csv").write_text("Member Name,Gender\n" + "".join(f"Ada {c},F\n" for c in "abcdef"))
     report, errors = delivery.folder_header_report(spark, str(tmp_path))
-    assert [(r.header, r.category) for r in report.collect()] == [("Insured Name", "Name"), ("Sex", "Sex")]
+    assert [(r.header, r.category) for r in report.collect()] == [("Member Name", "Name"), ("Gender", "Sex")]
     assert errors.isEmpty()
