@@ -4,7 +4,7 @@ The store is a folder of Parquet tables:
 
     runs, output_index             company / date / run
     rosters                        company / date / run / output / part, one file each
-    file_logs, run_logs            one partition per run
+    file_logs, run_logs, archived  one partition per run
     run_log_exports                the same logs as CSV with a header, one folder per run
     compiled, compiled_*           the reports and what they are made of (see ``reports``)
 
@@ -23,6 +23,7 @@ from rosterkit.operators import extract, headers, runlog
 from rosterkit.operators.joins import join_small
 from rosterkit.operators.numbering import number_within
 from rosterkit.operators.profile import header_report
+from rosterkit.plans import archive
 from rosterkit.plans.reports import compile_reports
 from rosterkit.schema import FILE_LOGS, REPORT_PART_ROWS, ROSTER_COLUMNS, RUN_LOGS, RUNS
 from rosterkit.session import stage, staging_path
@@ -148,12 +149,18 @@ def finish_runs(runs: DataFrame, file_logs: DataFrame) -> DataFrame:
     ).select(*[F.col(f.name).cast(f.dataType) for f in RUNS.fields])
 
 
-def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: DataFrame, rows_per_part: int = REPORT_PART_ROWS) -> None:
+def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: DataFrame, rows_per_part: int = REPORT_PART_ROWS,
+                 archive_folder: str | None = None) -> None:
     """Scan, log and compile admitted requests: ``run_id, company_code, email_received_date, files, input_folder, user``.
 
-    The input folders of one batch are listed on the driver; the trigger bounds how many requests a batch has.
+    With a column ``fence`` (the number of the lease of the key) the reports are published under it. With
+    ``archive_folder`` the files that no run failed on move there at the end. The input folders of one batch are listed on
+    the driver; the trigger bounds how many requests a batch has.
     """
     requests = stage(requests, "requests")
+    keys = requests.select(*comp.REPORT_KEY, *[c for c in ("fence",) if c in requests.columns]).distinct()
+    if archive_folder:
+        requests = stage(archive.finish_interrupted(spark, store, requests), "requests")
     wanted = requests.select(
         *RUN_COLUMNS, F.regexp_replace("input_folder", "/+$", "").alias("input_folder"),
         F.explode(F.from_json("files", "array<string>")).alias("file_name"),
@@ -170,7 +177,7 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
     # Stored before the work, so that other jobs see the key as busy; the finished run replaces its own partition.
     sinks.overwrite_partitions(runs.select(*RUNS.fieldNames()), f"{store}/runs", *RUN_KEYS)
     logs = as_file_logs(spark.createDataFrame([], FILE_LOGS))
-    missing = wanted
+    missing, moves = wanted, None
     if folders:
         listed = catalog.file_catalog(spark, folders)
         uri = F.regexp_replace(catalog.decoded_uri(F.col("path")), "^file:/+", "/")
@@ -186,6 +193,7 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
         sinks.write_output_index(index, f"{store}/output_index")
         logs = as_file_logs(with_output_paths(logs, index))
         missing = wanted.join(work.select("run_id", "file_name"), ["run_id", "file_name"], "left_anti")
+        moves = work.select("run_id", F.col("path").alias("origin")), scan.files.select("path", "origin")
     absent = missing.select(
         "run_id", F.concat("input_folder", F.lit("/"), "file_name").alias("file_path"), "file_name",
         F.lit("FileNotFoundError: requested file is missing").alias("error_msg"),
@@ -196,7 +204,9 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
     sinks.write_log_exports(logs, f"{store}/run_log_exports")
     sinks.overwrite_partitions(as_run_logs(runlog.run_log_records(logs, finished), store), f"{store}/run_logs", "run_id")
     sinks.overwrite_partitions(finished, f"{store}/runs", *RUN_KEYS)
-    compile_reports(spark, store, requests, rows_per_part)
+    compile_reports(spark, store, keys, rows_per_part)
+    if archive_folder and moves:
+        archive.archive_files(spark, store, archive.planned_moves(moves[0], logs, moves[1], archive_folder))
 
 
 def folder_header_report(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -105,7 +105,7 @@ def _of_versions(stored: DataFrame, manifests: DataFrame, salt_by: list[str]) ->
     return join_small(of_keys(stored, manifests, salt_by), versions, VERSION_KEY, "left_semi", salt_by=salt_by)
 
 
-def plan_compilation(spark: SparkSession, store: str, keys: DataFrame, rows_per_part: int, version: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan_compilation(spark: SparkSession, store: str, keys: DataFrame, rows_per_part: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``decided``: how each key is compiled; ``todo``: the outputs to read; ``old``: the manifests before.
 
     Only runs, logs, index, manifests and source lists are read, no roster rows.
@@ -134,7 +134,7 @@ def plan_compilation(spark: SparkSession, store: str, keys: DataFrame, rows_per_
         .join(comp.source_run_count(runs), comp.REPORT_KEY, "left")
     )
     rebuild = F.col("version").isNull() | F.coalesce("changed", F.lit(False)) | (F.col("rows_per_part") != rows_per_part)
-    number = F.coalesce("version", F.lit(0)) + 1 if version is None else F.lit(version)
+    number = F.coalesce("fence", F.coalesce("version", F.lit(0)) + 1)
     full = F.filter("parts", lambda p: p["row_count"] >= rows_per_part)
     decided = stage(decided.select(
         *comp.REPORT_KEY, rebuild.alias("rebuild"), number.cast("long").alias("version"),
@@ -172,15 +172,16 @@ def _last_parts(spark: SparkSession, store: str, decided: DataFrame, fresh: Data
         *comp.REPORT_KEY, *ROSTER_COLUMNS)
 
 
-def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_part: int = REPORT_PART_ROWS,
-                    version: int | None = None) -> DataFrame:
+def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_part: int = REPORT_PART_ROWS) -> DataFrame:
     """Bring the reports of the given companies and dates up to date with all their finished runs.
 
-    ``version`` is the fencing number of the caller's lease, if there is one: what a caller with a lower number than that
-    of the current report writes is never published.  Returns the tracking rows, whose paths are the files of the parts.
+    A column ``fence`` of ``keys`` is the fencing number of the caller's lease on the key: what a caller with a lower
+    number than that of the current report writes is never published.  Returns the tracking rows, whose paths are the
+    files of the parts.
     """
-    keys = stage(keys.select(*comp.REPORT_KEY).distinct(), "keys")
-    decided, todo, old = plan_compilation(spark, store, keys, rows_per_part, version)
+    fence = F.max("fence") if "fence" in keys.columns else F.lit(None).cast("bigint")
+    keys = stage(keys.groupBy(*comp.REPORT_KEY).agg(fence.alias("fence")), "keys")
+    decided, todo, old = plan_compilation(spark, store, keys, rows_per_part)
     fresh = new_rows(spark, store, decided, todo)
     last, tail = _last_parts(spark, store, decided, fresh, rows_per_part)
     if not fresh.isEmpty():

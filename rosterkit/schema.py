@@ -125,6 +125,21 @@ COMPILED_MANIFEST = T.StructType([
     T.StructField("last_updated_at", T.StringType()),
 ])
 
+LEASES = T.StructType([
+    T.StructField("company_code", T.StringType()),
+    T.StructField("email_received_date", T.StringType()),
+    T.StructField("fence", T.LongType()),
+    T.StructField("run_id", T.LongType()),
+    T.StructField("expires_at", T.DoubleType()),
+])
+
+ARCHIVED = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("target", T.StringType()),
+    T.StructField("moved", T.BooleanType()),
+    T.StructField("run_id", T.LongType()),
+])
+
 REQUEST = T.StructType([
     T.StructField("company_code", T.StringType()),
     T.StructField("email_received_date", T.StringType()),

@@ -148,9 +148,9 @@ def test_report_without_rows_has_no_parts_and_no_files(spark, store):
 
 def test_older_fencing_number_is_not_published(spark, store):
     path = store([run(1)], [log(1, "a")], [person("a", "ADA")])
-    delivery.compile_reports(spark, path, keys(spark), version=7)
+    delivery.compile_reports(spark, path, keys(spark).withColumn("fence", F.lit(7)))
     with pytest.raises(reports.StaleWriter):
-        delivery.compile_reports(spark, path, keys(spark), version=5)
+        delivery.compile_reports(spark, path, keys(spark).withColumn("fence", F.lit(5)))
     (manifest,) = reports.latest_manifests(spark, path).collect()
     assert manifest.version == 7 and compiled(spark, path).count() == 1
 

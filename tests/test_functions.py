@@ -108,3 +108,16 @@ def test_similarity_prefilter_is_lossless(spark):
     found = {(r.word, r.field) for r in similar_aliases(df, lib).collect()}
     expected = {(w, f"f_{a}") for w in words for a in aliases if SequenceMatcher(None, w, a).ratio() >= 0.7}
     assert found == expected
+
+
+def test_unique_names_pass_over_taken_suffixes(spark):
+    from rosterkit.operators.naming import unique_names
+
+    names = ["a", "a", "a_1", "a", "a_3", "a", "a_1", "b", "b_1", "c", "c", "a_01", "a", "x/y", "x?y", "d_2", "d_2", "d", "d", "d", "a_1_1", None, None]
+    df = spark.createDataFrame(list(enumerate(names)), "i long, name string").repartition(3)
+    got = {r.i: r.unique_name for r in unique_names(df, "name", ["i"]).collect()}
+    assert [got[i] for i in range(21)] == [
+        "a", "a_2", "a_1", "a_4", "a_3", "a_5", "a_1_2", "b", "b_1", "c", "c_1", "a_01", "a_6", "x_y", "x_y_1", "d_2", "d_2_1", "d", "d_1", "d_3", "a_1_1"]
+    twice = df.withColumn("k", F.explode(F.array(F.lit("p"), F.lit("q"))))
+    kept = unique_names(twice, "name", ["i"], within=("k",), safe=False).filter("name is not null")
+    assert kept.select("k", "unique_name").distinct().count() == 42
