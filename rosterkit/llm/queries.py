@@ -231,35 +231,38 @@ ORACLES = {
         WITH split AS (
             SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
         ), lines AS (
-            SELECT doc_id, unnest(lines) AS content, unnest(range(len(lines))) AS line FROM split
+            SELECT doc_id, text, unnest(lines) AS content, unnest(range(len(lines))) AS line FROM split
         ), parsed AS (
-            SELECT *, CASE WHEN 2 * len(list_filter(m, lambda x: x = '<*>')) <= len(m) THEN m ELSE t END AS w
+            SELECT doc_id, text, line, content, CASE WHEN 2 * len(list_filter(m, lambda x: x = '<*>')) <= len(m) THEN m ELSE t END AS w
             FROM (SELECT *, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m
                   FROM (SELECT *, regexp_extract_all(content, '[^\x20\x09-\x0D]+') AS t FROM lines))
+        ), leaves AS (
+            SELECT len(w) AS n, w[1:2] AS lead, count(*) AS n_lines FROM parsed WHERE len(w) >= 3
+            GROUP BY ALL HAVING count(*) >= 5 AND count(DISTINCT w) > 1
         ), tokens AS (
-            SELECT doc_id, line, len(w) AS n, w[1:2] AS lead, unnest(w) AS token, unnest(range(len(w))) AS i FROM parsed
-        ), classes AS (
-            SELECT doc_id, line, i % 3 AS number, any_value(n) AS n, any_value(lead) AS lead, list(token ORDER BY i) AS part
-            FROM tokens WHERE n >= 10 AND i >= 2 GROUP BY ALL
+            SELECT doc_id, line, text, n, lead, n_lines, unnest(w) AS token, unnest(range(n)) AS i
+            FROM parsed JOIN leaves ON n = len(w) AND lead = w[1:2]
+        ), constant AS (
+            SELECT n, lead, i, token, count(*) AS c FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING count(*) >= 5
+        ), templates AS (
+            SELECT doc_id, line, n, lead, any_value(text) AS text, list((i, token) ORDER BY i) AS close,
+                   coalesce(list((i, token) ORDER BY i) FILTER (10 * c >= n_lines), []) AS general
+            FROM tokens JOIN constant USING (n, lead, i, token) GROUP BY doc_id, line, n, lead
         ), signs AS (
-            SELECT doc_id, line, -1 AS number, hash(len(w), w) AS sign FROM parsed WHERE len(w) > 0
-            UNION ALL SELECT doc_id, line, number, hash(number, n, lead, part) FROM classes
+            SELECT doc_id, line, text, len(w) AS n, [] AS lead, hash(w) AS sign FROM parsed WHERE len(w) > 0
+            UNION ALL SELECT doc_id, line, text, n, lead, hash(close) FROM templates WHERE 3 * len(close) >= 2 * n
+            UNION ALL SELECT doc_id, line, text, n, lead, hash(general) FROM templates WHERE 3 * len(general) >= 2 * n
         ), recurring AS (
-            SELECT number, sign FROM signs GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
+            SELECT n, lead, sign FROM signs GROUP BY ALL HAVING count(DISTINCT text) >= 5
         ), dropped AS (
-            SELECT doc_id, line FROM signs JOIN recurring USING (number, sign)
-            GROUP BY ALL HAVING max(number = -1) OR count(*) >= 2
-        ), marked AS (
-            SELECT lines.*, dropped.line IS NOT NULL AS gone FROM lines LEFT JOIN dropped USING (doc_id, line)
+            SELECT DISTINCT doc_id, line FROM signs JOIN recurring USING (n, lead, sign)
         ), judged AS (
-            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n,
-                   coalesce(sum(length(content)) FILTER (gone), 0) > 0.8 * sum(length(content)) AS is_copy,
-                   string_agg(content, chr(10) ORDER BY line) FILTER (NOT gone) AS kept
-            FROM marked GROUP BY doc_id
+            SELECT doc_id, count(*) AS n_lines, count(dropped.line) AS n,
+                   string_agg(content, chr(10) ORDER BY lines.line) FILTER (dropped.line IS NULL) AS kept
+            FROM lines LEFT JOIN dropped USING (doc_id, line) GROUP BY doc_id
         )
-        SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
-               CASE WHEN is_copy THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_dropped,
-               sha256(CASE WHEN is_copy OR n = 0 THEN text ELSE coalesce(kept, '') END) AS kept_sha256
+        SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_dropped,
+               sha256(CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END) AS kept_sha256
         FROM documents LEFT JOIN judged USING (doc_id)
     """,
     "op10_decontamination": r"""
