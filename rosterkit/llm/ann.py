@@ -5,8 +5,9 @@ distance is then the one with the largest inner product.  Centroids are fitted o
 charges for full lists.  Every vector is then put in its nearest list, and boundary vectors also in others that are
 almost as near.  The centroids fit in memory; a graph of each one's neighbours is searched best-first to assign vectors
 and to select the lists of a query, which are those within a distance ratio of the nearest.  A list that is still too
-long (copies of one vector, for instance) is split into parts and a query visits all parts, so no row is left out and no
-task gets an unbounded group.
+long (copies of one vector, for instance) is split into parts and a query visits all parts; the queries of a list that
+many ask for are dealt to slices.  So no row is left out and no task gets an unbounded group.  A query whose lists hold
+fewer vectors than it asks for looks into all lists.
 
 Defined results: vectors that are null, all zero, of another length than most, without id, or with null or non-finite
 components take no part; equal vectors tie by id; a repeated id counts once, with its best score; fewer candidates than
@@ -143,14 +144,17 @@ def _nearest_in_part(queries: pa.Table, members: pa.Table, k: int, dimension: in
     order = np.lexsort((x_ids, place))
     cuts = np.searchsorted(place[order], np.arange(len(distinct) + 1))
     copies = np.minimum(np.diff(cuts), k + 1)  # the smallest ids of equal vectors, and one more for the query itself
+    lengths, longest = np.sqrt((q * q).sum(axis=1)), np.sqrt((distinct * distinct).sum(axis=1).max())
     out = []
     for at in range(0, len(q), _BLOCK):
         scores = q[at:at + _BLOCK] @ distinct.T
-        take = min(k + 6, len(distinct))
-        best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-        count = copies[best]
-        row = np.repeat(np.repeat(np.arange(len(best)), take), count.ravel())
-        flat, sizes = best.ravel(), count.ravel()
+        # One of the k + 1 best may be the query itself; vectors that tie with the last of them all stay.
+        last = min(k + 1, len(distinct)) - 1
+        bound = -np.partition(-scores, last, axis=1)[:, last]
+        bound = bound - 1e-9 * (longest * lengths[at:at + _BLOCK]) - 1e-300
+        query, flat = np.nonzero(scores >= bound[:, None])
+        sizes = copies[flat]
+        row = np.repeat(query, sizes)
         member = order[np.repeat(cuts[flat] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
         ids, mine = x_ids[member], q_ids[at + row]
         other = ids != mine
@@ -158,7 +162,7 @@ def _nearest_in_part(queries: pa.Table, members: pa.Table, k: int, dimension: in
         exact = (q[at + row] * x[member]).sum(axis=1)
         rank = np.lexsort((ids, -exact, row))
         row, ids, exact = row[rank], ids[rank], exact[rank]
-        first = np.searchsorted(row, np.arange(len(best)))
+        first = np.searchsorted(row, np.arange(len(scores)))
         keep = np.arange(len(row)) - first[row] < k
         out.append((q_ids[at + row[keep]], ids[keep], exact[keep]))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -205,13 +209,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     index = stage(given.mapInArrow(posted(REPLICAS, 1, REPLICA_RATIO, raised), schema), "postings")
     queries = given.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
     wanted = stage(queries.mapInArrow(posted(PROBES, LEAST_PROBES, PROBE_RATIO, without_norm), schema), "probes")
-    sizes = index.groupBy("list").count().collect()  # at most MOST_LISTS rows
     parts = np.ones(len(graph.value.centroids), dtype=np.int64)
-    for r in sizes:
+    for r in index.groupBy("list").count().collect():  # at most MOST_LISTS rows
         parts[r["list"]] = -(-r["count"] // PART_SIZE)
-    part_count = F.get(F.split(F.lit(",".join(map(str, parts))), ",").cast("array<int>"), F.col("list").cast("int"))
-    members = index.withColumn("part", F.pmod(F.xxhash64("id", "vector"), part_count).cast("int"))
-    asked = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), part_count - 1)))
+
+    def of_list(numbers: np.ndarray) -> Column:
+        return F.get(F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>"), F.col("list").cast("int"))
 
     def nearest(asked_part, member_part):
         made = ([], [], [])
@@ -220,7 +223,29 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
         return pa.Table.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64())],
                                     names=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("list", "part").cogroup(members.groupBy("list", "part")).applyInArrow(nearest, result)
+    def search(wanted: DataFrame) -> DataFrame:
+        """The k best of every part for every (list, id, vector) that asks for a list.
+
+        The queries of a list are dealt to slices of bounded size, and each slice meets each part of the list.
+        """
+        slices = np.ones(len(parts), dtype=np.int64)
+        for r in wanted.groupBy("list").count().collect():  # at most MOST_LISTS rows
+            slices[r["list"]] = -(-r["count"] // PART_SIZE)
+        part = F.pmod(F.xxhash64("id", "vector"), of_list(parts)).cast("int")
+        members = index.withColumn("part", part).withColumn("slice", F.explode(F.sequence(F.lit(0), of_list(slices) - 1)))
+        asked = wanted.withColumn("slice", F.pmod(F.xxhash64("id"), of_list(slices)).cast("int")).withColumn(
+            "part", F.explode(F.sequence(F.lit(0), of_list(parts) - 1)))
+        at = ["list", "part", "slice"]
+        return asked.groupBy(*at).cogroup(members.groupBy(*at)).applyInArrow(nearest, result)
+
+    found = stage(search(wanted), "near")
+    # Lists may hold fewer vectors than asked for (small lists, repeated ids): such queries look into every list.
+    others = given.select("id").distinct().count() - 1
+    full = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).filter(F.col("n") >= min(k, others))
+    short = stage(queries.join(full, queries["id"] == full["query_id"], "left_anti"), "short")
+    if others > 0 and not short.isEmpty():
+        lists_of = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(parts) - 1).cast("long")))
+        found = found.unionByName(search(stage(short.select(lists_of.alias("list"), "id", "vector"), "every-list")))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("place", "near")).select(

@@ -56,6 +56,28 @@ def test_recall_and_split_lists(spark, monkeypatch):
     assert [i for i, _ in got[3000]] == [i for i, _ in want[3000]]
 
 
+def test_ties_of_many_distinct_vectors_go_to_the_smaller_ids(spark):
+    import itertools
+
+    signs = [list(v) for v in itertools.product([1.0, -1.0], repeat=8)]
+    rows = [(i, [3.0 if i == 0 else 0.0] + signs[i % 256]) for i in range(1, 400)] + [(0, [1.0] + [0.0] * 8), (40, [0.0, 1.0] + [0.0] * 7)]
+    got, want = run(spark, rows, every=40), brute_force(rows, 20, 40)
+    assert got == {q: want[q] for q in want}
+
+
+def test_queries_whose_lists_are_sparse_still_get_all_they_ask_for(spark, monkeypatch):
+    for name in ("PROBES", "LEAST_PROBES", "REPLICAS"):
+        monkeypatch.setattr(ann, name, 1)
+    monkeypatch.setattr(ann, "LIST_SIZE", 8)
+    monkeypatch.setattr(ann, "PART_SIZE", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))] + [(i, [9.0] * 6) for i in range(400, 520)]
+    got, want = run(spark, rows), brute_force(rows, 20, 20)
+    assert got.keys() == want.keys() and all(len(g) == 20 for g in got.values())
+    few = [(i, v) for i, v in rows if i % 40 == 0]
+    assert {q: len(g) for q, g in run(spark, few).items()} == {i: len(few) - 1 for i, _ in few}
+
+
 def test_few_and_no_rows(spark):
     assert run(spark, []) == {}
     assert run(spark, [(20, [1.0, 2.0])]) == {}
