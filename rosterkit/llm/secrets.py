@@ -1,17 +1,18 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 All of it is DataFrame expressions.  Patterns find assigned values, access keys and long hex strings.  What they find in
-a sample of the documents are labelled random strings; other long tokens of these documents, without a mix of letters
-and digits, are labelled ordinary identifiers.  Both classes give transition counts from character to character, so a model is a table of bounded size
-(``len(ALPHABET)`` squared).  Every long token of every whole text that no pattern covers is then scored by the mean
-log-likelihood ratio of its transitions, and reported if random strings explain it better.
+the documents are labelled random strings; other long tokens, without a mix of letters and digits, are labelled ordinary
+identifiers.  Both classes give transition counts from character to character over all documents, so a model is a table of
+bounded size (``len(ALPHABET)`` squared), whatever the number of labelled tokens.  Every long token of every whole text
+that no pattern covers is then scored by the mean log-likelihood ratio of its transitions, and reported if random strings
+explain it better.
 
-The training sample takes each document with a probability that gives about ``SAMPLE_DOCS`` of them; only summed counts
-leave the executors.  Texts are never shuffled.
+Only summed counts leave the executors.  Texts are never shuffled.  Positions and overlaps come from running sums, largest
+ends and least starts by doubling steps, so a text with n spans takes n log n.
 
 Defined results: a null text is empty; positions count code points; spans of one kind never overlap; a token that a
 pattern touches is left to the pattern; equal rows give equal results; extra columns are ignored; without labelled random
-strings the random model is uniform.
+strings the random model is uniform; a text or token of any length takes time in proportion (but for that logarithm).
 """
 
 from __future__ import annotations
@@ -32,32 +33,35 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 ALPHABET = "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
 TOKEN_LEAST = 20
 TRAIN_LEAST = 8
-SAMPLE_DOCS = 4000
 PRIOR = 5.0  # weight of a class's character frequencies in each transition row
 RATIO_GAP = 0.75  # nats a transition that the random model must win by
 _CODES = 128
+_SPANS = "array<struct<start:int,kind:int,end:int,hit:string>>"
+
+
+def _running(values: Column, merge, neutral) -> Column:
+    """Each element merged with all before it, by doubling steps: n log n for any length."""
+    def doubled(found, step):
+        return F.transform(found, lambda x, i: merge(x, F.coalesce(F.get(found, (i - F.pow(F.lit(2.0), step)).cast("int")), F.lit(neutral))))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(steps, values, doubled)
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1) -> Column:
-    """``array<struct<start, kind, end>>`` of the leftmost non-overlapping matches whose ``group`` is long enough.
+    """``array<struct<start, kind, end, hit>>`` of the leftmost non-overlapping matches whose ``group`` is long enough.
 
-    Splitting at the pattern gives what lies between the matches, so positions are sums of lengths.
+    Splitting at the pattern gives what lies between the matches, so positions are running sums of lengths.
     """
     found = F.regexp_extract_all(text, F.lit(pattern if group else f"({pattern})"), F.lit(0))
     between = F.split(text, pattern, -1)
     deciding = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), deciding.alias("value"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def add(state, part):
-        start = state["at"] + F.char_length(part["gap"])
-        end = start + F.char_length(part["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.char_length(part["value"]) >= least, F.concat(state["spans"], F.array(span)))
-                        .otherwise(state["spans"]).alias("spans"))
-
-    summed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), summed).otherwise(empty)
+    reach = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.char_length(gap) + F.char_length(hit))
+    ends = _running(reach, lambda x, before: x + before, 0)
+    spans = F.filter(F.transform(F.arrays_zip(ends.alias("end"), found.alias("hit"), deciding.alias("value")), lambda p: F.struct(
+        (p["end"] - F.char_length(p["hit"])).alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end"),
+        F.when(F.char_length(p["value"]) >= least, p["hit"]).alias("hit"))), lambda x: x["hit"].isNotNull())
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -66,13 +70,22 @@ def base_spans(text: Column) -> Column:
                                  _spans(text, ACCESS, 1, least=ACCESS_LEAST), _spans(text, HEX, 2)))
 
 
+def _codes_of(token: Column) -> Column:
+    """Code numbers of a token's characters, which are ASCII."""
+    return F.transform(F.split(token, "(?!^)"), F.ascii)
+
+
+def _steps(codes: Column) -> Column:
+    """``first * 128 + second`` of each pair of neighbours."""
+    n = F.size(codes) - 1
+    return F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: a * _CODES + b)
+
+
 def _transitions(tokens: DataFrame) -> DataFrame:
     """``label, first, second, n`` of the rows ``label, token``; characters as code numbers."""
-    places = F.sequence(F.lit(1), F.char_length("token") - 1)
-    pairs = F.transform(places, lambda i: F.substring("token", i, F.lit(2)))
-    return (tokens.filter(F.char_length("token") >= 2).select("label", F.explode(pairs).alias("pair"))
-            .groupBy("label", "pair").agg(F.count("*").alias("n"))
-            .select("label", F.ascii("pair").alias("first"), F.ascii(F.substring("pair", 2, 1)).alias("second"), "n"))
+    return (tokens.filter(F.char_length("token") >= 2).select("label", F.explode(_steps(_codes_of(F.col("token")))).alias("step"))
+            .groupBy("label", "step").agg(F.count("*").alias("n"))
+            .select("label", F.floor(F.col("step") / _CODES).cast("int").alias("first"), (F.col("step") % _CODES).alias("second"), "n"))
 
 
 def labelled_tokens(docs: DataFrame) -> DataFrame:
@@ -95,12 +108,10 @@ def labelled_tokens(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(labelled).alias("x")).select("x.label", "x.token")
 
 
-def train_ratios(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
+def train_ratios(docs: DataFrame) -> list[float]:
     """log p(next | character) under random strings minus under ordinary identifiers, by ``first * 128 + second``."""
-    rows = docs.count()
-    share = min(1.0, sample_docs / max(rows, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20))))
-    counts = {(r.label, r["first"], r["second"]): r.n for r in _transitions(labelled_tokens(sample)).collect()}
+    # At most 128 * 128 sums of each class, whatever the number of labelled tokens.
+    counts = {(r.label, r["first"], r["second"]): r.n for r in _transitions(labelled_tokens(docs)).collect()}
     codes, labels = [ord(c) for c in ALPHABET], ("random", "ordinary")
     alone = {label: {b: sum(counts.get((label, a, b), 0) for a in codes) + 0.5 for b in codes} for label in labels}
     ratios = [0.0] * (_CODES * _CODES)
@@ -116,9 +127,8 @@ def train_ratios(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]
 def mean_ratio(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    step = F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), lambda total, i: total + F.get(
-        table, F.ascii(F.substring(token, i, F.lit(1))) * _CODES + F.ascii(F.substring(token, i + 1, F.lit(1)))))
-    return step / (F.char_length(token) - 1)
+    ratio = F.aggregate(F.transform(_steps(_codes_of(token)), lambda step: F.get(table, step)), F.lit(0.0), lambda total, x: total + x)
+    return ratio / (F.char_length(token) - 1)
 
 
 def find_secrets(docs: DataFrame, least: int = TOKEN_LEAST, gap: float = RATIO_GAP) -> DataFrame:
@@ -126,11 +136,21 @@ def find_secrets(docs: DataFrame, least: int = TOKEN_LEAST, gap: float = RATIO_G
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ratios = train_ratios(docs)
     token = "[A-Za-z0-9+/_=-]{%d,}" % least
-    text, base = F.col("text"), F.col("base")
-    placed = docs.select("doc_id", "text", base_spans(text).alias("base"), _spans(text, token, 3).alias("tokens"))
-    added = F.filter("tokens", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-                     & (mean_ratio(F.substring(text, t["start"] + 1, t["end"] - t["start"]), ratios) >= gap))
-    return placed.select("doc_id", "base", added.alias("added"))
+    text, least_start = F.col("text"), (1 << 31) - 1
+    placed = docs.select("doc_id", "text", base_spans(text).alias("base"), _spans(text, token, KINDS.index("markov")).alias("tokens"))
+    # In the order of their starts a token is clear of the patterns if no span before it ends and none after it starts within.
+    every = placed.select("doc_id", "base", "tokens", F.when((F.size("base") > 0) & (F.size("tokens") > 0), F.array_sort(F.concat("base", "tokens"))).alias("every"))
+    pattern = lambda s: s["kind"] < KINDS.index("markov")
+    ends = F.transform("every", lambda s: F.when(pattern(s), s["end"]).otherwise(0))
+    starts = F.reverse(F.transform("every", lambda s: F.when(pattern(s), s["start"]).otherwise(least_start)))
+    reach = every.select("doc_id", "base", "tokens", "every", _running(ends, F.greatest, 0).alias("before"),
+                         F.reverse(_running(starts, F.least, least_start)).alias("after"))
+    clear = F.filter(F.arrays_zip("every", "before", "after"), lambda x: ~pattern(x["every"]) & (x["before"] <= x["every"]["start"])
+                     & (x["after"] >= x["every"]["end"]))
+    free = F.when(F.col("every").isNull(), F.col("tokens")).otherwise(F.transform(clear, lambda x: x["every"]))
+    added = F.filter(free, lambda t: mean_ratio(t["hit"], ratios) >= gap)
+    bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return reach.select("doc_id", bare("base").alias("base"), bare(added).alias("added"))
 
 
 def written(spans: Column) -> Column:

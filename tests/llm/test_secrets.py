@@ -1,9 +1,11 @@
+import math
 import random
 import re
+import time
 
 from cases import documents, odd_texts, prose
 from pyspark.sql import functions as F
-from rosterkit.llm.secrets import find_secrets, written
+from rosterkit.llm.secrets import ALPHABET, find_secrets, written
 
 
 def base_spans(text):
@@ -42,6 +44,59 @@ def test_models_tell_random_strings_from_identifiers(spark):
     assert not any(r.added for r in rows[350:])
 
 
+def brute_force_added(texts):
+    """Spans beside the patterns: models from all labelled tokens, every long token scored character by character."""
+    assign = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    counts = {"random": {}, "ordinary": {}}
+    for text in texts:
+        text = text or ""
+        values = [m[2].replace(".", "") for m in re.finditer(assign, text) if len(m[2]) >= 8]
+        values += [m[0] for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 8] + [m[0] for m in re.finditer("[0-9a-f]{24,}", text)]
+        rest = re.sub(f"{assign}|AKIA[A-Z0-9]+|[0-9a-f]{{24,}}", " ", text)
+        plain = [t for t in re.findall("[A-Za-z0-9+/_=-]{8,}", rest) if not (re.search("[0-9]", t) and re.search("[A-Za-z]", t))]
+        for label, tokens in (("random", values), ("ordinary", plain)):
+            for t in tokens:
+                for pair in zip(t, t[1:]):
+                    counts[label][pair] = counts[label].get(pair, 0) + 1
+    ratio = {}
+    for label, sign in (("random", 1), ("ordinary", -1)):
+        c = counts[label]
+        alone = {y: sum(c.get((x, y), 0) for x in ALPHABET) + 0.5 for y in ALPHABET}
+        for a in ALPHABET:
+            row = sum(c.get((a, y), 0) for y in ALPHABET)
+            for b in ALPHABET:
+                p = (c.get((a, b), 0) + 5.0 * alone[b] / sum(alone.values())) / (row + 5.0)
+                ratio[a, b] = ratio.get((a, b), 0.0) + sign * math.log(p)
+    out = []
+    for text in texts:
+        text = text or ""
+        base = base_spans(text)
+        found = [m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+        out.append([(m.start(), m.end()) for m in found if sum(ratio[p] for p in zip(m[0], m[0][1:])) / (len(m[0]) - 1) >= 0.75])
+    return out
+
+
+def test_added_spans_match_brute_force(spark):
+    rng = random.Random(5)
+    parts = ["token=" + noise(1, 30), "customerAddressLookupTable", "orderLineItem_total_amount", noise(2, 44), "é", "0123456789abcdef" * 2, "AKIA" + "Q7" * 9,
+             "a" * 25, "secret: " + noise(3, 12) + "." + noise(4, 30), "plain words", "\n", noise(5, 21) + "=" * 3]
+    texts = [" ".join(rng.choice(parts + [noise(100 + i, 26)]) for _ in range(rng.randrange(1, 30))) for i in range(200)] + ["", None] + odd_texts()
+    rows = find_secrets(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [[(s.start, s.end) for s in r.added] for r in rows] == brute_force_added(texts)
+    assert sum(len(r.added) for r in rows) > 10
+
+
+def test_time_grows_with_the_tokens_of_a_text(spark):
+    took = []
+    for n in (20_000, 40_000):
+        text = " ".join([noise(i % 50, 24) for i in range(n)] + ["password=abcdefgh"] * n) + " " + noise(1, 3 * n)
+        start = time.perf_counter()
+        row = find_secrets(documents(spark, [text])).first()
+        took.append(time.perf_counter() - start)
+        assert len(row.base) == n
+    assert took[1] < 4 * took[0] + 1
+
+
 def test_written_and_empty_table(spark):
     assert find_secrets(documents(spark, [])).count() == 0
     rows = find_secrets(documents(spark, ["a secret=abcdef AKIA" + "Z" * 16, None], [None, 1]))
