@@ -10,12 +10,14 @@ The trigram table has a fixed size and is broadcast; counts of hosts are joined,
 shuffle, so a host with a third of all pages is one row of sums.
 
 Defined results: null or empty markup has no text evidence; an unknown or missing declaration is a value of its own; a
-null or odd address has no host and meets the prior of all pages; equal rows are judged alike; extra columns are ignored;
-without any labelled document the language is null.
+null or odd address has no host and meets the prior of all pages; a numeric address has no suffix; of equally probable
+languages the first by name is taken; equal rows are judged alike; extra columns are ignored; without any labelled
+document the language is null; markup of any length takes time in proportion.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as html_module
 import re
 
@@ -26,29 +28,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterkit.llm.words import LOWER, NOT_ALPHANUMERIC
+from rosterkit.operators.joins import join_small
 from rosterkit.session import stage
 
 BUCKETS = 1 << 14
 TEXT_TRIGRAMS = 150  # a text of more trigrams counts as this many: they are not independent
 HOST_WEIGHT, DOMAIN_WEIGHT = 4.0, 8.0
-_BOILERPLATE = re.compile(r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
+_OPENING = re.compile(r"(?i)<!--|<(script|style|nav)\b")
 _TO_LETTERS = np.where(NOT_ALPHANUMERIC[LOWER] | ((np.arange(256) >= 0x30) & (np.arange(256) <= 0x39)), 0x20, LOWER).astype(np.uint8)
 
 
+def _without_boilerplate(markup: str) -> str:
+    """Markup with a blank for each comment, script, style and navigation that is closed; one scan, whatever is open."""
+    closings: dict[str, list[tuple[int, int]]] = {}
+    out, done, at, comments = [], 0, 0, True
+    while found := _OPENING.search(markup, at):
+        name, at = (found[1] or "").lower(), found.end()
+        if name:
+            if name not in closings:
+                closings[name] = [m.span() for m in re.finditer(rf"(?i)</{name}\s*>", markup)]
+            place = bisect.bisect_left(closings[name], (at, 0))
+            stop = closings[name][place][1] if place < len(closings[name]) else -1
+        else:
+            stop = markup.find("-->", at) + 3 if comments else 2
+            comments = stop > 2
+            stop = stop if comments else -1
+        if stop >= 0:
+            out += [markup[done:found.start()], " "]
+            done = at = stop
+    return "".join(out) + markup[done:]
+
+
+def _without_tags(markup: str) -> str:
+    """Markup with a blank for everything from a ``<`` to the next ``>``."""
+    out, done = [], 0
+    while (start := markup.find("<", done)) >= 0 and (stop := markup.find(">", start)) >= 0:
+        out += [markup[done:start], " "]
+        done = stop + 1
+    return "".join(out) + markup[done:]
+
+
 def page_text(markup: str | None) -> str:
     """What a reader sees: no scripts, styles, navigation, comments or tags."""
-    return html_module.unescape(_TAG.sub(" ", _BOILERPLATE.sub(" ", markup or "")))
+    return html_module.unescape(_without_tags(_without_boilerplate(markup or "")))
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte trigrams of all texts in one row, and where each text's start (letters and gaps only)."""
-    raw = [x.encode("utf-8", "surrogatepass") + b"  " for x in texts]
-    data = _TO_LETTERS[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)].astype(np.uint32)
+    # Three gaps lie between two texts, so a trigram across them holds two gaps and does not count.
+    raw = [b" " + x.encode("utf-8", "surrogatepass") + b"  " for x in texts]
+    data = _TO_LETTERS[np.frombuffer(b"".join(raw), dtype=np.uint8)].astype(np.uint32)
     gap = data == 0x20
     keep = ~(gap[:-2] & gap[1:-1]) & ~(gap[1:-1] & gap[2:])
     codes = ((data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(18)
-    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     places = np.flatnonzero(keep)
     return codes[places].astype(np.int64), np.searchsorted(places, begin)
 
@@ -118,21 +151,34 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def _is_address(host: Column) -> Column:
+    return host.rlike(r"^[0-9.]+$|[\[\]]")
+
+
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.when(host.isNotNull(), F.substring_index(host, ".", -2))
+    """The last two labels of a host; a numeric address is its own domain."""
+    return F.when(_is_address(host), host).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.coalesce(F.substring_index(host, ".", -1), F.lit(""))
+    return F.when(host.isNull() | _is_address(host), "").otherwise(F.substring_index(host, ".", -1))
 
 
 def declared_language(markup: Column) -> Column:
     """Primary subtag of the root element's language, or of the language meta field; empty without one."""
     text = F.coalesce(markup.cast("string"), F.lit(""))
-    root = F.regexp_extract(text, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""", 1)
-    meta = F.regexp_extract(text, r"""(?i)<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?\s*([a-z]{2,3})\b""", 1)
-    return F.lower(F.when(root != "", root).otherwise(meta))
+    value = r"""\s*=\s*["']?\s*([a-z]{2,3})\b"""
+
+    def tags(name: str, needed: str) -> Column:
+        """The tags of a name, each up to its end, that hold something."""
+        every = F.split(text, rf"(?i)<{name}\b", -1)
+        return F.filter(F.transform(F.slice(every, 2, F.size(every)), lambda t: F.substring_index(t, ">", 1)), lambda t: t.rlike(needed))
+
+    root = F.regexp_extract(F.get(tags("html", rf"(?i)\blang{value}"), F.lit(0)), rf"(?i)\blang{value}", 1)
+    fields = tags("meta", "(?i)content-language")
+    after = F.transform(fields, lambda t: F.get(F.split(t, "(?i)content-language", 2), F.lit(1)))
+    meta = F.regexp_extract(F.get(F.filter(after, lambda t: t.rlike(f"(?i)content{value}")), F.lit(0)), f"(?i)content{value}", 1)
+    return F.lower(F.when(F.coalesce(root, F.lit("")) != "", root).otherwise(F.coalesce(meta, F.lit(""))))
 
 
 def _softmax(logs: Column) -> Column:
@@ -170,10 +216,13 @@ def identify_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     evidence = stage(text_evidence(pages, langs, logs).withColumn("says", _softmax(F.col("loglik"))), "evidence")
     overall = evidence.agg(*_sums(n), F.count("*").alias("n")).first()
     shares = F.array(*[F.lit(((overall[f"s{i}"] or 0.0) + 1.0) / (overall.n + n)) for i in range(n)])
-    hosts = evidence.filter("host IS NOT NULL").groupBy("host").agg(*_sums(n)).select("host", _vector(n).alias("host_sum"))
-    domains = evidence.filter("domain IS NOT NULL").groupBy("domain").agg(*_sums(n)).select("domain", _vector(n).alias("domain_sum"))
-    joined = (evidence.join(hosts, "host", "left").join(domains, "domain", "left")
-              .join(_likelihoods(evidence, "declared", n), "declared").join(_likelihoods(evidence, "suffix", n), "suffix"))
+    hosts = stage(evidence.filter("host IS NOT NULL").groupBy("host").agg(*_sums(n)).select("host", _vector(n).alias("host_sum")), "hosts")
+    domains = stage(evidence.filter("domain IS NOT NULL").groupBy("domain").agg(*_sums(n)).select("domain", _vector(n).alias("domain_sum")), "domains")
+    # A host, or the pages without one, may hold a third of all rows: sums are broadcast if they are small, else salted.
+    salt = ["page_id", "loglik"]
+    joined = join_small(join_small(evidence, hosts, ["host"], "left", salt), domains, ["domain"], "left", salt)
+    for column in ("declared", "suffix"):
+        joined = join_small(joined, stage(_likelihoods(evidence, column, n), column), [column], salt_by=salt)
 
     def others(total: str) -> Column:
         return F.when(F.col(total).isNotNull(), F.zip_with(total, "says", lambda a, b: F.greatest(a - b, F.lit(0.0)))).otherwise(
