@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     score = F.col("toxic_score")
     return toxicity.score_toxicity(docs, model, ["doc_id"]).select(
-        "row.doc_id", (toxicity.fold_of(F.col("row.doc_id")) == 0).alias("held_out"), score.alias("score"),
+        "row.doc_id", F.coalesce(toxicity.fold_of(F.col("row.doc_id")) == 0, F.lit(False)).alias("held_out"), score.alias("score"),
         F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

@@ -6,8 +6,8 @@ share most n-grams with the word that was learnt.  A few words make a long text
 some words and its logit is that of its worst window; of a toxic text only the worst window teaches toxicity, while
 every window of a clean text teaches the other class.  Some training texts are held back to calibrate the scores.
 
-Training uses a bounded sample of labelled rows (``MOST_ROWS`` for each class, of ``MOST_BYTES`` each at most) in the
-driver; scoring reads every whole text in Arrow tasks with the weights broadcast (``BUCKETS`` numbers) and no shuffle.
+Training uses a bounded sample of labelled rows of all lengths (``MOST_ROWS`` for each class, ``MOST_TOTAL`` bytes in
+all) in the driver; scoring reads every whole text in Arrow tasks with the weights broadcast (``BUCKETS`` numbers) and no shuffle.
 
 Defined results: null and empty texts score as a text without evidence; rows without a label are scored alike; a text
 labelled twice is toxic if one label says so; without labels of both classes every score is the share of toxic labels;
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterkit.llm.rows import with_text_columns
 from rosterkit.llm.words import NOT_ALPHANUMERIC, Slab, hash_ranges
@@ -32,7 +33,7 @@ DIMENSIONS = 4
 WINDOW = 3
 GRAMS = (4, 5, 6)
 MOST_ROWS = 1500
-MOST_BYTES = 8_000
+MOST_TOTAL = 6_000_000  # bytes of text of each class, over all lengths
 ROUNDS = 45
 SUSPECTS = 12
 RATE = 0.1
@@ -189,19 +190,31 @@ def fold_of(doc_id, folds: int = 5):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> tuple[DataFrame, float | None]:
-    """``text, toxic`` of the bounded sample (outside ``fold``, the smallest id hashes of each class), and the share of
-    toxic texts among all labelled rows outside ``fold``."""
+    """``text, toxic`` of the bounded sample (outside ``fold``, the smallest id hashes of each class, texts of all lengths),
+    and the share of toxic texts among all labelled rows outside ``fold``."""
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(
         fold_of(F.col("id"), folds) != fold)
     known = stage(texts.select("id", F.octet_length("text").alias("size")).join(marked, "id"), "labelled")
-    small = known.filter(F.col("size") <= MOST_BYTES).select("id", "toxic").distinct()
-    chosen = [small.filter(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS) for value in (1, 0)]
-    sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    rows = known.groupBy("id", "toxic").agg(F.max("size").alias("size"))
+    drawn = [rows.filter(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS).collect() for value in (1, 0)]
+    chosen = texts.sparkSession.createDataFrame([(r.id, r.toxic) for part in drawn for r in within_bytes(part, MOST_TOTAL)],
+                                                T.StructType([known.schema["id"], T.StructField("toxic", T.IntegerType())]))
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     return sample.orderBy("id").select("text", "toxic"), known.agg(F.avg("toxic")).first()[0]
 
 
+def within_bytes(rows: list, most: int) -> list:
+    """The rows in order that fit into ``most`` bytes of text together, whatever the length of each."""
+    kept, total = [], 0
+    for r in rows:
+        if total + (r.size or 0) <= most:
+            kept.append(r)
+            total += r.size or 0
+    return kept
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     sample, share = training_rows(docs, labels)
     rows = sample.collect()

@@ -1,6 +1,6 @@
 import numpy as np
 from cases import documents, odd_texts, prose
-from rosterkit.llm.toxicity import fit_toxicity, score_toxicity, train
+from rosterkit.llm.toxicity import WINDOW, fit_toxicity, score_toxicity, train, within_bytes
 
 BAD = ["zugrotten", "blaffnik", "morpelschwein"]
 
@@ -39,3 +39,24 @@ def test_without_labels_of_both_classes(spark):
     assert {r.toxic_score for r in rows} == {0.5} or all(r.toxic_score <= 0.5 for r in rows)
     assert score_toxicity(documents(spark, []), train([], np.zeros(0))).count() == 0
     assert train(["a", "b"], np.ones(2, dtype=int)).scores(["a"])[0] > 0.9
+
+
+def test_score_is_that_of_the_worst_window(spark):
+    texts, toxic = labelled(120)
+    model = train(texts, np.array(toxic))
+    new = [t for t in odd_texts() if t and t.split()] + [prose(i, 30) + f" {BAD[i % 3]}x " + prose(i, 9) for i in range(20)]
+    words = [[w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t).split()] for t in new]
+    windows = [[" ".join(w[i:i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))] for w in words]
+    rows = score_toxicity(documents(spark, new * 2), model).collect()
+    got = sorted((r.row.doc_id, r.toxic_score) for r in rows)
+    want = [max(model.scores(w)) for w in windows]
+    assert np.allclose([s for _, s in got], want * 2, atol=1e-6)
+
+
+def test_sample_takes_texts_of_all_lengths_within_a_total():
+    class Row:
+        def __init__(self, size):
+            self.size = size
+
+    rows = [Row(s) for s in (5, 90, None, 10, 4, 1)]
+    assert [r.size for r in within_bytes(rows, 20)] == [5, None, 10, 4, 1]
