@@ -41,21 +41,25 @@ def _tokens(line: Column) -> Column:
     Where fields outnumber the constant tokens no template is left to speak of, and the tokens stay as they are.
     """
     def split(text):
-        return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+        return F.array_remove(F.split(text, " "), "")
 
+    line = F.when(line.rlike(r"[\t\x0B\f\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
     masked = split(F.regexp_replace(line, _FIELD, FIELD))
-    fields = F.size(F.filter(masked, lambda t: t == FIELD))
+    fields = F.size(masked) - F.size(F.array_remove(masked, FIELD))
     general = F.when(2 * fields <= F.size(masked), masked).otherwise(split(line))
     return F.when(line.rlike("[0-9]"), general).otherwise(split(line))  # most lines have no digit
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """``key, line, whole, leaf``: every line with tokens, by hashes; short lines have no leaf."""
-    lines = texts.select("key", F.posexplode("lines").alias("line", "content"))
+    """``key, line, whole, leaf``: every line with tokens, by hashes; short lines have no leaf.
+
+    The outer form of explode keeps the optimizer from splitting every text once more to see whether it has lines.
+    """
+    lines = texts.select("key", F.posexplode_outer("lines").alias("line", "content")).filter(F.col("content").rlike(r"\S"))
     parsed = lines.select("key", "line", _tokens(F.col("content")).alias("tokens"))
     n = F.size("tokens")
     leaf = F.when(n >= LEAST_TOKENS, F.xxhash64(F.lit(0), n, F.slice("tokens", 1, LEADING)))
-    return parsed.filter(n > 0).select("key", "line", F.xxhash64(F.lit(1), n, "tokens").alias("whole"), leaf.alias("leaf"))
+    return parsed.select("key", "line", F.xxhash64(F.lit(1), n, "tokens").alias("whole"), leaf.alias("leaf"))
 
 
 def _prefix(key: Column) -> Column:
@@ -92,7 +96,7 @@ def _templates(texts: DataFrame, lines: DataFrame, min_docs: int, total: int) ->
     leaves = stage(leaves.select("leaf", "n"), "leaves")
     varied = _meet(lines.filter("leaf IS NOT NULL").select("key", "line", "leaf"), leaves, "leaf", total).select("key", "line", "leaf")
     # Equal rows are one document, so a line of theirs is listed once.
-    contents = texts.select("key", F.posexplode("lines").alias("line", "content")).join(varied.distinct().hint("merge"), ["key", "line"])
+    contents = texts.select("key", F.posexplode_outer("lines").alias("line", "content")).join(varied.distinct().hint("merge"), ["key", "line"])
     tokens = contents.select("key", "line", "leaf", _tokens(F.col("content")).alias("tokens"))
     placed = tokens.select("key", "line", "leaf", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
     placed = stage(placed.filter(F.col("token") != FIELD).select(
@@ -128,7 +132,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     # Texts travel as lines, which give them back: no expression after the join splits a text again.
     keyed = docs.select(F.struct(*rest).alias("rest"), key.alias("key"), F.split(text, "\n", -1).alias("lines"))
-    found = recurring_lines(keyed.select("key", "lines").filter("lines IS NOT NULL"), min_docs)
+    found = recurring_lines(keyed.select("key", "lines"), min_docs)
     # ``found`` grows with the documents, so the plan is the same for a table small enough to broadcast it.
     joined = keyed.join(found.hint("merge"), "key", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
     whole = F.array_join("lines", "\n")

@@ -45,7 +45,7 @@ def test_score_is_that_of_the_worst_window(spark):
     texts, toxic = labelled(120)
     model = train(texts, np.array(toxic))
     new = [t for t in odd_texts() if t and t.split()] + [prose(i, 30) + f" {BAD[i % 3]}x " + prose(i, 9) for i in range(20)]
-    words = [[w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t).split()] for t in new]
+    words = [[w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t).split(" ") if w] for t in new]  # words of letters, digits and all beyond ASCII
     windows = [[" ".join(w[i:i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))] for w in words]
     rows = score_toxicity(documents(spark, new * 2), model).collect()
     got = sorted((r.row.doc_id, r.toxic_score) for r in rows)
