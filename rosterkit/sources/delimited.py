@@ -5,6 +5,8 @@ cell may hold line breaks. What a line does to the quote state (closed or open b
 known from the line alone, so the states of a file follow from its lines by windows over single blocks and one row
 per block. Only files with a line that leaves a quote open need that step; in all others each line is a record.
 
+UTF-16 files are split by byte ranges of whole units, and each range gives the lines that start in it.
+
 Rules: text cells, empty cell = null, exact ``row_idx``; a quote starts a quoted cell only as its first character and
 what follows the closing quote is taken as it is; line breaks inside quotes are given as line feeds; an opening quote
 that its file never closes is ordinary text, and the lines after it are records. A file whose bytes are not all
@@ -13,8 +15,10 @@ UTF-8 is code page 1252, whose undefined bytes become spaces.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -34,7 +38,6 @@ CP1252_C1 = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace").replace(
 # Text files by name, whatever the case of their extension.
 TEXT_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in TEXT_TYPES) + "}"
 BATCH_ROWS = 10_000
-WIDE_BLOCK = 100_000  # lines
 
 DIALECTS = "path string, length bigint, encoding string, separator string, quote string, width int, error string"
 LINES = "path string, block bigint, place bigint, value string, error string"
@@ -105,30 +108,81 @@ def _wide() -> Column:
     return F.col("encoding").startswith("utf-16")
 
 
-def _wide_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Decoded lines of UTF-16 files, in bounded batches; Spark's line reader splits single-byte text only."""
-    import io
+def split_bytes(spark: SparkSession) -> int:
+    """Size of Spark's file splits."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", text.strip().lower()).groups()
+    return int(number) * 1024 ** " kmgt".index(unit or " ")
+
+
+def wide_ranges(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Byte ranges of UTF-16 files, as long as Spark's own file splits and of whole code units."""
+    bytes_each = max(2, split_bytes(spark) // 2 * 2)
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(bytes_each).cast("long"))
+    ranges = files.select("path", "encoding", F.col("length").alias("size"), F.explode(starts).alias("start"))
+    end = F.least(F.col("start") + bytes_each, F.col("size"))
+    return spread(ranges.select("path", "encoding", "size", "start", end.alias("end"), (end - F.col("start")).alias("length")), "path", "start")
+
+
+def wide_units(data: bytes, encoding: str, size: int) -> tuple[str, int]:
+    """Encoding without a byte order mark, and the bytes of the mark, of the first bytes of a UTF-16 file."""
+    import codecs
 
-    def packed(path, first, values, error=None):
-        place = range(first, first + len(values))
-        return pd.DataFrame({
-            "path": path, "block": [i // WIDE_BLOCK for i in place], "place": list(place), "value": values, "error": error,
-        })
+    if size % 2:
+        raise ValueError("a UTF-16 file of an odd number of bytes")
+    if encoding != "utf-16":
+        return encoding, 0
+    return ("utf-16-be" if data.startswith(codecs.BOM_UTF16_BE) else "utf-16-le"), 2
 
+
+def range_lines(read, size: int, start: int, end: int, encoding: str) -> list[str]:
+    """The lines of a UTF-16 file that start within a byte range; ``read(at, n)`` gives bytes of the file.
+
+    The range is read with the two units before it, which tell whether a line starts at its begin, and beyond its end up to
+    the end of its last line. Units are numbered as in the file, so both ends fall between units.
+    """
+    encoding, mark = wide_units(read(0, 2), encoding, size)
+    unit = "<u2" if encoding == "utf-16-le" else ">u2"
+    first = max(start - 2, 0)
+    data, step = read(first, end - first + 2), 1 << 16
+    while True:
+        units = np.frombuffer(data, dtype=unit)
+        feed, back = units == 10, units == 13
+        breaks = feed.copy()
+        breaks[:-1] |= back[:-1] & ~feed[1:]
+        if len(units) and first + len(data) >= size:
+            breaks[-1] |= back[-1]
+        after = np.flatnonzero(breaks) + 1  # where a line starts, in units of the data
+        begins = after * 2 + first
+        begins = begins[(begins >= start) & (begins < end) & (begins > 0)] if start else np.concatenate(([mark], begins[begins < end]))
+        if not len(begins) or begins[0] >= size:
+            return []
+        ends = after[after * 2 + first > begins[-1]]
+        if len(ends) or first + len(data) >= size:
+            break
+        data, step = data + read(first + len(data), step), 2 * step
+    stop = int(ends[0]) * 2 if len(ends) else len(data)
+    text = data[int(begins[0]) - first:stop].decode(encoding)
+    lines = re.split("\r\n|\r|\n", text)
+    return lines[:-1] if len(ends) else lines
+
+
+def _wide_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of byte ranges of UTF-16 files; Spark's line reader splits single-byte text only."""
     for batch in batches:
-        for path, encoding in zip(batch["path"], batch["encoding"]):
-            first, values = 0, []
+        for path, encoding, size, start, end in zip(batch["path"], batch["encoding"], batch["size"], batch["start"], batch["end"]):
             try:
-                with open_file(path) as raw, io.TextIOWrapper(raw, encoding=encoding) as text:
-                    for line in text:
-                        values.append(line.rstrip("\n"))
-                        if len(values) >= BATCH_ROWS:
-                            yield packed(path, first, values)
-                            first, values = first + len(values), []
-                if values:
-                    yield packed(path, first, values)
+                with open_file(path) as raw:
+                    def read(at, n):
+                        raw.seek(at)
+                        return raw.read(max(0, min(n, size - at)))
+
+                    values, error = range_lines(read, size, start, end, encoding), None
             except Exception as e:  # reported per file; lines already read are discarded by the caller
-                yield packed(path, first, [None], f"{type(e).__name__}: {e}")
+                values, error = [None], f"{type(e).__name__}: {e}"
+            for first in range(0, len(values), BATCH_ROWS):
+                part = values[first:first + BATCH_ROWS]
+                yield pd.DataFrame({"path": path, "block": start, "place": range(first, first + len(part)), "value": part, "error": error})
 
 
 def decoded(value: Column, encoding: Column) -> Column:
@@ -313,8 +367,7 @@ def scan_delimited(spark: SparkSession, folder: str | list[str], files: DataFram
     dialects = sniffed.filter(F.col("error").isNull()).select("path", one_byte.alias("encoding"), "separator", "quote")
     wide = None
     if not dialects.filter(_wide()).isEmpty():
-        wide_files = spread(sniffed.filter(_wide())).select("path", "encoding")
-        read = stage(wide_files.mapInPandas(_wide_lines, LINES), "wide")
+        read = stage(wide_ranges(spark, sniffed.filter(_wide())).mapInPandas(_wide_lines, LINES), "wide")
         failed = stage(message(read, "path"), "wide-errors")
         errors = errors.unionByName(failed)
         wide = join_small(read.drop("error"), failed.select(F.col("file_path").alias("path")), ["path"], "left_anti", ["place"])

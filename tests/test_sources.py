@@ -239,3 +239,41 @@ def test_repeated_block_replaces_the_earlier(spark, tmp_path):
     (tmp_path / "lib.md").write_text(LIBRARY, encoding="utf-8")
     lib, _, _ = alias_library.parse_library(spark, str(tmp_path))
     assert [(r.company_code, r.alias_text) for r in lib.collect()] == [("K1", "NM")]
+
+
+def test_ranges_of_wide_text_give_each_line_once():
+    import random
+    import re
+
+    rng = random.Random(1)
+    for trial in range(400):
+        text = "".join(rng.choice(["a", "é", "\U0001f600", "\u0a0d", "\u0d0a", "\n", "\r", "\r\n", "bc"]) for _ in range(rng.randrange(0, 40)))
+        encoding = rng.choice(["utf-16", "utf-16-le", "utf-16-be"])
+        data = text.encode(encoding)
+        want = re.split("\r\n|\r|\n", text)
+        want = want[:-1] if want[-1] == "" else want
+        width = 2 * rng.randrange(1, 12)
+        got = []
+        for start in range(0, max(len(data), 1), width):
+            got += delimited.range_lines(lambda at, n: data[at:at + n], len(data), start, min(start + width, len(data)), encoding)
+        assert got == want, (text, encoding, width)
+
+
+def test_one_wide_file_is_read_by_many_tasks(spark, tmp_path):
+    rows = [[f"Name {i}", "x" * (i % 50), f"é{i}"] for i in range(3000)]
+    (tmp_path / "wide.csv").write_bytes("\r\n".join(",".join(r) for r in rows).encode("utf-16"))
+    (tmp_path / "odd.csv").write_bytes("a,b\n1,2\n".encode("utf-16") + b"x")
+    setting = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, "8k")
+    try:
+        files = catalog.file_catalog(spark, str(tmp_path))
+        ranges = delimited.wide_ranges(spark, delimited.sniff_dialects(files).filter("path LIKE '%wide.csv'"))
+        assert ranges.count() > 10 and ranges.agg(F.max("length")).first()[0] == 8192 and ranges.rdd.getNumPartitions() > 1
+        found, errors = delimited.scan_delimited(spark, str(tmp_path), files)
+        got = found.orderBy("row_idx").collect()
+    finally:
+        spark.conf.set(setting, usual)
+    assert [r.row_idx for r in got] == list(range(3000))
+    assert [r.cells for r in got] == [[c or None for c in r] for r in rows]
+    assert [r.file_path[-7:] for r in errors.collect()] == ["odd.csv"]
