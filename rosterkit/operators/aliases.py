@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rosterkit.functions import match_key
+from rosterkit.operators.joins import join_small
 from rosterkit.schema import ALL_COMPANIES, DEFAULT_ALIAS_COMPANIES, FIELDS
+from rosterkit.session import stage
 
 # Words in a company's notes that call for a manual review.
 SPECIAL_LAYOUT_WORDS = ["not one-row", "face-sheet", "vba", "legend row only"]
@@ -66,11 +68,12 @@ def merge_aliases(defaults: DataFrame, own: DataFrame, companies: DataFrame) ->
     """Effective aliases of every company: defaults and its own, each once.
 
     ``defaults(field, alias_norm)``, ``own(company_code, field, alias_norm)``, ``companies(company_code)``. A company
-    without aliases of its own has the defaults. The defaults are attached by an equi-join on the field. Detection
-    does not need this table: it looks cells up under the company and under ``*``.
+    without aliases of its own has the defaults. They are broadcast if they are small, else the companies of a field are
+    spread over tasks. Detection does not need this table: it looks cells up under the company and under ``*``.
     """
     slots = companies.select("company_code", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
-    given = slots.join(defaults.select("field", "alias_norm"), "field").select("company_code", "field", "alias_norm")
+    defaults = stage(defaults.select("field", "alias_norm"), "default-aliases")
+    given = join_small(slots, defaults, ["field"], salt_by=["company_code"]).select("company_code", "field", "alias_norm")
     return given.unionByName(own.select("company_code", "field", "alias_norm")).distinct()
 
 

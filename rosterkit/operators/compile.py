@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rosterkit.operators.joins import join_small
 from rosterkit.operators.numbering import number_parts
 from rosterkit.schema import REPORT_PART_ROWS, ROSTER_COLUMNS
+from rosterkit.session import stage
 
 RUNNING = "running"
 REPORT_KEY = ["company_code", "email_received_date"]
@@ -40,7 +41,7 @@ def compile_rows(rosters: DataFrame, eligible: DataFrame) -> DataFrame:
     ``rosters`` are the nine text columns plus ``output_path``. The distinct aggregates before its shuffle, so
     re-delivered copies collapse on the map side; the same person from two files stays twice.
     """
-    outputs = eligible.select("output_path", *REPORT_KEY).distinct()
+    outputs = stage(eligible.select("output_path", *REPORT_KEY).distinct(), "outputs")
     bound = join_small(rosters, outputs, ["output_path"], salt_by=ROSTER_COLUMNS)
     return bound.select(*REPORT_KEY, *ROSTER_COLUMNS).dropDuplicates()
 

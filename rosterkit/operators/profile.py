@@ -10,11 +10,11 @@ from rosterkit.operators.sheets import block_cells, densest_rows, head_cells
 from rosterkit.schema import HEADER_SEARCH_ROWS, PROFILE_SAMPLE_ROWS, SHEET_KEY, TABLE_KEY
 from rosterkit.session import stage
 
-REPORT_ORDER = ["file_path", "sheet_name", "table_no", "column_index"]
+REPORT_ORDER = ["file_path", "sheet_name", "table", "column_index"]  # fixed value: by file, sheet, table label and column
 
 
 def header_report(raw: DataFrame) -> DataFrame:
-    """One row per header cell: text, position and category, in report order.
+    """One row per header cell: text, position and category; ``sinks.write_sorted`` gives them their order.
 
     The header of a block is its densest head row. Categories come from the ``PROFILE_SAMPLE_ROWS`` rows below it,
     so only the top of each sheet is scanned. The column index is the true sheet position.
@@ -38,10 +38,7 @@ def header_report(raw: DataFrame) -> DataFrame:
         .select(
             "header", "file_path", F.col("sheet").alias("sheet_name"),
             F.format_string("Table %d", F.col("table_idx")).alias("table"),
-            F.col("table_idx").alias("table_no"),
             F.col("col_idx").alias("column_index"), F.col("header_row").alias("row_index"),
             F.coalesce("category", F.lit("Empty")).alias("category"),
         )
-        .orderBy(*REPORT_ORDER)
-        .drop("table_no")
     )

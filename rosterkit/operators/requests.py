@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rosterkit.functions import display_date
 from rosterkit.operators.compile import REPORT_KEY, RUNNING
 from rosterkit.operators.joins import join_small
+from rosterkit.session import stage
 
 # Required fields and the texts of the problems.
 REQUIRED_FIELDS = ["company_code", "email_received_date", "files"]
@@ -62,6 +63,6 @@ def requested_files(requests: DataFrame, catalog: DataFrame, request_id: str = "
     A file that most requests name is spread by the guarded join.
     """
     wanted = requests.select(request_id, F.explode(listed_files(F.col("files"))).alias("file_name"))
-    present = catalog.select("file_name").distinct().withColumn("present", F.lit(True))
+    present = stage(catalog.select("file_name").distinct().withColumn("present", F.lit(True)), "present")
     joined = join_small(wanted, present, ["file_name"], "left", salt_by=[request_id])
     return joined.withColumn("present", F.coalesce("present", F.lit(False)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rosterkit.functions import is_blank
 from rosterkit.operators.joins import join_small
 from rosterkit.schema import HEADER_SEARCH_ROWS, SHEET_KEY, TABLE_KEY
+from rosterkit.session import stage
 
 
 def head_rows(raw: DataFrame, rows: int = HEADER_SEARCH_ROWS) -> DataFrame:
@@ -29,7 +30,7 @@ def pad_rows(raw: DataFrame) -> DataFrame:
 
     Only for output: the operators read cells by position, where a missing cell is null already.
     """
-    widths = raw.groupBy(*SHEET_KEY).agg(F.max(F.size("cells")).alias("width"))
+    widths = stage(raw.groupBy(*SHEET_KEY).agg(F.max(F.size("cells")).alias("width")), "widths")
     missing = F.col("width") - F.size("cells")
     return join_small(raw, widths, SHEET_KEY, salt_by=["row_idx"]).withColumn(
         "cells", F.concat("cells", F.array_repeat(F.lit(None).cast("string"), missing))

@@ -22,7 +22,7 @@ from rosterkit.operators import compile as comp
 from rosterkit.operators import extract, headers, runlog
 from rosterkit.operators.joins import join_small
 from rosterkit.operators.numbering import number_within
-from rosterkit.operators.profile import header_report
+from rosterkit.operators.profile import REPORT_ORDER, header_report
 from rosterkit.plans import archive
 from rosterkit.plans.reports import compile_reports
 from rosterkit.schema import FILE_LOGS, REPORT_PART_ROWS, ROSTER_COLUMNS, RUN_LOGS, RUNS
@@ -209,8 +209,15 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
         archive.archive_files(spark, store, archive.planned_moves(moves[0], logs, moves[1], archive_folder))
 
 
-def folder_header_report(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Header report of all text files and workbooks of a folder, and the files that failed."""
+def folder_header_report(spark: SparkSession, folder: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Header report of all text files and workbooks of a folder, and the files that failed.
+
+    With ``path`` the report is written there in its order, also when it has no rows.
+    """
     files = catalog.file_catalog(spark, folder, kinds=["Text", "Excel"])
     scan = scan_files(spark, files, folder)
-    return header_report(scan.rows.withColumn("company_code", F.lit(""))), scan.errors
+    report = header_report(scan.rows.withColumn("company_code", F.lit("")))
+    if path:
+        sinks.write_sorted(report, path, REPORT_ORDER)
+        report = sinks.read_sorted(spark, path).orderBy("position").drop("position")
+    return report, scan.errors

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from rosterkit.operators import compile as comp
 from rosterkit.operators import extract, headers, profile, requests as req, runlog
 from rosterkit.operators.numbering import number_parts
-from rosterkit.queries import sql, views
+from rosterkit.queries import render, sql, views
 from rosterkit.schema import ROSTER_COLUMNS
 from rosterkit.session import stage
+from rosterkit.sources import sinks
 
 ROWS_PER_PART = 20
 
@@ -130,6 +131,13 @@ def header_report(spark, sf_dir):
     return profile.header_report(views.raw_sheets(spark, sf_dir))
 
 
+def report_sink(spark, sf_dir):
+    """The header report as written: every row with its place in the files."""
+    path = render.folder(spark, "header-report")
+    sinks.write_sorted(profile.header_report(views.raw_sheets(spark, sf_dir)), path, profile.REPORT_ORDER)
+    return sinks.read_sorted(spark, path).select("position", "header", "file_path", "sheet_name", "table", "column_index")
+
+
 def validate_requests(spark, sf_dir):
     checked = req.validate_requests(views.requests(spark, sf_dir))
     return checked.select("request_id", F.array_join("problems", "; ").alias("problems"))
@@ -151,7 +159,7 @@ QUERIES = {
     for q in (
         compile_eligible, source_run_count, skipped_outputs, compile_roster, compile_parts, part_summary, report_summary,
         stale_parts, upsert_compiled, compile_diagnosis, parted_output, run_outcome, recent_runs, run_log_export,
-        file_log, header_report, validate_requests, admit_runs, request_files,
+        file_log, header_report, report_sink, validate_requests, admit_runs, request_files,
     )
 }
 
@@ -287,4 +295,6 @@ def _file_log_oracle() -> str:
 
 
 ORACLES["file_log"] = _file_log_oracle()
+ORACLES["report_sink"] = f"""SELECT row_number() OVER (ORDER BY file_path, sheet_name, "table", column_index) AS position, header, file_path, sheet_name, "table",
+  column_index FROM ({ORACLES["header_report"]})"""
 ORACLES["run_outcome"] = sql.typed(ORACLES["run_outcome"], files_processed="BIGINT", files_failed="BIGINT")

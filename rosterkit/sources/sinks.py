@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rosterkit.operators.aliases import in_alias_order
 from rosterkit.operators.compile import REPORT_KEY
@@ -97,6 +97,29 @@ def write_log_exports(logs: DataFrame, path: str) -> None:
     logs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("run_id").csv(path)
 
 
+def write_sorted(df: DataFrame, path: str, order: list[str | Column], file_format: str = "parquet") -> None:
+    """A table in total order: files in order of their names hold ranges of rows, each file is sorted.
+
+    A table without rows is one file that has its columns and no rows.
+    """
+    staged = stage(df, "unsorted")
+    if staged.isEmpty():
+        placed = staged.coalesce(1)
+    else:
+        by = [F.col(c) if isinstance(c, str) else c for c in order]
+        placed = staged.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed.write.mode("overwrite").option("header", True).format(file_format).save(path)
+
+
+def read_sorted(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """A sorted Parquet table with the 1-based place of every row: rows before its file, from one number per file."""
+    rows = spark.read.parquet(literal_path(path)).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = stage(sizes.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")), "file-starts")
+    return join_small(rows, starts, ["_file"], salt_by=["_row"]).withColumn(name, F.col("_start") + F.col("_row") + 1).drop("_file", "_row", "_start")
+
+
 def write_library(defaults: DataFrame, residual: DataFrame, reference: DataFrame, notes: DataFrame, quality: DataFrame,
                   path: str) -> None:
     """Alias library outputs: defaults, residual and reference aliases per company, notes, quality report."""

@@ -214,7 +214,14 @@ def test_archive_members_belong_to_their_delivered_file(spark, alias, tmp_path):
 
 
 def test_folder_header_report(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
     (tmp_path / "a.csv").write_text("Member Name,Gender\n" + "".join(f"Ada {c},F\n" for c in "abcdef"))
-    report, errors = delivery.folder_header_report(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text("Name,Whole Name\n" + "".join(f"Ben {c},Ben {c}\n" for c in "abcdef"))
+    written, none = str(tmp_path / "out" / "report"), str(tmp_path / "out" / "none")
+    report, errors = delivery.folder_header_report(spark, str(tmp_path), written)
+    assert [(r.file_path[-5:], r.header) for r in report.collect()] == [("a.csv", "Member Name"), ("a.csv", "Gender"), ("b.csv", "Name"), ("b.csv", "Whole Name")]
+    empty, _ = delivery.folder_header_report(spark, str(tmp_path / "empty"), none)
+    assert empty.columns == report.columns and empty.count() == 0 and spark.read.parquet(none).columns == report.columns
+    report = report.filter(F.col("file_path").endswith("a.csv"))
     assert [(r.header, r.category) for r in report.collect()] == [("Member Name", "Name"), ("Gender", "Sex")]
     assert errors.isEmpty()
