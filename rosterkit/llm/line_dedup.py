@@ -95,9 +95,11 @@ def _templates(texts: DataFrame, lines: DataFrame, min_docs: int, total: int) ->
         F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).filter((F.col("n") >= min_docs) & (F.col("a") != F.col("b")))
     leaves = stage(leaves.select("leaf", "n"), "leaves")
     varied = _meet(lines.filter("leaf IS NOT NULL").select("key", "line", "leaf"), leaves, "leaf", total).select("key", "line", "leaf")
-    # Equal rows are one document, so a line of theirs is listed once.
-    contents = texts.select("key", F.posexplode_outer("lines").alias("line", "content")).join(varied.distinct().hint("merge"), ["key", "line"])
-    tokens = contents.select("key", "line", "leaf", _tokens(F.col("content")).alias("tokens"))
+    # Equal rows share a key: a line of theirs is wanted once, and their tokens are a set.
+    wanted = varied.groupBy("key").agg(F.collect_set(F.struct("line", "leaf")).alias("wanted"))
+    found = texts.join(wanted.hint("merge"), "key").select("key", F.explode(F.transform(
+        "wanted", lambda w: F.struct(w["line"].alias("line"), w["leaf"].alias("leaf"), F.get(F.col("lines"), w["line"]).alias("content")))).alias("x"))
+    tokens = found.select("key", "x.line", "x.leaf", _tokens(F.col("x.content")).alias("tokens"))
     placed = tokens.select("key", "line", "leaf", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
     placed = stage(placed.filter(F.col("token") != FIELD).select(
         "key", "line", "leaf", "size", F.xxhash64("leaf", "place", "token").alias("token")), "leaf-tokens")
@@ -105,7 +107,7 @@ def _templates(texts: DataFrame, lines: DataFrame, min_docs: int, total: int) ->
     general = GENERAL_SHARE * F.col("n") >= F.col("lines")
     constants = stage(counts.join(leaves.withColumnRenamed("n", "lines"), "leaf").select("token", "n", general.alias("general")), "constants")
     found = _meet(placed, constants, "token", placed.count()).groupBy("key", "line", "size", "leaf").agg(
-        F.array_sort(F.collect_list("token")).alias("close"), F.array_sort(F.collect_list(F.when(F.col("general"), F.col("token")))).alias("general"))
+        F.array_sort(F.collect_set("token")).alias("close"), F.array_sort(F.collect_set(F.when(F.col("general"), F.col("token")))).alias("general"))
 
     def sign(tokens):
         enough = CONSTANT_SHARE[1] * F.size(tokens) >= CONSTANT_SHARE[0] * F.col("size")

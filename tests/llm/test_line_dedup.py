@@ -115,6 +115,12 @@ def test_odd_texts(spark):
     assert len(rows) == 7
 
 
+def test_equal_rows_have_the_templates_of_one(spark):
+    texts = [f"{letters(i, 20)}\nposted by {tag(i * 37)} in travel and more" for i in range(12)]
+    rows = run(spark, texts * 2, list(range(12)) * 2)
+    assert {r.n_dropped for r in rows} == {1} and len(rows) == 24
+
+
 def test_short_pages_with_long_boilerplate_lose_it(spark):
     block = "\n".join(letters(900 + i, 30) for i in range(4))
     pages = [f"{block}\n{letters(i, 6)}" for i in range(8)]
