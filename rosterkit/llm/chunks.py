@@ -92,6 +92,17 @@ def expand(payload: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload, max_output_size=1 << 31), dtype=kind)
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as their differences, byte by byte, so that what is zero in all of them takes no room."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return squeeze(gaps.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sorted(payload: bytes) -> np.ndarray:
+    gaps = expand(payload, np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(gaps).view("<u8")[:, 0], dtype=np.uint64)
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket comes from the upper half of a hash, so the lower half tells the hashes of a bucket apart."""
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)

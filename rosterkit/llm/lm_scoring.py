@@ -1,13 +1,16 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is a bigram model interpolated with add-half unigrams.  Its counts cover all training documents and are made by
-two exchanges of packed hashes (``chunks``): words first, then pairs of words.  How much of a state's weight its failure
-arc gets is estimated for all states of about the same count together (Witten-Bell over count classes): a class of T
-distinct pairs in C tokens hands T / (C + T) to the unigrams.
-
-As an automaton: the root has an arc for each word; each word is a state with an arc for every pair seen in training; the
-failure arc of a state leads to the root and weighs log10(T / (C + T)) of its class.  Each chunk of documents asks for
-the states and arcs that its texts can reach, builds this part, and walks every text once from left to right.
+The model is a trigram model interpolated with bigrams and add-half unigrams.  Its counts cover all training documents and
+are made by three exchanges of packed hashes (``chunks``): words, pairs of words, and triples whose first two words occur
+``LEAST_HISTORY`` times in training.  How much of a state's weight its failure arc gets is estimated for all states of one
+order and about the same count together (Witten-Bell over count classes): a class of T distinct continuations in C tokens
+hands T / (C + T) to the next shorter history.
+
+As an automaton: the root has an arc for each word; each word of the training texts is a state with an arc for every word
+seen after it; each pair of words that occurs often enough is a state, too.  The failure arc of a pair leads to its last
+word, that of a word to the root.  Each chunk of documents asks for the states and arcs that its texts can reach, builds
+this part, and walks every text once from left to right: the state behind a token is the longest kept history, from which
+the next token takes the first arc that is there on the chain of failure arcs.
 
 Defined results: a null or empty text has only its end token; a null id trains and is not held out; equal rows count
 each; extra columns are ignored; with no training rows every token has the same weight.
@@ -21,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterkit.llm.chunks import answers_of, bucket_count, by_bucket, chunk_rows, expand, squeeze, write_chunks
+from rosterkit.llm.chunks import (answers_of, bucket_count, by_bucket, chunk_rows, expand, pack_sorted, squeeze,
+                                  unpack_sorted, write_chunks)
 from rosterkit.llm.words import Slab, mix
 from rosterkit.session import stage
 
@@ -30,6 +34,7 @@ START = np.uint64(0x5354)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 CLASSES = 130
 START_CLASS = CLASSES - 1
+LEAST_HISTORY = 2  # training occurrences of a pair that is a state
 _QUESTIONS = "bucket int, chunk long, payload binary, counts binary, classes binary"
 _ANSWERS = "chunk long, bucket int, payload binary, tokens array<long>, kinds array<long>"
 _RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -60,8 +65,13 @@ class Tokens:
         self.words, self.word = np.unique(hashes, return_inverse=True)
         before = np.concatenate([[START], hashes[:-1]])
         before[self.first[:-1]] = START
-        self.pairs, self.pair = np.unique(mix(before * _MUL + hashes), return_inverse=True)
+        links = mix(before * _MUL + hashes)
+        self.pairs, self.pair = np.unique(links, return_inverse=True)
         self.starts = self.first[:-1]
+        # The pair before each token, as its history; a text's first token has none.
+        self.history = np.concatenate([[-1], self.pair[:-1]])
+        self.history[self.starts] = -1
+        self.triple_hash = mix(np.concatenate([[START], links[:-1]]) * _MUL + hashes)
 
     def pair_states(self) -> np.ndarray:
         """For each distinct pair the number of its first word, -1 for a text's start."""
@@ -72,36 +82,48 @@ class Tokens:
         return out
 
 
+    def triples(self, pair_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens behind a history that is a state, the distinct triples they end, and each one's number among these."""
+        at = np.flatnonzero((self.history >= 0) & (pair_counts[self.history] >= LEAST_HISTORY))
+        return at, *np.unique(self.triple_hash[at], return_inverse=True)
+
+
 def count_class(counts: np.ndarray) -> np.ndarray:
     """States of about the same count share a class: two classes for each doubling."""
     return np.minimum((2 * np.log2(counts + 1.0)).astype(np.int64), START_CLASS - 1)
 
 
 class BackoffAutomaton:
-    """The part of the model's automaton that some texts can reach."""
+    """The part of the model's automaton that some texts can reach: arcs and failure arcs of each order."""
 
-    def __init__(self, word_counts, pair_counts, pair_states, failure, train_tokens, train_words):
+    def __init__(self, word_counts, pair_counts, failure, train_tokens, train_words, texts_trained):
         self.root = np.log10((word_counts + 0.5) / (train_tokens + 0.5 * (train_words + 1)))
-        at_start = pair_states < 0
-        state_counts = word_counts[pair_states]
-        classes = np.where(at_start, START_CLASS, count_class(state_counts))
-        self.pair_counts, self.state_counts, self.at_start = pair_counts, state_counts, at_start
-        self.failure = failure[classes]
+        self.word_counts, self.pair_counts, self.failure, self.texts_trained = word_counts, pair_counts, failure, texts_trained
+
+    @staticmethod
+    def _step(count, total, fail, below):
+        """Weight from a state: its arc, interpolated with what is below, or its failure arc and the weight below."""
+        seen = count > 0
+        arc = np.zeros(len(below))
+        np.divide((1 - fail) * count, total, out=arc, where=seen)
+        return np.where(seen, np.log10(arc + fail * np.power(10.0, below)), np.log10(fail) + below), seen
 
-    def walk(self, tokens: Tokens, starts_counted: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of each token as its text is read from left to right, and whether it took the failure arc.
+    def walk(self, tokens: Tokens, triple_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of each token as its text is read from left to right, and the failure arcs it took.
 
-        The state behind a token is the token's word, whichever arcs led there, so the walk over all texts is one pass
-        over arrays: the arc of a (state, word) pair if training saw it, else the failure arc and the root's arc.
+        Which history is carried to a token follows from the tokens before it alone, so the walk over all texts is one
+        pass over arrays: from the root up, each order adds the arcs of the states that are behind the tokens.
         """
-        below = np.power(10.0, self.root)[tokens.word]
-        total = np.where(self.at_start, starts_counted, self.state_counts)[tokens.pair]
-        fail = self.failure[tokens.pair]
-        seen = self.pair_counts[tokens.pair] > 0
-        arc = np.zeros(len(below))
-        np.divide((1 - fail) * self.pair_counts[tokens.pair], total, out=arc, where=seen)
-        weight = np.where(seen, np.log10(arc + fail * below), np.log10(fail) + self.root[tokens.word])
-        return weight, ~seen
+        states = tokens.pair_states()
+        total = np.where(states < 0, self.texts_trained, self.word_counts[states])
+        fail = self.failure[2][np.where(states < 0, START_CLASS, count_class(self.word_counts[states]))]
+        weight, seen = self._step(self.pair_counts[tokens.pair], total[tokens.pair], fail[tokens.pair], self.root[tokens.word])
+        failures = (~seen).astype(np.int64)
+        at, _, triple = tokens.triples(self.pair_counts)
+        history = self.pair_counts[tokens.history[at]]
+        weight[at], seen = self._step(triple_counts[triple], history, self.failure[3][count_class(history)], weight[at])
+        failures[at] = np.where(seen, 0, failures[at] + 1)
+        return weight, failures
 
 
 def _rows(chunk: int, keys, counts, classes, order, cuts, buckets, batch: bool):
@@ -110,7 +132,7 @@ def _rows(chunk: int, keys, counts, classes, order, cuts, buckets, batch: bool):
     classes = None if classes is None else classes[order].astype(np.uint8)
     part = [slice(cuts[b], cuts[b + 1]) for b in keep]
     made = [pa.array(keep, pa.int32()), pa.array([chunk] * len(keep), pa.int64()),
-            pa.array([keys[p].tobytes() for p in part], pa.binary()),
+            pa.array([pack_sorted(keys[p]) for p in part], pa.binary()),
             pa.array([squeeze(counts[p].astype(np.int64)) for p in part], pa.binary()),
             pa.array([None if classes is None else squeeze(classes[p]) for p in part], pa.binary())]
     kind = pa.RecordBatch if batch else pa.Table
@@ -119,7 +141,7 @@ def _rows(chunk: int, keys, counts, classes, order, cuts, buckets, batch: bool):
 
 def _totals(table):
     """Answer one bucket: the training count of each key that was asked, and the bucket's sums by class."""
-    asked = [np.frombuffer(x, np.uint64) for x in table.column("payload").to_pylist()]
+    asked = [unpack_sorted(x) for x in table.column("payload").to_pylist()]
     every = np.concatenate(asked)
     counts = np.concatenate([expand(x, np.int64) for x in table.column("counts").to_pylist()])
     distinct, place = np.unique(every, return_inverse=True)
@@ -155,7 +177,7 @@ def _round(answers, number):
 def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     """Log10 probabilities of all texts by the unigrams and by the automaton; ``fold`` of the ids is held out.
 
-    ``n_backoff`` counts the tokens that took a failure arc.
+    ``n_backoff`` counts the failure arcs that were taken.
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark)
@@ -186,21 +208,44 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
         classes = np.where(states < 0, START_CLASS, count_class(word_counts(tokens, answers)[states]))
         return _rows(chunk, tokens.pairs, counts, classes, *by_bucket(tokens.pairs, buckets), buckets, False)
 
-    by_chunk, words = chunks.groupBy("chunk"), words.withColumn("round", F.lit(1))
-    pairs = stage(by_chunk.cogroup(words.groupBy("chunk")).applyInArrow(ask_pairs, _QUESTIONS)
-                  .groupBy("bucket").applyInArrow(_totals, _ANSWERS), "pairs")
-    in_class, kinds_in_class = _class_sums(pairs)
-    failure = np.ones(CLASSES)
-    np.divide(kinds_in_class, in_class + kinds_in_class, out=failure, where=in_class > 0)
+    def pair_counts(tokens, answers):
+        return answers_of(_round(answers, 2), np.int64, *by_bucket(tokens.pairs, buckets))
+
+    def ask_triples(chunk_table, answers):
+        (chunk, ids, texts), = chunk_rows(chunk_table)
+        tokens = Tokens(texts)
+        known = pair_counts(tokens, answers)
+        at, triples, triple = tokens.triples(known)
+        counts = np.bincount(triple, weights=trained(tokens, ids)[at], minlength=len(triples))
+        classes = np.zeros(len(triples), dtype=np.int64)
+        classes[triple] = count_class(known[tokens.history[at]])
+        return _rows(chunk, triples, counts, classes, *by_bucket(triples, buckets), buckets, False)
+
+    def failures_of(answers):
+        in_class, kinds_in_class = _class_sums(answers)
+        out = np.ones(CLASSES)
+        np.divide(kinds_in_class, in_class + kinds_in_class, out=out, where=in_class > 0)
+        return out, in_class
+
+    def exchange(ask, answers):
+        asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, _QUESTIONS)
+        return asked.groupBy("bucket").applyInArrow(_totals, _ANSWERS)
+
+    words = words.withColumn("round", F.lit(1))
+    pairs = stage(exchange(ask_pairs, words), "pairs").withColumn("round", F.lit(2))
+    triples = stage(exchange(ask_triples, pairs), "triples").withColumn("round", F.lit(3))
+    failure2, in_class = failures_of(pairs)
+    failure = {2: failure2, 3: failures_of(triples)[0]}
     texts_trained = int(in_class[START_CLASS])
 
     def walk(chunk_table, answers):
         (_, ids, texts), = chunk_rows(chunk_table)
         tokens = Tokens(texts)
-        known = word_counts(tokens, answers)
-        arcs = answers_of(_round(answers, 2), np.int64, *by_bucket(tokens.pairs, buckets))
-        automaton = BackoffAutomaton(known, arcs, tokens.pair_states(), failure, train_tokens, train_words)
-        weights, backed_off = automaton.walk(tokens, texts_trained)
+        known, arcs = word_counts(tokens, answers), pair_counts(tokens, answers)
+        _, asked, _ = tokens.triples(arcs)
+        triples = answers_of(_round(answers, 3), np.int64, *by_bucket(asked, buckets))
+        automaton = BackoffAutomaton(known, arcs, failure, train_tokens, train_words, texts_trained)
+        weights, failures = automaton.walk(tokens, triples)
         starts = tokens.starts
         return pa.Table.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(held_out(ids, folds, fold)), pa.array(tokens.counts, pa.int64()),
@@ -208,8 +253,8 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
              pa.array(np.full(len(ids), int(train_tokens)), pa.int64()),
              pa.array(np.add.reduceat(automaton.root[tokens.word], starts), pa.float64()),
              pa.array(np.add.reduceat(weights, starts), pa.float64()),
-             pa.array(np.add.reduceat(backed_off.astype(np.int64), starts), pa.int64())],
+             pa.array(np.add.reduceat(failures, starts), pa.int64())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_backoff"])
 
-    answers = words.unionByName(pairs.withColumn("round", F.lit(2))).select("chunk", "bucket", "payload", "round")
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(walk, _RESULT)
+    answers = words.unionByName(pairs).unionByName(triples).select("chunk", "bucket", "payload", "round")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(walk, _RESULT)
