@@ -8,7 +8,8 @@ probe that sets a bit finds what one that clears the bit would, so only the form
 
 Exact copies share a fingerprint and are merged first.  The matches of a table slot are verified in blocks and passed
 on as a spanning forest, so a family of n near copies costs n rows, not n squared; no link between different
-fingerprints is lost, because only reachability matters.
+fingerprints is lost, because only reachability matters.  Slots that hold more than ``HOT_SLOT`` fingerprints are not
+compared in one task: their fingerprints enumerate the points around them and meet there (``by_midpoints``).
 
 Defined results: a null or empty text has fingerprint zero and links like any other; equal rows share a component; a
 null id never names a component unless all its ids are null; extra columns are ignored.
@@ -16,6 +17,7 @@ null id never names a component unless all its ids are null; extra columns are i
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,7 @@ SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+HOT_SLOT = 100_000  # fingerprints of a slot that are compared pair by pair
 _FOREST_EDGES = 1 << 20
 
 
@@ -181,8 +184,43 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         a, b = _linked(slot, fp, probe, distance)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return (slots(distinct, distance).repartition("slot").sortWithinPartitions("slot", "probe")
-            .mapInArrow(verify, "a long, b long"))
+    rows = slots(distinct, distance)
+    # A slot that many fingerprints share would be compared pair by pair in one task: those go by midpoints.
+    entries = distinct.select(F.explode(F.array(*[_segment(F.col("fp"), low, bits) + F.lit(n << 40) for n, (low, bits) in enumerate(SEGMENTS)])).alias("slot"))
+    hot = stage(entries.groupBy("slot").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SLOT).select("slot"), "hot-slots")
+    crowded = not hot.isEmpty()
+    if crowded:  # fewer than three for each HOT_SLOT fingerprints
+        near = by_midpoints(rows.join(F.broadcast(hot), "slot", "left_semi").select("fp").distinct(), distance)
+        rows = rows.join(F.broadcast(hot), "slot", "left_anti")
+    found = rows.repartition("slot").sortWithinPartitions("slot", "probe").mapInArrow(verify, "a long, b long")
+    return found.unionByName(near) if crowded else found
+
+
+def _ball(radius: int) -> list[int]:
+    """All masks of at most ``radius`` bits, as signed numbers."""
+    masks = [sum(1 << i for i in bits) for size in range(radius + 1) for bits in itertools.combinations(range(64), size)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def by_midpoints(members: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges ``a, b`` that connect all fingerprints ``fp`` within ``distance`` bits, without comparing pairs.
+
+    Two fingerprints within the distance have a point within half of it from one and the rest from the other, and two that
+    share such a point are within the distance. So each is sent to all points around it, and a point links what it gets,
+    which is at most as much as there are points around it.
+    """
+    half = distance // 2
+
+    def sent_within(radius: int, close: bool) -> DataFrame:
+        masks = F.split(F.lit(",".join(map(str, _ball(radius)))), ",").cast("array<long>")
+        points = F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp"))))
+        return members.select("fp", points.alias("point"), F.lit(close).alias("close"))
+
+    sent = sent_within(distance - half, half == distance - half)
+    if half < distance - half:
+        sent = sent.unionByName(sent_within(half, True))
+    met = sent.groupBy("point").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("a"), F.collect_set("fp").alias("all"))
+    return met.filter((F.size("all") > 1) & F.col("a").isNotNull()).select("a", F.explode("all").alias("b")).filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

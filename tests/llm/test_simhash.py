@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from cases import documents, odd_texts, prose
 from rosterkit.llm import simhash
@@ -38,7 +39,10 @@ def test_odd_texts_as_brute_force(spark):
     assert [r.component_id for r in rows] == components(list(range(len(texts))), prints)
 
 
-def test_links_of_planted_distances(spark):
+@pytest.mark.parametrize("hot", [100_000, 40])
+def test_links_of_planted_distances(spark, monkeypatch, hot):
+    """With a low bound the family's slots and some more are hot and go by midpoints."""
+    monkeypatch.setattr(simhash, "HOT_SLOT", hot)
     rng = np.random.default_rng(3)
     prints = []
     for base in rng.integers(0, 2 ** 63, 120, dtype=np.uint64).tolist():
@@ -50,7 +54,7 @@ def test_links_of_planted_distances(spark):
     family = rng.integers(0, 2 ** 63, dtype=np.uint64).item()
     prints += list(dict.fromkeys(family ^ (i * 0x10001) for i in range(1, 600)))
     own = spark.createDataFrame([(i, p - 2 ** 64 if p >= 2 ** 63 else p) for i, p in enumerate(prints)], "doc_id long, fp long")
-    for distance in (4, 2):
+    for distance in (4, 3, 2):
         got = {r.fp % 2 ** 64: r.component_id for r in simhash.fingerprint_components(own, distance).collect()}
         assert [got[p] for p in prints] == components(list(range(len(prints))), prints, distance)
 
