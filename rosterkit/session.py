@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def staging_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"^local(\[|$)", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
     root = tempfile.mkdtemp(prefix="rosterkit-")
     spark.conf.set(CHECKPOINT_CONF, root)
