@@ -1,7 +1,8 @@
 """Benchmark decontamination: an FM-index for each training shard, searched for all test phrases.
 
-The test phrases are the windows of the benchmark items.  They are broadcast in blocks of bounded size, and each further
-block is one more pass over the documents, so a benchmark of any size is searched whole.  A shard is some megabytes of
+The test phrases are the windows of the benchmark items.  Repeated items count once and long ones are cut into pieces that
+share all but one word of a window.  The pieces are broadcast in blocks of bounded size, and each further block is one more
+pass over the documents, so a benchmark of any size is searched whole.  A shard is some megabytes of
 documents within a task.  A phrase consists of benchmark words only, so the shard's index holds the runs of benchmark
 words that are long enough for the shortest phrase; no other place can match.  Backward search finds the phrases that
 occur, sampled suffix positions give their places, and covered words merge to removal spans.  Nothing is shuffled.
@@ -13,6 +14,7 @@ an empty benchmark leaves all clean.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +30,7 @@ from rosterkit.session import stage
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 @dataclass
@@ -121,6 +124,34 @@ def _without(slab: Slab, spans: list[list[int]], texts: list[str | None]) -> lis
     return out
 
 
+def item_pieces(text: str | None, window: int, most: int) -> list[str | None]:
+    """A long item as overlapping texts of about ``most`` characters that together have exactly its windows."""
+    if text is None or len(text) <= most:
+        return [text]
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, first = [], 0
+    while len(words) > window:
+        last = first + window
+        while last < len(words) and words[last][1] - words[first][0] <= most:
+            last += 1
+        out.append(text[words[first][0]:words[last - 1][1]])
+        if last == len(words):
+            break
+        first = last - window + 1
+    return out or [" ".join(text[a:b] for a, b in words)]
+
+
+def benchmark_pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """``item_id, text`` of the distinct items, long ones in pieces, so that no block of them is much over its size."""
+    def cut(batches):
+        for batch in batches:
+            made = [(i, p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in item_pieces(t, window, most)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in made], pa.string()), pa.array([p for _, p in made], pa.string())], names=["item_id", "text"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    return stage(items.mapInArrow(cut, "item_id string, text string").distinct(), "benchmark")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``row`` (the document), ``n_words``, ``spans`` (starts and ends of hit word runs), ``items``, and ``clean_text``.
@@ -128,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clea
     ``clean_text`` is the text without its removal spans, all else unchanged; null unless asked for.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark_pieces(benchmark, window, max(1, block_bytes // 4))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     passed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),

@@ -3,7 +3,7 @@ import re
 import numpy as np
 from cases import documents, odd_texts, prose
 from pyspark.sql import functions as F
-from rosterkit.llm.decontamination import find_leaks, hit_words
+from rosterkit.llm.decontamination import find_leaks, hit_words, item_pieces
 from rosterkit.llm.fm_index import FMIndex
 
 
@@ -43,6 +43,17 @@ def test_odd_texts_as_brute_force(spark):
     check(spark, texts, items, 4, block_bytes=200)
 
 
+def test_pieces_of_a_long_item_have_its_windows():
+    for most in (1, 30, 200, 10_000):
+        for text in (prose(3, 150), "Ab-cD " * 40, "x" * 500, "é à-ü, " * 30, "one two"):
+            def windows(t, n=5):
+                w = words_of(t)
+                return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+            pieces = item_pieces(text, 5, most)
+            assert set().union(*map(windows, pieces)) == windows(text)
+            assert all(len(p) <= max(most, max(len(" ".join(w)) for w in windows(text)) + 40) for p in pieces)
+
+
 def test_empty_tables(spark):
     check(spark, [], [(1, "a b")], 10)
     check(spark, ["a b"], [], 10)
