@@ -19,7 +19,8 @@ HEADLINE = [
     "extract_roster", "extract_standard", "explode_names", "explode_pairs", "detect_header", "header_report",
     "compile_roster", "compile_parts", "parted_output", "compile_diagnosis", "run_outcome", "admit_runs",
     "validate_requests", "alias_defaults", "alias_residual", "merge_aliases", "similar_words", "clean_name", "match_key",
-    "parse_date", "scan_delimited", "scan_quoted_text", "scan_workbook", "dedup_rows",
+    "parse_date", "scan_delimited", "scan_quoted_text", "scan_workbook", "dedup_rows", "file_log", "output_index",
+    "incremental_reports",
 ]
 
 

@@ -128,7 +128,27 @@ _HEAD = f"WITH {sql.sheets()},{sql.CELLS}"
 _KEY = "company_code, file_path, sheet"
 _EMPTY = "'' AS {}"
 
+# The longest common block of two ranges: the longest substring of the first that the second has, the earliest in both.
+_BLOCK = """list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(1, ahi - i + 1), lambda l:
+    CASE WHEN instr(substr(b, blo + 1, bhi - blo), substr(a, i + 1, l)) > 0
+         THEN {'size': l, 'i': -i, 'j': -(blo + instr(substr(b, blo + 1, bhi - blo), substr(a, i + 1, l)) - 1)} END))))"""
+_LETTERS = " + ".join(f"least(length(a) - length(replace(a, '{x}', '')), length(b) - length(replace(b, '{x}', '')))" for x in "abcdefghijklmnopqrstuvwxyz")
+
 ORACLES = {
+    "similar_words": f"""WITH RECURSIVE {sql.ALIASES}, words AS (SELECT DISTINCT regexp_replace(lower(w), '[^a-z]', '', 'g') AS a FROM (
+            SELECT unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS w FROM documents)),
+        pairs AS (SELECT DISTINCT a, alias_norm AS b FROM words JOIN alias ON a <> ''
+          AND 2 * least(length(a), length(alias_norm)) >= 0.7 * (length(a) + length(alias_norm)) - 1e-9),
+        near AS (SELECT a, b FROM pairs WHERE 2 * ({_LETTERS}) >= 0.7 * (length(a) + length(b)) - 1e-9),
+        blocks AS (
+          SELECT a, b, alo, ahi, blo, bhi, {_BLOCK} AS m FROM (SELECT a, b, 0 AS alo, length(a) AS ahi, 0 AS blo, length(b) AS bhi FROM near)
+          UNION ALL
+          SELECT a, b, alo, ahi, blo, bhi, {_BLOCK} AS m FROM (SELECT a, b, r.alo AS alo, r.ahi AS ahi, r.blo AS blo, r.bhi AS bhi FROM (
+            SELECT a, b, unnest([{{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j}},
+              {{'alo': m.size - m.i, 'ahi': ahi, 'blo': m.size - m.j, 'bhi': bhi}}]) AS r FROM blocks WHERE m IS NOT NULL)) WHERE alo < ahi AND blo < bhi
+        ), ratios AS (SELECT a, b, 2.0 * sum(m.size) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b)
+        SELECT company_code AS scope, a AS word, field, round(max(ratio), 6)::DOUBLE AS ratio FROM ratios JOIN alias ON alias_norm = b
+        WHERE ratio >= 0.7 GROUP BY ALL""",
     "non_empty_columns": f"{_HEAD} SELECT DISTINCT {_KEY}, CAST(col_idx AS INTEGER) AS col_idx FROM cells",
     "column_blocks": f"{_HEAD},{sql.BLOCKS} SELECT * FROM blocks",
     "head_sample": f"""WITH {sql.sheets()} SELECT {_KEY}, count(*) AS n_rows, max(row_idx) AS last_row,
