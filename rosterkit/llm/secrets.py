@@ -82,9 +82,13 @@ def _steps(codes: Column) -> Column:
 
 
 def _transitions(tokens: DataFrame) -> DataFrame:
-    """``label, first, second, n`` of the rows ``label, token``; characters as code numbers."""
-    return (tokens.filter(F.char_length("token") >= 2).select("label", F.explode(_steps(_codes_of(F.col("token")))).alias("step"))
-            .groupBy("label", "step").agg(F.count("*").alias("n"))
+    """``label, first, second, n`` of the rows ``label, token``; characters as code numbers.
+
+    Tokens recur, so each distinct one is taken apart once and counts as often as it occurs.
+    """
+    distinct = tokens.filter(F.char_length("token") >= 2).groupBy("label", "token").agg(F.count("*").alias("n"))
+    return (distinct.select("label", "n", F.explode(_steps(_codes_of(F.col("token")))).alias("step"))
+            .groupBy("label", "step").agg(F.sum("n").alias("n"))
             .select("label", F.floor(F.col("step") / _CODES).cast("int").alias("first"), (F.col("step") % _CODES).alias("second"), "n"))
 
 
