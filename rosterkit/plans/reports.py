@@ -45,20 +45,35 @@ class StaleWriter(Exception):
     """A newer compilation of a key was published meanwhile; this one's manifest is not."""
 
 
-def of_keys(stored: DataFrame, keys: DataFrame, salt_by: list[str]) -> DataFrame:
-    """Rows of the given companies and dates; ``keys`` are staged and distinct.
+class Keys:
+    """Companies and dates of one job: their distinct rows, and the list of them if they are few, read once."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+        found = frame.select(*comp.REPORT_KEY).limit(LITERAL_KEYS + 1).collect()
+        self.known = [tuple(r) for r in found] if len(found) <= LITERAL_KEYS else None
+
+    @classmethod
+    def of(cls, keys: DataFrame | Keys) -> Keys:
+        return keys if isinstance(keys, Keys) else cls(stage(keys.select(*comp.REPORT_KEY).distinct(), "keys"))
+
+
+def of_keys(stored: DataFrame, keys: DataFrame | Keys, salt_by: list[str]) -> DataFrame:
+    """Rows of the given companies and dates.
 
     The keys of one batch are few and become literal lists, so that only their partitions are listed and read; with
     more than ``LITERAL_KEYS`` the join alone selects them.
     """
-    known = keys.select(*comp.REPORT_KEY).limit(LITERAL_KEYS + 1).collect()
-    if len(known) <= LITERAL_KEYS:
-        for column in comp.REPORT_KEY:
-            stored = stored.filter(F.col(column).isin(sorted({r[column] for r in known})))
-    return join_small(stored, keys.select(*comp.REPORT_KEY), comp.REPORT_KEY, "left_semi", salt_by=salt_by)
+    keys = Keys.of(keys)
+    wanted = keys.frame.select(*comp.REPORT_KEY)
+    if keys.known is None:
+        return join_small(stored, wanted, comp.REPORT_KEY, "left_semi", salt_by=salt_by)
+    for place, column in enumerate(comp.REPORT_KEY):
+        stored = stored.filter(F.col(column).isin(sorted({k[place] for k in keys.known})))
+    return stored.join(F.broadcast(wanted), comp.REPORT_KEY, "left_semi")  # at most LITERAL_KEYS rows
 
 
-def latest_manifests(spark: SparkSession, store: str, keys: DataFrame | None = None) -> DataFrame:
+def latest_manifests(spark: SparkSession, store: str, keys: DataFrame | Keys | None = None) -> DataFrame:
     """The manifest of the highest version of every key, or of the given keys."""
     stored = sinks.read_table(spark, f"{store}/compiled_manifest", COMPILED_MANIFEST)
     if keys is not None:
@@ -78,13 +93,14 @@ def _stored_rows(spark: SparkSession, store: str) -> DataFrame:
     return rows.withColumn("output_path", decoded_uri(F.col("_metadata.file_path")))
 
 
-def read_reports(spark: SparkSession, store: str, keys: DataFrame | None = None) -> DataFrame:
+def read_reports(spark: SparkSession, store: str, keys: DataFrame | Keys | None = None) -> DataFrame:
     """The rows of all current reports, or of the given keys', with their part."""
     columns = ["part_number", *ROSTER_COLUMNS, *comp.REPORT_KEY]
     if not path_exists(f"{store}/compiled"):
         return spark.createDataFrame([], T.StructType([_ROWS[c] for c in columns]))
     rows = _stored_rows(spark, store)
     if keys is not None:
+        keys = Keys.of(keys)
         rows = of_keys(rows, keys, ROSTER_COLUMNS)
     current = tracked_parts(latest_manifests(spark, store, keys)).select("output_path")
     return join_small(rows, current, ["output_path"], "left_semi", salt_by=ROSTER_COLUMNS).select(*columns)
@@ -99,13 +115,13 @@ def _now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def _of_versions(stored: DataFrame, manifests: DataFrame, salt_by: list[str]) -> DataFrame:
-    """Rows of the versions that manifests build on."""
+def _of_versions(stored: DataFrame, keys: Keys, manifests: DataFrame, salt_by: list[str]) -> DataFrame:
+    """Rows of the versions that manifests of the keys build on."""
     versions = manifests.select(*comp.REPORT_KEY, F.explode("base_versions").alias("version"))
-    return join_small(of_keys(stored, manifests, salt_by), versions, VERSION_KEY, "left_semi", salt_by=salt_by)
+    return join_small(of_keys(stored, keys, salt_by), versions, VERSION_KEY, "left_semi", salt_by=salt_by)
 
 
-def plan_compilation(spark: SparkSession, store: str, keys: DataFrame, rows_per_part: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan_compilation(spark: SparkSession, store: str, keys: Keys, rows_per_part: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``decided``: how each key is compiled; ``todo``: the outputs to read; ``old``: the manifests before.
 
     Only runs, logs, index, manifests and source lists are read, no roster rows.
@@ -121,7 +137,7 @@ def plan_compilation(spark: SparkSession, store: str, keys: DataFrame, rows_per_
     old = stage(latest_manifests(spark, store, keys), "manifests")
     present = index.join(eligible, [*comp.REPORT_KEY, "output_path"], "left_semi")
     skipped = comp.skipped_outputs(eligible, index).groupBy(*comp.REPORT_KEY).agg(F.count("*").alias("skipped_files"))
-    sources = _of_versions(sinks.read_table(spark, f"{store}/compiled_sources", _SOURCES), old, ["output_path"])
+    sources = _of_versions(sinks.read_table(spark, f"{store}/compiled_sources", _SOURCES), keys, old, ["output_path"])
     # A source that a later version read again is in the list of that version, too: equal entries count once.
     known = sources.select(*comp.REPORT_KEY, "output_path", F.col("row_count").alias("_rows"), F.col("fingerprint").alias("_print")).distinct()
     compared = stage(present.join(known, [*comp.REPORT_KEY, "output_path"], "full").withColumn(
@@ -129,7 +145,7 @@ def plan_compilation(spark: SparkSession, store: str, keys: DataFrame, rows_per_
             (F.col("_print") != F.col("fingerprint")) | (F.col("_rows") != F.col("row_count"))))), "compared")
     changes = compared.groupBy(*comp.REPORT_KEY).agg(F.max("changed").alias("changed"))
     decided = (
-        keys.join(old.drop("source_run_count", "skipped_files", "last_updated_at", "total_rows", "part_count"), comp.REPORT_KEY, "left")
+        keys.frame.join(old.drop("source_run_count", "skipped_files", "last_updated_at", "total_rows", "part_count"), comp.REPORT_KEY, "left")
         .join(changes, comp.REPORT_KEY, "left").join(skipped, comp.REPORT_KEY, "left")
         .join(comp.source_run_count(runs), comp.REPORT_KEY, "left")
     )
@@ -148,7 +164,7 @@ def plan_compilation(spark: SparkSession, store: str, keys: DataFrame, rows_per_
     return decided, stage(todo, "todo"), old
 
 
-def new_rows(spark: SparkSession, store: str, decided: DataFrame, todo: DataFrame) -> DataFrame:
+def new_rows(spark: SparkSession, store: str, keys: Keys, decided: DataFrame, todo: DataFrame) -> DataFrame:
     """The distinct rows of the outputs to read that their reports do not hold yet, with their hashes; staged."""
     ids = [r[0] for r in todo.select("run_id").distinct().limit(LITERAL_KEYS + 1).collect()]
     rosters = sinks.read_rosters(spark, f"{store}/rosters", ids if len(ids) <= LITERAL_KEYS else None).select("output_path", *ROSTER_COLUMNS)
@@ -156,18 +172,18 @@ def new_rows(spark: SparkSession, store: str, decided: DataFrame, todo: DataFram
     growing = stage(decided.filter(~F.col("rebuild")), "growing")
     if growing.isEmpty():
         return stage(rows, "new-rows")
-    held = _of_versions(sinks.read_table(spark, f"{store}/compiled_hashes", _HASHES), growing, ["row_hash"])
+    held = _of_versions(sinks.read_table(spark, f"{store}/compiled_hashes", _HASHES), keys, growing, ["row_hash"])
     return stage(rows.join(held.select(*comp.REPORT_KEY, "row_hash"), [*comp.REPORT_KEY, "row_hash"], "left_anti"), "new-rows")
 
 
-def _last_parts(spark: SparkSession, store: str, decided: DataFrame, fresh: DataFrame, rows_per_part: int) -> tuple[DataFrame, DataFrame]:
+def _last_parts(spark: SparkSession, store: str, keys: Keys, decided: DataFrame, fresh: DataFrame, rows_per_part: int) -> tuple[DataFrame, DataFrame]:
     """The part that is not full of each key with new rows, as ``key, output_path``, and the rows of these parts."""
     grown = decided.join(fresh.select(*comp.REPORT_KEY).distinct(), comp.REPORT_KEY, "left_semi").filter("parts IS NOT NULL")
     last = stage(grown.select(*comp.REPORT_KEY, F.explode("parts").alias("p")).filter(F.col("p.row_count") < rows_per_part).select(
         *comp.REPORT_KEY, "p.output_path"), "last-parts")
     if last.isEmpty():
         return last, fresh.drop("row_hash").limit(0)
-    rows = of_keys(_stored_rows(spark, store), last.select(*comp.REPORT_KEY).distinct(), ROSTER_COLUMNS)
+    rows = of_keys(_stored_rows(spark, store), keys, ROSTER_COLUMNS)
     return last, join_small(rows, last.select("output_path"), ["output_path"], "left_semi", salt_by=ROSTER_COLUMNS).select(
         *comp.REPORT_KEY, *ROSTER_COLUMNS)
 
@@ -180,10 +196,10 @@ def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_p
     files of the parts.
     """
     fence = F.max("fence") if "fence" in keys.columns else F.lit(None).cast("bigint")
-    keys = stage(keys.groupBy(*comp.REPORT_KEY).agg(fence.alias("fence")), "keys")
+    keys = Keys(stage(keys.groupBy(*comp.REPORT_KEY).agg(fence.alias("fence")), "keys"))
     decided, todo, old = plan_compilation(spark, store, keys, rows_per_part)
-    fresh = new_rows(spark, store, decided, todo)
-    last, tail = _last_parts(spark, store, decided, fresh, rows_per_part)
+    fresh = new_rows(spark, store, keys, decided, todo)
+    last, tail = _last_parts(spark, store, keys, decided, fresh, rows_per_part)
     if not fresh.isEmpty():
         both = tail.withColumn("_age", F.lit(0)).unionByName(fresh.drop("row_hash").withColumn("_age", F.lit(1)))
         numbered = number_within(both, comp.REPORT_KEY, ["_age", *ROSTER_COLUMNS], "_row_number").drop("_age")
@@ -195,20 +211,20 @@ def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_p
     hashes = join_small(fresh.select(*comp.REPORT_KEY, "row_hash"), decided.select(*VERSION_KEY), comp.REPORT_KEY, salt_by=["row_hash"])
     sinks.overwrite_partitions(hashes.select("row_hash", *VERSION_KEY).unionByName(marks), f"{store}/compiled_hashes", *VERSION_KEY)
     sinks.overwrite_partitions(todo.select("output_path", "row_count", "fingerprint", *VERSION_KEY), f"{store}/compiled_sources", *VERSION_KEY)
-    manifests = stage(_manifests(spark, store, decided, todo, fresh, last, rows_per_part), "new-manifests")
-    publish(spark, store, manifests)
-    remove_superseded(spark, store, old, manifests)
+    manifests = stage(_manifests(spark, store, keys, decided, todo, fresh, last, rows_per_part), "new-manifests")
+    publish(spark, store, keys, manifests)
+    remove_superseded(spark, store, keys, old, manifests)
     return tracked_parts(manifests)
 
 
-def _manifests(spark: SparkSession, store: str, decided: DataFrame, todo: DataFrame, fresh: DataFrame, last: DataFrame,
+def _manifests(spark: SparkSession, store: str, keys: Keys, decided: DataFrame, todo: DataFrame, fresh: DataFrame, last: DataFrame,
                rows_per_part: int) -> DataFrame:
     """The manifests of the new versions: what stays of the parts before, and the parts written now."""
     kept = decided.select(*comp.REPORT_KEY, F.explode("parts").alias("p")).select(*comp.REPORT_KEY, "p.part_number", "p.output_path", "p.row_count")
     parts = kept.join(last.select(*comp.REPORT_KEY, "output_path"), [*comp.REPORT_KEY, "output_path"], "left_anti")
     grown = stage(decided.select(*VERSION_KEY).join(fresh.select(*comp.REPORT_KEY).distinct(), comp.REPORT_KEY, "left_semi"), "grown")
     if not grown.isEmpty():
-        rows = of_keys(_stored_rows(spark, store), grown, ["output_path"])
+        rows = of_keys(_stored_rows(spark, store), keys, ["output_path"])
         written = join_small(rows, grown, VERSION_KEY, "left_semi", salt_by=["output_path"])
         parts = parts.unionByName(written.groupBy(*comp.REPORT_KEY, "part_number", "output_path").agg(F.count("*").alias("row_count")))
     listed = parts.groupBy(*comp.REPORT_KEY).agg(
@@ -225,26 +241,29 @@ def _manifests(spark: SparkSession, store: str, decided: DataFrame, todo: DataFr
     ).select(*[F.col(f.name).cast(f.dataType) for f in COMPILED_MANIFEST.fields])
 
 
-def publish(spark: SparkSession, store: str, manifests: DataFrame) -> None:
+def publish(spark: SparkSession, store: str, keys: Keys, manifests: DataFrame) -> None:
     """Make the new versions the current ones; a version that is not above the current one is refused."""
-    current = latest_manifests(spark, store, manifests.select(*comp.REPORT_KEY)).select(*comp.REPORT_KEY, F.col("version").alias("_current"))
+    current = latest_manifests(spark, store, keys).select(*comp.REPORT_KEY, F.col("version").alias("_current"))
     if not manifests.join(current, comp.REPORT_KEY).filter(F.col("_current") >= F.col("version")).isEmpty():
         raise StaleWriter("a newer version of a report was published meanwhile")
     sinks.overwrite_partitions(manifests, f"{store}/compiled_manifest", *VERSION_KEY)
 
 
-def remove_superseded(spark: SparkSession, store: str, old: DataFrame, manifests: DataFrame) -> None:
+def remove_superseded(spark: SparkSession, store: str, keys: Keys, old: DataFrame, manifests: DataFrame) -> None:
     """Remove the files of the manifests before that the new ones do not use."""
     current = manifests.select(F.explode("parts").alias("p")).select("p.output_path")
     parts = old.select(F.explode("parts").alias("p")).select(F.col("p.output_path").alias("path")).join(
         current.withColumnRenamed("output_path", "path"), "path", "left_anti")
     based = manifests.select(*comp.REPORT_KEY, F.explode("base_versions").alias("version"))
-    gone = old.select(*comp.REPORT_KEY, F.explode("base_versions").alias("version")).join(based, VERSION_KEY, "left_anti")
+    gone = stage(old.select(*comp.REPORT_KEY, F.explode("base_versions").alias("version")).join(based, VERSION_KEY, "left_anti"), "superseded")
     tables = []
+    if gone.isEmpty():  # nothing was built again: at most the last parts were replaced
+        sinks.remove_files(parts)
+        return
     for table in ("compiled_hashes", "compiled_sources"):
         if path_exists(f"{store}/{table}"):
             stored = spark.read.schema(T.StructType([_HASHES[c] for c in VERSION_KEY])).parquet(literal_path(f"{store}/{table}"))
-            files = of_keys(stored.select(*VERSION_KEY, F.col("_metadata.file_path").alias("path")), old, ["path"]).distinct()
+            files = of_keys(stored.select(*VERSION_KEY, F.col("_metadata.file_path").alias("path")), keys, ["path"]).distinct()
             tables.append(files.join(gone, VERSION_KEY, "left_semi").select(decoded_uri(F.col("path")).alias("path")))
     for more in tables:
         parts = parts.unionByName(more)
@@ -256,7 +275,7 @@ def refresh_index(spark: SparkSession, store: str, keys: DataFrame) -> None:
 
     The next compilation sees such outputs as skipped and builds the reports again that held their rows.
     """
-    keys = stage(keys.select(*comp.REPORT_KEY).distinct(), "keys")
+    keys = Keys.of(keys)
     path = f"{store}/output_index"
     index = of_keys(sinks.read_table(spark, path, OUTPUT_INDEX), keys, ["output_path"])
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(
