@@ -14,7 +14,7 @@ from rosterkit.llm.words import slabs, text_sizes
 
 
 def with_text_columns(docs: DataFrame, fields: str, compute: Callable[[list[str | None]], list[pa.Array]],
-                      most: int = 1 << 20, carried: tuple[str, ...] = (), keep: list[str] | None = None) -> DataFrame:
+                      most: int = 1 << 19, carried: tuple[str, ...] = (), keep: list[str] | None = None) -> DataFrame:
     """``row`` (the ``keep`` columns of ``docs``, by default all, as a struct, so no name can clash) and the fields that
     ``compute`` makes.
 

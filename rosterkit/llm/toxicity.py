@@ -33,7 +33,7 @@ DIMENSIONS = 4
 WINDOW = 3
 GRAMS = (4, 5, 6)
 MOST_ROWS = 1500
-MOST_TOTAL = 6_000_000  # bytes of text of each class, over all lengths
+MOST_TOTAL = 3_500_000  # bytes of text of each class, over all lengths
 ROUNDS = 45
 SUSPECTS = 12
 RATE = 0.1
