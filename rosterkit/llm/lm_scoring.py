@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterkit.llm.chunks import (answers_of, bucket_count, by_bucket, chunk_rows, expand, pack_sorted, squeeze,
+from rosterkit.llm.chunks import (answers_of, bucket_count, by_range, chunk_rows, expand, pack_sorted, squeeze,
                                   unpack_sorted, write_chunks)
 from rosterkit.llm.words import Slab, mix
 from rosterkit.session import stage
@@ -36,7 +36,7 @@ CLASSES = 130
 START_CLASS = CLASSES - 1
 LEAST_HISTORY = 2  # training occurrences of a pair that is a state
 _QUESTIONS = "bucket int, chunk long, payload binary, counts binary, classes binary"
-_ANSWERS = "chunk long, bucket int, payload binary, tokens array<long>, kinds array<long>"
+_ANSWERS = "chunk long, bucket int, payload binary, sums array<struct<class:long,tokens:long,kinds:long>>"
 _RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
            "score double, n_backoff long")
 
@@ -153,20 +153,20 @@ def _totals(table):
     tokens = np.bincount(classes, weights=totals, minlength=CLASSES).astype(np.int64)
     kinds = np.bincount(classes[totals > 0], minlength=CLASSES)
     parts = np.split(totals[place], np.cumsum([len(x) for x in asked])[:-1])
-    rest = [None] * (len(asked) - 1)
+    sums = [{"class": int(c), "tokens": int(tokens[c]), "kinds": int(kinds[c])} for c in np.flatnonzero(tokens | kinds)]
+    kind = pa.list_(pa.struct([("class", pa.int64()), ("tokens", pa.int64()), ("kinds", pa.int64())]))
     return pa.Table.from_arrays(
         [table.column("chunk"), table.column("bucket"), pa.array([squeeze(x) for x in parts], pa.binary()),
-         pa.array([tokens.tolist(), *rest], pa.list_(pa.int64())), pa.array([kinds.tolist(), *rest], pa.list_(pa.int64()))],
-        names=["chunk", "bucket", "payload", "tokens", "kinds"])
+         pa.array([sums, *[None] * (len(asked) - 1)], kind)], names=["chunk", "bucket", "payload", "sums"])
 
 
 def _class_sums(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Training tokens and distinct keys by class; at most CLASSES rows come back."""
-    sums = (answers.filter("tokens IS NOT NULL").select(F.posexplode(F.arrays_zip("tokens", "kinds")))
-            .groupBy("pos").agg(F.sum("col.tokens").alias("tokens"), F.sum("col.kinds").alias("kinds")).collect())
+    sums = (answers.filter("sums IS NOT NULL").select(F.inline("sums"))
+            .groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).collect())
     out = np.zeros((2, CLASSES), dtype=np.float64)
     for row in sums:
-        out[:, row.pos] = row.tokens, row.kinds
+        out[:, row["class"]] = row.tokens, row.kinds
     return out
 
 
@@ -191,14 +191,14 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
             for chunk, ids, texts in chunk_rows(batch):
                 tokens = Tokens(texts)
                 counts = np.bincount(tokens.word, weights=trained(tokens, ids), minlength=len(tokens.words))
-                yield _rows(chunk, tokens.words, counts, None, *by_bucket(tokens.words, buckets), buckets, True)
+                yield _rows(chunk, tokens.words, counts, None, *by_range(tokens.words, buckets), buckets, True)
 
     words = stage(chunks.mapInArrow(ask_words, _QUESTIONS).groupBy("bucket").applyInArrow(_totals, _ANSWERS), "words")
     tokens_seen, words_seen = _class_sums(words)
     train_tokens, train_words = float(tokens_seen.sum()), float(words_seen.sum())
 
     def word_counts(tokens, answers):
-        return answers_of(_round(answers, 1), np.int64, *by_bucket(tokens.words, buckets))
+        return answers_of(_round(answers, 1), np.int64, *by_range(tokens.words, buckets))
 
     def ask_pairs(chunk_table, answers):
         (chunk, ids, texts), = chunk_rows(chunk_table)
@@ -206,10 +206,10 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
         counts = np.bincount(tokens.pair, weights=trained(tokens, ids), minlength=len(tokens.pairs))
         states = tokens.pair_states()
         classes = np.where(states < 0, START_CLASS, count_class(word_counts(tokens, answers)[states]))
-        return _rows(chunk, tokens.pairs, counts, classes, *by_bucket(tokens.pairs, buckets), buckets, False)
+        return _rows(chunk, tokens.pairs, counts, classes, *by_range(tokens.pairs, buckets), buckets, False)
 
     def pair_counts(tokens, answers):
-        return answers_of(_round(answers, 2), np.int64, *by_bucket(tokens.pairs, buckets))
+        return answers_of(_round(answers, 2), np.int64, *by_range(tokens.pairs, buckets))
 
     def ask_triples(chunk_table, answers):
         (chunk, ids, texts), = chunk_rows(chunk_table)
@@ -219,7 +219,7 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
         counts = np.bincount(triple, weights=trained(tokens, ids)[at], minlength=len(triples))
         classes = np.zeros(len(triples), dtype=np.int64)
         classes[triple] = count_class(known[tokens.history[at]])
-        return _rows(chunk, triples, counts, classes, *by_bucket(triples, buckets), buckets, False)
+        return _rows(chunk, triples, counts, classes, *by_range(triples, buckets), buckets, False)
 
     def failures_of(answers):
         in_class, kinds_in_class = _class_sums(answers)
@@ -243,7 +243,7 @@ def score_texts(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
         tokens = Tokens(texts)
         known, arcs = word_counts(tokens, answers), pair_counts(tokens, answers)
         _, asked, _ = tokens.triples(arcs)
-        triples = answers_of(_round(answers, 3), np.int64, *by_bucket(asked, buckets))
+        triples = answers_of(_round(answers, 3), np.int64, *by_range(asked, buckets))
         automaton = BackoffAutomaton(known, arcs, failure, train_tokens, train_words, texts_trained)
         weights, failures = automaton.walk(tokens, triples)
         starts = tokens.starts
