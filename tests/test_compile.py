@@ -201,6 +201,20 @@ def test_guarded_join_gives_the_same_rows_both_ways(spark):
         assert rows[0] == rows[1] and len(rows[0]) > 1500
 
 
+def test_large_small_side_is_neither_collected_nor_copied_without_bound(spark, monkeypatch):
+    big = spark.range(4000).select((F.col("id") % 1000).alias("k"), "id")
+    small = spark.range(100_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("w"))  # 15 MB
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    joined = joins.join_small(big, small, ["k"])
+    assert "broadcast" not in plan(joined) and joined.count() == 4000
+    monkeypatch.setattr(joins, "COPIED_BYTES", joins.BROADCAST_LIMIT_BYTES)
+    single = joins.join_small(big, small, ["k"])
+    assert "Generate" not in plan(single) and sorted(single.collect()) == sorted(joined.select(*single.columns).collect())
+
+
 def test_upsert_latest_wins(spark):
     schema = "company_code string, email_received_date string, part_number bigint, output_path string, last_updated_at string"
     old = spark.createDataFrame([("a", "d", 1, "x", "1"), ("a", "d", 2, "y", "1")], schema)
