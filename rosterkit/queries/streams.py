@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from rosterkit.functions import file_name
 from rosterkit.plans import archive, delivery, reports
 from rosterkit.queries import render, sql, views
 from rosterkit.schema import ROSTER_COLUMNS, RUNS
 from rosterkit.sources import catalog, sinks
-from rosterkit.sources.storage import path_exists
 from rosterkit.streaming import deliveries, requests
 
 _FAMILIES = ["std", "multi", "nomatch"]
 
 
-WATCH_SECONDS = 1800  # a watch that does not get on is stopped
+WATCH_SECONDS = 1800  # a watch that does not get on for so long is stopped
+_RAN = T.StructType([T.StructField(c, T.StringType()) for c in ("company_code", "email_received_date", "user")] + [T.StructField("fence", T.LongType())])
 BLOCK_FILES = 35  # numbered files per date: five of each company, in every layout
 
 
@@ -95,6 +95,11 @@ def stream_archive(spark, sf_dir):
     return moved.unionByName(left)
 
 
+def _ran(spark, store):
+    """What ran so far; the folder is there before its first files are, so the columns are given."""
+    return sinks.read_table(spark, f"{store}/ran", _RAN)
+
+
 def stream_retries(spark, sf_dir):
     """Requests of one company and date run one after the other in one running query: the numbers of their leases."""
     queue = render.write_files(_requests_by_family(spark, sf_dir), render.folder(spark, "queue"))
@@ -105,16 +110,20 @@ def stream_retries(spark, sf_dir):
         admitted.select("company_code", "email_received_date", "user", "fence").write.mode("append").parquet(f"{store}/ran")
 
     watch = requests.start_request_watch(spark, queue, store, f"{store}/checkpoint", work, every="1 second", retry_seconds=0.1, per_batch=None)
-    end = time.time() + WATCH_SECONDS
+    done, end = 0, time.time() + WATCH_SECONDS
     try:
-        while watch.isActive and time.time() < end and (not path_exists(f"{store}/ran") or spark.read.parquet(f"{store}/ran").count() < wanted):
+        while watch.isActive and time.time() < end and done < wanted:
             time.sleep(1)
+            now = _ran(spark, store).count()
+            if now > done:
+                done, end = now, time.time() + WATCH_SECONDS
     finally:
         watch.stop()
     if watch.exception():
         raise watch.exception()
-    ran = spark.read.parquet(f"{store}/ran")
-    return ran.groupBy("company_code", "email_received_date").agg(
+    if done < wanted:
+        raise TimeoutError(f"{done} of {wanted} requests ran, and none for {WATCH_SECONDS} seconds")
+    return _ran(spark, store).groupBy("company_code", "email_received_date").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("fence")), lambda f: f.cast("string")), ",").alias("fences"),  # a few requests a key
         F.array_join(F.array_sort(F.collect_list("user")), ",").alias("users"))
 

@@ -225,3 +225,13 @@ def test_folder_header_report(spark, tmp_path):
     report = report.filter(F.col("file_path").endswith("a.csv"))
     assert [(r.header, r.category) for r in report.collect()] == [("Member Name", "Name"), ("Gender", "Sex")]
     assert errors.isEmpty()
+
+
+def test_watched_table_is_empty_until_its_first_files_are_there(spark, tmp_path):
+    from rosterkit.queries import streams
+
+    assert streams._ran(spark, str(tmp_path)).count() == 0
+    (tmp_path / "ran" / "_temporary").mkdir(parents=True)
+    assert streams._ran(spark, str(tmp_path)).count() == 0
+    spark.createDataFrame([("007", "2024-01-31", "t", 1)], streams._RAN).write.mode("append").parquet(str(tmp_path / "ran"))
+    assert [r.company_code for r in streams._ran(spark, str(tmp_path)).collect()] == ["007"]
