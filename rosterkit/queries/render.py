@@ -26,10 +26,14 @@ def write_files(files: DataFrame, folder: str) -> str:
     return folder
 
 
+def file_base_name():
+    return F.regexp_extract("file_path", "([^/]+)$", 1).alias("name")
+
+
 def file_rows(raw: DataFrame) -> DataFrame:
     """``(name, rows)`` with the rows of each bounded file in order."""
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "cells")))
-    return raw.groupBy(F.regexp_extract("file_path", "([^/]+)$", 1).alias("name")).agg(ordered.alias("rows"))
+    return raw.groupBy(file_base_name()).agg(ordered.alias("rows"))
 
 
 def delimited(raw: DataFrame) -> DataFrame:
@@ -105,14 +109,13 @@ def _book_bytes(rows) -> bytes:
 
 
 def workbooks(raw: DataFrame) -> DataFrame:
-    """One workbook per bounded file."""
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({
-                "name": [n.replace(".csv", ".xlsx") for n in batch["name"]], "content": [_book_bytes(r) for r in batch["rows"]],
-            })
+    """One workbook per bounded file; a task holds the cells of one file at a time."""
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("row_idx")[["row_idx", "cells"]].to_dict("records")
+        return pd.DataFrame({"name": [key[0].replace(".csv", ".xlsx")], "content": [_book_bytes(ordered)]})
 
-    return file_rows(raw).mapInPandas(build, "name string, content binary")
+    named = raw.select(file_base_name(), "row_idx", "cells")
+    return named.groupBy("name").applyInPandas(build, "name string, content binary")
 
 
 def archives(files: DataFrame) -> DataFrame:
