@@ -41,15 +41,17 @@ def scan_delimited(spark, sf_dir):
 
 
 def scan_split_text(spark, sf_dir):
-    """The same files cut into splits of 64 kB."""
+    """The same files cut into splits of 64 kB; several smaller files share a split instead of having a task each."""
     folder = _text_folder(spark, sf_dir)
-    setting = "spark.sql.files.maxPartitionBytes"
-    usual = spark.conf.get(setting)
-    spark.conf.set(setting, "64k")
+    settings = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    usual = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:  # the scan stages its rows, so the setting holds for this read only
         rows, _ = delimited.scan_delimited(spark, folder, catalog.file_catalog(spark, folder))
     finally:
-        spark.conf.set(setting, usual)
+        for name, value in usual.items():
+            spark.conf.set(name, value)
     return _shown(rows)
 
 
