@@ -14,6 +14,10 @@ SPECIAL_LAYOUT_WORDS = ["not one-row", "face-sheet", "vba", "legend row only"]
 UNSAFE_WORD = "unsafe"
 # End of fixed values.
 
+ROWS_PER_TASK = 1_000_000  # effective aliases that one task makes
+BLOCK_ALIASES = 10_000  # defaults that one group of a join beyond a broadcast holds
+MAX_TASKS = 100_000
+
 
 def normalized(lib: DataFrame) -> DataFrame:
     """Library entries with a usable match key. ``lib(company_code, category, alias_text, pos)``."""
@@ -68,13 +72,26 @@ def merge_aliases(defaults: DataFrame, own: DataFrame, companies: DataFrame) ->
     """Effective aliases of every company: defaults and its own, each once.
 
     ``defaults(field, alias_norm)``, ``own(company_code, field, alias_norm)``, ``companies(company_code)``. A company
-    without aliases of its own has the defaults. They are broadcast if they are small, else the companies of a field are
-    spread over tasks. Detection does not need this table: it looks cells up under the company and under ``*``.
+    without aliases of its own has the defaults. The companies are few rows that stand for many, so their number of tasks
+    follows the rows that they will have; both sides are distinct before they meet and what they share is taken from the
+    own ones, so the large result is neither shuffled nor grouped. Detection does not need this table: it looks cells up
+    under the company and under ``*``.
     """
-    slots = companies.select("company_code", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
-    defaults = stage(defaults.select("field", "alias_norm"), "default-aliases")
-    given = join_small(slots, defaults, ["field"], salt_by=["company_code"]).select("company_code", "field", "alias_norm")
-    return given.unionByName(own.select("company_code", "field", "alias_norm")).distinct()
+    defaults = stage(defaults.select("field", "alias_norm").filter(F.col("field").isin(FIELDS)).distinct(), "default-aliases")
+    companies = stage(companies.select("company_code").distinct(), "companies")
+    n_defaults = defaults.count()
+    blocks = n_defaults // BLOCK_ALIASES + 1
+    tasks = max(1, min(MAX_TASKS, companies.count() * n_defaults // ROWS_PER_TASK + 1))
+    slots = companies.repartition(tasks, "company_code").select("company_code", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
+    dealt = defaults.withColumn("_block", F.pmod(F.xxhash64("alias_norm"), F.lit(blocks)).cast("int"))
+    spread = slots.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    given = join_small(spread, dealt, ["field", "_block"], salt_by=["company_code"]).select("company_code", "field", "alias_norm")
+    # Structs are compared as a whole, so that nulls are equal as in a distinct.
+    alias, company = F.struct("field", "alias_norm").alias("_alias"), F.struct("company_code").alias("_company")
+    mine = own.select("company_code", "field", "alias_norm").distinct().select("*", alias, company)
+    shared = mine.join(defaults.select(alias), "_alias", "left_semi").join(companies.select(company), "_company", "left_semi")
+    rest = mine.join(shared.select("_alias", "_company"), ["_alias", "_company"], "left_anti")
+    return given.unionByName(rest.select("company_code", "field", "alias_norm"))
 
 
 def lookup_aliases(defaults: DataFrame, own: DataFrame) -> DataFrame:

@@ -286,3 +286,51 @@ def test_separators_inside_quoted_cells_do_not_choose_the_dialect():
     assert guess_dialect('"a, b",1\n"c, d",2\n') == (",", '"', 2)
     assert guess_dialect("'a, b',1\n'c, d',2\n") == (",", "'", 2)
     assert guess_dialect("a;b\nc;d,e\n") == (";", '"', 2)
+
+
+def test_effective_aliases_are_made_in_many_tasks_without_repeats(spark, monkeypatch):
+    from rosterkit.operators import aliases as al
+
+    monkeypatch.setattr(al, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(al, "BLOCK_ALIASES", 3)
+    default = [("name", f"n{i}") for i in range(20)] + [("sex", "s"), ("sex", "s"), ("prem", "p")]
+    mine = [("c1", "name", "n1"), ("c1", "name", "own"), ("c1", "name", "own"), ("c99", "sex", "s"), (None, "name", "n1"), (None, "dob", "d"), ("c2", None, "x")]
+    companies = [(f"c{i}",) for i in range(40)] + [(None,), (None,), ("c1",)]
+    merged = al.merge_aliases(
+        spark.createDataFrame(default, "field string, alias_norm string"),
+        spark.createDataFrame(mine, "company_code string, field string, alias_norm string"), spark.createDataFrame(companies, "company_code string"))
+    want = {(c, f, a) for (c,) in companies for f, a in default if f != "prem"} | set(mine)
+    rows = [tuple(r) for r in merged.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert merged.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < len(want) / 4
+
+
+def test_small_files_share_a_split(spark, monkeypatch, tmp_path):
+    from rosterkit.queries import files
+
+    for i in range(60):
+        (tmp_path / f"f_{i}.csv").write_text("a,b\n" * 20)
+    seen = []
+
+    def scan(session, folder, catalog):
+        seen.append(session.read.text(folder).rdd.getNumPartitions())
+        return session.createDataFrame([], "file_path string, row_idx long, cells array<string>"), None
+
+    monkeypatch.setattr(files, "_text_folder", lambda *a: str(tmp_path))
+    monkeypatch.setattr(files.delimited, "scan_delimited", scan)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    usual = [spark.conf.get(n) for n in names]
+    files.scan_split_text(spark, "")
+    assert seen[0] < 30 and [spark.conf.get(n) for n in names] == usual
+
+
+def test_workbooks_are_built_one_at_a_time(spark, tmp_path):
+    from rosterkit.queries import render
+
+    raw = spark.createDataFrame([(f"/in/f_{f}.csv", r, [str(r), None, "x"]) for f in range(3) for r in (2, 0, 1)], "file_path string, row_idx long, cells array<string>")
+    books = render.workbooks(raw)
+    assert "collect_list" not in books._jdf.queryExecution().optimizedPlan().toString()
+    folder = render.write_files(books, str(tmp_path))
+    rows, errors = workbooks.scan_workbooks(catalog.file_catalog(spark, folder))
+    got = sorted((r.file_path.rsplit("/", 1)[1], r.row_idx, tuple(r.cells)) for r in rows.collect())
+    assert errors.count() == 0 and got == [(f"f_{f}.xlsx", r, (str(r), None, "x")) for f in range(3) for r in range(3)]
