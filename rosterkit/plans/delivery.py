@@ -189,7 +189,7 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
         files = work.select("path", F.col("file_name"), "extension", "length", "kind").dropDuplicates(["path"])
         scan = scan_files(spark, stage(files, "files"), folders)
         rosters, logs = process_files(spark, scan, work.select(F.col("path").alias("origin"), *RUN_COLUMNS), alias)
-        index = stage(sinks.write_rosters(rosters, f"{store}/rosters"), "written-index")
+        index = sinks.write_rosters(rosters, f"{store}/rosters")
         sinks.write_output_index(index, f"{store}/output_index")
         logs = as_file_logs(with_output_paths(logs, index))
         missing = wanted.join(work.select("run_id", "file_name"), ["run_id", "file_name"], "left_anti")

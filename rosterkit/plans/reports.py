@@ -27,13 +27,14 @@ from rosterkit.schema import COMPILED_MANIFEST, FILE_LOGS, OUTPUT_INDEX, REPORT_
 from rosterkit.session import stage
 from rosterkit.sources import sinks
 from rosterkit.sources.catalog import decoded_uri
+from rosterkit.sources.parts import read_parts
 from rosterkit.sources.storage import literal_path, path_exists
 
 LITERAL_KEYS = 1000  # a batch of requests has at most a hundred
 VERSION_KEY = [*comp.REPORT_KEY, "version"]
 
-_ROWS = T.StructType([T.StructField("part_number", T.LongType())] + [T.StructField(c, T.StringType()) for c in ROSTER_COLUMNS]
-                     + [T.StructField(c, T.StringType()) for c in comp.REPORT_KEY] + [T.StructField("version", T.LongType())])
+_TEXTS = [T.StructField(c, T.StringType()) for c in ROSTER_COLUMNS]
+_ROWS = [T.StructField("part_number", T.LongType()), *_TEXTS]
 _HASHES = T.StructType([T.StructField("row_hash", T.BinaryType())] + [T.StructField(c, T.StringType()) for c in comp.REPORT_KEY]
                        + [T.StructField("version", T.LongType())])
 _SOURCES = T.StructType([T.StructField("output_path", T.StringType()), T.StructField("row_count", T.LongType()),
@@ -88,22 +89,10 @@ def tracked_parts(manifests: DataFrame) -> DataFrame:
         *comp.REPORT_KEY, "_p.part_number", "_p.output_path", "_p.row_count", "source_run_count", "last_updated_at")
 
 
-def _stored_rows(spark: SparkSession, store: str) -> DataFrame:
-    rows = spark.read.schema(_ROWS).parquet(literal_path(f"{store}/compiled"))
-    return rows.withColumn("output_path", decoded_uri(F.col("_metadata.file_path")))
-
-
 def read_reports(spark: SparkSession, store: str, keys: DataFrame | Keys | None = None) -> DataFrame:
     """The rows of all current reports, or of the given keys', with their part."""
-    columns = ["part_number", *ROSTER_COLUMNS, *comp.REPORT_KEY]
-    if not path_exists(f"{store}/compiled"):
-        return spark.createDataFrame([], T.StructType([_ROWS[c] for c in columns]))
-    rows = _stored_rows(spark, store)
-    if keys is not None:
-        keys = Keys.of(keys)
-        rows = of_keys(rows, keys, ROSTER_COLUMNS)
-    current = tracked_parts(latest_manifests(spark, store, keys)).select("output_path")
-    return join_small(rows, current, ["output_path"], "left_semi", salt_by=ROSTER_COLUMNS).select(*columns)
+    current = tracked_parts(latest_manifests(spark, store, keys)).select(*comp.REPORT_KEY, "output_path")
+    return read_parts(current, _ROWS).select("part_number", *ROSTER_COLUMNS, *comp.REPORT_KEY)
 
 
 def row_hash() -> Column:
@@ -166,9 +155,8 @@ def plan_compilation(spark: SparkSession, store: str, keys: Keys, rows_per_part:
 
 def new_rows(spark: SparkSession, store: str, keys: Keys, decided: DataFrame, todo: DataFrame) -> DataFrame:
     """The distinct rows of the outputs to read that their reports do not hold yet, with their hashes; staged."""
-    ids = [r[0] for r in todo.select("run_id").distinct().limit(LITERAL_KEYS + 1).collect()]
-    rosters = sinks.read_rosters(spark, f"{store}/rosters", ids if len(ids) <= LITERAL_KEYS else None).select("output_path", *ROSTER_COLUMNS)
-    rows = comp.compile_rows(rosters, todo).withColumn("row_hash", row_hash())
+    outputs = todo.select(*comp.REPORT_KEY, "output_path").distinct()
+    rows = read_parts(outputs, _TEXTS).drop("output_path").dropDuplicates().withColumn("row_hash", row_hash())
     growing = stage(decided.filter(~F.col("rebuild")), "growing")
     if growing.isEmpty():
         return stage(rows, "new-rows")
@@ -176,16 +164,14 @@ def new_rows(spark: SparkSession, store: str, keys: Keys, decided: DataFrame, to
     return stage(rows.join(held.select(*comp.REPORT_KEY, "row_hash"), [*comp.REPORT_KEY, "row_hash"], "left_anti"), "new-rows")
 
 
-def _last_parts(spark: SparkSession, store: str, keys: Keys, decided: DataFrame, fresh: DataFrame, rows_per_part: int) -> tuple[DataFrame, DataFrame]:
+def _last_parts(decided: DataFrame, fresh: DataFrame, rows_per_part: int) -> tuple[DataFrame, DataFrame]:
     """The part that is not full of each key with new rows, as ``key, output_path``, and the rows of these parts."""
     grown = decided.join(fresh.select(*comp.REPORT_KEY).distinct(), comp.REPORT_KEY, "left_semi").filter("parts IS NOT NULL")
     last = stage(grown.select(*comp.REPORT_KEY, F.explode("parts").alias("p")).filter(F.col("p.row_count") < rows_per_part).select(
         *comp.REPORT_KEY, "p.output_path"), "last-parts")
     if last.isEmpty():
         return last, fresh.drop("row_hash").limit(0)
-    rows = of_keys(_stored_rows(spark, store), keys, ROSTER_COLUMNS)
-    return last, join_small(rows, last.select("output_path"), ["output_path"], "left_semi", salt_by=ROSTER_COLUMNS).select(
-        *comp.REPORT_KEY, *ROSTER_COLUMNS)
+    return last, read_parts(last, _TEXTS).select(*comp.REPORT_KEY, *ROSTER_COLUMNS)
 
 
 def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_part: int = REPORT_PART_ROWS) -> DataFrame:
@@ -199,34 +185,31 @@ def compile_reports(spark: SparkSession, store: str, keys: DataFrame, rows_per_p
     keys = Keys(stage(keys.groupBy(*comp.REPORT_KEY).agg(fence.alias("fence")), "keys"))
     decided, todo, old = plan_compilation(spark, store, keys, rows_per_part)
     fresh = new_rows(spark, store, keys, decided, todo)
-    last, tail = _last_parts(spark, store, keys, decided, fresh, rows_per_part)
+    last, tail = _last_parts(decided, fresh, rows_per_part)
+    written = None
     if not fresh.isEmpty():
         both = tail.withColumn("_age", F.lit(0)).unionByName(fresh.drop("row_hash").withColumn("_age", F.lit(1)))
         numbered = number_within(both, comp.REPORT_KEY, ["_age", *ROSTER_COLUMNS], "_row_number").drop("_age")
         placed = join_small(numbered, decided.select(*VERSION_KEY, "full_parts"), comp.REPORT_KEY, salt_by=ROSTER_COLUMNS)
         parts = placed.select(*VERSION_KEY, *ROSTER_COLUMNS, (part_of(F.col("_row_number"), rows_per_part) + F.col("full_parts")).alias("part_number"))
-        sinks.write_report_parts(parts, f"{store}/compiled", rows_per_part, VERSION_KEY)
+        written = sinks.write_report_parts(parts, f"{store}/compiled", VERSION_KEY)
     # A null hash for every version that reads anything: what an interrupted attempt left there is replaced in any case.
     marks = todo.select(*VERSION_KEY).distinct().select(F.lit(None).cast("binary").alias("row_hash"), *VERSION_KEY)
     hashes = join_small(fresh.select(*comp.REPORT_KEY, "row_hash"), decided.select(*VERSION_KEY), comp.REPORT_KEY, salt_by=["row_hash"])
     sinks.overwrite_partitions(hashes.select("row_hash", *VERSION_KEY).unionByName(marks), f"{store}/compiled_hashes", *VERSION_KEY)
     sinks.overwrite_partitions(todo.select("output_path", "row_count", "fingerprint", *VERSION_KEY), f"{store}/compiled_sources", *VERSION_KEY)
-    manifests = stage(_manifests(spark, store, keys, decided, todo, fresh, last, rows_per_part), "new-manifests")
+    manifests = stage(_manifests(decided, todo, written, last, rows_per_part), "new-manifests")
     publish(spark, store, keys, manifests)
     remove_superseded(spark, store, keys, old, manifests)
     return tracked_parts(manifests)
 
 
-def _manifests(spark: SparkSession, store: str, keys: Keys, decided: DataFrame, todo: DataFrame, fresh: DataFrame, last: DataFrame,
-               rows_per_part: int) -> DataFrame:
+def _manifests(decided: DataFrame, todo: DataFrame, written: DataFrame | None, last: DataFrame, rows_per_part: int) -> DataFrame:
     """The manifests of the new versions: what stays of the parts before, and the parts written now."""
     kept = decided.select(*comp.REPORT_KEY, F.explode("parts").alias("p")).select(*comp.REPORT_KEY, "p.part_number", "p.output_path", "p.row_count")
     parts = kept.join(last.select(*comp.REPORT_KEY, "output_path"), [*comp.REPORT_KEY, "output_path"], "left_anti")
-    grown = stage(decided.select(*VERSION_KEY).join(fresh.select(*comp.REPORT_KEY).distinct(), comp.REPORT_KEY, "left_semi"), "grown")
-    if not grown.isEmpty():
-        rows = of_keys(_stored_rows(spark, store), keys, ["output_path"])
-        written = join_small(rows, grown, VERSION_KEY, "left_semi", salt_by=["output_path"])
-        parts = parts.unionByName(written.groupBy(*comp.REPORT_KEY, "part_number", "output_path").agg(F.count("*").alias("row_count")))
+    if written is not None:
+        parts = parts.unionByName(written.select(*comp.REPORT_KEY, "part_number", "output_path", "row_count"))
     listed = parts.groupBy(*comp.REPORT_KEY).agg(
         F.array_sort(F.collect_list(F.struct("part_number", "output_path", "row_count"))).alias("parts"),  # one entry per part
         F.sum("row_count").alias("total_rows"), F.max("part_number").alias("part_count"))
@@ -278,8 +261,7 @@ def refresh_index(spark: SparkSession, store: str, keys: DataFrame) -> None:
     keys = Keys.of(keys)
     path = f"{store}/output_index"
     index = of_keys(sinks.read_table(spark, path, OUTPUT_INDEX), keys, ["output_path"])
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(
-        literal_path(f"{store}/rosters")).select(F.regexp_replace(decoded_uri(F.col("_metadata.file_path")), "/[^/]*$", "").alias("output_path"))
+    listed = sinks.stored_outputs(spark, f"{store}/rosters").select("output_path").distinct()
     gone = index.join(listed, "output_path", "left_anti")
     touched = stage(gone.select(*sinks.RUN_KEY).distinct(), "touched")
     kept = stage(index.join(touched, sinks.RUN_KEY, "left_semi").join(gone.select("output_path"), "output_path", "left_anti"), "kept-index")

@@ -34,7 +34,7 @@ def _delivered(spark, sf_dir):
 
 def _deliver(spark, store, rows):
     """Write the rows of some runs, their index, logs and outcome."""
-    index = stage(sinks.write_rosters(rows, f"{store}/rosters", ROWS_PER_FILE), "written-index")
+    index = sinks.write_rosters(rows, f"{store}/rosters", ROWS_PER_FILE)
     sinks.write_output_index(index, f"{store}/output_index")
     logs = index.select("run_id", "file_path", F.col("sheet").alias("sheet_name"), "part_number", F.col("row_count").alias("output_row_count"))
     logs = delivery.numbered_logs(delivery.as_file_logs(delivery.with_output_paths(logs, index)))
@@ -74,9 +74,7 @@ def _shrunken(spark, sf_dir):
     store = _store(spark, sf_dir)
     index = sinks.read_table(spark, f"{store}/output_index", OUTPUT_INDEX)
     lost = index.filter("company_code = 'C/0' OR (company_code = 'C/1' AND run_id % 10 = 3)").select("output_path")
-    stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{store}/rosters")
-    files = stored.select(reports.decoded_uri(F.col("_metadata.file_path")).alias("path"))
-    sinks.remove_files(files.join(lost, F.regexp_replace("path", "/[^/]*$", "") == F.col("output_path"), "left_semi"))
+    sinks.remove_files(sinks.stored_outputs(spark, f"{store}/rosters").join(lost, "output_path", "left_semi"))
     keys = stage(index.select(*comp.REPORT_KEY).distinct(), "keys")
     reports.refresh_index(spark, store, keys)
     reports.compile_reports(spark, store, keys, ROWS_PER_PART)

@@ -11,11 +11,10 @@ from rosterkit.operators.joins import join_small
 from rosterkit.operators.numbering import number_parts
 from rosterkit.schema import OUTPUT_INDEX, OUTPUT_PART_ROWS, ROSTER_COLUMNS
 from rosterkit.session import stage
-from rosterkit.sources.catalog import decoded_uri
+from rosterkit.sources.parts import clear_folders, read_parts, stored_files, write_parts
 from rosterkit.sources.storage import literal_path, path_exists, remove_file
 
 RUN_KEY = [*REPORT_KEY, "run_id"]  # how runs and their outputs are stored
-LITERAL_RUNS = 1000  # a batch of requests has at most a hundred
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -30,7 +29,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
     """Replace exactly the partitions that occur in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    placed = df.hint("rebalance", *partitions)  # few files a partition, though its rows may come from every task
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def output_label() -> Column:
@@ -44,7 +44,6 @@ def write_rosters(rosters: DataFrame, path: str, rows_per_file: int = OUTPUT_PAR
     An output is what one run found on one sheet of one file. Each of its parts has a folder of its own, whose path is
     the same whenever the run is repeated. Only outputs beyond the row limit are numbered. Other columns go along.
     """
-    spark = rosters.sparkSession
     keys = [*RUN_KEY, "output"]
     named = rosters.withColumn("output", output_label())
     sizes = named.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -55,14 +54,8 @@ def write_rosters(rosters: DataFrame, path: str, rows_per_file: int = OUTPUT_PAR
         cut = number_parts(join_small(named, large, keys, "left_semi", salt_by=ROSTER_COLUMNS), keys, ROSTER_COLUMNS, rows_per_file)
         parts = whole.unionByName(cut)
     place = [*keys, "part_number"]
-    parts.repartition(*place).sortWithinPartitions(*place, *ROSTER_COLUMNS).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(*place).parquet(path)
-    written = stage(parts.select(*place).distinct(), "written-parts")
-    ids = [r[0] for r in written.select("run_id").distinct().limit(LITERAL_RUNS + 1).collect()]
-    stored = join_small(read_rosters(spark, path, ids if len(ids) <= LITERAL_RUNS else None), written, place, "left_semi", salt_by=ROSTER_COLUMNS)
-    return stored.groupBy(*place, "output_path").agg(
-        F.first("FILE_PATH").alias("file_path"), F.first("SHEET").alias("sheet"), F.count("*").alias("row_count"),
-        F.expr("bit_xor(xxhash64(" + ", ".join(ROSTER_COLUMNS) + "))").alias("fingerprint")).select(*OUTPUT_INDEX.fieldNames())
+    written = stage(write_parts(parts, path, place, [c for c in rosters.columns if c not in place]), "written-parts")
+    return written.na.drop(subset=place).select(*OUTPUT_INDEX.fieldNames())
 
 
 def write_output_index(index: DataFrame, path: str) -> None:
@@ -70,16 +63,14 @@ def write_output_index(index: DataFrame, path: str) -> None:
     overwrite_partitions(index, path, *RUN_KEY)
 
 
-def write_report_parts(parts: DataFrame, path: str, rows_per_part: int, partitions: list[str] = REPORT_KEY,
-                       file_format: str = "parquet") -> None:
+def write_report_parts(parts: DataFrame, path: str, partitions: list[str]) -> DataFrame:
     """Compiled parts, one file each: a part is bounded, so gathering it in one task is safe.
 
-    A task may hold several parts of a report; all but the last are full, so the row limit cuts files between parts.
+    The folders are cleared first. Returns ``partitions, part_number, output_path, row_count`` of what was written, staged.
     """
-    order = [*partitions, "part_number"]
-    parts.repartition(*order).sortWithinPartitions(*order, *ROSTER_COLUMNS).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).option("maxRecordsPerFile", rows_per_part).partitionBy(*partitions).format(file_format).save(path)
+    clear_folders(parts.select(*partitions).distinct(), path)
+    written = stage(write_parts(parts, path, [*partitions, "part_number"], ROSTER_COLUMNS, file_per_part=True), "written-report-parts")
+    return written.select(*partitions, "part_number", "output_path", "row_count")
 
 
 def remove_files(paths: DataFrame) -> int:
@@ -130,21 +121,17 @@ def write_library(defaults: DataFrame, residual: DataFrame, reference: DataFrame
     quality.orderBy("company_code").write.mode("overwrite").json(f"{path}/quality")
 
 
-def read_rosters(spark: SparkSession, path: str, run_ids: list[int] | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Stored roster rows with every column as text, the folder of their part, and their run.
+_PLACE = T.StructType([*[T.StructField(c, T.StringType()) for c in REPORT_KEY], T.StructField("run_id", T.LongType()),
+                       T.StructField("output", T.StringType()), T.StructField("part_number", T.LongType())])
 
-    Folders of other runs than the given ones are not listed.
-    """
-    fields = [T.StructField(c, T.StringType()) for c in [*ROSTER_COLUMNS, *extra, *REPORT_KEY]]
-    schema = T.StructType([*fields, T.StructField("run_id", T.LongType()), T.StructField("output", T.StringType()), T.StructField("part_number", T.LongType())])
-    if (run_ids is not None and not run_ids) or not path_exists(path):
-        return spark.createDataFrame([], schema.add("output_path", "string"))
-    base = literal_path(path)
-    folders = [base] if run_ids is None else [f"{base}/*/*/run_id={i}" for i in run_ids]
-    rows = spark.read.schema(schema).option("basePath", path).parquet(*folders)
-    return rows.withColumn("output_path", F.regexp_replace(decoded_uri(F.col("_metadata.file_path")), "/[^/]*$", ""))
+
+def stored_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored file of the outputs below a folder: its place, ``output_path`` (its folder) and ``path``."""
+    return stored_files(spark, path, _PLACE)
 
 
 def reread_rosters(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Roster outputs with every column as text and their exact path, whatever characters it has."""
-    return read_rosters(spark, path, extra=extra).select("output_path", *ROSTER_COLUMNS, *extra, *RUN_KEY)
+    outputs = stored_outputs(spark, path).select("output_path", *RUN_KEY).distinct()
+    rows = read_parts(outputs, [T.StructField(c, T.StringType()) for c in [*ROSTER_COLUMNS, *extra]])
+    return rows.select("output_path", *ROSTER_COLUMNS, *extra, *RUN_KEY)

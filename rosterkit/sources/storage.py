@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 
@@ -88,3 +90,62 @@ def path_exists(uri: str) -> bool:
 
     system, path = _resolve(uri)
     return system.get_file_info(path).type != fs.FileType.NotFound
+
+
+def qualified(path: str) -> str:
+    """A path as Spark's readers show it: local paths as ``file:///``."""
+    return path.rstrip("/") if "://" in path else "file:///" + re.sub(r"^(file:)?/+", "", path).rstrip("/")
+
+
+def _shown(root: str, place: str) -> str:
+    """The readable path of a place in the file system of ``root``, a readable path too."""
+    if root.startswith("file:/"):
+        return "file:///" + place.lstrip("/")
+    head = re.match(r"^([^:]+://[^/]*)", root)[1]
+    _, base = _located(f"{head}/")
+    return f"{head}/{place[len(base):].lstrip('/') if base and place.startswith(base) else place.lstrip('/')}"
+
+
+def _below(path: str, recursive: bool) -> list:
+    from pyarrow import fs
+
+    system, place = _located(path)
+    return system.get_file_info(fs.FileSelector(place, allow_not_found=True, recursive=recursive))
+
+
+def list_folders(path: str) -> list[str]:
+    """Folders in a folder, by readable paths; hidden ones are left out."""
+    return sorted(_shown(path, i.path) for i in _below(path, False) if not i.is_file and i.base_name[:1] not in "._")
+
+
+def list_files(path: str) -> list[str]:
+    """The Parquet files below a folder, or the file itself; hidden ones are left out."""
+    if path.endswith(".parquet"):
+        return [path]
+    found = (_shown(path, i.path) for i in _below(path, True) if i.is_file and i.base_name.endswith(".parquet"))
+    return sorted(f for f in found if not re.search(r"/[._]", f[len(path.rstrip("/")):]))
+
+
+def open_file_at(path: str):
+    """Seekable binary file object of a readable path, or None if the file is gone."""
+    system, place = _located(path)
+    try:
+        return system.open_input_file(place)
+    except FileNotFoundError:
+        return None
+
+
+@contextmanager
+def replace_file(path: str, alone: bool) -> Iterator:
+    """A stream into a file that appears only when complete; ``alone``: other Parquet files of its folder are then removed."""
+    system, place = _located(path)
+    folder, name = place.rsplit("/", 1)
+    system.create_dir(folder, recursive=True)
+    draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(draft) as out:
+        yield out
+    system.move(draft, place)
+    if alone:
+        for other in list_files(path.rsplit("/", 1)[0]):
+            if not other.endswith(f"/{name}"):
+                remove_file(other)

@@ -1,3 +1,4 @@
+import uuid
 from pathlib import Path
 
 import pytest
@@ -247,3 +248,34 @@ def test_one_admission_per_key(spark):
 def test_schema_order(spark, store):
     path = store([run(1)], [log(1, "o1")], [person("o1", "ADA")])
     assert sinks.reread_rosters(spark, f"{path}/rosters").columns[1:10] == ROSTER_COLUMNS
+
+
+def tasks_of(spark, work):
+    """Tasks of all jobs that the work starts."""
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
+
+
+def test_tasks_do_not_grow_with_the_number_of_parts(spark, tmp_path):
+    """Listing a store's folders took a task for each part, whenever its rows were read."""
+    people = lambda n: spark.createDataFrame([person("a", f"N{i:04d}") for i in range(n)], PEOPLE)
+    few, many = (tasks_of(spark, lambda: sinks.write_rosters(people(n), str(tmp_path / f"s{n}"), rows_per_file=2)) for n in (20, 400))
+    assert many < few + 60
+    index = sinks.write_rosters(people(5), str(tmp_path / "s400"), rows_per_file=2)  # the same run again
+    assert sorted(r.row_count for r in index.collect()) == [1, 2, 2]
+    assert sinks.reread_rosters(spark, str(tmp_path / "s400")).groupBy("output_path").count().filter("count > 2").isEmpty()
+
+
+def test_parts_without_a_company_share_the_folder_of_null(spark, tmp_path):
+    people = [person("a", "A", company=None), person("a", "B", company=""), person("a", "C")]
+    index = sinks.write_rosters(spark.createDataFrame(people, PEOPLE), str(tmp_path / "s"))
+    assert [r.company_code for r in index.collect()] == ["007"]
+    stored = sinks.reread_rosters(spark, str(tmp_path / "s")).collect()
+    assert sorted((r.company_code or "", r.COMPLETE_NAME) for r in stored) == [("", "A"), ("", "B"), ("007", "C")]
