@@ -175,7 +175,7 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
         F.lit(0).cast("long").alias("files_processed"), F.lit(0).cast("long").alias("files_failed"),
     ), "runs")
     # Stored before the work, so that other jobs see the key as busy; the finished run replaces its own partition.
-    sinks.overwrite_partitions(runs.select(*RUNS.fieldNames()), f"{store}/runs", *RUN_KEYS)
+    sinks.replace_rows(runs.select(*RUNS.fieldNames()), f"{store}/runs", *RUN_KEYS)
     logs = as_file_logs(spark.createDataFrame([], FILE_LOGS))
     missing, moves = wanted, None
     if folders:
@@ -202,8 +202,8 @@ def run_requests(spark: SparkSession, store: str, requests: DataFrame, alias: Da
     sinks.overwrite_partitions(logs, f"{store}/file_logs", "run_id")
     finished = stage(finish_runs(runs, logs), "finished")
     sinks.write_log_exports(logs, f"{store}/run_log_exports")
-    sinks.overwrite_partitions(as_run_logs(runlog.run_log_records(logs, finished), store), f"{store}/run_logs", "run_id")
-    sinks.overwrite_partitions(finished, f"{store}/runs", *RUN_KEYS)
+    sinks.replace_rows(as_run_logs(runlog.run_log_records(logs, finished), store), f"{store}/run_logs", "run_id")
+    sinks.replace_rows(finished, f"{store}/runs", *RUN_KEYS)
     compile_reports(spark, store, keys, rows_per_part)
     if archive_folder and moves:
         archive.archive_files(spark, store, archive.planned_moves(moves[0], logs, moves[1], archive_folder))

@@ -229,7 +229,7 @@ def publish(spark: SparkSession, store: str, keys: Keys, manifests: DataFrame) -
     current = latest_manifests(spark, store, keys).select(*comp.REPORT_KEY, F.col("version").alias("_current"))
     if not manifests.join(current, comp.REPORT_KEY).filter(F.col("_current") >= F.col("version")).isEmpty():
         raise StaleWriter("a newer version of a report was published meanwhile")
-    sinks.overwrite_partitions(manifests, f"{store}/compiled_manifest", *VERSION_KEY)
+    sinks.replace_rows(manifests, f"{store}/compiled_manifest", *VERSION_KEY)
 
 
 def remove_superseded(spark: SparkSession, store: str, keys: Keys, old: DataFrame, manifests: DataFrame) -> None:

@@ -41,6 +41,10 @@ def fingerprint_of() -> Column:
     return F.expr("xxhash64(" + ", ".join(ROSTER_COLUMNS) + ")")
 
 
+def as_type(values: pa.Array, kind: pa.DataType) -> pa.Array:
+    return values if values.type == kind else values.cast(kind)
+
+
 class _Part:
     """A file that is being written; it appears when it is closed."""
 
@@ -52,7 +56,9 @@ class _Part:
         self.writer = parquet.ParquetWriter(self.replacing.__enter__(), schema, compression="snappy")
 
     def add(self, piece: pa.RecordBatch, marks: pa.Array):
-        if self.first is None:
+        if self.first is None and "FILE_PATH" not in piece.schema.names:
+            self.first = [None, None]
+        elif self.first is None:
             self.first = [piece.column("FILE_PATH")[0].as_py(), piece.column("SHEET")[0].as_py()]
         self.rows += piece.num_rows
         self.mark ^= int(np.bitwise_xor.reduce(marks.to_numpy()))
@@ -73,10 +79,11 @@ def write_parts(rows: DataFrame, path: str, place: list[str], in_files: list[str
     """
     base = qualified(path)
     folders = place[:-1] if file_per_part else place
+    roster = set(ROSTER_COLUMNS) <= set(in_files)  # other rows have no fingerprint
     texts = {c: F.when(F.col(c) != "", F.col(c)) for c in place if isinstance(rows.schema[c].dataType, T.StringType)}
     rows = rows.withColumns(texts)  # an empty text has the folder of null, so both are one part
-    held = rows.select(*place, *in_files, F.to_json(F.struct(*place)).alias("_key"), fingerprint_of().alias("_mark"))
-    ordered = held.repartition(*place).sortWithinPartitions("_key", *ROSTER_COLUMNS)
+    held = rows.select(*place, *in_files, F.to_json(F.struct(*place)).alias("_key"), (fingerprint_of() if roster else F.lit(0).cast("long")).alias("_mark"))
+    ordered = held.repartition(*place).sortWithinPartitions("_key", *(ROSTER_COLUMNS if roster else []))
     kept = [*in_files, place[-1]] if file_per_part else list(in_files)
     schema = to_arrow_schema(rows.select(*kept).schema)
     out = T.StructType([rows.schema[c] for c in place] + list(T._parse_datatype_string(_WRITTEN)))
@@ -103,7 +110,7 @@ def write_parts(rows: DataFrame, path: str, place: list[str], in_files: list[str
                     values = {c: piece.column(c)[0].as_py() for c in place}
                     file, shown = target(values)
                     part, key = _Part(file, not file_per_part, [values[c] for c in place], schema), value
-                part.add(pa.RecordBatch.from_arrays([piece.column(c).cast(schema.field(c).type) for c in kept], schema=schema), piece.column("_mark"))
+                part.add(pa.RecordBatch.from_arrays([as_type(piece.column(c), schema.field(c).type) for c in kept], schema=schema), piece.column("_mark"))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), arrow)], schema=arrow)
                 done = []
@@ -139,21 +146,21 @@ def read_parts(parts: DataFrame, columns: list[T.StructField]) -> DataFrame:
                             n = rows.num_rows
                             yield pa.RecordBatch.from_arrays(
                                 [pa.repeat(pa.scalar(row[f.name], arrow.field(f.name).type), n) for f in carried]
-                                + [rows.column(c).cast(arrow.field(c).type) if c in have else pa.nulls(n, arrow.field(c).type) for c in wanted],
+                                + [as_type(rows.column(c), arrow.field(c).type) if c in have else pa.nulls(n, arrow.field(c).type) for c in wanted],
                                 schema=arrow)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number, since small rows stand for whole files
     return parts.repartition(tasks, "output_path").mapInArrow(run, out)
 
 
-def stored_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def stored_files(spark: SparkSession, path: str, schema: T.StructType, levels: int = 3) -> DataFrame:
     """``output_path`` and ``path`` of every Parquet file below a folder, with the values that its folders are named by.
 
-    ``schema`` gives these values' columns in their order. The driver lists the first three levels (companies, dates and
+    ``schema`` gives these values' columns in their order. The driver lists the first ``levels`` (companies, dates and
     runs of a store), tasks what is below.
     """
     tops = [qualified(path)]
-    for _ in range(3):
+    for _ in range(levels):
         tops = [below for top in tops for below in list_folders(top)]
     names = schema.fieldNames()
     out = T.StructType([*schema, T.StructField("output_path", T.StringType()), T.StructField("path", T.StringType())])
@@ -169,6 +176,8 @@ def stored_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
                 columns += [[f.rsplit("/", 1)[0] for f in files], files]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
+    if not tops:
+        return spark.createDataFrame([], out)
     tasks = max(1, min(len(tops), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return spark.createDataFrame([(t,) for t in tops], "top string").repartition(tasks, "top").mapInArrow(run, out)
 

@@ -33,6 +33,15 @@ def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def replace_rows(df: DataFrame, path: str, *partitions: str) -> None:
+    """Replace the partitions that occur in ``df``, one file each, for tables with a row or a few in a partition.
+
+    Tasks write and swap the files, so a reader finds the old row or the new one, and many partitions cost the driver nothing.
+    """
+    written = write_parts(df, path, list(partitions), [c for c in df.columns if c not in partitions])
+    written.agg(F.count("*")).first()
+
+
 def output_label() -> Column:
     """Folder name of the output of one file and sheet."""
     return F.md5(F.to_json(F.struct("FILE_PATH", "SHEET")))

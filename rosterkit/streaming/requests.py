@@ -83,7 +83,7 @@ def admit_and_work(spark: SparkSession, store: str, queue: DataFrame, batch_id:
     if ran:
         lost = lease_rules.abandoned_runs(runs, stored, now).join(own, "run_id", "left_anti")
         lost = stage(lost.join(admitted.select(*REPORT_KEY), REPORT_KEY, "left_semi").withColumn("status", F.lit("failed")), "abandoned")
-        sinks.overwrite_partitions(lost.select(*RUNS.fieldNames()), f"{store}/runs", *sinks.RUN_KEY)
+        sinks.replace_rows(lost.select(*RUNS.fieldNames()), f"{store}/runs", *sinks.RUN_KEY)
         with leases.held(spark, store, admitted, lease_seconds) as taken:
             work(spark, admitted.join(taken.select("run_id", "fence"), "run_id"))
     earlier = sinks.read_table(spark, f"{store}/queue", QUEUE).filter(F.col("batch_id") == batch_id)

@@ -235,3 +235,15 @@ def test_watched_table_is_empty_until_its_first_files_are_there(spark, tmp_path)
     assert streams._ran(spark, str(tmp_path)).count() == 0
     spark.createDataFrame([("007", "2024-01-31", "t", 1)], streams._RAN).write.mode("append").parquet(str(tmp_path / "ran"))
     assert [r.company_code for r in streams._ran(spark, str(tmp_path)).collect()] == ["007"]
+
+
+def test_lease_is_found_while_it_is_renewed(spark, tmp_path):
+    """A renewal removed the file that a reader had listed."""
+    store = str(tmp_path / "store")
+    holder = spark.createDataFrame([(5, "007", "2024-01-31")], "run_id long, company_code string, email_received_date string")
+    taken = leases.acquire(spark, store, holder, 100)
+    seen = leases.read_leases(spark, store)
+    leases.renew(spark, store, taken, 5000)
+    (lease,) = seen.collect()
+    assert (lease.fence, lease.run_id, lease.company_code) == (1, 5, "007") and lease.expires_at > time.time() + 1000
+    assert len(list((tmp_path / "store" / "leases").rglob("*.parquet"))) == 1
