@@ -83,7 +83,8 @@ def write_parts(rows: DataFrame, path: str, place: list[str], in_files: list[str
     texts = {c: F.when(F.col(c) != "", F.col(c)) for c in place if isinstance(rows.schema[c].dataType, T.StringType)}
     rows = rows.withColumns(texts)  # an empty text has the folder of null, so both are one part
     held = rows.select(*place, *in_files, F.to_json(F.struct(*place)).alias("_key"), (fingerprint_of() if roster else F.lit(0).cast("long")).alias("_mark"))
-    ordered = held.repartition(*place).sortWithinPartitions("_key", *(ROSTER_COLUMNS if roster else []))
+    by = [F.xxhash64("_key"), "_key"]  # texts of keys begin alike, their hashes tell most of them apart
+    ordered = held.repartition(*place).sortWithinPartitions(*by, *(ROSTER_COLUMNS if roster else []))
     kept = [*in_files, place[-1]] if file_per_part else list(in_files)
     schema = to_arrow_schema(rows.select(*kept).schema)
     out = T.StructType([rows.schema[c] for c in place] + list(T._parse_datatype_string(_WRITTEN)))

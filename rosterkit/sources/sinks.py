@@ -54,13 +54,13 @@ def write_rosters(rosters: DataFrame, path: str, rows_per_file: int = OUTPUT_PAR
     the same whenever the run is repeated. Only outputs beyond the row limit are numbered. Other columns go along.
     """
     keys = [*RUN_KEY, "output"]
-    named = rosters.withColumn("output", output_label())
-    sizes = named.groupBy(*keys).agg(F.count("*").alias("n"))
-    large = stage(sizes.filter(F.col("n") > rows_per_file).select(*keys), "large-outputs")
+    named = stage(rosters.withColumn("output", output_label()), "outputs")  # read several times, made once
+    sizes = stage(named.groupBy(*keys).agg((F.count("*") > rows_per_file).alias("large")), "output-sizes")
+    large = sizes.filter("large").select(*keys)
     parts = named.withColumn("part_number", F.lit(1).cast("long"))
     if not large.isEmpty():
-        whole = join_small(parts, large, keys, "left_anti", salt_by=ROSTER_COLUMNS)
         cut = number_parts(join_small(named, large, keys, "left_semi", salt_by=ROSTER_COLUMNS), keys, ROSTER_COLUMNS, rows_per_file)
+        whole = join_small(parts, large, keys, "left_anti", salt_by=ROSTER_COLUMNS)
         parts = whole.unionByName(cut)
     place = [*keys, "part_number"]
     written = stage(write_parts(parts, path, place, [c for c in rosters.columns if c not in place]), "written-parts")

@@ -279,3 +279,17 @@ def test_parts_without_a_company_share_the_folder_of_null(spark, tmp_path):
     assert [r.company_code for r in index.collect()] == ["007"]
     stored = sinks.reread_rosters(spark, str(tmp_path / "s")).collect()
     assert sorted((r.company_code or "", r.COMPLETE_NAME) for r in stored) == [("", "A"), ("", "B"), ("007", "C")]
+
+
+def test_roster_rows_are_made_once(spark, tmp_path):
+    """Sizes, small outputs, samples and numbers each made the rows again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    people = spark.createDataFrame([person("a", f"N{i:02d}") for i in range(20)] + [person("b", "M")], PEOPLE)
+    index = sinks.write_rosters(people.mapInArrow(count, people.schema), str(tmp_path / "s"), rows_per_file=3).collect()
+    assert sorted(r.row_count for r in index) == [1, 2, *[3] * 6] and made.value == 21
