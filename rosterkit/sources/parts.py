@@ -180,7 +180,7 @@ def stored_files(spark: SparkSession, path: str, schema: T.StructType, levels: i
     if not tops:
         return spark.createDataFrame([], out)
     tasks = max(1, min(len(tops), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spark.createDataFrame([(t,) for t in tops], "top string").repartition(tasks, "top").mapInArrow(run, out)
+    return spark.createDataFrame([(t,) for t in tops], "top string").repartitionByRange(tasks, "top").mapInArrow(run, out)  # as many for each
 
 
 def clear_folders(folders: DataFrame, path: str) -> None:

@@ -58,10 +58,10 @@ def write_rosters(rosters: DataFrame, path: str, rows_per_file: int = OUTPUT_PAR
     sizes = stage(named.groupBy(*keys).agg((F.count("*") > rows_per_file).alias("large")), "output-sizes")
     large = sizes.filter("large").select(*keys)
     parts = named.withColumn("part_number", F.lit(1).cast("long"))
-    if not large.isEmpty():
+    many, outputs = sizes.agg(F.count_if("large"), F.count("*")).first()
+    if many:
         cut = number_parts(join_small(named, large, keys, "left_semi", salt_by=ROSTER_COLUMNS), keys, ROSTER_COLUMNS, rows_per_file)
-        whole = join_small(parts, large, keys, "left_anti", salt_by=ROSTER_COLUMNS)
-        parts = whole.unionByName(cut)
+        parts = cut if many == outputs else join_small(parts, large, keys, "left_anti", salt_by=ROSTER_COLUMNS).unionByName(cut)
     place = [*keys, "part_number"]
     written = stage(write_parts(parts, path, place, [c for c in rosters.columns if c not in place]), "written-parts")
     return written.na.drop(subset=place).select(*OUTPUT_INDEX.fieldNames())

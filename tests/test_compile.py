@@ -293,3 +293,11 @@ def test_roster_rows_are_made_once(spark, tmp_path):
     people = spark.createDataFrame([person("a", f"N{i:02d}") for i in range(20)] + [person("b", "M")], PEOPLE)
     index = sinks.write_rosters(people.mapInArrow(count, people.schema), str(tmp_path / "s"), rows_per_file=3).collect()
     assert sorted(r.row_count for r in index) == [1, 2, *[3] * 6] and made.value == 21
+
+
+def test_runs_are_listed_in_equal_shares(spark, tmp_path):
+    """Hashes of eight paths left some of eight tasks idle and gave others several folders."""
+    people = [person("a", "A", run_id=i) for i in range(8)]
+    sinks.write_rosters(spark.createDataFrame(people, PEOPLE), str(tmp_path / "s")).collect()
+    shares = sinks.stored_outputs(spark, str(tmp_path / "s")).groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in shares] == [1] * 8
