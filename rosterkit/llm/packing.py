@@ -2,9 +2,10 @@
 
 Token ids come from a public tokenizer file; equal word pieces of a block are tokenised once.  Documents longer than a
 sequence are cut, all others stay whole.  Pieces that fill a sequence are done; the rest is dealt to groups of bounded
-size, each packed best-fit decreasing and then improved: documents of the emptiest bin move to other underfull bins, or
-are exchanged one-for-one or two-for-one with smaller ones there, as long as the squared fill rises and until the bin is
-empty.  What stands in bins that stay underfull is pooled over all groups and packed once more.
+size, each packed best-fit decreasing and then improved: documents of every underfull bin, the emptiest first, move to other
+underfull bins, or are exchanged one-for-one, two-for-one or one-for-two with smaller ones there, as long as the squared fill
+rises and a bin can be saved.  All bins that are not full are pooled over all groups and packed once more, best-fit or from
+the bins they are, whichever are fewer.
 
 Defined results: a null text is empty and has the end token only; equal rows are packed each; a null id is kept; extra
 columns are ignored.
@@ -27,8 +28,6 @@ from rosterkit.session import stage
 LIMIT = 2048
 END_ID = 0
 GROUP_PIECES = 16_384
-UNDERFULL = 0.98
-BREADTH = 16
 _CACHED_PIECES = 400_000
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -166,86 +165,129 @@ def best_fit(lengths: np.ndarray, limit: int) -> np.ndarray:
 
 
 class LocalSearch:
-    """Empties bins by moves and exchanges that raise the sum of squared fills."""
+    """Empties bins by moves and exchanges that raise the sum of squared fills.
+
+    Equal lengths are alike.  What an underfull bin could give for something longer (nothing, one document or two) is kept by
+    size and by what would rest in the bin, so a look-up covers all of them, however many bins there are.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: np.ndarray, limit: int):
         self.lengths, self.bins, self.limit = lengths, bins.copy(), limit
         self.fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        self.docs: list[list[int]] = [[] for _ in self.fill]
-        for i, b in enumerate(bins.tolist()):
-            self.docs[b].append(i)
-
-    def _put(self, doc: int, b: int):
-        self.docs[self.bins[doc]].remove(doc)
-        self.fill[self.bins[doc]] -= self.lengths[doc]
-        self.docs[b].append(doc)
-        self.fill[b] += self.lengths[doc]
+        self.docs: list[dict[int, list[int]]] = [{} for _ in self.fill]  # of each length
+        for i, (size, b) in enumerate(zip(lengths.tolist(), bins.tolist())):
+            self.docs[b].setdefault(size, []).append(i)
+        self.givers: list[dict[tuple[int, int], dict[int, None]]] = [{}, {}, {}]  # (rest, size): bins; none, one or two documents
+        self.sizes = [[0] * (limit + 1) for _ in self.givers]  # rest: bits of the sizes
+
+    def _offers(self, b: int):
+        mine = sorted(self.docs[b])
+        fill = int(self.fill[b])
+        yield 0, (fill, 0)
+        for k, x in enumerate(mine):
+            yield 1, (fill - x, x)
+            for y in mine[k + (len(self.docs[b][x]) < 2):]:
+                yield 2, (fill - x - y, x + y)
+
+    def _enter(self, b: int):
+        if 0 < self.fill[b] < self.limit:
+            for kind, at in self._offers(b):
+                self.givers[kind].setdefault(at, {})[b] = None
+                self.sizes[kind][at[0]] |= 1 << at[1]
+
+    def _leave(self, b: int):
+        if 0 < self.fill[b] < self.limit:
+            for kind, at in self._offers(b):
+                held = self.givers[kind].get(at)  # two pairs may have one sum
+                if held and held.pop(b, 0) is None and not held:
+                    del self.givers[kind][at]
+                    self.sizes[kind][at[0]] ^= 1 << at[1]
+
+    def _best(self, kind: int, size: int, own: int) -> tuple[int, int] | None:
+        """The largest gain for ``size`` out of a bin of fill ``own`` that has room and raises the squared fill, as (rest, size).
+
+        Of equal gains that of the fullest bin.
+        """
+        least, found, below, sizes = self.limit + 1, None, (1 << size) - 1, self.sizes[kind]
+        for rest in range(self.limit - size, max(0, own - size + 1) - 1, -1):
+            held = sizes[rest] & below
+            if held:
+                low = (held & -held).bit_length() - 1
+                if low < least:
+                    least, found = low, (rest, low)
+                    if kind == 0:
+                        break
+        return found
+
+    def _shift(self, size: int, a: int, b: int):
+        """One document of a length from bin ``a`` to bin ``b``."""
+        doc = self.docs[a][size].pop()
+        if not self.docs[a][size]:
+            del self.docs[a][size]
+        self.docs[b].setdefault(size, []).append(doc)
+        self.fill[a] -= size
+        self.fill[b] += size
         self.bins[doc] = b
 
-    def _best(self, gains: np.ndarray, room: np.ndarray, fills: np.ndarray, own: int) -> int:
-        """The largest gain that its bin has room for and that raises the squared fill; -1 if there is none."""
-        good = (gains > 0) & (gains <= room) & (fills + gains > own)
-        return int(np.argmax(np.where(good, gains, -1))) if good.any() else -1
-
-    def _step(self, b: int, underfull: np.ndarray) -> bool:
-        """Take some tokens out of bin ``b``: the largest gain of one kind of move, the simplest kind first."""
-        room, fill, own = self.limit - self.fill[underfull], self.fill[underfull], int(self.fill[b])
-        mine = sorted(self.docs[b], key=lambda i: -self.lengths[i])
-        for x in mine:
-            at = self._best(np.full(len(underfull), self.lengths[x]), room, fill, own)
-            if at >= 0:
-                fits = np.flatnonzero(room >= self.lengths[x])
-                self._put(x, int(underfull[fits[np.argmin(room[fits])]]))
-                return True
-        theirs = np.array([d for u in underfull.tolist() for d in self.docs[u]], dtype=np.int64)
-        if not len(theirs):
-            return False
-        sizes, home = self.lengths[theirs], self.bins[theirs]
-        home_room, home_fill = self.limit - self.fill[home], self.fill[home]
-        pairs = [(x, y) for k, x in enumerate(mine) for y in mine[k + 1:]]
-        for group in [(x,) for x in mine] + pairs:  # one or two of this bin for one of another
-            at = self._best(sum(int(self.lengths[x]) for x in group) - sizes, home_room, home_fill, own)
-            if at >= 0:
-                other, there = int(theirs[at]), int(home[at])
-                self._put(other, b)
-                for x in group:
-                    self._put(x, there)
-                return True
-        two = np.array([(x, y) for u in underfull.tolist() for k, x in enumerate(self.docs[u]) for y in self.docs[u][k + 1:]],
-                       dtype=np.int64).reshape(-1, 2)
-        if len(two):
-            sizes, home = self.lengths[two].sum(axis=1), self.bins[two[:, 0]]
-            for x in mine:  # one of this bin for two of another
-                at = self._best(int(self.lengths[x]) - sizes, self.limit - self.fill[home], self.fill[home], own)
-                if at >= 0:
-                    there = int(home[at])
-                    for y in two[at].tolist():
-                        self._put(y, b)
-                    self._put(x, there)
+    def _exchange(self, b: int, out: tuple[int, ...], kind: int, at: tuple[int, int]):
+        there = next(iter(self.givers[kind][at]))
+        self._leave(there)
+        back = () if kind == 0 else (at[1],)
+        if kind == 2:
+            has = self.docs[there]
+            first = next(x for x in sorted(has) if at[1] - x in has and (2 * x != at[1] or len(has[x]) > 1))
+            back = (first, at[1] - first)
+        for size in out:
+            self._shift(size, b, there)
+        for size in back:
+            self._shift(size, there, b)
+        self._enter(there)
+
+    def _step(self, b: int) -> bool:
+        """Take some tokens out of bin ``b``, which offers nothing now: the largest gain of one kind, the simplest kind first."""
+        own, mine = int(self.fill[b]), sorted(self.docs[b], reverse=True)
+        ones = [(x,) for x in mine]
+        twos = {x + y: (x, y) for k, x in enumerate(mine) for y in mine[k + (len(self.docs[b][x]) < 2):]}
+        for kind, groups in ((0, ones), (1, [*ones, *twos.values()]), (2, ones)):
+            for group in groups:
+                at = self._best(kind, sum(group), own) if sum(group) <= self.limit else None
+                if at:
+                    self._exchange(b, group, kind, at)
                     return True
         return False
 
     def run(self) -> np.ndarray:
-        """Shift tokens out of the emptiest bins, as long as that helps and a bin can still be saved.
+        """Shift tokens out of every underfull bin, the emptiest first, until that helps none or no bin can be saved.
 
         Every step raises the sum of squared fills, so the search ends.
         """
-        least = -(-int(self.lengths.sum()) // self.limit)
-        moved = True
+        least, left = -(-int(self.lengths.sum()) // self.limit), int((self.fill > 0).sum())
+        moved = left > least
+        if moved:
+            for b in range(len(self.fill)):
+                self._enter(b)
         while moved:
             moved = False
             used = np.flatnonzero((self.fill > 0) & (self.fill < self.limit))
-            for b in used[np.argsort(self.fill[used], kind="stable")][:BREADTH].tolist():
-                while self.docs[b] and int((self.fill > 0).sum()) > least:
-                    underfull = np.flatnonzero((self.fill > 0) & (self.fill < self.limit))
-                    if not self._step(b, underfull[underfull != b]):
-                        break
+            for b in used[np.argsort(self.fill[used], kind="stable")].tolist():
+                if not 0 < self.fill[b] < self.limit:
+                    continue
+                self._leave(b)
+                while left > least and self.fill[b] and self._step(b):
                     moved = True
+                    left -= not self.fill[b]
+                self._enter(b)
         return self.bins
 
 
-def pack_lengths(lengths: np.ndarray, limit: int) -> np.ndarray:
-    return LocalSearch(lengths, best_fit(lengths, limit), limit).run() if len(lengths) else np.zeros(0, dtype=np.int64)
+def pack_lengths(lengths: np.ndarray, limit: int, packed: np.ndarray | None = None) -> np.ndarray:
+    """Bin of each length; never more bins than ``packed``, where the lengths are already, has."""
+    if not len(lengths):
+        return np.zeros(0, dtype=np.int64)
+    bins = best_fit(lengths, limit)
+    if packed is not None and packed.max() < bins.max():
+        bins = packed
+    return LocalSearch(lengths, bins, limit).run()
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -259,7 +301,8 @@ def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES
     def packed(number):
         def run(key, table):
             lengths = table.column("length").to_numpy().astype(np.int64)
-            bins = pack_lengths(lengths, limit)
+            packed = np.unique(table.column("packed").to_numpy(), return_inverse=True)[1] if number > 1 and len(table) else None
+            bins = pack_lengths(lengths, limit, packed)
             order = np.argsort(bins, kind="stable")
             before = np.cumsum(lengths[order]) - lengths[order]
             first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
@@ -272,18 +315,19 @@ def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES
                  pa.array(fill[bins[order]], pa.int64())], names=[*names, "sequence_id", "offset", "sequence_length"])
         return run
 
-    def grouped(df, number, label):
+    def grouped(df, number, label, together):
         groups = max(1, -(-df.count() // group_pieces))
-        dealt = df.withColumn("dealt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+        dealt = df.withColumn("dealt", F.pmod(F.xxhash64(together), F.lit(groups)).cast("long"))
         return stage(dealt.groupBy("dealt").applyInArrow(
             packed(number), f"{schema}, sequence_id long, `offset` long, sequence_length long"), label)
 
     whole = pieces.filter(F.col("length") >= limit).select(
         "*", (F.lit(1 << 60) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
         F.col("length").alias("sequence_length"))
-    first = grouped(pieces.filter(F.col("length") < limit), 1, "packed")
-    loose = F.col("sequence_length") < int(limit * UNDERFULL)
-    second = grouped(stage(first.filter(loose).select(*names), "loose"), 2, "repacked")
+    first = grouped(pieces.filter(F.col("length") < limit), 1, "packed", F.monotonically_increasing_id())
+    loose = F.col("sequence_length") < limit
+    pooled = stage(first.filter(loose).select(*names, F.col("sequence_id").alias("packed")), "loose")
+    second = grouped(pooled, 2, "repacked", F.col("packed"))
     return whole.unionByName(first.filter(~loose)).unionByName(second)
 
 

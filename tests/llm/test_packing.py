@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from cases import documents, odd_texts
 from rosterkit.llm import packing
-from rosterkit.llm.packing import LocalSearch, PieceTokenizer, best_fit, default_tokenizer, pack_documents, pack_lengths
+from rosterkit.llm.packing import LocalSearch, PieceTokenizer, best_fit, default_tokenizer, pack, pack_documents, pack_lengths
 
 ODD = ["it's 'tis don't IT'S rock'n'roll", "a.b,c!d?'s x'llama !'s", "café café Kİ ẞ", "x y z\u0085w",
        "3.14 1,000 #tag @me $5 100%", "<|endoftext|> <|startoftext|>", "日本語 क्ष \U0001f600\U0001f600", "≠ ≮ a\x00b\x1fc",
@@ -94,3 +94,41 @@ def test_added_tokens_are_those_of_the_unmodified_tokenizer(spark):
     rows = pack_documents(documents(spark, texts).repartition(3), default_tokenizer(), with_ids=True).collect()
     assert {r.doc_id: list(r.ids) for r in rows} == {
         i: plain.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+
+
+def improves(a, b, limit):
+    """True if one or two lengths of ``a`` for none, one or two of ``b`` (not two for two) raise the sum of squared fills."""
+    some = lambda bin: [(), *[(x,) for x in bin], *[(x, y) for k, x in enumerate(bin) for y in bin[k + 1:]]]
+    for out in some(a)[1:]:
+        for back in some(b):
+            gain = sum(out) - sum(back)
+            if (len(out), len(back)) not in ((2, 0), (2, 2)) and 0 < gain <= limit - sum(b) and sum(b) + gain > sum(a):
+                return True
+    return False
+
+
+def test_search_ends_when_no_underfull_bin_can_be_improved():
+    """It looked at the 16 emptiest bins only."""
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(400, 1101, 300), rng.integers(30, 1101, 200), rng.integers(1, 2048, 300), rng.integers(5, 12, 300) * 100):
+        bins = LocalSearch(lengths, next_fit(lengths, 2048), 2048).run()
+        packed = [lengths[bins == b].tolist() for b in np.unique(bins)]
+        assert sorted(sum(packed, [])) == sorted(lengths.tolist()) and max(map(sum, packed)) <= 2048
+        if len(packed) > -(-int(lengths.sum()) // 2048):
+            assert not any(improves(a, b, 2048) for a in packed for b in packed if a is not b and sum(b) < 2048)
+
+
+def test_nearly_full_bins_of_all_groups_are_pooled(spark):
+    """Bins of 99 % were left as they were in their group, so some small pieces had a bin of their own."""
+    pieces = spark.createDataFrame([(i, 2030 if i % 2 else 18) for i in range(400)], "doc_id long, length long")
+    found = pack(pieces, 2048, 100).collect()
+    assert sorted(r.doc_id for r in found) == list(range(400)) and len({r.sequence_id for r in found}) == 200
+
+
+def test_repacking_takes_no_more_bins():
+    rng = np.random.default_rng(0)
+    cuts = np.sort(rng.integers(1, 200, (40, 3)), axis=1)
+    lengths = np.diff(np.concatenate([np.zeros((40, 1), int), cuts, np.full((40, 1), 200)], axis=1), axis=1).ravel()
+    packed, lengths = np.repeat(np.arange(40), 4)[lengths > 0], lengths[lengths > 0]
+    assert best_fit(lengths, 200).max() >= 40  # without a search it needs more than it has
+    assert len(np.unique(pack_lengths(lengths, 200, packed))) == 40
