@@ -62,20 +62,22 @@ def guess_encoding(sample: bytes) -> str | None:
         return "cp1252"
 
 
-def guess_dialect(text: str) -> tuple[str, str, int]:
+def guess_dialect(text: str, cut: bool = False) -> tuple[str, str, int]:
     """Separator, quote and widest row of a text sample: the separator for which most rows agree on one width.
 
     Among readings that agree as much, one whose quote is the first to start a cell comes before one that takes this
     quote as text: the separators inside quoted cells would make its rows wider. A long sample of one row agrees with
-    itself under any separator, so there a separator behind which a quote stands comes first.
+    itself under any separator, so there a separator behind which a quote stands comes first. A separator that stands
+    only inside the quoted cells of a reading that agrees at least as much is text; the quote that closes such a cell
+    may stand right behind it. The last line of a ``cut`` sample is not whole.
     """
     import csv
     from collections import Counter
 
     lines = text.splitlines()
-    if len(lines) > 1 and len(text) >= DIALECT_SAMPLE_BYTES - 4:
+    if len(lines) > 1 and (cut or len(text) >= DIALECT_SAMPLE_BYTES - 4):
         lines = lines[:-1]  # the last line of a full sample is cut
-    best = (0.0, 0, 0, ",", '"', 1)
+    readings = []
     first = {s: re.search(rf"(?:^|{re.escape(s)})([{''.join(QUOTES)}])", text, re.MULTILINE) for s in SEPARATORS}
     for quote in QUOTES:
         for separator in SEPARATORS:
@@ -85,8 +87,14 @@ def guess_dialect(text: str) -> tuple[str, str, int]:
             if widths:
                 width, agreeing = widths.most_common(1)[0]
                 behind = len(rows) == 1 and len(text) >= DIALECT_SAMPLE_BYTES // 4 and first[separator] is not None
-                best = max(best, (agreeing / len(rows), leads + (leads and behind), width, separator, quote, max(rows)), key=lambda b: b[:3])
-    return best[3], best[4], best[5]
+                readings.append((agreeing / len(rows), leads + (leads and behind), width, separator, quote, max(rows)))
+    readings.sort(key=lambda r: r[:3], reverse=True)
+    for agreement, leads, _, separator, quote, _ in list(readings):
+        if leads and first[separator]:
+            q, before = re.escape(quote), re.escape(separator)
+            outside = re.sub(rf"(^|{before}){q}[^{q}]*(?:{q}{q}[^{q}]*)*(?:{q}|\Z)", r"\1", text, flags=re.MULTILINE)
+            readings = [r for r in readings if r[0] > agreement or r[3] in outside] or readings
+    return readings[0][3:] if readings else (",", '"', 1)
 
 
 def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +106,7 @@ def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 encoding = guess_encoding(sample)
                 if encoding is None:
                     raise ValueError("not a text file")
-                separator, quote, width = guess_dialect(sample.decode(encoding, errors="replace"))
+                separator, quote, width = guess_dialect(sample.decode(encoding, errors="replace"), length > len(sample))
                 found.append((path, length, encoding, separator, quote, width, None))
             except Exception as e:  # one bad file must not stop the others
                 found.append((path, length, None, None, None, None, f"{type(e).__name__}: {e}"))

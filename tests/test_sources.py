@@ -288,6 +288,25 @@ def test_separators_inside_quoted_cells_do_not_choose_the_dialect():
     assert guess_dialect("a;b\nc;d,e\n") == (";", '"', 2)
 
 
+def test_separators_that_only_quoted_cells_hold_are_text(spark, tmp_path):
+    """A pipe before the closing quote made that quote open a cell; one short record agrees with any separator."""
+    from rosterkit.sources.delimited import guess_dialect
+
+    texts = {"two": ["a | b | c |", "word " * 3000], "one": ["a | b | c"], "lines": ["a | b\nc | d"], "late": ["a | é; " * 900, "z"]}
+    assert guess_dialect('1,"a | b | c |"\r\n2,"' + "word " * 3000)[:2] == (",", '"')
+    assert guess_dialect('1,"a | b | c"\r\n') == (",", '"', 2)
+    assert guess_dialect('1,"a | b | c"\r\n2', True) == (",", '"', 2)  # cut within a number
+    assert guess_dialect('1;"a,b"\n2;"c,d"\n') == (";", '"', 2)
+    assert guess_dialect('1|a,"b"\n2|c;d\n') == ("|", '"', 2)
+    for name, values in texts.items():
+        body = "".join(f'{i},"{v}"\r\n' for i, v in enumerate(values))
+        (tmp_path / f"{name}.txt").write_bytes(body.encode("utf-8"))
+        (tmp_path / f"{name}_wide.txt").write_bytes(body.encode("utf-16"))
+    found, errors = text_rows(spark, tmp_path)
+    want = {name: [[str(i), v] for i, v in enumerate(values)] for name, values in texts.items()}
+    assert found == {f"{name}{kind}.txt": rows for name, rows in want.items() for kind in ("", "_wide")} and not errors
+
+
 def test_effective_aliases_are_made_in_many_tasks_without_repeats(spark, monkeypatch):
     from rosterkit.operators import aliases as al
 
